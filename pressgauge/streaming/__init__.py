@@ -1,0 +1 @@
+"""Empty on purpose: the analytics are batch jobs, there is no streaming operator to offer."""
