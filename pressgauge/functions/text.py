@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,8 +32,9 @@ def prefix(text: Column, length: int) -> Column:
 def keyword_pattern(terms: Sequence[str]) -> str:
     """One case-insensitive whole-word alternation of literal terms.
 
-    Terms are grouped by first letter, so that a position that starts no term is rejected by one
-    character class instead of by every term in turn.
+    A position whose letter starts no term is rejected by one plain character class, before any
+    look-behind or case folding; the class lists every case variant of the first letters. Terms
+    with the same first letter share a branch.
     """
     if not terms:
         raise ValueError("a keyword list may not be empty")
@@ -46,8 +48,15 @@ def keyword_pattern(terms: Sequence[str]) -> str:
         f"{head}(?:" + "|".join(rf"\Q{tail}\E" if tail else "" for tail in tails) + ")"
         for head, tails in heads.items()
     )
-    first = "".join(heads)
-    return f"(?iu)(?<!{WORD_CHAR})(?=[{first}])(?:{literal})(?!{WORD_CHAR})"
+    first = "".join(sorted({variant for head in heads for variant in case_variants(head)}))
+    return f"(?=[{first}])(?iu)(?<!{WORD_CHAR})(?:{literal})(?!{WORD_CHAR})"
+
+
+@lru_cache
+def case_variants(letter: str) -> tuple[str, ...]:
+    """Characters equal to a letter when case is ignored, such as the long s for s."""
+    everything = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    return tuple(re.findall(re.escape(letter), everything, re.IGNORECASE))
 
 
 def has_keyword(text: Column, terms: Sequence[str]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.config import CANDIDATE_SOURCES, Settings
 from pressgauge.functions import text
+from pressgauge.functions.once import with_columns_once
 from pressgauge.operators.sampling import sample_per_stratum
 
 REVIEW_COLUMNS = [
@@ -24,12 +25,13 @@ REVIEW_COLUMNS = [
 
 
 def flag_candidates(articles: DataFrame, cfg: Settings) -> DataFrame:
-    flagged = articles.withColumns(
+    flagged = with_columns_once(
+        articles,
         {
             "strong_keyword_hit": text.has_keyword(F.col("text_clean"), cfg.strong_keywords),
             "weak_keyword_hit": text.has_keyword(F.col("text_clean"), cfg.weak_keywords),
             "url_section_hit": text.has_keyword(F.col("resolved_url"), cfg.url_terms),
-        }
+        },
     )
     strong, weak, url = (F.col(f"{n}_hit") for n in ("strong_keyword", "weak_keyword", "url_section"))
     return flagged.withColumns(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.config import RAW_COLUMNS, Settings
 from pressgauge.functions import dates, text
+from pressgauge.functions.once import with_columns_once
 from pressgauge.operators.skew import hot_split_join
 
 GROUP = ["story_key", "region", "week"]
@@ -26,7 +27,8 @@ def derive(raw: DataFrame, cfg: Settings) -> DataFrame:
     """Every derived column and the reasons to drop a row; nothing is dropped yet."""
     tweet_text = F.trim(F.coalesce(F.col("tweet_date"), F.lit("")))
     multi = dates.is_multi_value(tweet_text)
-    parsed = raw.withColumns(
+    parsed = with_columns_once(
+        raw,
         {
             "date_raw_article": dates.parse_timestamp(F.col("article_date")),
             "date_raw_tweet": dates.parse_timestamp(
@@ -35,7 +37,7 @@ def derive(raw: DataFrame, cfg: Settings) -> DataFrame:
             "has_multi_tweet": multi,
             "region": region_name(F.col("main_LAD"), F.col("LAD")),
             "text_clean": text.clean_text(F.col("article_text")),
-        }
+        },
     )
     article, tweet = F.col("date_raw_article"), F.col("date_raw_tweet")
     trusted = dates.use_article_date(article, tweet, cfg.date_max_delta_days)

@@ -24,6 +24,7 @@ from pressgauge.operators import (
     scoring,
     stories,
 )
+from pressgauge.plans import pipeline
 from pressgauge.session import stage
 from pressgauge.sources import readers, tables
 from pressgauge.sources.tables import (
@@ -750,3 +751,12 @@ def embed_text(spark, sf_dir):
         F.size(F.filter("embedding", lambda x: x != 0)).alias("non_zero"),
         F.sqrt(squares).alias("length"),
     )
+
+
+@query
+def end_to_end_pairs(spark, sf_dir):
+    """Raw documents to hot pairs, vectors included."""
+    rows = stage(candidates.filter_candidates(_cleaned(spark, sf_dir), DOC_MODEL_SETTINGS), "candidates")
+    scores = pipeline.score_candidates(rows, encoding.hashing_encoder(512), DOC_MODEL_SETTINGS)
+    index = stage(pipeline.index_of(rows, scores, DOC_MODEL_SETTINGS), "index")
+    return outputs.hot_pairs(outputs.topic_index(index, DOC_MODEL_SETTINGS.topic_names), DOC_MODEL_SETTINGS)

@@ -51,7 +51,7 @@ ARTICLES: Chain = [
         """SELECT CAST(o_orderkey AS VARCHAR) AS story_key, o_orderstatus <> 'P' AS is_econ,
         CASE WHEN o_orderstatus = 'P' THEN 'unassigned'
              WHEN o_orderpriority = '5-LOW' THEN 'other_econ' ELSE o_orderpriority END AS assigned_topic,
-        0.45::DOUBLE + o_totalprice / 2000000.0::DOUBLE AS top1_similarity FROM orders""",
+        0.45::DOUBLE + floor(o_totalprice / 100.0::DOUBLE) * 0.0000513717::DOUBLE AS top1_similarity FROM orders""",
     ),
     (
         "weighed",
@@ -301,9 +301,10 @@ def sample_chain(cap: int, strong_goal: int) -> Chain:
         ),
         (
             "shares",
-            """SELECT sampling_tier, region, "week", count(*) AS story_count, available, target,
-            count(*)::DOUBLE / available * target AS raw
-            FROM meta JOIN targets USING (sampling_tier) GROUP BY ALL""",
+            """SELECT sampling_tier, region, "week", story_count, available, target,
+            story_count::DOUBLE / available * target AS raw FROM (SELECT sampling_tier, region, "week",
+              count(*) AS story_count FROM meta GROUP BY sampling_tier, region, "week")
+            JOIN targets USING (sampling_tier)""",
         ),
         (
             "floors",
@@ -869,8 +870,8 @@ ORACLES |= {
         ELSE 'boe_topic' END AS review_group, count(*) AS "rows" FROM told GROUP BY 1""",
     ),
     "l2_normalize": """SELECT vec_id, CAST(i - 1 AS INTEGER) AS "position",
-        round(v[i] / sqrt(list_sum(list_transform(v, x -> x * x))), 6) + 0.0 AS "value"
-        FROM (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE * (label + 1)) AS v, unnest(range(1, 65)) AS i
+        round(v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) + 0.0 AS "value"
+        FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)) AS v, unnest(range(1, 65)) AS i
         FROM embeddings)""",
     "vector_profile": """SELECT count(*) AS story_lookup_rows, count(embedding) AS embedding_rows,
         CAST(max(len(embedding)) AS INTEGER) AS embedding_dim, 'dev' AS run_modes FROM embeddings""",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pressgauge.config import BOILERPLATE_PATTERNS, OTHER_TOPIC, Settings
+from pressgauge.config import BOILERPLATE_PATTERNS, OTHER_TOPIC, Settings, Topic
 from pressgauge.functions import dates
 from pressgauge.session import use_utc
 
@@ -17,9 +18,16 @@ ORDER_SETTINGS = Settings(
 )
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; its schema is read from the files once per path, later reads run no job for it."""
     use_utc(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def line_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +60,7 @@ def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("story_key"),
         econ.alias("is_econ"),
         F.when(econ, topic).otherwise("unassigned").alias("assigned_topic"),
-        (F.lit(0.45) + F.col("o_totalprice") / 2000000.0).alias("top1_similarity"),
+        (F.lit(0.45) + F.floor(F.col("o_totalprice") / 100.0) * 0.0000513717).alias("top1_similarity"),
     )
 
 
@@ -85,6 +93,23 @@ DOC_SETTINGS = Settings(
 
 DOC_TOPICS = ("en", "fr", "de")
 
+# Anchors and topics in the words of the documents, with thresholds to match.
+DOC_MODEL_SETTINGS = DOC_SETTINGS.with_(
+    run_mode="full",
+    positive_anchors=("the that with and this for", "license copyright notice"),
+    negative_anchors=("le la les aux des queux", "und der die das sch"),
+    topics=(
+        Topic("open", "the that with", ("license", "copyright"), ("the license with that",)),
+        Topic("plain", "and of the in", ("that", "the"), ("the thing that this",)),
+        Topic("mixed", "que les der und", ("avec", "und"), ("que la der sch",)),
+    ),
+    econ_min_similarity=0.05,
+    econ_margin_threshold=0.01,
+    econ_strong_min_similarity=0.02,
+    econ_strong_margin_threshold=0.0,
+    topic_min_similarity=0.05,
+)
+
 
 def document_scores(meta: DataFrame, first: DataFrame) -> DataFrame:
     """Story scores by rule: topic = language of the first article, similarity from the counts."""
