@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,16 +74,52 @@ def candidate_source(strong: Column, weak: Column, url: Column) -> Column:
     )
 
 
-def clean_snippet(text: Column, patterns: Sequence[str]) -> Column:
-    out = collapse_whitespace(text)
+def clean_snippet(collapsed: Column, patterns: Sequence[str]) -> Column:
+    """Drop boilerplate from white-space collapsed text, then stray punctuation at both ends.
+
+    Patterns apply one after the other, to texts that may hold one of them at all.
+    """
+    dropped = collapsed
     for pattern in patterns:
-        out = F.regexp_replace(out, f"(?iu){pattern}", "")
-    return F.trim(F.regexp_replace(out, WHITESPACE, " "), F.lit(" -:;,."))
+        dropped = F.regexp_replace(dropped, f"(?iu){pattern}", "")
+    kept = F.when(may_match(collapsed, patterns), F.regexp_replace(dropped, WHITESPACE, " ")).otherwise(collapsed)
+    return F.trim(kept, F.lit(" -:;,."))
+
+
+# Characters that equal an ASCII letter when case is ignored, but not after lower-casing.
+ODD_CASE = ("\u017f", "\u212a", "\u0130", "\u0131")
+
+
+def may_match(text: Column, patterns: Sequence[str]) -> Column:
+    """False only where no pattern can match: a search for the literal starts of all patterns,
+    many times cheaper than the patterns. True throughout if one has no literal start."""
+    starts = [literal_start(pattern) for pattern in patterns]
+    if not all(starts):
+        return F.lit(bool(patterns))
+    folded = F.lower(text)
+    found = [F.contains(folded, F.lit(start)) for start in dict.fromkeys(starts)]
+    found += [F.contains(text, F.lit(letter)) for letter in ODD_CASE]
+    return reduce(or_, found, F.lit(False))
+
+
+def literal_start(pattern: str) -> str:
+    """Lower-case letters, digits and spaces every match of a pattern starts with."""
+    outside = re.sub(r"\([^()]*\)", "", pattern)
+    start = re.match(r"[A-Za-z0-9 ]*", pattern)[0]
+    if "|" in outside:
+        return ""
+    if pattern[len(start) : len(start) + 1] in ("?", "*", "{"):
+        start = start[:-1]
+    return start.lower()
+
+
+def opening(cleaned: Column) -> Column:
+    """Text up to the first sentence end that is followed by white space."""
+    return F.split(cleaned, r"(?<=[.!?])\s+", 2)[0]
 
 
-def first_sentence(cleaned: Column, min_chars: int = 40, max_chars: int = 220) -> Column:
+def first_sentence(cleaned: Column, sentence: Column, min_chars: int = 40, max_chars: int = 220) -> Column:
     """The first sentence if its length fits, else the whole text, else its start with dots."""
-    sentence = F.split(cleaned, r"(?<=[.!?])\s+", 2)[0]
     return (
         F.when(F.length(sentence).between(min_chars, max_chars), sentence)
         .when(F.length(cleaned) <= max_chars, cleaned)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pressgauge.config import NO_LEADER, Settings
 from pressgauge.functions import text
 from pressgauge.functions.math import positive
+from pressgauge.functions.once import with_columns_once
 from pressgauge.operators.skew import first_k_per_group
 
 # Order of rows with equal risk.
@@ -311,11 +312,16 @@ def snippet_candidates(scored: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def with_snippet(df: DataFrame, column: str, cfg: Settings) -> DataFrame:
-    cleaned = df.withColumn("_cleaned", text.clean_snippet(F.col(column), cfg.boilerplate_patterns))
-    return cleaned.withColumn(
-        "representative_snippet",
-        text.first_sentence(F.col("_cleaned"), cfg.snippet_min_chars, cfg.snippet_chars),
-    ).drop("_cleaned")
+    """Adds `representative_snippet`. Each step runs once per row, whatever reads it later."""
+    collapsed = with_columns_once(df, {"_text": text.collapse_whitespace(F.col(column))})
+    cleaned = with_columns_once(
+        collapsed, {"_cleaned": text.clean_snippet(F.col("_text"), cfg.boilerplate_patterns)}
+    )
+    opened = with_columns_once(cleaned, {"_sentence": text.opening(F.col("_cleaned"))})
+    snippet = text.first_sentence(
+        F.col("_cleaned"), F.col("_sentence"), cfg.snippet_min_chars, cfg.snippet_chars
+    )
+    return with_columns_once(opened, {"representative_snippet": snippet}).drop("_text", "_cleaned", "_sentence")
 
 
 def representative_snippets(scored: DataFrame, pairs: DataFrame, cfg: Settings) -> DataFrame:

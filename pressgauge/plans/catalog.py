@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressgauge.functions import dates, math, rules, text, vectors
+from pressgauge.functions.once import with_columns_once
 from pressgauge.operators import (
     candidates,
     cleaning,
@@ -28,6 +29,7 @@ from pressgauge.plans import pipeline
 from pressgauge.session import stage
 from pressgauge.sources import readers, tables
 from pressgauge.sources.tables import (
+    DOC_MODEL_SETTINGS,
     DOC_SETTINGS,
     DOC_TOPICS,
     ORDER_SETTINGS,
@@ -594,8 +596,11 @@ def sampled_story_texts(spark, sf_dir):
 @query
 def snippet_clean(spark, sf_dir):
     docs = tables.load(spark, sf_dir, "documents")
-    cleaned = text.clean_snippet(F.col("text"), DOC_SETTINGS.boilerplate_patterns)
-    return docs.select("doc_id", F.md5(cleaned).alias("digest"), F.length(cleaned).alias("chars"))
+    collapsed = with_columns_once(docs, {"_text": text.collapse_whitespace(F.col("text"))})
+    cleaned = with_columns_once(
+        collapsed, {"_cleaned": text.clean_snippet(F.col("_text"), DOC_SETTINGS.boilerplate_patterns)}
+    )
+    return cleaned.select("doc_id", _digest("_cleaned").alias("digest"), F.length("_cleaned").alias("chars"))
 
 
 @query

@@ -518,7 +518,6 @@ BOILERPLATE = [
     "watch more of our videos [^.?!]{0,120}",
     "visit shots! now",
     "licensed? [^.?!]{0,120}",
-    "that (the|of) ",
 ]
 
 

@@ -88,7 +88,7 @@ DOC_SETTINGS = Settings(
     preferred_years=(1999, 1998),
     month_year=1999,
     # one pattern for what the texts hold beside the default ones
-    boilerplate_patterns=(*BOILERPLATE_PATTERNS, r"licensed? [^.?!]{0,120}", r"that (the|of) "),
+    boilerplate_patterns=(*BOILERPLATE_PATTERNS, r"licensed? [^.?!]{0,120}"),
 )
 
 DOC_TOPICS = ("en", "fr", "de")
