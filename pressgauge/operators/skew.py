@@ -22,18 +22,21 @@ def hot_split_join(
     payload: Sequence[str],
     salt_by: Sequence[str],
     how: str = "left",
+    hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Equi-join `rows` with `lookup` (one row per key; `weight` = number of `rows` with that key).
 
-    Hot keys are answered by a broadcast of at most 1 / HOT_SHARE lookup rows. Their rows carry a
+    Hot keys are answered by a broadcast of at most 1 / `hot_share` lookup rows. Their rows carry a
     salt derived from their own id, so the shuffle for the remaining keys spreads them over all
-    tasks. Every row of both kinds is kept. The lookup is staged, as it is read three times.
+    tasks. Every row of both kinds is kept. The lookup is staged, as it is read three times; its
+    salt is stored with it, since a literal would be folded out of the join keys.
     """
-    lookup = stage(lookup.select(*keys, weight, *[p for p in payload if p != weight]), "lookup")
+    stored = [*keys, weight, *[p for p in payload if p != weight]]
+    lookup = stage(lookup.select(*stored, F.lit(-1).alias("_salt")), "lookup")
     total = lookup.agg(F.sum(weight)).scalar()
     packed = F.struct(*payload)
-    hot = lookup.where(F.col(weight) >= total * HOT_SHARE).select(*keys, packed.alias("_hot"))
-    cold = lookup.select(*keys, F.lit(-1).alias("_salt"), packed.alias("_cold"))
+    hot = lookup.where(F.col(weight) >= total * hot_share).select(*keys, packed.alias("_hot"))
+    cold = lookup.select(*keys, "_salt", packed.alias("_cold"))
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")
     joined = (
         rows.join(F.broadcast(hot), list(keys), "left")

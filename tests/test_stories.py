@@ -19,13 +19,35 @@ def test_hot_split_join_equals_a_plain_join(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 977).cast("string")).alias("k"),
     )
     lookup = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("uid").alias("m")).where("k != '5'")
-    got = skew.hot_split_join(rows, lookup, ["k"], "n", ["m"], ["uid"])
+    got = skew.hot_split_join(rows, lookup, ["k"], "n", ["m"], ["uid"], hot_share=0.1)
     plain = rows.join(lookup.select("k", "m"), "k", "left").select("uid", "k", "m")
     assert got.count() == 6000 and got.exceptAll(plain).isEmpty()
-    inner = skew.hot_split_join(rows, lookup, ["k"], "n", ["m", "n"], ["uid"], "inner")
+    inner = skew.hot_split_join(rows, lookup, ["k"], "n", ["m", "n"], ["uid"], "inner", hot_share=0.1)
     assert inner.count() == rows.where("k != '5'").count() and inner.columns == ["uid", "k", "m", "n"]
 
 
+def test_hot_rows_are_spread_over_the_shuffle(spark):
+    """With broadcasts of measured size off, rows of the hot key land in all partitions."""
+    rows = spark.range(8000).select(
+        F.col("id").cast("string").alias("uid"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+    )
+    lookup = rows.groupBy("k").agg(F.count("*").alias("n"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = skew.hot_split_join(rows, lookup, ["k"], "n", ["n"], ["uid"], hot_share=0.1)
+        assert joined.where("n IS NULL").isEmpty() and joined.count() == 8000
+        placed = joined.where("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    sizes = [r["count"] for r in placed]
+    assert len(sizes) == 4 and sum(sizes) == 2667 and max(sizes) < 2 * min(sizes)
+
+
 @pytest.mark.parametrize("salt", [None, ["uid"]])
 def test_first_n_per_group_equals_a_sort(spark, salt):
     rng = random.Random(1)
