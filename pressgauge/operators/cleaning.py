@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.config import RAW_COLUMNS, Settings
@@ -56,19 +59,32 @@ def derive(raw: DataFrame, cfg: Settings) -> DataFrame:
             "_no_date": F.col("date").isNull(),
             "_outlier": F.coalesce(~F.col("date").between(first, last), F.lit(False)),
             "_no_region": F.col("region") == "",
+            "_missing": _missing_bits(raw),
         }
     )
 
 
+def _missing_bits(raw: DataFrame) -> Column:
+    """A bit per raw column that is null, so that counting them later reads no texts."""
+    bits = [
+        F.when(F.col(name).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        for i, name in enumerate(_raw_columns(raw))
+    ]
+    return reduce(add, bits, F.lit(0).cast("long"))
+
+
+def _raw_columns(df: DataFrame) -> list[str]:
+    return [name for name in RAW_COLUMNS if name in df.columns]
+
+
 def is_kept() -> Column:
     return ~(F.col("_short") | F.col("_no_date") | F.col("_outlier") | F.col("_no_region"))
 
 
-def keep_articles(raw: DataFrame, cfg: Settings) -> DataFrame:
-    """Cleaned articles without duplicate weights: one narrow pass, no shuffle."""
+def keep(derived: DataFrame, cfg: Settings) -> DataFrame:
+    """Cleaned articles without duplicate weights, from derived rows."""
     return (
-        derive(raw, cfg)
-        .where(is_kept())
+        derived.where(is_kept())
         .withColumns(
             {
                 "story_key": story_key(
@@ -78,10 +94,15 @@ def keep_articles(raw: DataFrame, cfg: Settings) -> DataFrame:
                 "text_for_embedding": text.prefix(F.col("text_clean"), cfg.text_for_embedding_chars),
             }
         )
-        .drop("_short", "_no_date", "_outlier", "_no_region")
+        .drop("_short", "_no_date", "_outlier", "_no_region", "_missing")
     )
 
 
+def keep_articles(raw: DataFrame, cfg: Settings) -> DataFrame:
+    """Cleaned articles without duplicate weights: one narrow pass, no shuffle."""
+    return keep(derive(raw, cfg), cfg)
+
+
 def group_sizes(articles: DataFrame) -> DataFrame:
     """Articles per story, region and week."""
     return articles.groupBy(*GROUP).agg(F.count("*").alias("group_rows"))
@@ -142,19 +163,25 @@ def _counters() -> list[Column]:
 
 
 def _missing_counts(columns: list[str]) -> list[Column]:
-    return [F.count_if(F.col(name).isNull()).alias(name) for name in columns]
+    bit = lambda i: F.col("_missing").bitwiseAND(F.lit(1 << i).cast("long")) != 0
+    return [F.count_if(bit(i)).alias(f"_{name}") for i, name in enumerate(columns)]
+
+
+def _share(name: str) -> Column:
+    return F.when(F.col("rows_seen") > 0, F.bround(F.col(f"_{name}") / F.col("rows_seen"), 6))
 
 
 def missing_share(raw: DataFrame) -> DataFrame:
     """Rows (column_name, missing_rows, missing_share), null share without rows."""
-    columns = [name for name in RAW_COLUMNS if name in raw.columns]
-    counted = raw.agg(F.count("*").alias("_rows"), *_missing_counts(columns))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("missing_rows")) for c in columns])
-    return counted.select("_rows", F.inline(pairs)).select(
-        "column_name",
-        "missing_rows",
-        F.when(F.col("_rows") > 0, F.bround(F.col("missing_rows") / F.col("_rows"), 6)).alias("missing_share"),
+    columns = _raw_columns(raw)
+    counted = raw.select(_missing_bits(raw).alias("_missing")).agg(
+        F.count("*").alias("rows_seen"), *_missing_counts(columns)
     )
+    rows = [
+        F.struct(F.lit(c).alias("column_name"), F.col(f"_{c}").alias("missing_rows"), _share(c).alias("missing_share"))
+        for c in columns
+    ]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def region_counts(articles: DataFrame) -> DataFrame:
@@ -182,25 +209,24 @@ def example_rows(articles: DataFrame, cfg: Settings) -> DataFrame:
 
 
 def cleaning_report(
-    raw: DataFrame, articles: DataFrame, cfg: Settings, limit: int | None = None
+    derived: DataFrame, articles: DataFrame, cfg: Settings, limit: int | None = None
 ) -> DataFrame:
-    """The whole report as one nested row, ready for a JSON sink."""
-    spark: SparkSession = raw.sparkSession
-    columns = [name for name in RAW_COLUMNS if name in raw.columns]
-    counted = derive(raw, cfg).agg(*_counters(), *[c.alias(f"_{n}") for c, n in zip(_missing_counts(columns), columns)])
+    """The whole report as one nested row, ready for a JSON sink.
+
+    `derived` holds all rows with their reasons (`derive`); stored once, it serves the report and
+    the cleaned articles, so the raw texts are read and cleaned in one pass.
+    """
+    columns = _raw_columns(derived)
+    counted = derived.agg(*_counters(), *_missing_counts(columns))
     groups = group_sizes(articles).agg(F.count("*").alias("n")).scalar()
     by_rank = F.sort_array(F.collect_list(F.struct(F.negative("rows").alias("rank"), "region", "rows")))
     tops = top_regions(articles, cfg.top_region_rows).agg(
         F.transform(by_rank, lambda r: F.struct(r["region"].alias("region"), r["rows"].alias("rows")))
     )
     examples = example_rows(articles, cfg)
-    ordered = examples.agg(F.sort_array(F.collect_list(F.struct("date", *[c for c in examples.columns if c != "date"]))))
-    share = lambda name: F.when(F.col("rows_seen") > 0, F.bround(F.col(f"_{name}") / F.col("rows_seen"), 6))
-    summary = [
-        "rows_seen", "rows_kept", "rows_dropped_short_text", "rows_dropped_date_outlier",
-        "rows_dropped_missing_date", "rows_dropped_missing_region", "multi_tweet_rows",
-        "clean_date_min", "clean_date_max",
-    ]
+    in_order = F.struct("date", *[name for name in examples.columns if name != "date"])
+    example_list = examples.agg(F.sort_array(F.collect_list(in_order)))
+    summary = [name for name in counted.columns if not name.startswith("_")]
     parameters = {
         "text_min_length": cfg.text_min_length,
         "text_for_embedding_chars": cfg.text_for_embedding_chars,
@@ -208,10 +234,11 @@ def cleaning_report(
         "cleaning_date_max": cfg.cleaning_date_max,
         "limit": limit,
     }
+    typed = lambda value: F.lit(value).cast("string" if isinstance(value, str) else "long")
     return counted.select(
-        F.struct(*[F.lit(v).cast("string" if isinstance(v, str) else "long").alias(k) for k, v in parameters.items()]).alias("run_parameters"),
+        F.struct(*[typed(value).alias(name) for name, value in parameters.items()]).alias("run_parameters"),
         F.struct(*summary, groups.alias("duplicate_story_groups")).alias("summary"),
-        F.struct(*[share(name).alias(name) for name in columns]).alias("missing_share"),
+        F.struct(*[_share(name).alias(name) for name in columns]).alias("missing_share"),
         tops.scalar().alias("top_regions"),
-        ordered.scalar().alias("examples"),
+        example_list.scalar().alias("examples"),
     )

@@ -488,8 +488,8 @@ def example_rows(spark, sf_dir):
 
 @query
 def cleaning_report(spark, sf_dir):
-    raw = tables.raw_documents(spark, sf_dir)
-    report = cleaning.cleaning_report(raw, stage(_documents(spark, sf_dir), "kept"), DOC_SETTINGS)
+    derived = stage(cleaning.derive(tables.raw_documents(spark, sf_dir), DOC_SETTINGS), "derived")
+    report = cleaning.cleaning_report(derived, cleaning.keep(derived, DOC_SETTINGS), DOC_SETTINGS)
     return report.select(
         "run_parameters.text_min_length",
         "summary.rows_seen",

@@ -76,12 +76,16 @@ def build_tables(
     use_utc(spark)
     at = lambda name: f"{out_dir}/{name}"
 
-    def cleaned() -> DataFrame:
-        return cleaning.with_duplicate_weight(stage(cleaning.keep_articles(raw, cfg), "kept"))
-
-    articles = stored(spark, at("cleaned_articles"), cleaned, reuse)
-    if not (reuse and is_complete(spark, at("cleaning_report"))):
-        writers.write_json(cleaning.cleaning_report(raw, articles, cfg), at("cleaning_report"))
+    if not (reuse and is_complete(spark, at("cleaned_articles")) and is_complete(spark, at("cleaning_report"))):
+        derived = stage(cleaning.derive(raw, cfg), "derived")
+        articles = stored(
+            spark,
+            at("cleaned_articles"),
+            lambda: cleaning.with_duplicate_weight(cleaning.keep(derived, cfg)),
+            reuse,
+        )
+        writers.write_json(cleaning.cleaning_report(derived, articles, cfg), at("cleaning_report"))
+    articles = readers.read_table(spark, at("cleaned_articles"))
 
     rows = stored(
         spark, at("candidate_articles"), lambda: candidate_ops.filter_candidates(articles, cfg), reuse
@@ -104,8 +108,9 @@ def build_tables(
     )
     readers.require_rows(scores.where("is_econ"), "no economic stories")
 
-    scored = scoring.score_articles(rows, scores, cfg)
-    writers.write_table(scored, at("scored_articles"))
+    # by week, as result tables ask for articles of single weeks; adaptive execution splits large weeks
+    scored = scoring.score_articles(rows, scores, cfg).hint("rebalance", "week")
+    writers.write_table(scored, at("scored_articles"), partition_by=["week"])
     scored = readers.read_table(spark, at("scored_articles"))
     writers.write_csv(scoring.econ_review_sample(scored, cfg), at("econ_review_sample"))
     index = stored(spark, at("regional_topic_index"), lambda: index_of(rows, scores, cfg), False)
