@@ -17,7 +17,8 @@ def sample_per_stratum(df: DataFrame, stratum: str, row_id: str, k: int, seed: i
     """k rows per stratum, each row equally likely.
 
     The ranks see ids only; the few chosen ids are then looked up in the wide table, so long
-    texts are neither sorted nor shuffled. Rows sharing an id are cut to k at the end.
+    texts are neither sorted nor shuffled. `df` is read twice, so pass a stored or staged table.
+    Rows sharing an id are cut to k at the end.
     """
     order = [stable_hash(seed, F.col(row_id)), F.col(row_id)]
     ids = first_k_per_group(df.select(stratum, row_id), [stratum], order, k).distinct()

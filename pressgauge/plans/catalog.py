@@ -65,10 +65,11 @@ CELL = ["week", "region", "topic"]
 
 
 def _weighted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with duplicate weights, staged: story sizes and scored articles both read them."""
     weighed = cleaning.with_duplicate_weight(tables.line_articles(spark, sf_dir))
     flag = F.col("l_returnflag")
     source = F.when(flag == "R", "strong_keyword").when(flag == "A", "weak_keyword").otherwise("url_section")
-    return weighed.where("is_candidate").withColumn("candidate_source", source)
+    return stage(weighed.where("is_candidate").withColumn("candidate_source", source), "candidates")
 
 
 def _spread_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,7 +347,7 @@ def review_sample(spark, sf_dir):
     scored = scoring.score_articles(
         _weighted_candidates(spark, sf_dir), _spread_scores(spark, sf_dir), ORDER_SETTINGS
     ).select("review_group", "unique_article_id", "week", "region", "candidate_source", "assigned_topic")
-    return sampling.sample_per_stratum(scored, "review_group", "unique_article_id", 20, 42)
+    return sampling.sample_per_stratum(stage(scored, "scored"), "review_group", "unique_article_id", 20, 42)
 
 
 @query

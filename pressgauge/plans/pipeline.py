@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.config import Settings
+from pressgauge.config import NO_LEADER, Settings
 from pressgauge.operators import (
     candidates as candidate_ops,
     cleaning,
@@ -125,15 +125,21 @@ def build_tables(
     }
 
 
-def result_tables(index: DataFrame, scored: DataFrame, cfg: Settings) -> dict[str, DataFrame]:
-    """Every result table of a stored index and its stored scored articles."""
+def result_tables(
+    index: DataFrame, scored: DataFrame, cfg: Settings, boundaries: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Every result table of a stored index and its stored scored articles.
+
+    With `boundaries` (`readers.read_boundaries`), the values of each map per boundary as well.
+    """
     topics = outputs.topic_index(index, cfg.topic_names)
     readers.require_rows(outputs.active(topics), "no active week in the index")
     leaders = outputs.region_leaders(topics, cfg)
     reference = outputs.reference_map(topics, cfg)
     month = outputs.month_map(topics, cfg)
+    labels = outputs.leader_labels(leaders)
     top_risk = leaders.select("region", F.col("top_risk_score").alias("risk_score"), "top_topic")
-    return {
+    tables = {
         "hot_regions_topics": outputs.hot_pairs(topics, cfg),
         "representative_snippets": outputs.representative_snippets(scored, outputs.latest_pairs(topics, cfg), cfg),
         "topic_trend": outputs.topic_trend(topics, cfg),
@@ -144,11 +150,19 @@ def result_tables(index: DataFrame, scored: DataFrame, cfg: Settings) -> dict[st
         "month_map_legend": outputs.ranked_legend(month, "risk_score", cfg, [F.desc("n_articles")]),
         "top_risk_map": top_risk,
         "top_risk_legend": top_risk.orderBy(F.desc("risk_score"), "region").limit(cfg.map_regions),
-        "leader_labels": outputs.leader_labels(leaders),
+        "leader_labels": labels,
         "leader_legend": outputs.leader_legend(leaders),
     }
-
-
-def write_results(index: DataFrame, scored: DataFrame, cfg: Settings, out_dir: str) -> None:
-    for name, df in result_tables(index, scored, cfg).items():
+    if boundaries is not None:
+        places = boundaries.select("name")
+        for name in ("reference_map", "month_map", "top_risk_map"):
+            tables[f"{name}_places"] = outputs.map_values(places, tables[name], "risk_score", 0.0)
+        tables["leader_label_places"] = outputs.map_values(places, labels, "label", NO_LEADER)
+    return tables
+
+
+def write_results(
+    index: DataFrame, scored: DataFrame, cfg: Settings, out_dir: str, boundaries: DataFrame | None = None
+) -> None:
+    for name, df in result_tables(index, scored, cfg, boundaries).items():
         writers.write_csv(df, f"{out_dir}/{name}")

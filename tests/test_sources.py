@@ -97,8 +97,11 @@ def test_pipeline_and_reuse(spark, tmp_path):
     assert made["scored_articles"].select("story_key").distinct().count() == 60
     index = made["regional_topic_index"]
     assert index.count() % len(cfg.panel_topics) == 0
-    pipeline.write_results(index, made["scored_articles"], cfg, f"{out}/results")
+    places = spark.createDataFrame([("SRC1",), ("nowhere",)], "name string")
+    pipeline.write_results(index, made["scored_articles"], cfg, f"{out}/results", places)
     assert pipeline.is_complete(spark, f"{out}/results/hot_regions_topics")
+    labels = readers.read_result_csv(spark, f"{out}/results/leader_label_places", "region_key string, name string, label string")
+    assert {r.name: r.label for r in labels.collect()}["nowhere"] == "No positive topic signal"
     before = made["cleaned_articles"].inputFiles()
     again = pipeline.build_tables(spark, raw, hashing_encoder(128), cfg, out, reuse=True)
     assert again["cleaned_articles"].inputFiles() == before
