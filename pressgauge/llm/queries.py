@@ -6,12 +6,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import langid, pfair, simhash, tiling, tokenfiles
+from pressgauge.llm import brown, langid, mtree, pfair, pii, preference, simhash, tiling, tokenfiles, winnow
 from pressgauge.llm.common import crc_remainder, table
 
 END_ID = 2
 
 
+def op1_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: ~s["disguised"])
+    count = lambda kind: F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(joined(plain), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation 2i is the chosen, 2i + 1 the rejected one of pair i."""
+    rows = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2))
+    chosen, rejected = rows.where("conv_id % 2 = 0"), rows.where("conv_id % 2 <> 0")
+    pairs = preference.format_pairs(chosen, rejected)
+    shown = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws("-", r["start"], r["end"])), ",")
+    return pairs.select(
+        "pair_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", "rejected",
+        shown("chosen_mask").alias("chosen_mask"), shown("rejected_mask").alias("rejected_mask"),
+    )
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -32,6 +61,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    return brown.score(docs, ~held_out).withColumn("held_out", held_out)
+
+
 def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,10 +75,26 @@ def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = winnow.dedup_lines(table(spark, sf_dir, "documents"))
+    runs = F.array_join(F.transform("deleted", lambda r: F.concat_ws("-", r["first"], r["last"])), ",")
+    gone = F.aggregate("deleted", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
+    return cleaned.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"), runs.alias("deleted"), "text"
+    )
+
+
 QUERIES = {
+    "op1_mtree": op1_mtree,
+    "op2_pii": op2_pii,
+    "op3_preference_pairs": op3_preference_pairs,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
+    "op7_brown_score": op7_brown_score,
     "op8_string_tiling": op8_string_tiling,
     "op9_pfair_mix": op9_pfair_mix,
+    "op10_line_winnow": op10_line_winnow,
 }
+
+ORACLES: dict[str, str] = {}
