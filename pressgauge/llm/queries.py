@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from pressgauge.llm import brown, langid, mtree, pfair, pii, preference, simhash, tiling, tokenfiles, winnow
 from pressgauge.llm.common import crc_remainder, table
+from pressgauge.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 END_ID = 2
 
@@ -97,4 +100,4 @@ QUERIES = {
     "op10_line_winnow": op10_line_winnow,
 }
 
-ORACLES: dict[str, str] = {}
+
