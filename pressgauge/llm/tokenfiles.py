@@ -18,6 +18,7 @@ Every file is written under another name and renamed, so a repeated task leaves
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -26,7 +27,6 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,15 +35,17 @@ from tokenizers import Tokenizer
 from pressgauge.llm.common import open_folder, ship_code
 from pressgauge.session import shared_dir
 
-# --- fixed values -------------------------------------------------------------------------------
-#: How byte-level BPE vocabularies of this family cut a text into pieces that are encoded alone.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Beyond these the character tables of two libraries might differ; such texts are encoded whole.
-PLAIN = "[^\x00-ɏ]"
+# --- fixed values: how byte-level BPE vocabularies of this family cut a text into pieces --------
+#: Letters and numbers among the characters up to U+024F. Beyond these, character tables of two
+#: libraries might differ, so texts with other characters are encoded whole.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+NUMBERS = "0-9²³¹¼½¾"
+PIECES = rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+OTHER = "[^\x00-\x1b\x20-ɏ]"
 NO_ID = -(2**63)
 # -----------------------------------------------------------------------------------------------
 
-CACHED_PIECES = 300_000
+CACHED_PIECES = 1_000_000
 CACHED_LENGTH = 40
 
 _encoders: dict[str, "Encoder"] = {}
@@ -54,8 +56,8 @@ class Encoder:
 
     Its byte-level pre-tokenizer cuts a text into pieces whose ids do not depend on each other. Most
     pieces are frequent words, so their ids are kept (a bounded number of them), and the library is
-    asked for the others only. Texts beyond plain Latin characters, texts that hold the string of a
-    special token and vocabularies of another kind go through the library as a whole.
+    asked for the others only, many in one call. Texts with characters beyond U+024F, texts that hold
+    the string of a special token and vocabularies of another kind go through the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -64,25 +66,53 @@ class Encoder:
         pre = self.library.pre_tokenizer
         self.by_piece = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.library.normalizer is None
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces, self.odd = regex.compile(PIECES), regex.compile(PLAIN)
+        # in a byte-level vocabulary a token's string has one character for each byte
+        vocabulary = self.library.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.n_bytes[number] = len(token)
+        self.pieces, self.other, self.joinable = re.compile(PIECES), re.compile(OTHER), re.compile(r" ?\S+")
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.width).tobytes() for x in found]
 
+    def _apart(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of different pieces. They are put on lines of one text, which leaves each a piece of its own."""
+        fit = self.joinable.fullmatch
+        lines = [p for p in pieces if fit(p)]
+        alone = [p for p in pieces if not fit(p)]
+        found = dict(zip(alone, self._whole(alone))) if alone else {}
+        if lines:
+            ids = np.array(self.library.encode_batch_fast(["\n".join(lines) + "\n"], add_special_tokens=False)[0].ids)
+            ends = np.cumsum(self.n_bytes[ids])
+            cuts = np.cumsum([len(p.encode()) + 1 for p in lines])
+            after, before = np.searchsorted(ends, cuts), np.searchsorted(ends, cuts - 1)
+            starts = np.r_[0, after[:-1] + 1]
+            if not (np.array_equal(ends[after], cuts) and np.array_equal(ends[before], cuts - 1)):
+                return found | dict(zip(lines, self._whole(lines)))
+            packed, size = ids.astype(self.width).tobytes(), self.width.itemsize
+            slices = zip((starts * size).tolist(), ((before + 1) * size).tolist())
+            found.update((p, packed[a:b]) for p, (a, b) in zip(lines, slices))
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._whole(texts)
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
-        split = [None if self.odd.search(t) or any(s in t for s in self.special) else self.pieces.findall(t) for t in texts]
-        known = self.known
-        missing = list({p for pieces in split if pieces for p in pieces if p not in known})
-        fresh = dict(zip(missing, self._whole(missing))) if missing else {}
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHED_LENGTH)
-        look = (known | fresh).__getitem__ if any(len(p) > CACHED_LENGTH for p in missing) else known.__getitem__
-        return [self._whole([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, split)]
+        odd, special = self.other.search, self.special
+        split = [None if odd(t) or any(s in t for s in special) else self.pieces.findall(t) for t in texts]
+        missing = set().union(*(p for p in split if p)).difference(self.known)
+        fresh = self._apart(list(missing)) if missing else {}
+        long = {p: ids for p, ids in fresh.items() if len(p) > CACHED_LENGTH}
+        self.known.update(fresh)
+        look = self.known.__getitem__
+        result = [self._whole([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, split)]
+        for p in long:
+            del self.known[p]
+        return result
 
 
 def encoder(path: str) -> Encoder:
