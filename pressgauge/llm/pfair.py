@@ -24,7 +24,7 @@ from pressgauge.session import stage
 BLOCK = 32
 CYCLE = 1000
 TEMPERATURE = 0.7
-ROWS_PER_BUCKET = 8192
+ROWS_PER_BUCKET = 2048
 
 
 def _source_key(source: Column) -> Column:
