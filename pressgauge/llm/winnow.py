@@ -110,7 +110,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     cuts = stage(repeated_lines(docs, doc_id, text, min_words), "cuts").withColumnsRenamed({"doc_id": "_cut_id", "text_hash": "_cut_hash"})
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.col(text)).alias("_hash"))
-    joined = rows.join(cuts, rows["doc_id"].eqNullSafe(F.col("_cut_id")) & (F.col("_hash") == F.col("_cut_hash")), "left")
+    # the cuts grow with the texts, so they are never broadcast; texts move once
+    joined = rows.join(cuts.hint("merge"), rows["doc_id"].eqNullSafe(F.col("_cut_id")) & (F.col("_hash") == F.col("_cut_hash")), "left")
     gone = F.coalesce("lines", F.array().cast("array<int>"))
     split = joined.select("doc_id", "_text", gone.alias("gone"), F.split("_text", "\n").alias("_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
