@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
 # Keyword lists, anchors, topic profiles and thresholds that results depend on.
@@ -294,7 +294,7 @@ TOPICS = (
 class Settings:
     # cleaning
     text_min_length: int = 200
-    text_for_embedding_chars: int = 1200
+    text_for_embedding_chars: int | None = None  # whole texts unless a prefix is asked for
     cleaning_date_min: str = "2020-01-01"
     cleaning_date_max: str = "2023-12-31"
     date_max_delta_days: int = 365
@@ -308,16 +308,10 @@ class Settings:
     # samples
     review_sample_per_stratum: int = 20
     random_state: int = 42
-    run_mode: str = "dev"
+    run_mode: str = "full"  # "dev" scores a sample of at most embedding_story_cap stories
     embedding_story_cap: int = 120_000
     embedding_strong_share: float = 0.70
-    # text model
-    model_names: dict[str, str] = field(
-        default_factory=lambda: {"small": "BAAI/bge-small-en-v1.5", "base": "BAAI/bge-base-en-v1.5"}
-    )
-    model_size: str = "small"
-    embedding_batch_size: int = 32
-    normalize_embeddings: bool = True
+    # reference texts
     positive_anchors: tuple[str, ...] = POSITIVE_ANCHORS
     negative_anchors: tuple[str, ...] = NEGATIVE_ANCHORS
     topics: tuple[Topic, ...] = TOPICS
@@ -369,11 +363,6 @@ class Settings:
     def panel_topics(self) -> list[str]:
         return [*self.topic_names, OTHER_TOPIC]
 
-    def model_name(self) -> str:
-        if self.model_size not in self.model_names:
-            raise ValueError(f"Unsupported model size: {self.model_size}")
-        return self.model_names[self.model_size]
-
     def with_(self, **changes) -> Settings:
         return replace(self, **changes)
 
@@ -394,13 +383,13 @@ def _plain(value):
 
 
 def load_settings(settings_path: str | Path, topics_path: str | Path | None = None) -> Settings:
-    """Read a settings file (sections runtime, models, filters, profiles, risk) and a topic file.
+    """Read a settings file (sections runtime, filters, profiles, risk) and a topic file.
 
     Sections are flattened; keys that are no field of `Settings` are ignored.
     """
     raw = _read_mapping(settings_path)
     flat: dict = {}
-    for section in ("runtime", "models", "filters", "risk"):
+    for section in ("runtime", "filters", "risk"):
         flat.update(raw.get(section) or {})
     profiles = raw.get("profiles") or {}
     risk_weights = flat.pop("weights", None) or {}
@@ -410,16 +399,8 @@ def load_settings(settings_path: str | Path, topics_path: str | Path | None = No
         "weight_surprise": risk_weights.get("surprise_z"),
         "weight_momentum": risk_weights.get("momentum_z"),
         "weight_similarity": risk_weights.get("mean_similarity_z"),
-        "model_size": flat.get("default_sentence_transformer_size"),
     }
     flat.update({key: value for key, value in renamed.items() if value is not None})
-    names = {
-        size: flat[f"sentence_transformer_{size}"]
-        for size in ("small", "base")
-        if f"sentence_transformer_{size}" in flat
-    }
-    if names:
-        flat["model_names"] = names
     if topics_path is not None:
         flat["topics"] = load_topics(topics_path)
     known = {item.name for item in fields(Settings)}

@@ -5,18 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tried in order after ISO dates and times with optional fraction and offset.
-EXTRA_FORMATS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd")
+from pressgauge.functions.text import strip
+
+# --- fixed values: written forms of dates -------------------------------------------------------
+# After ISO dates and times with optional fraction and offset, in this order. A number pair before
+# the year is read month first, and day first only if that is no date.
+YEAR_FIRST = ("yyyy/M/d[ H:mm[:ss]]", "yyyyMMdd", "yyyy-M-d[ H:mm[:ss]]")
+YEAR_LAST = ("M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "M/d/yyyy h:mm[:ss] a", "d/M/yyyy h:mm[:ss] a")
+NAMED_MONTH = (
+    "d MMM yyyy[ H:mm[:ss]][ Z]", "MMM d yyyy[ H:mm[:ss]][ Z]", "MMM d H:mm:ss Z yyyy", "MMM d H:mm:ss yyyy",
+    "d MMM yyyy h:mm[:ss] a", "MMM d yyyy h:mm[:ss] a",
+)
+WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[.,]?\s+"
+MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+# -----------------------------------------------------------------------------------------------
 
 MICROS_PER_DAY = 86_400_000_000
 
 
+def _first_that_fits(written: Column, formats: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(written, F.lit(fmt)) for fmt in formats])
+
+
 def parse_timestamp(text: Column) -> Column:
-    """Timestamp of a string, null if it cannot be read. Times without a date do not count."""
-    dated = F.when(F.trim(text).rlike(r"^\d{4}"), F.trim(text))
+    """Timestamp of a string, null if it cannot be read. Times without a date do not count.
+
+    The form of the string picks the few patterns that are tried, so unreadable ones cost little.
+    """
+    plain = strip(text)
+    year_first = F.when(plain.rlike(r"^\d{4}"), plain)
+    numbers = F.regexp_replace(plain, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})", "$1/$2/$3")
+    year_last = F.when(plain.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"), numbers)
+    named = F.regexp_replace(F.regexp_replace(plain, WEEKDAY, ""), MONTH, "$1")
+    named = F.regexp_replace(F.regexp_replace(named, r",|\s+", " "), r" +", " ")
+    named = F.regexp_replace(F.regexp_replace(named, r"([+-]\d\d):(\d\d)$", "$1$2"), r" (?:GMT|UTC|Z)$", " +0000")
+    named = F.when(plain.rlike(MONTH) & plain.rlike(r"\d{4}"), named)
     return F.coalesce(
-        dated.try_cast("timestamp"),
-        *[F.try_to_timestamp(dated, F.lit(fmt)) for fmt in EXTRA_FORMATS],
+        year_first.try_cast("timestamp"),
+        _first_that_fits(year_first, YEAR_FIRST),
+        _first_that_fits(year_last, YEAR_LAST),
+        _first_that_fits(named, NAMED_MONTH),
     )
 
 
@@ -26,7 +54,7 @@ def is_multi_value(text: Column) -> Column:
 
 def first_of_many(text: Column) -> Column:
     """The smallest part, as a string, of a value that lists several dates split by ';'."""
-    parts = F.transform(F.split(text, ";"), lambda part: F.trim(part))
+    parts = F.transform(F.split(text, ";"), strip)
     return F.array_min(F.filter(parts, lambda part: part != ""))
 
 

@@ -26,8 +26,15 @@ def collapse_whitespace(text: Column) -> Column:
 clean_text = collapse_whitespace
 
 
-def prefix(text: Column, length: int) -> Column:
-    return F.substring(text, 1, length)
+def strip(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    edge = WHITESPACE.removeprefix("(?U)")
+    return F.regexp_replace(text, f"(?U)^{edge}|{edge}$", "")
+
+
+def prefix(text: Column, length: int | None) -> Column:
+    """The first `length` characters; the whole text without a length."""
+    return text if length is None else F.substring(text, 1, length)
 
 
 def keyword_pattern(terms: Sequence[str]) -> str:

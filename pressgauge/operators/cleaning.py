@@ -18,17 +18,17 @@ GROUP = ["story_key", "region", "week"]
 
 def region_name(main: Column, fallback: Column) -> Column:
     """A blank main region does not fall through to the other column, only a null one does."""
-    return F.trim(F.coalesce(main, fallback, F.lit("")))
+    return text.strip(F.coalesce(main, fallback, F.lit("")))
 
 
 def story_key(duplicate_group: Column, article_id: Column, unique_id: Column) -> Column:
     parts = [c.cast("string") for c in (duplicate_group, article_id, unique_id)]
-    return F.trim(F.coalesce(*parts, F.lit("nan")))
+    return text.strip(F.coalesce(*parts, F.lit("nan")))
 
 
 def derive(raw: DataFrame, cfg: Settings) -> DataFrame:
     """Every derived column and the reasons to drop a row; nothing is dropped yet."""
-    tweet_text = F.trim(F.coalesce(F.col("tweet_date"), F.lit("")))
+    tweet_text = text.strip(F.coalesce(F.col("tweet_date"), F.lit("")))
     multi = dates.is_multi_value(tweet_text)
     parsed = with_columns_once(
         raw,

@@ -21,13 +21,14 @@ def describe_lengths(df: DataFrame, column: str) -> DataFrame:
     """
     histogram = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_rows"))
     rows, value = F.col("_rows"), F.col(column).cast("double")
-    count, total, squares = F.sum(rows), F.sum(rows * value), F.sum(rows * value * value)
-    variance = (squares - total * total / count) / (count - 1)
+    count, total = F.sum(rows), F.sum(rows * value)
+    mean = histogram.agg(total / count).scalar()
+    variance = F.sum(rows * (value - mean) * (value - mean)) / (count - 1)
     quartile = lambda q: F.percentile(column, F.lit(q), rows)
     return histogram.agg(
         count.alias("count"),
         (total / count).alias("mean"),
-        F.when(count > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std"),
+        F.when(count > 1, F.sqrt(variance)).alias("std"),
         F.min(value).alias("min"),
         quartile(0.25).alias("p25"),
         quartile(0.5).alias("p50"),
@@ -74,11 +75,6 @@ def vector_profile(stories: DataFrame) -> DataFrame:
     )
 
 
-def head(df: DataFrame, columns: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """First n rows in a stated order."""
-    return df.orderBy(*order).limit(n).select(*columns)
-
-
 def story_score_summary(scores: DataFrame) -> DataFrame:
     topic = F.col("assigned_topic")
     return scores.agg(

@@ -16,15 +16,20 @@ TIERS = ("strong", "weak_url")
 def sample_per_stratum(df: DataFrame, stratum: str, row_id: str, k: int, seed: int) -> DataFrame:
     """k rows per stratum, each row equally likely.
 
-    The ranks see ids only; the few chosen ids are then looked up in the wide table, so long
-    texts are neither sorted nor shuffled. `df` is read twice, so pass a stored or staged table.
-    Rows sharing an id are cut to k at the end.
+    The first k by hash are found on ids only, by histograms of the hash, so neither a large stratum
+    nor a large k binds one task; the chosen ids are then looked up in the wide table, and long texts
+    are neither sorted nor shuffled but for the result. `df` is read several times, so pass a stored or staged
+    table. A missing id counts as a value. Rows sharing an id are cut to k at the end.
     """
-    order = [stable_hash(seed, F.col(row_id)), F.col(row_id)]
-    ids = first_k_per_group(df.select(stratum, row_id), [stratum], order, k).distinct()
-    chosen = df.join(F.broadcast(ids), [stratum, row_id], "left_semi")
+    hashed = stable_hash(seed, F.col(row_id))
+    ids = df.select(stratum, row_id).withColumns({"_bin": hash_bin(hashed), "_order": F.struct(hashed.alias("h"), F.col(row_id).alias("id"))})
+    limits = df.groupBy(stratum).agg(F.lit(k).alias("n"))
+    chosen = first_n_per_group(ids, [stratum], [("_bin", True), ("_order", True)], limits, [row_id])
+    chosen = chosen.select(F.col(stratum).alias("_stratum"), F.col(row_id).alias("_id")).distinct()
+    same = F.col(stratum).eqNullSafe(F.col("_stratum")) & F.col(row_id).eqNullSafe(F.col("_id"))
+    found = df.join(chosen, same, "left_semi")
     rest = [F.col(name) for name in df.columns if name not in (stratum, row_id)]
-    return first_k_per_group(chosen, [stratum], [*order, *rest], k)
+    return first_k_per_group(found, [stratum], [hashed, F.col(row_id), *rest], k)
 
 
 def tier_targets(stories: DataFrame, cap: int, strong_share: float) -> DataFrame:

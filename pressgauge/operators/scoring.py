@@ -16,6 +16,7 @@ from pressgauge.operators.skew import hot_split_join
 
 Vector = Sequence[float]
 
+# --- fixed values: columns of the stored tables -------------------------------------------------
 STORY_SCORE_COLUMNS = [
     "story_key",
     "candidate_source",
@@ -63,15 +64,9 @@ REVIEW_COLUMNS = [
     "text_clean",
 ]
 
-INHERITED = [
-    "region_spread",
-    "econ_confidence",
-    "is_econ",
-    "top_topic",
-    "top1_similarity",
-    "topic_ambiguous",
-    "assigned_topic",
-]
+# -----------------------------------------------------------------------------------------------
+
+INHERITED = [c for c in STORY_SCORE_COLUMNS if c not in ("story_key", "candidate_source", "strong_keyword_hit")]
 
 
 @dataclass(frozen=True)
@@ -143,27 +138,27 @@ def score_stories(stories: DataFrame, refs: References, cfg: Settings) -> DataFr
     return apply_rules(best_topics(similarities(flagged, refs), refs.topic_names), cfg).select(*STORY_SCORE_COLUMNS)
 
 
-def score_articles(candidates: DataFrame, scores: DataFrame, cfg: Settings) -> DataFrame:
+def score_articles(candidates: DataFrame, scores: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Articles of the scored stories with the story's result and their effective weight.
 
-    In dev mode at most `embedding_story_cap` stories are scored, so their table is broadcast. In
-    full mode it grows with the data: hot stories are split off, the rest is shuffled.
+    Gives SCORED_COLUMNS, as far as the candidates have them, and the `extra` columns of the
+    candidates. Only those columns move. Hot stories are split off, the rest is shuffled; stories of
+    one article, which are most, need no more than that one shuffle.
     """
+    carried = [c for c in candidates.columns if c in SCORED_COLUMNS or c in extra]
+    narrow = candidates.select(*carried)
     wanted = scores.select("story_key", *INHERITED)
-    if cfg.run_mode == "dev" and cfg.embedding_story_cap <= 1_000_000:
-        joined = candidates.join(F.broadcast(wanted), "story_key")
-    else:
-        sizes = candidates.groupBy("story_key").agg(F.count("*").alias("_rows"))
-        joined = hot_split_join(
-            candidates, wanted.join(sizes, "story_key"), ["story_key"], "_rows", INHERITED, ["unique_article_id"], "inner"
-        )
-    return joined.withColumns(
+    sizes = candidates.groupBy("story_key").agg(F.count("*").alias("_rows"))
+    joined = hot_split_join(
+        narrow, wanted.join(sizes, "story_key"), ["story_key"], "_rows", INHERITED, ["unique_article_id"], "inner"
+    )
+    scored = joined.withColumns(
         {
             "region_spread": F.coalesce("region_spread", F.lit(1)),
             "effective_weight": math.effective_weight(F.col("dup_weight"), F.col("region_spread")),
-            "review_group": rules.review_group(F.col("assigned_topic")),
         }
     )
+    return scored.select(*[c for c in SCORED_COLUMNS if c in scored.columns], *[c for c in extra if c not in SCORED_COLUMNS])
 
 
 def weigh_buckets(buckets: DataFrame, scores: DataFrame) -> DataFrame:
@@ -184,8 +179,10 @@ def weigh_buckets(buckets: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def econ_review_sample(scored: DataFrame, cfg: Settings) -> DataFrame:
+    """`scored` carries `candidate_source` beside the fixed columns."""
+    grouped = scored.withColumn("review_group", rules.review_group(F.col("assigned_topic")))
     return sample_per_stratum(
-        scored.select(*REVIEW_COLUMNS),
+        grouped.select(*REVIEW_COLUMNS),
         "review_group",
         "unique_article_id",
         cfg.review_sample_per_stratum,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +50,14 @@ def region_spread(buckets: DataFrame) -> DataFrame:
 
 
 def with_region_spread(buckets: DataFrame) -> DataFrame:
-    """`region_spread` on every (story, region, week) row, by one shuffle on the story."""
-    spread = F.size(F.collect_set("region").over(Window.partitionBy("story_key")))
-    return buckets.withColumn("region_spread", spread)
+    """`region_spread` on every (story, region, week) row.
+
+    Regions are counted with partial aggregation and joined back, so no task holds a whole story.
+    """
+    spread = buckets.groupBy("story_key", "region").agg(F.count("*").alias("_weeks")).groupBy("story_key").agg(
+        F.count("*").cast("int").alias("region_spread")
+    )
+    return buckets.join(spread, "story_key")
 
 
 def story_flags(candidates: DataFrame) -> DataFrame:
@@ -61,11 +69,19 @@ def story_flags(candidates: DataFrame) -> DataFrame:
 
 
 def first_rows(candidates: DataFrame, columns: list[str]) -> DataFrame:
-    return (
-        candidates.groupBy("story_key")
-        .agg(F.min_by(F.struct(*columns), arrival()).alias("_first"))
-        .select("story_key", "_first.*")
+    """`columns` of the first row of every story.
+
+    The first row is found on narrow columns (ties by a hash of the columns asked for), and its wide
+    columns are fetched by id, so texts are neither sorted nor held in aggregation buffers.
+    """
+    marked = candidates.withColumn("_mark", F.xxhash64(*columns))
+    first = marked.groupBy("story_key").agg(F.min(F.struct(*ARRIVAL, "_mark")).alias("_first")).select(
+        F.col("story_key").alias("_story"), *[F.col(f"_first.{c}").alias(f"_{c}") for c in ARRIVAL], F.col("_first._mark").alias("_first_mark")
     )
+    same = [F.col("story_key").eqNullSafe(F.col("_story")), F.col("_mark") == F.col("_first_mark")]
+    same += [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ARRIVAL]
+    found = marked.join(first, reduce(and_, same), "left_semi")
+    return found.select("story_key", *columns).dropDuplicates(["story_key"])
 
 
 def story_meta(candidates: DataFrame, cfg: Settings) -> DataFrame:
@@ -107,17 +123,10 @@ def story_meta(candidates: DataFrame, cfg: Settings) -> DataFrame:
 
 
 def story_texts(candidates: DataFrame, selected: DataFrame, cfg: Settings) -> DataFrame:
-    """Text of the first row of every selected story.
-
-    A sampled selection has at most `embedding_story_cap` keys and is broadcast; the full one is
-    every story, so no filter is needed.
-    """
+    """Text of the first row of every selected story; without sampling that is every story."""
     rows = candidates
     if cfg.run_mode == "dev":
-        keys = selected.select("story_key")
-        if cfg.embedding_story_cap <= 1_000_000:
-            keys = F.broadcast(keys)
-        rows = rows.join(keys, "story_key", "left_semi")
+        rows = rows.join(selected.select("story_key"), "story_key", "left_semi")
     return first_rows(rows, ["text_for_embedding"])
 
 
@@ -135,21 +144,21 @@ def build_stories(candidates: DataFrame, selected: DataFrame, cfg: Settings) ->
 def number_stories(stories: DataFrame) -> DataFrame:
     """`embedding_row`: dense row number by story_key, for export beside a vector matrix.
 
-    A range-partitioned sort numbers rows within each partition; the written table fixes that
-    numbering, and the sizes of its partitions (one row per write task) give the offsets.
+    Only the keys are sorted: they are dealt into ranges, the written table fixes the ranges, rows
+    are numbered within their range, and the ranges' sizes (one row each) give the offsets.
     """
-    ordered = stories.orderBy("story_key").withColumn("_at", F.monotonically_increasing_id())
-    placed = stage(ordered, "numbered_stories").withColumns(
-        {"_part": F.shiftright("_at", 33), "_pos": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}
-    )
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = stories.select("story_key").repartitionByRange("story_key").withColumn("_part", F.spark_partition_id())
+    ranges = stage(ranges, "story_ranges")
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")
     offsets = sizes.select("_part", before.alias("_before"))
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn("embedding_row", (F.col("_before") + F.col("_pos")).cast("int"))
-        .drop("_part", "_pos", "_at", "_before")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("story_key")) - 1
+    numbered = (
+        ranges.withColumn("_place", place)
+        .join(F.broadcast(offsets), "_part")  # a row per range
+        .select("story_key", (F.col("_before") + F.col("_place")).alias("embedding_row"))
     )
+    return stories.join(numbered, "story_key")
 
 
 def rebuild_lookup(old: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from pressgauge.session import stage
 from pressgauge.sources import readers, tables
 from pressgauge.sources.tables import (
     DOC_MODEL_SETTINGS,
+    DOC_SAMPLE_SETTINGS,
     DOC_SETTINGS,
     DOC_TOPICS,
     ORDER_SETTINGS,
@@ -123,11 +124,11 @@ def region_spread(spark, sf_dir):
 @query
 def score_articles(spark, sf_dir):
     scored = scoring.score_articles(
-        _weighted_candidates(spark, sf_dir), _spread_scores(spark, sf_dir), ORDER_SETTINGS
+        _weighted_candidates(spark, sf_dir), _spread_scores(spark, sf_dir)
     )
     return scored.select(
         "unique_article_id", "story_key", "week", "region", "dup_weight", "region_spread", "effective_weight",
-        "is_econ", "assigned_topic", "top1_similarity", "review_group",
+        "is_econ", "assigned_topic", "top1_similarity", rules.review_group(F.col("assigned_topic")).alias("review_group"),
     )
 
 
@@ -345,8 +346,11 @@ def story_numbers(spark, sf_dir):
 @query
 def review_sample(spark, sf_dir):
     scored = scoring.score_articles(
-        _weighted_candidates(spark, sf_dir), _spread_scores(spark, sf_dir), ORDER_SETTINGS
-    ).select("review_group", "unique_article_id", "week", "region", "candidate_source", "assigned_topic")
+        _weighted_candidates(spark, sf_dir), _spread_scores(spark, sf_dir), ["candidate_source"]
+    ).select(
+        rules.review_group(F.col("assigned_topic")).alias("review_group"),
+        "unique_article_id", "week", "region", "candidate_source", "assigned_topic",
+    )
     return sampling.sample_per_stratum(stage(scored, "scored"), "review_group", "unique_article_id", 20, 42)
 
 
@@ -356,7 +360,7 @@ def rebuilt_lookup(spark, sf_dir):
     orders = tables.load(spark, sf_dir, "orders")
     old = orders.select(
         F.col("o_orderkey").alias("story_key"),
-        F.col("o_orderkey").cast("int").alias("embedding_row"),
+        F.col("o_orderkey").alias("embedding_row"),
         F.col("o_orderpriority").alias("text_for_embedding"),
         F.col("o_orderstatus").alias("region"),
         dates.week_start(F.col("o_orderdate")).alias("week"),
@@ -397,7 +401,7 @@ def clean_page_text(spark, sf_dir):
 @query
 def text_prefix(spark, sf_dir):
     docs = tables.load(spark, sf_dir, "documents")
-    cut = text.prefix(text.clean_text(F.col("text")), DOC_SETTINGS.text_for_embedding_chars)
+    cut = text.prefix(text.clean_text(F.col("text")), 1200)
     return docs.select("doc_id", cut.alias("text_for_embedding"))
 
 
@@ -420,7 +424,9 @@ def multi_date_min(spark, sf_dir):
     events = tables.load(spark, sf_dir, "events")
     stamp = F.date_format("ts", DAY_TIME)
     shifted = F.date_format(F.col("ts") - F.expr("interval 3 days"), DAY_TIME)
-    many = F.when(F.col("event_id") % 3 == 0, F.concat(stamp, F.lit(" ; "), shifted, F.lit(";"))).otherwise(stamp)
+    many = F.when(
+        F.col("event_id") % 3 == 0, F.concat(F.lit("\u00a0"), stamp, F.lit("\t;\n"), shifted, F.lit("\u2003;"))
+    ).otherwise(F.concat(stamp, F.lit("\t")))
     listed = events.select("event_id", many.alias("tweet_date"))
     parsed = dates.parse_timestamp(
         F.when(dates.is_multi_value(F.col("tweet_date")), dates.first_of_many(F.col("tweet_date"))).otherwise(
@@ -515,9 +521,9 @@ def text_length_profile(spark, sf_dir):
 
 @query
 def parse_mixed_dates(spark, sf_dir):
-    """Order dates written in several formats, some unreadable."""
+    """Order dates written in many ways, some unreadable."""
     orders = tables.load(spark, sf_dir, "orders")
-    kind = F.col("o_orderkey") % 6
+    kind = F.col("o_orderkey") % 14
     day = F.col("o_orderdate")
     written = (
         F.when(kind == 0, F.date_format(day, "yyyy-MM-dd"))
@@ -525,6 +531,14 @@ def parse_mixed_dates(spark, sf_dir):
         .when(kind == 2, F.date_format(day, "yyyy/MM/dd"))
         .when(kind == 3, F.date_format(day, "yyyyMMdd"))
         .when(kind == 4, F.date_format(day, "'on' dd MMM"))
+        .when(kind == 6, F.date_format(day, "EEE MMM dd '20:19:24 +0000' yyyy"))
+        .when(kind == 7, F.date_format(day, "'\t'd MMMM yyyy'\u00a0\n'"))
+        .when(kind == 8, F.date_format(day, "MMM d, yyyy"))
+        .when(kind == 9, F.date_format(day, "MM/dd/yyyy' 10:00'"))
+        .when(kind == 10, F.date_format(day, "dd/MM/yyyy"))
+        .when(kind == 11, F.date_format(day, "EEEE, d MMM yyyy' 10:00:00 +01:00'"))
+        .when(kind == 12, F.date_format(day, "MMM d yyyy' 3:00 PM'"))
+        .when(kind == 13, F.date_format(day, "yyyy-M-d"))
     )
     return orders.select("o_orderkey", F.date_format(dates.parse_timestamp(written), DAY_TIME).alias("parsed"))
 
@@ -586,8 +600,8 @@ def url_keywords(spark, sf_dir):
 @query
 def sampled_story_texts(spark, sf_dir):
     rows = stage(_candidates(spark, sf_dir), "candidates")
-    chosen = sampling.sample_stories(stories.story_meta(rows, DOC_SETTINGS), DOC_SETTINGS)
-    built = stories.build_stories(rows, stage(chosen, "sample"), DOC_SETTINGS)
+    chosen = sampling.sample_stories(stories.story_meta(rows, DOC_SAMPLE_SETTINGS), DOC_SAMPLE_SETTINGS)
+    built = stories.build_stories(rows, stage(chosen, "sample"), DOC_SAMPLE_SETTINGS)
     return built.select(
         "story_key", "region", "week", "region_spread", "run_mode", "sampling_tier",
         _digest("text_for_embedding").alias("digest"),
@@ -620,7 +634,7 @@ def _scored_documents(spark, sf_dir):
     flagged = candidates.flag_candidates(_cleaned(spark, sf_dir), DOC_SETTINGS)
     rows = stage(flagged.where("is_candidate"), "candidates")
     scores = tables.document_scores(stories.story_meta(rows, DOC_SETTINGS), stories.first_rows(rows, ["LAD"]))
-    return stage(scoring.score_articles(rows, scores, DOC_SETTINGS), "scored")
+    return stage(scoring.score_articles(rows, scores), "scored")
 
 
 @query
@@ -648,8 +662,7 @@ def outer_rings(spark, sf_dir):
 
 @query
 def boundary_join(spark, sf_dir):
-    places = tables.supplier_boundaries(spark, sf_dir).select("s_suppkey", "name")
-    return outputs.map_values(places, tables.supplier_values(spark, sf_dir), "risk_score", 0.0)
+    return outputs.map_values(tables.customer_places(spark, sf_dir), tables.supplier_values(spark, sf_dir), "risk_score", 0.0)
 
 
 # --- vectors ----------------------------------------------------------------------------------

@@ -494,6 +494,7 @@ ORACLES: dict[str, str] = {
 SPACE = (
     r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
+EDGE = f"(^{SPACE})|({SPACE}$)"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
@@ -501,6 +502,10 @@ def collapse(column: str) -> str:
     return f"trim(regexp_replace(coalesce({column}, ''), '{SPACE}', ' ', 'g'))"
 
 
+def stripped(column: str) -> str:
+    return f"regexp_replace({column}, '{EDGE}', '', 'g')"
+
+
 def hit(column: str, *terms: str) -> str:
     return f"regexp_matches(coalesce({column}, ''), '(?i)(^|{NOT_WORD})(?:{'|'.join(terms)})($|{NOT_WORD})')"
 
@@ -543,22 +548,27 @@ RAW: Chain = [
         CASE WHEN o_orderstatus = 'F' THEN {day("(o_custkey % 900) - 450")}
              WHEN d.doc_id % 13 = 0 THEN 'not a date' END AS article_date,
         CASE WHEN d.doc_id % 5 <> 0 THEN 'a' || d.doc_id END AS article_id,
-        CASE WHEN n_chars % 2 = 0 THEN 'g' || (d.doc_id % 90) END AS duplicate_group,
+        CASE WHEN n_chars % 2 = 0 THEN 'g' || (d.doc_id // 100 * 20 + d.doc_id % 20)
+          || CASE WHEN d.doc_id % 3 = 0 THEN chr(10) ELSE '' END END AS duplicate_group,
         CASE WHEN o_orderpriority = '1-URGENT' THEN {day("3")} || '; ' || {day("0")}
              WHEN o_orderpriority = '5-LOW' THEN {day("0")} || ' 10:30:00'
+             WHEN o_orderpriority = '2-HIGH' THEN strftime(o_orderdate, '%a %b %d 10:30:00 +0000 %Y')
+             WHEN d.doc_id % 11 = 0 THEN chr(9) || strftime(o_orderdate, '%d %b %Y') || chr(160) || chr(10)
              WHEN d.doc_id % 31 <> 0 THEN {day("0")} END AS tweet_date,
-        lang AS "LAD", CASE WHEN d.doc_id % 29 = 0 THEN '  ' WHEN d.doc_id % 17 <> 0 THEN ' ' || source || ' ' END
-          AS "main_LAD", source AS owner
-        FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id LEFT JOIN orders o ON o.o_orderkey = d.doc_id % 45""",
+        CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(o_orderdate AS TIMESTAMP)
+             WHEN o_orderpriority IN ('5-LOW', '2-HIGH') THEN o_orderdate + INTERVAL 630 MINUTE
+             WHEN d.doc_id % 11 = 0 OR d.doc_id % 31 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS tweet_ts,
+        lang AS "LAD", CASE WHEN d.doc_id % 29 = 0 THEN chr(160) || chr(9) || ' '
+             WHEN d.doc_id % 17 <> 0 THEN chr(9) || source || chr(160) || chr(10) END AS "main_LAD", source AS owner
+        FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id LEFT JOIN orders o
+        ON o.o_orderkey = d.doc_id // 100 * 20 + d.doc_id % 20""",
     ),
     (
         "parsed",
         f"""SELECT *, TRY_CAST(article_date AS TIMESTAMP) AS article_ts,
-        TRY_CAST(CASE WHEN contains(tweet_date, ';') THEN least(trim(split_part(tweet_date, ';', 1)),
-          trim(split_part(tweet_date, ';', 2))) ELSE tweet_date END AS TIMESTAMP) AS tweet_ts,
         coalesce(contains(tweet_date, ';'), false) AS has_multi_tweet,
-        trim(coalesce("main_LAD", "LAD", '')) AS region, {collapse("article_text")} AS text_clean,
-        trim(coalesce(duplicate_group, article_id, unique_article_id)) AS story_key FROM raw""",
+        {stripped("""coalesce("main_LAD", "LAD", '')""")} AS region, {collapse("article_text")} AS text_clean,
+        {stripped("coalesce(duplicate_group, article_id, unique_article_id)")} AS story_key FROM raw""",
     ),
     (
         "dated",
@@ -615,7 +625,7 @@ DOC_STORY: Chain = RAW + [
         "meta",
         """SELECT p.story_key, p.region, p."week", region_spread, n.article_rows, f."LAD",
         CASE WHEN f.strong_keyword_hit THEN 'strong' ELSE 'weak_url' END AS sampling_tier,
-        substr(f.text_clean, 1, 1200) AS text_for_embedding
+        f.text_clean AS text_for_embedding
         FROM prim p JOIN first f USING (story_key) JOIN (SELECT story_key, count(*) AS article_rows,
           CAST(count(DISTINCT region) AS INTEGER) AS region_spread FROM cand GROUP BY story_key) n USING (story_key)""",
     ),
@@ -671,7 +681,7 @@ ORACLES |= {
     "cleaned_articles": build(
         RAW,
         f"""SELECT unique_article_id, story_key, region, "week", text_len, has_multi_tweet, {r6("dup_weight")},
-        strftime(d, {DAYTIME}) AS "date", md5(substr(text_clean, 1, 1200)) AS digest FROM weighted""",
+        strftime(d, {DAYTIME}) AS "date", md5(text_clean) AS digest FROM weighted""",
     ),
     "cleaning_counters": build(
         RAW,
@@ -724,9 +734,15 @@ ORACLES |= {
         quantile_cont(text_len, 0.25) AS p25, quantile_cont(text_len, 0.5) AS p50, quantile_cont(text_len, 0.75) AS p75,
         max(text_len)::DOUBLE AS "max" FROM kept)""",
     ),
-    "parse_mixed_dates": f"""SELECT o_orderkey, strftime(CASE o_orderkey % 6 WHEN 0 THEN o_orderdate
-        WHEN 1 THEN o_orderdate - INTERVAL 2 HOUR WHEN 2 THEN o_orderdate WHEN 3 THEN o_orderdate END, {DAYTIME})
-        AS parsed FROM orders""",
+    # kind 10 is month first wherever that is a date, so days up to 12 change places with the month
+    "parse_mixed_dates": f"""SELECT o_orderkey, strftime(CASE o_orderkey % 14 WHEN 0 THEN o_orderdate
+        WHEN 1 THEN o_orderdate - INTERVAL 2 HOUR WHEN 2 THEN o_orderdate WHEN 3 THEN o_orderdate
+        WHEN 6 THEN o_orderdate + INTERVAL 73164 SECOND WHEN 7 THEN o_orderdate WHEN 8 THEN o_orderdate
+        WHEN 9 THEN o_orderdate + INTERVAL 10 HOUR
+        WHEN 10 THEN CASE WHEN day(o_orderdate) <= 12
+          THEN make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0) ELSE o_orderdate END
+        WHEN 11 THEN o_orderdate + INTERVAL 9 HOUR WHEN 12 THEN o_orderdate + INTERVAL 15 HOUR WHEN 13 THEN o_orderdate
+        END, {DAYTIME}) AS parsed FROM orders""",
     "keyword_flags": build(
         RAW,
         """SELECT unique_article_id, strong_keyword_hit, weak_keyword_hit, url_section_hit, is_candidate
@@ -796,9 +812,10 @@ ORACLES |= {
     "outer_rings": """SELECT s_suppkey, CAST(i AS INTEGER) AS ring_index, CAST(4 AS INTEGER) AS points,
         round(CAST(s_suppkey + i * 100 + 1 AS DOUBLE), 6) AS second_x
         FROM supplier, (VALUES (0), (1)) v(i) WHERE (s_suppkey % 4 = 0 AND i = 0) OR s_suppkey % 4 = 1""",
-    "boundary_join": """SELECT s_suppkey, ' SUPPLIER’S  ' || s_suppkey AS "name", 'supplier''s ' || s_suppkey AS region_key,
-        round(coalesce(q, 0), 6) + 0.0 AS risk_score FROM supplier LEFT JOIN (SELECT l_suppkey, sum(l_quantity) AS q
-        FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_returnflag = 'R' GROUP BY 1) ON l_suppkey = s_suppkey""",
+    "boundary_join": """SELECT c_custkey AS place, ' SUPPLIER’S  ' || c_custkey AS "name",
+        'supplier''s ' || c_custkey AS region_key,
+        round(coalesce(q, 0), 6) + 0.0 AS risk_score FROM customer LEFT JOIN (SELECT l_suppkey, sum(l_quantity) AS q
+        FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_suppkey = c_custkey""",
 }
 
 # --- vectors ----------------------------------------------------------------------------------

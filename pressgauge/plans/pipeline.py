@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +28,21 @@ from pressgauge.sources import readers, writers
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to the end."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    """Whether a table was written to the end: its mark is a table of its own, written afterwards."""
+    try:
+        return spark.read.schema("done boolean").parquet(f"{path}.done").count() > 0
+    except AnalysisException:
+        return False
+
+
+def mark_complete(spark: SparkSession, path: str) -> None:
+    writers.write_table(spark.range(1).select(F.lit(True).alias("done")), f"{path}.done")
 
 
 def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], reuse: bool) -> DataFrame:
     if not (reuse and is_complete(spark, path)):
         writers.write_table(make(), path)
+        mark_complete(spark, path)
     return readers.read_table(spark, path)
 
 
@@ -85,6 +93,7 @@ def build_tables(
             reuse,
         )
         writers.write_json(cleaning.cleaning_report(derived, articles, cfg), at("cleaning_report"))
+        mark_complete(spark, at("cleaning_report"))
     articles = readers.read_table(spark, at("cleaned_articles"))
 
     rows = stored(
@@ -109,10 +118,11 @@ def build_tables(
     readers.require_rows(scores.where("is_econ"), "no economic stories")
 
     # by week, as result tables ask for articles of single weeks; adaptive execution splits large weeks
-    scored = scoring.score_articles(rows, scores, cfg).hint("rebalance", "week")
+    scored = scoring.score_articles(rows, scores, ["candidate_source"]).hint("rebalance", "week")
     writers.write_table(scored, at("scored_articles"), partition_by=["week"])
-    scored = readers.read_table(spark, at("scored_articles"))
-    writers.write_csv(scoring.econ_review_sample(scored, cfg), at("econ_review_sample"))
+    with_source = readers.read_table(spark, at("scored_articles"))
+    writers.write_csv(scoring.econ_review_sample(with_source, cfg), at("econ_review_sample"))
+    scored = with_source.select(*scoring.SCORED_COLUMNS)
     index = stored(spark, at("regional_topic_index"), lambda: index_of(rows, scores, cfg), False)
     return {
         "cleaned_articles": articles,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,6 +19,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # small local files as several splits
+        .config("spark.sql.files.minPartitionNum", "8" if cores == "*" else str(cores))
+        .config("spark.sql.files.openCostInBytes", "0")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
@@ -32,17 +36,34 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only on local masters."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Only where it is unset, and all tasks run in this process, a temporary folder is taken.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="pressgauge-"))
     return context.getCheckpointDir()
 
 
+def staged_dir(spark: SparkSession) -> str:
+    """Where this application stages its tables."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Deletes all tables this application has staged. Frames that read them are void from here on."""
+    folder = staged_dir(spark)
+    is_uri = "://" in folder or folder.startswith("file:")
+    files, place = FileSystem.from_uri(folder) if is_uri else (LocalFileSystem(), folder)
+    if files.get_file_info(place).type != FileType.NotFound:
+        files.delete_dir(place)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and go on from the written table.
 
@@ -50,6 +71,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     read once, and so that a lost executor costs a re-read of the table, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -56,15 +56,6 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df if columns is None else df.select(*columns)
 
 
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distribute a small table by its keys when its files give fewer splits than there are cores.
-
-    A large table has more splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return (
         spark.read.schema(schema)
@@ -75,9 +66,12 @@ def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | str)
     )
 
 
-def preview(spark: SparkSession, path: str, columns: Sequence[str] | None = None, n: int = 5000) -> DataFrame:
-    """Some n rows; use `profiles.head` for an ordered preview."""
-    return read_table(spark, path, columns).limit(n)
+def preview(
+    spark: SparkSession, path: str, order: Sequence[str], columns: Sequence[str] | None = None, n: int = 5000
+) -> DataFrame:
+    """The first n rows in a stated order."""
+    rows = read_table(spark, path).orderBy(*order).limit(n)
+    return rows if columns is None else rows.select(*columns)
 
 
 def check_vector_parity(lookup: DataFrame, vectors: DataFrame, key: str = "story_key") -> DataFrame:

@@ -4,39 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pressgauge.config import BOILERPLATE_PATTERNS, OTHER_TOPIC, Settings, Topic
 from pressgauge.functions import dates
 from pressgauge.session import use_utc
-from pressgauge.sources.readers import spread
 
 # --- line items as articles -------------------------------------------------------------------
 
 ORDER_TOPICS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
 ORDER_SETTINGS = Settings(
-    preferred_years=(2000, 1999), month_year=1999, month=12, run_mode="full"
+    preferred_years=(2000, 1999), month_year=1999, month=12
 )
 
 
-_schemas: dict[str, T.StructType] = {}
-
-# Tables with much work per row, which small scales store as a single split.
-SPREAD_BY = {
-    "lineitem": ["l_orderkey", "l_linenumber"],
-    "documents": ["doc_id"],
-    "pages": ["page_id"],
-}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; its schema is read from the files once per path, later reads run no job for it."""
     use_utc(spark)
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(_schemas[path]).parquet(path)
-    return spread(df, SPREAD_BY[name]) if name in SPREAD_BY else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def line_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +75,6 @@ DOC_SETTINGS = Settings(
     strong_keywords=("license", "copyright", "und der"),
     weak_keywords=("that", "with", "avec", "que"),
     url_terms=("en", "blog"),
-    embedding_story_cap=100,
     review_sample_per_stratum=5,
     preferred_years=(1999, 1998),
     month_year=1999,
@@ -100,11 +82,13 @@ DOC_SETTINGS = Settings(
     boilerplate_patterns=(*BOILERPLATE_PATTERNS, r"licensed? [^.?!]{0,120}"),
 )
 
+# For the queries that sample on purpose.
+DOC_SAMPLE_SETTINGS = DOC_SETTINGS.with_(run_mode="dev", embedding_story_cap=100)
+
 DOC_TOPICS = ("en", "fr", "de")
 
 # Anchors and topics in the words of the documents, with thresholds to match.
 DOC_MODEL_SETTINGS = DOC_SETTINGS.with_(
-    run_mode="full",
     positive_anchors=("the that with and this for", "license copyright notice"),
     negative_anchors=("le la les aux des queux", "und der die das sch"),
     topics=(
@@ -139,8 +123,9 @@ def document_scores(meta: DataFrame, first: DataFrame) -> DataFrame:
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the raw article layout.
 
-    URL from the page of the same number, dates from one of 45 orders, and rules on the numbers
-    for what a raw corpus has: missing, blank and multiple values, shared story ids.
+    URL from the page of the same number, dates from an order that five documents of a source share,
+    and rules on the numbers for what a raw corpus has: missing, blank and multiple values, shared story
+    ids, odd white space, dates written in several ways. Orders and stories grow with the documents.
     """
     docs = load(spark, sf_dir, "documents")
     pages = load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("resolved_url"))
@@ -149,10 +134,14 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     day = lambda shift: F.date_format(F.date_add(F.to_date("o_orderdate"), shift), "yyyy-MM-dd")
     number = F.col("doc_id")
+    shared = F.floor(number / 100) * 20 + F.pmod(number, F.lit(20))
+    written = lambda fmt: F.date_format(F.to_date("o_orderdate"), fmt)
     none = F.lit(None).cast("string")
     tweet = (
         F.when(F.col("o_orderpriority") == "1-URGENT", F.concat_ws("; ", day(F.lit(3)), day(F.lit(0))))
         .when(F.col("o_orderpriority") == "5-LOW", F.concat(day(F.lit(0)), F.lit(" 10:30:00")))
+        .when(F.col("o_orderpriority") == "2-HIGH", written("EEE MMM dd '10:30:00 +0000' yyyy"))
+        .when(number % 11 == 0, F.concat(F.lit("\t"), written("dd MMM yyyy"), F.lit("\u00a0\n")))
         .when(number % 31 != 0, day(F.lit(0)))
     )
     article = F.when(
@@ -160,7 +149,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).when(number % 13 == 0, F.lit("not a date"))
     return (
         docs.join(pages, "doc_id", "left")
-        .join(orders, F.pmod(docs.doc_id, F.lit(45)) == F.col("_order"), "left")
+        .join(orders, shared == F.col("_order"), "left")
         .select(
             F.lpad(number.cast("string"), 12, "0").alias("unique_article_id"),
             F.col("text").alias("article_text"),
@@ -169,9 +158,10 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(number % 7 != 0, F.col("lang")).alias("article_author"),
             article.alias("article_date"),
             F.when(number % 5 != 0, F.concat(F.lit("a"), number.cast("string"))).alias("article_id"),
-            F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("g"), (number % 90).cast("string"))).alias(
-                "duplicate_group"
-            ),
+            F.when(
+                F.col("n_chars") % 2 == 0,
+                F.concat(F.lit("g"), shared.cast("string"), F.when(number % 3 == 0, "\n").otherwise("")),
+            ).alias("duplicate_group"),
             none.alias("twitter"),
             none.alias("twitter_id"),
             none.alias("tweet_url"),
@@ -182,8 +172,8 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(None).cast("long").alias("quote_count"),
             F.lit(None).cast("long").alias("impression_count"),
             F.col("lang").alias("LAD"),
-            F.when(number % 29 == 0, F.lit("  "))
-            .when(number % 17 != 0, F.concat(F.lit(" "), F.col("source"), F.lit(" ")))
+            F.when(number % 29 == 0, F.lit("\u00a0\t "))
+            .when(number % 17 != 0, F.concat(F.lit("\t"), F.col("source"), F.lit("\u00a0\n")))
             .alias("main_LAD"),
             F.col("source").alias("owner"),
         )
@@ -234,6 +224,14 @@ def vector_references(spark: SparkSession, sf_dir: str):
 # --- suppliers as places ----------------------------------------------------------------------
 
 
+def customer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place per customer, named like suppliers; most have no supplier of their number."""
+    key = F.col("c_custkey")
+    return load(spark, sf_dir, "customer").select(
+        key.alias("place"), F.concat(F.lit(" SUPPLIER’S  "), key.cast("string")).alias("name")
+    )
+
+
 def supplier_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A boundary per supplier: polygons with a hole, pairs of polygons, points, and none."""
     key = F.col("s_suppkey")
@@ -253,8 +251,8 @@ def supplier_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned quantity per supplier; two thirds of the suppliers have a value."""
-    lines = load(spark, sf_dir, "lineitem").where((F.col("l_suppkey") % 3 != 0) & (F.col("l_returnflag") == "R"))
+    """Returned quantity per supplier."""
+    lines = load(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
     return lines.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("risk_score")).select(
         F.concat(F.lit("Supplier's "), F.col("l_suppkey").cast("string")).alias("region"), "risk_score"
     )

@@ -24,7 +24,3 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object per row, nulls kept."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
-
-
-def write_vectors(stories: DataFrame, path: str) -> None:
-    write_table(stories.select("story_key", "embedding"), path)
