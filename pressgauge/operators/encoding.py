@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,63 +15,39 @@ from pressgauge.functions.text import topic_text, topic_texts
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
+ROWS_AT_ONCE = 1000
+
 
 def hashing_encoder(dimension: int = 512) -> Encoder:
-    """Unit vectors of hashed word counts. Needs no model and no fit, runs in the JVM."""
+    """Unit vectors of hashed word counts of whole texts. Needs no model and no fit.
+
+    A word counts at the position given by the first eight hex digits of its MD5 modulo `dimension`.
+    Words are split in the JVM; counting runs on Arrow batches. A text without words is the zero vector.
+    """
+
+    @F.arrow_udf("array<double>")
+    def unit_counts(words: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(words), ROWS_AT_ONCE):
+            part = words.slice(at, ROWS_AT_ONCE)
+            coded = part.flatten().dictionary_encode()
+            digests = (hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist())
+            position = np.array([int(d[:8], 16) % dimension for d in digests], np.int64)
+            row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
+            cell = row * dimension + position[coded.indices.to_numpy()] if len(position) else row
+            counts = np.bincount(cell, minlength=len(part) * dimension).reshape(len(part), dimension)
+            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            parts.append((counts / np.where(length > 0, length, 1)).ravel())
+        flat = np.concatenate(parts) if parts else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, dimension, dtype="int32")), pa.array(flat))
 
     def encode(df: DataFrame, text: str, vector: str) -> DataFrame:
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        counted = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension).transform(
-            df.withColumn("_words", words)
-        )
-        unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0).transform(counted)
-        return unit.withColumn(vector, vector_to_array("_unit", "float32")).drop("_words", "_counts", "_unit")
+        return df.withColumn(vector, unit_counts(words))
 
     return encode
 
 
-_loaded: dict[str, object] = {}
-
-
-def model_encoder(name: str, load: Callable[[str], object], batch_size: int = 32, normalize: bool = True) -> Encoder:
-    """Vectors of a model: `load(name)` gives an object with `encode(list of texts) -> matrix`.
-
-    Arrow batches go to `encode` in slices of `batch_size`; the model is loaded once per Python
-    worker. Repartition stories before a slow model, so that every executor gets work.
-    """
-
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if name not in _loaded:
-            _loaded[name] = load(name)
-        model = _loaded[name]
-        for batch in batches:
-            texts = batch.fillna("").tolist()
-            out: list[np.ndarray] = []
-            for start in range(0, len(texts), batch_size):
-                matrix = np.asarray(model.encode(texts[start : start + batch_size]), dtype="float32")
-                if normalize:
-                    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-                    matrix = matrix / np.where(length > 0, length, 1)
-                out.extend(matrix)
-            yield pd.Series(out)
-
-    return lambda df, text, vector: df.withColumn(vector, vectors(text))
-
-
-def load_sentence_model(name: str):
-    """Loader for `model_encoder`, where the optional package is installed on the workers."""
-    try:
-        from sentence_transformers import SentenceTransformer
-    except ImportError as error:
-        raise RuntimeError("sentence_transformers is not installed on this worker") from error
-    return SentenceTransformer(name)
-
-
-def sentence_encoder(cfg: Settings) -> Encoder:
-    return model_encoder(cfg.model_name(), load_sentence_model, cfg.embedding_batch_size, cfg.normalize_embeddings)
-
-
 def embed_stories(stories: DataFrame, encoder: Encoder) -> DataFrame:
     """One vector per story, from `text_for_embedding`."""
     return encoder(stories, "text_for_embedding", "embedding")

@@ -1,7 +1,8 @@
 """Result tables derived from the index.
 
-The index is an aggregate (weeks x regions x topics); pass a stored or staged one. Single values
-such as the reference week are scalar subqueries, so every table is one plan.
+The index is an aggregate (weeks x regions x topics); pass a stored or staged one. What all tables
+share, such as the reference week, is one row (`report_scope`): stage it once and pass it to each, or
+leave it out and every table derives its own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pressgauge.operators.skew import first_k_per_group
 # Order of rows with equal risk.
 TIES = ["region", "topic", "week"]
 
+# Columns of the snippet table.
 SNIPPET_COLUMNS = [
     "week",
     "region",
@@ -55,41 +57,61 @@ def reference_week(index: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def last_active_weeks(index: DataFrame, cfg: Settings, n: int) -> DataFrame:
+def report_scope(index: DataFrame, cfg: Settings) -> DataFrame:
+    """One row (reference_week, weeks, showcase_topic): what the report is about.
+
+    `weeks` are the latest active weeks up to the reference week, newest first, as many as the longest
+    window asks for.
+    """
+    week = reference_week(index, cfg).scalar()
+    at_reference = active(index).where(F.col("week") == week)
+    most = max(cfg.recent_weeks, cfg.trend_weeks)
+    weeks = active(index).where(F.col("week") <= week).select("week").distinct().orderBy(F.desc("week")).limit(most)
+    return weeks.agg(
+        F.max("week").alias("reference_week"),
+        F.sort_array(F.collect_list("week"), asc=False).alias("weeks"),
+    ).withColumn("showcase_topic", _ranked(at_reference).limit(1).select("topic").scalar())
+
+
+def _scope(index: DataFrame, cfg: Settings, scope: DataFrame | None) -> DataFrame:
+    return report_scope(index, cfg) if scope is None else scope
+
+
+def _reference(scope: DataFrame) -> Column:
+    return scope.select("reference_week").scalar()
+
+
+def last_active_weeks(index: DataFrame, cfg: Settings, n: int, scope: DataFrame | None = None) -> DataFrame:
     """The n latest active weeks up to the reference week."""
-    until = reference_week(index, cfg).scalar()
-    return (
-        active(index).where(F.col("week") <= until).select("week").distinct().orderBy(F.desc("week")).limit(n)
-    )
+    return _scope(index, cfg, scope).select(F.explode(F.slice("weeks", 1, n)).alias("week"))
 
 
-def in_weeks(index: DataFrame, weeks: DataFrame) -> DataFrame:
-    """`weeks` has as many rows as the report has weeks."""
-    return index.join(F.broadcast(weeks), "week", "left_semi")
+def in_last_weeks(index: DataFrame, scope: DataFrame, n: int) -> DataFrame:
+    return index.where(F.array_contains(scope.select(F.slice("weeks", 1, n)).scalar(), F.col("week")))
 
 
-def reference_pairs(index: DataFrame, cfg: Settings) -> DataFrame:
-    return active(index).where(F.col("week") == reference_week(index, cfg).scalar())
+def reference_pairs(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
+    return active(index).where(F.col("week") == _reference(_scope(index, cfg, scope)))
 
 
 def _by_risk(score: str = "risk_score") -> list[Column]:
     return [F.desc(score), *[F.asc(name) for name in TIES]]
 
 
-def latest_pairs(index: DataFrame, cfg: Settings) -> DataFrame:
+def latest_pairs(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     return (
-        reference_pairs(index, cfg)
+        reference_pairs(index, cfg, scope)
         .orderBy(*_by_risk())
         .limit(cfg.hot_pairs_top_n)
         .withColumn("window", F.lit("reference_week"))
     )
 
 
-def rolling_pairs(index: DataFrame, cfg: Settings) -> DataFrame:
-    weeks = last_active_weeks(index, cfg, cfg.recent_weeks)
+def rolling_pairs(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
+    scope = _scope(index, cfg, scope)
     means = ["total_econ_weight", "topic_share", "mean_similarity", "baseline_share", "surprise", "momentum"]
     return (
-        in_weeks(active(index), weeks)
+        in_last_weeks(active(index), scope, cfg.recent_weeks)
         .groupBy("region", "topic")
         .agg(
             F.max("week").alias("week"),
@@ -104,19 +126,22 @@ def rolling_pairs(index: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def hot_pairs(index: DataFrame, cfg: Settings) -> DataFrame:
-    return latest_pairs(index, cfg).unionByName(rolling_pairs(index, cfg))
+def hot_pairs(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
+    return latest_pairs(index, cfg, scope).unionByName(rolling_pairs(index, cfg, scope))
 
 
 def top_panel_rows(index: DataFrame, n: int) -> DataFrame:
     return index.orderBy(*_by_risk()).limit(n)
 
 
-def topic_ranking(index: DataFrame, cfg: Settings) -> DataFrame:
+def topic_ranking(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """Topics of the reference week by positive risk, strongest first."""
+    return _ranked(reference_pairs(index, cfg, scope))
+
+
+def _ranked(pairs: DataFrame) -> DataFrame:
     return (
-        reference_pairs(index, cfg)
-        .groupBy("topic")
+        pairs.groupBy("topic")
         .agg(
             F.sum(positive(F.col("risk_score"))).alias("total_risk"),
             F.count_distinct("region").alias("active_regions"),
@@ -126,25 +151,26 @@ def topic_ranking(index: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def showcase_topic(index: DataFrame, cfg: Settings) -> DataFrame:
-    return topic_ranking(index, cfg).limit(1)
+def showcase_topic(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
+    return topic_ranking(index, cfg, scope).limit(1)
 
 
-def _showcase(index: DataFrame, cfg: Settings) -> Column:
-    return showcase_topic(index, cfg).select("topic").scalar()
+def _of_showcase(index: DataFrame, scope: DataFrame) -> DataFrame:
+    return index.where(F.col("topic") == scope.select("showcase_topic").scalar())
 
 
-def showcase_window(index: DataFrame, cfg: Settings) -> DataFrame:
+def showcase_window(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """Showcase topic over the trend weeks, weeks without articles included."""
-    weeks = last_active_weeks(index, cfg, cfg.trend_weeks)
-    return in_weeks(index.where(F.col("topic") == _showcase(index, cfg)), weeks)
+    scope = _scope(index, cfg, scope)
+    return in_last_weeks(_of_showcase(index, scope), scope, cfg.trend_weeks)
 
 
-def trend_regions(index: DataFrame, cfg: Settings) -> DataFrame:
+def trend_regions(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """Regions with most active weeks in the showcase window, further keys breaking ties."""
-    at_reference = F.col("week") == reference_week(index, cfg).scalar()
+    scope = _scope(index, cfg, scope)
+    at_reference = F.col("week") == _reference(scope)
     return (
-        showcase_window(index, cfg)
+        showcase_window(index, cfg, scope)
         .groupBy("region")
         .agg(
             F.count_if(F.col("n_articles") > 0).alias("active_weeks"),
@@ -163,13 +189,14 @@ def trend_regions(index: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def topic_trend(index: DataFrame, cfg: Settings) -> DataFrame:
+def topic_trend(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """Weekly share and risk of the selected regions, with the mean over all regions beside them.
 
     Rows of the mean have the series name 'mean'.
     """
-    window = showcase_window(index, cfg)
-    chosen = window.join(F.broadcast(trend_regions(index, cfg).select("region")), "region", "left_semi")
+    scope = _scope(index, cfg, scope)
+    window = showcase_window(index, cfg, scope)
+    chosen = window.join(F.broadcast(trend_regions(index, cfg, scope).select("region")), "region", "left_semi")
     lines = chosen.select("week", F.col("region").alias("series"), "topic_share", "risk_score")
     return lines.unionByName(topic_benchmark(window).withColumn("series", F.lit("mean")))
 
@@ -180,11 +207,10 @@ def topic_benchmark(window: DataFrame) -> DataFrame:
     )
 
 
-def overall_region_risk(index: DataFrame, cfg: Settings) -> DataFrame:
+def overall_region_risk(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """Positive risk over all topics per week and region, over the trend weeks."""
-    weeks = last_active_weeks(index, cfg, cfg.trend_weeks)
     return (
-        in_weeks(index, weeks)
+        in_last_weeks(index, _scope(index, cfg, scope), cfg.trend_weeks)
         .groupBy("week", "region")
         .agg(
             F.sum(positive(F.col("risk_score"))).alias("overall_risk"),
@@ -194,9 +220,9 @@ def overall_region_risk(index: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def top_regions_overall(index: DataFrame, cfg: Settings) -> DataFrame:
+def top_regions_overall(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     return (
-        overall_region_risk(index, cfg)
+        overall_region_risk(index, cfg, scope)
         .groupBy("region")
         .agg(
             F.sum("overall_risk").alias("total_risk"),
@@ -208,23 +234,24 @@ def top_regions_overall(index: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def weekly_benchmark(index: DataFrame, cfg: Settings) -> DataFrame:
+def weekly_benchmark(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     return (
-        overall_region_risk(index, cfg)
+        overall_region_risk(index, cfg, scope)
         .groupBy("week")
         .agg(F.avg("overall_risk").alias("overall_risk"), F.avg("active_topics").alias("active_topics"))
     )
 
 
-def overall_region_trend(index: DataFrame, cfg: Settings) -> DataFrame:
+def overall_region_trend(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """Weekly overall risk of the top regions, with the mean over all regions as series 'mean'."""
-    chosen = overall_region_risk(index, cfg).join(
-        F.broadcast(top_regions_overall(index, cfg).select("region")), "region", "left_semi"
+    scope = _scope(index, cfg, scope)
+    chosen = overall_region_risk(index, cfg, scope).join(
+        F.broadcast(top_regions_overall(index, cfg, scope).select("region")), "region", "left_semi"
     )
     lines = chosen.select(
         "week", F.col("region").alias("series"), "overall_risk", F.col("active_topics").cast("double").alias("active_topics")
     )
-    return lines.unionByName(weekly_benchmark(index, cfg).withColumn("series", F.lit("mean")))
+    return lines.unionByName(weekly_benchmark(index, cfg, scope).withColumn("series", F.lit("mean")))
 
 
 def positive_or_all(df: DataFrame, score: str) -> DataFrame:
@@ -233,34 +260,40 @@ def positive_or_all(df: DataFrame, score: str) -> DataFrame:
     return df.where((F.col(score) > 0) | ~any_positive)
 
 
-def reference_map(index: DataFrame, cfg: Settings) -> DataFrame:
+def reference_map(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """Risk of the showcase topic per region in the reference week."""
-    return index.where(
-        (F.col("week") == reference_week(index, cfg).scalar()) & (F.col("topic") == _showcase(index, cfg))
-    ).select("region", "risk_score", "n_articles")
+    scope = _scope(index, cfg, scope)
+    at_reference = _of_showcase(index, scope).where(F.col("week") == _reference(scope))
+    return at_reference.select("region", "risk_score", "n_articles")
 
 
-def month_map(index: DataFrame, cfg: Settings) -> DataFrame:
+def month_map(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """Mean risk and weight of the showcase topic per region in the configured month."""
     week = F.col("week")
     return (
-        index.where(
-            (F.col("topic") == _showcase(index, cfg))
-            & (F.year(week) == cfg.month_year)
-            & (F.month(week) == cfg.month)
-        )
+        _of_showcase(index, _scope(index, cfg, scope))
+        .where((F.year(week) == cfg.month_year) & (F.month(week) == cfg.month))
         .groupBy("region")
         .agg(F.avg("risk_score").alias("risk_score"), F.sum("n_articles").alias("n_articles"))
     )
 
 
-def region_leaders(index: DataFrame, cfg: Settings) -> DataFrame:
+def region_leaders(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """The topic with the highest risk per region in the reference week."""
     return first_k_per_group(
-        reference_pairs(index, cfg), ["region"], [F.desc("risk_score"), F.asc("topic")], 1
+        reference_pairs(index, cfg, scope), ["region"], [F.desc("risk_score"), F.asc("topic")], 1
     ).select("region", F.col("topic").alias("top_topic"), F.col("risk_score").alias("top_risk_score"))
 
 
+def top_risk_map(leaders: DataFrame) -> DataFrame:
+    """The highest risk of any topic per region."""
+    return leaders.select("region", F.col("top_risk_score").alias("risk_score"), "top_topic")
+
+
+def top_risk_legend(leaders: DataFrame, cfg: Settings) -> DataFrame:
+    return top_risk_map(leaders).orderBy(F.desc("risk_score"), "region").limit(cfg.map_regions)
+
+
 def leader_legend(leaders: DataFrame) -> DataFrame:
     """Regions and highest risk per leading topic, positive leaders only."""
     return (

@@ -5,6 +5,7 @@ Doubles are rounded to six places, so that results can be compared with another
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressgauge.config import NO_LEADER, RAW_COLUMNS
 from pressgauge.functions import dates, math, rules, text, vectors
 from pressgauge.functions.once import with_columns_once
 from pressgauge.operators import (
@@ -26,8 +28,8 @@ from pressgauge.operators import (
     stories,
 )
 from pressgauge.plans import pipeline
-from pressgauge.session import stage
-from pressgauge.sources import readers, tables
+from pressgauge.session import stage, staged_dir
+from pressgauge.sources import readers, tables, writers
 from pressgauge.sources.tables import (
     DOC_MODEL_SETTINGS,
     DOC_SAMPLE_SETTINGS,
@@ -222,49 +224,72 @@ def top_risk_rows(spark, sf_dir):
 # --- line items: result tables ----------------------------------------------------------------
 
 
-def _result(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: rounded(make(_topic_index(spark, sf_dir)))
+def _result(name: str, make: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """A result table of the index and the report's scope, both staged once."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = _topic_index(spark, sf_dir)
+        return rounded(make(index, stage(outputs.report_scope(index, ORDER_SETTINGS), "scope")))
 
-def _weeks(index, n):
-    return outputs.last_active_weeks(index, ORDER_SETTINGS, n)
+    QUERIES[name] = run
 
 
 def _with_settings(make):
-    return partial(make, cfg=ORDER_SETTINGS)
-
-
-_result("reference_week", _with_settings(outputs.reference_week))
-_result("recent_active_weeks", lambda index: _weeks(index, ORDER_SETTINGS.recent_weeks))
-_result("trend_active_weeks", lambda index: _weeks(index, ORDER_SETTINGS.trend_weeks))
-_result("latest_pairs", _with_settings(outputs.latest_pairs))
-_result("rolling_pairs", _with_settings(outputs.rolling_pairs))
-_result("hot_pairs", _with_settings(outputs.hot_pairs))
-_result("topic_ranking", _with_settings(outputs.topic_ranking))
-_result("showcase_topic", _with_settings(outputs.showcase_topic))
-_result("trend_regions", _with_settings(outputs.trend_regions))
-_result("topic_trend", _with_settings(outputs.topic_trend))
-_result("overall_region_risk", _with_settings(outputs.overall_region_risk))
-_result("top_regions_overall", _with_settings(outputs.top_regions_overall))
-_result("weekly_benchmark", _with_settings(outputs.weekly_benchmark))
-_result("overall_region_trend", _with_settings(outputs.overall_region_trend))
-_result("reference_map", _with_settings(outputs.reference_map))
+    return lambda index, scope: make(index, ORDER_SETTINGS, scope=scope)
+
+
+def _weeks(n):
+    return lambda index, scope: outputs.last_active_weeks(index, ORDER_SETTINGS, n, scope)
+
+
+def _leaders(make):
+    return lambda index, scope: make(outputs.region_leaders(index, ORDER_SETTINGS, scope))
+
+
+_result("reference_week", lambda index, scope: scope.select("reference_week"))
+_result("recent_active_weeks", _weeks(ORDER_SETTINGS.recent_weeks))
+_result("trend_active_weeks", _weeks(ORDER_SETTINGS.trend_weeks))
+for _make in (
+    outputs.latest_pairs, outputs.rolling_pairs, outputs.hot_pairs, outputs.topic_ranking, outputs.showcase_topic,
+    outputs.trend_regions, outputs.topic_trend, outputs.overall_region_risk, outputs.top_regions_overall,
+    outputs.weekly_benchmark, outputs.overall_region_trend, outputs.reference_map, outputs.region_leaders,
+):
+    _result(_make.__name__, _with_settings(_make))
 _result("month_average", _with_settings(outputs.month_map))
-_result("region_leaders", _with_settings(outputs.region_leaders))
-_result("leader_legend", lambda i: outputs.leader_legend(outputs.region_leaders(i, ORDER_SETTINGS)))
-_result("leader_labels", lambda i: outputs.leader_labels(outputs.region_leaders(i, ORDER_SETTINGS)))
+_result("leader_legend", _leaders(outputs.leader_legend))
+_result("leader_labels", _leaders(outputs.leader_labels))
+_result("top_risk_map", _leaders(outputs.top_risk_map))
+_result("top_risk_legend", _leaders(partial(outputs.top_risk_legend, cfg=ORDER_SETTINGS)))
 _result(
     "reference_map_legend",
-    lambda i: outputs.ranked_legend(outputs.reference_map(i, ORDER_SETTINGS), "risk_score", ORDER_SETTINGS),
+    lambda i, s: outputs.ranked_legend(outputs.reference_map(i, ORDER_SETTINGS, s), "risk_score", ORDER_SETTINGS),
 )
 _result(
     "month_map_legend",
-    lambda i: outputs.ranked_legend(
-        outputs.month_map(i, ORDER_SETTINGS), "risk_score", ORDER_SETTINGS, [F.desc("n_articles")]
+    lambda i, s: outputs.ranked_legend(
+        outputs.month_map(i, ORDER_SETTINGS, s), "risk_score", ORDER_SETTINGS, [F.desc("n_articles")]
     ),
 )
 
 
+def _places(name: str, make: Callable[[DataFrame, DataFrame], DataFrame], value: str, default: object) -> None:
+    """Nations as places, with the value of each on a map."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = _topic_index(spark, sf_dir)
+        scope = stage(outputs.report_scope(index, ORDER_SETTINGS), "scope")
+        nations = tables.load(spark, sf_dir, "nation").select(F.initcap("n_name").alias("name"))
+        return rounded(outputs.map_values(nations, make(index, scope), value, default))
+
+    QUERIES[name] = run
+
+
+_places("reference_map_places", _with_settings(outputs.reference_map), "risk_score", 0.0)
+_places("month_map_places", _with_settings(outputs.month_map), "risk_score", 0.0)
+_places("top_risk_map_places", _leaders(outputs.top_risk_map), "risk_score", 0.0)
+_places("leader_label_places", _leaders(outputs.leader_labels), "label", NO_LEADER)
+
+
 @query
 def scoring_profile(spark, sf_dir):
     weighed = stage(_weighed(spark, sf_dir), "weighed")
@@ -763,19 +788,86 @@ def topic_profile_text(spark, sf_dir):
 def embed_text(spark, sf_dir):
     docs = tables.load(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encoding.hashing_encoder(512)(docs, "text", "embedding")
-    squares = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
-    return encoded.select(
-        "doc_id",
-        F.size("embedding").alias("dimension"),
-        F.size(F.filter("embedding", lambda x: x != 0)).alias("non_zero"),
-        F.sqrt(squares).alias("length"),
-    )
+    cells = encoded.select("doc_id", F.posexplode("embedding").alias("position", "value"))
+    return cells.where(F.col("value") != 0)
+
+
+def _model_scored(spark, sf_dir):
+    """Candidate documents and the scores of their stories, vectors included."""
+    rows = stage(candidates.filter_candidates(_cleaned(spark, sf_dir), DOC_MODEL_SETTINGS), "candidates")
+    return rows, pipeline.score_candidates(rows, encoding.hashing_encoder(512), DOC_MODEL_SETTINGS)
+
+
+@query
+def end_to_end_scores(spark, sf_dir):
+    _, scores = _model_scored(spark, sf_dir)
+    return scores.drop("candidate_source")
 
 
 @query
 def end_to_end_pairs(spark, sf_dir):
     """Raw documents to hot pairs, vectors included."""
-    rows = stage(candidates.filter_candidates(_cleaned(spark, sf_dir), DOC_MODEL_SETTINGS), "candidates")
-    scores = pipeline.score_candidates(rows, encoding.hashing_encoder(512), DOC_MODEL_SETTINGS)
+    rows, scores = _model_scored(spark, sf_dir)
     index = stage(pipeline.index_of(rows, scores, DOC_MODEL_SETTINGS), "index")
     return outputs.hot_pairs(outputs.topic_index(index, DOC_MODEL_SETTINGS.topic_names), DOC_MODEL_SETTINGS)
+
+
+@query
+def stage_losses(spark, sf_dir):
+    """What the way from candidates to scored articles loses: nothing."""
+    rows, scores = _model_scored(spark, sf_dir)
+    return pipeline.stage_losses(rows, scores, scoring.score_articles(rows, scores))
+
+
+# --- round trips ------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    """Raw articles with quotes, line breaks and null tokens through a delimited file."""
+    raw = tables.raw_documents(spark, sf_dir).withColumn("article_author", F.lit('says "x, y"\nand more'))
+    path = _folder(spark, "raw_csv")
+    writers.write_csv(raw.select(*RAW_COLUMNS), path)
+    back = readers.read_raw_csv(spark, path)
+    return back.select("unique_article_id", "article_author", "duplicate_group", "LAD", F.length("article_text").alias("chars"))
+
+
+@query
+def parquet_round_trip(spark, sf_dir):
+    path = _folder(spark, "table")
+    writers.write_table(tables.load(spark, sf_dir, "orders"), path, ["o_orderstatus"])
+    return readers.read_table(spark, path, ["o_orderkey", "o_orderstatus", "o_totalprice"])
+
+
+@query
+def json_round_trip(spark, sf_dir):
+    path = _folder(spark, "json")
+    parts = tables.load(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") > 10, F.col("p_size").cast("string")).alias("size"))
+    writers.write_json(parts, path)
+    return spark.read.schema(parts.schema).json(path)
+
+
+@query
+def geojson_round_trip(spark, sf_dir):
+    """Boundaries as one feature collection, read back as rings."""
+    places = tables.supplier_boundaries(spark, sf_dir).where("s_suppkey % 4 < 2")
+    feature = F.concat(
+        F.lit('{"properties":{"LAD23NM":"'), F.trim("name"), F.lit('"},"geometry":{"type":"'), F.col("geometry_type"),
+        F.lit('","coordinates":'), F.col("coordinates"), F.lit("}}"),
+    )
+    path = _folder(spark, "geojson")
+    places.agg(F.array_join(F.sort_array(F.collect_list(feature)), ",").alias("f")).select(
+        F.concat(F.lit('{"features":['), F.col("f"), F.lit("]}")).alias("value")
+    ).write.text(path)
+    rings = readers.outer_rings(readers.read_boundaries(spark, path))
+    return rings.select(text.region_key(F.col("name")).alias("region_key"), "ring_index", F.size("ring").alias("points"))
+
+
+@query
+def ordered_preview(spark, sf_dir):
+    """The first rows in a stated order."""
+    return readers.preview(spark, f"{sf_dir}/orders.parquet", ["o_totalprice", "o_orderkey"], ["o_orderkey", "o_totalprice"], 25)

@@ -470,7 +470,7 @@ ORACLES: dict[str, str] = {
     "story_sample": build(LINE_SAMPLE, 'SELECT story_key, sampling_tier, region, "week" FROM sample'),
     "story_numbers": build(
         STORY,
-        "SELECT story_key, CAST(row_number() OVER (ORDER BY story_key) - 1 AS INTEGER) AS embedding_row FROM prim",
+        "SELECT story_key, row_number() OVER (ORDER BY story_key) - 1 AS embedding_row FROM prim",
     ),
     "review_sample": build(
         ARTICLE_LEVEL,
@@ -480,7 +480,7 @@ ORACLES: dict[str, str] = {
     ),
     "rebuilt_lookup": build(
         ARTICLES,
-        """SELECT CAST(o_orderkey AS VARCHAR) AS story_key, CAST(o_orderkey AS INTEGER) AS embedding_row,
+        """SELECT CAST(o_orderkey AS VARCHAR) AS story_key, CAST(o_orderkey AS BIGINT) AS embedding_row,
         o_orderpriority AS text_for_embedding, o_orderstatus AS region,
         CAST(date_trunc('week', o_orderdate) AS DATE) AS "week", 'dev' AS run_mode,
         coalesce(region_spread, 1) AS region_spread
@@ -899,3 +899,150 @@ ORACLES |= {
         || array_to_string(list_sort(list(DISTINCT 'Size ' || p_size || '.')), ' ') AS profile_text
         FROM part GROUP BY p_type""",
 }
+
+
+# --- maps by place ----------------------------------------------------------------------------
+
+
+def by_place(table: str, value: str, default: str) -> str:
+    shown = r6(value) if value == "risk_score" else value
+    return line(
+        f"""SELECT name, region_key, {shown} FROM (SELECT n.*, coalesce(t.{value}, {default}) AS {value} FROM
+        (SELECT upper(n_name[1]) || lower(n_name[2:]) AS name, lower(n_name) AS region_key FROM nation) n
+        LEFT JOIN {table} t ON lower(t.region) = n.region_key)"""
+    )
+
+
+TOP_RISK = "(SELECT region, top_risk_score AS risk_score FROM leaders)"
+LABELS = """(SELECT region, CASE WHEN top_risk_score > 0 THEN top_topic ELSE 'No positive topic signal' END AS label
+    FROM leaders)"""
+
+ORACLES |= {
+    "top_risk_map": line(f"SELECT region, top_topic, {r6('risk_score')} FROM (SELECT *, top_risk_score AS risk_score FROM leaders)"),
+    "top_risk_legend": line(
+        f"""SELECT region, top_topic, {r6('risk_score')} FROM (SELECT *, top_risk_score AS risk_score FROM leaders
+        ORDER BY top_risk_score DESC, region LIMIT 8)"""
+    ),
+    "reference_map_places": by_place("rmap", "risk_score", "0"),
+    "month_map_places": by_place("mmap", "risk_score", "0"),
+    "top_risk_map_places": by_place(TOP_RISK, "risk_score", "0"),
+    "leader_label_places": by_place(LABELS, "label", "'No positive topic signal'"),
+}
+
+# --- texts as vectors -------------------------------------------------------------------------
+
+
+def encoded(source: str, key: str, column: str) -> Chain:
+    """Steps `<source>_cells` (key, pos, v): unit vectors of hashed word counts."""
+    return [
+        (
+            f"{source}_words",
+            rf"""SELECT {key}, unnest(string_split_regex(lower(coalesce({column}, '')), '[^\p{{L}}\p{{N}}]+')) AS word
+            FROM {source}""",
+        ),
+        (
+            f"{source}_counts",
+            f"""SELECT {key}, ('0x' || substr(md5(word), 1, 8))::BIGINT % 512 AS pos, count(*) AS n FROM {source}_words
+            WHERE word <> '' GROUP BY ALL""",
+        ),
+        (
+            f"{source}_cells",
+            f"SELECT {key}, pos, n / sqrt(sum(n * n) OVER (PARTITION BY {key})::DOUBLE) AS v FROM {source}_counts",
+        ),
+    ]
+
+
+MODEL_TOPICS = {
+    "open": ("the that with", "license, copyright", "the license with that"),
+    "plain": ("and of the in", "that, the", "the thing that this"),
+    "mixed": ("que les der und", "avec, und", "que la der sch"),
+}
+MODEL_TEXTS = [
+    ("p", "", "the that with and this for"), ("p", "", "license copyright notice"),
+    ("n", "", "le la les aux des queux"), ("n", "", "und der die das sch"),
+    *[("t", name, f"{name} {d} Keywords: {k} Seed examples: {e}") for name, (d, k, e) in MODEL_TOPICS.items()],
+]
+
+DOC_MODEL: Chain = (
+    DOC_STORY
+    + [
+        (
+            "refs",
+            "SELECT * FROM (VALUES "
+            + ", ".join(f"({i}, '{kind}', '{name}', '{words}')" for i, (kind, name, words) in enumerate(MODEL_TEXTS))
+            + ") t(ref, kind, topic, words)",
+        )
+    ]
+    + encoded("meta", "story_key", "text_for_embedding")
+    + encoded("refs", "ref", "words")
+    + [
+        (
+            "dots",
+            """SELECT m.story_key, r.ref, coalesce(s, 0) AS s FROM meta m CROSS JOIN refs r LEFT JOIN (
+              SELECT story_key, ref, sum(a.v * b.v) AS s FROM meta_cells a JOIN refs_cells b ON a.pos = b.pos
+              GROUP BY story_key, ref) d ON d.story_key = m.story_key AND d.ref = r.ref""",
+        ),
+        (
+            "best",
+            """SELECT story_key, max(s) FILTER (WHERE kind = 'p') AS pos_max, max(s) FILTER (WHERE kind = 'n') AS neg_max,
+            list(s ORDER BY s DESC, ref) FILTER (WHERE kind = 't') AS ss,
+            list(topic ORDER BY s DESC, ref) FILTER (WHERE kind = 't') AS ts
+            FROM dots JOIN refs USING (ref) GROUP BY story_key""",
+        ),
+        ("strong", "SELECT story_key, bool_or(strong_keyword_hit) AS strong_keyword_hit FROM cand GROUP BY story_key"),
+        (
+            "gate",
+            """SELECT *, ((pos_max >= 0.05 AND pos_max - neg_max >= 0.01)
+              OR (strong_keyword_hit AND pos_max >= 0.02 AND pos_max - neg_max >= 0)) AND NOT (neg_max > pos_max + 0.02) AS is_econ
+            FROM best JOIN strong USING (story_key) JOIN (SELECT story_key, region_spread FROM meta) USING (story_key)""",
+        ),
+        (
+            "told",
+            """SELECT story_key, strong_keyword_hit, region_spread, pos_max AS econ_confidence, is_econ, ts[1] AS top_topic,
+            ss[1] AS top1_similarity, ss[1] - ss[2] < 0.02 AS topic_ambiguous,
+            CASE WHEN NOT is_econ THEN 'unassigned' WHEN ss[1] >= 0.05 THEN ts[1] ELSE 'other_econ' END AS assigned_topic
+            FROM gate""",
+        ),
+        (
+            "weighed",
+            """SELECT c."week", c.region, t.is_econ, t.assigned_topic, t.top1_similarity,
+            dup_weight / sqrt(t.region_spread) AS effective_weight FROM cand c JOIN told t USING (story_key)""",
+        ),
+    ]
+    + panel_chain([*MODEL_TOPICS, "other_econ"])
+    + output_chain(1999, 1998)
+)
+
+ORACLES |= {
+    "embed_text": build(
+        encoded("documents", "doc_id", "text"),
+        f"SELECT doc_id, CAST(pos AS INTEGER) AS position, {r6('value')} FROM (SELECT doc_id, pos, v AS value FROM documents_cells)",
+    ),
+    "end_to_end_scores": build(
+        DOC_MODEL,
+        f"""SELECT story_key, strong_keyword_hit, region_spread, {r6("econ_confidence", "top1_similarity")}, is_econ, top_topic,
+        topic_ambiguous, assigned_topic FROM told""",
+    ),
+    "end_to_end_pairs": build(
+        DOC_MODEL,
+        f"""SELECT {PAIR}, 'reference_week' AS "window" FROM latest
+        UNION ALL SELECT {PAIR}, 'recent_active_weeks' FROM rolling""",
+    ),
+    "stage_losses": build(
+        RAW,
+        """SELECT 'articles' AS stage, count(*) AS rows_in, count(*) AS rows_out, CAST(0 AS BIGINT) AS lost FROM cand
+        UNION ALL SELECT 'stories', count(DISTINCT story_key), count(DISTINCT story_key), 0 FROM cand""",
+    ),
+    "csv_round_trip": build(
+        RAW,
+        """SELECT unique_article_id, 'says "x, y"' || chr(10) || 'and more' AS article_author, duplicate_group, "LAD",
+        CAST(length(article_text) AS INTEGER) AS chars FROM raw""",
+    ),
+    "parquet_round_trip": "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 6) + 0.0 AS o_totalprice FROM orders",
+    "json_round_trip": "SELECT p_partkey, p_brand, CASE WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) END AS size FROM part",
+    "geojson_round_trip": """SELECT 'supplier''s ' || s_suppkey AS region_key, CAST(i AS INTEGER) AS ring_index,
+        CAST(4 AS INTEGER) AS points FROM supplier, (VALUES (0), (1)) v(i)
+        WHERE (s_suppkey % 4 = 0 AND i = 0) OR s_suppkey % 4 = 1""",
+    "ordered_preview": """SELECT o_orderkey, round(o_totalprice, 6) + 0.0 AS o_totalprice FROM orders
+        ORDER BY o_totalprice, o_orderkey LIMIT 25""",
+}

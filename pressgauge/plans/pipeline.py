@@ -19,6 +19,7 @@ from pressgauge.operators import (
     encoding,
     outputs,
     panel,
+    profiles,
     sampling,
     scoring,
     stories,
@@ -72,6 +73,16 @@ def index_of(candidates: DataFrame, scores: DataFrame, cfg: Settings) -> DataFra
     return panel.build_index(scoring.weigh_buckets(candidate_buckets(candidates), scores), cfg)
 
 
+def stage_losses(candidates: DataFrame, scores: DataFrame, scored: DataFrame) -> DataFrame:
+    """Rows (stage, rows_in, rows_out, lost): candidate stories without a score, candidates not scored."""
+    count = lambda name, before, after: before.agg(F.count("*").alias("rows_in")).select(
+        F.lit(name).alias("stage"), "rows_in", after.agg(F.count("*")).scalar().alias("rows_out")
+    )
+    told = candidates.select("story_key").distinct()
+    both = count("stories", told, scores).unionByName(count("articles", candidates, scored))
+    return both.withColumn("lost", F.col("rows_in") - F.col("rows_out"))
+
+
 def build_tables(
     spark: SparkSession,
     raw: DataFrame,
@@ -124,6 +135,16 @@ def build_tables(
     writers.write_csv(scoring.econ_review_sample(with_source, cfg), at("econ_review_sample"))
     scored = with_source.select(*scoring.SCORED_COLUMNS)
     index = stored(spark, at("regional_topic_index"), lambda: index_of(rows, scores, cfg), False)
+    counters = {
+        "candidate_summary": candidate_ops.candidate_summary(candidate_ops.flag_candidates(articles, cfg)),
+        "candidate_profile": profiles.candidate_profile(rows),
+        "vector_profile": profiles.vector_profile(readers.attach_vectors(lookup, vectors)),
+        "story_score_summary": profiles.story_score_summary(scores),
+        "scoring_profile": profiles.scoring_profile(scored, index, cfg.topic_names),
+        "stage_losses": stage_losses(rows, scores, scored),
+    }
+    for name, counter in counters.items():
+        writers.write_json(counter, at(name))
     return {
         "cleaned_articles": articles,
         "candidate_articles": rows,
@@ -144,22 +165,22 @@ def result_tables(
     """
     topics = outputs.topic_index(index, cfg.topic_names)
     readers.require_rows(outputs.active(topics), "no active week in the index")
-    leaders = outputs.region_leaders(topics, cfg)
-    reference = outputs.reference_map(topics, cfg)
-    month = outputs.month_map(topics, cfg)
+    scope = stage(outputs.report_scope(topics, cfg), "scope")
+    leaders = outputs.region_leaders(topics, cfg, scope)
+    reference = outputs.reference_map(topics, cfg, scope)
+    month = outputs.month_map(topics, cfg, scope)
     labels = outputs.leader_labels(leaders)
-    top_risk = leaders.select("region", F.col("top_risk_score").alias("risk_score"), "top_topic")
     tables = {
-        "hot_regions_topics": outputs.hot_pairs(topics, cfg),
-        "representative_snippets": outputs.representative_snippets(scored, outputs.latest_pairs(topics, cfg), cfg),
-        "topic_trend": outputs.topic_trend(topics, cfg),
-        "overall_region_trend": outputs.overall_region_trend(topics, cfg),
+        "hot_regions_topics": outputs.hot_pairs(topics, cfg, scope),
+        "representative_snippets": outputs.representative_snippets(scored, outputs.latest_pairs(topics, cfg, scope), cfg),
+        "topic_trend": outputs.topic_trend(topics, cfg, scope),
+        "overall_region_trend": outputs.overall_region_trend(topics, cfg, scope),
         "reference_map": reference,
         "reference_map_legend": outputs.ranked_legend(reference, "risk_score", cfg),
         "month_map": month,
         "month_map_legend": outputs.ranked_legend(month, "risk_score", cfg, [F.desc("n_articles")]),
-        "top_risk_map": top_risk,
-        "top_risk_legend": top_risk.orderBy(F.desc("risk_score"), "region").limit(cfg.map_regions),
+        "top_risk_map": outputs.top_risk_map(leaders),
+        "top_risk_legend": outputs.top_risk_legend(leaders, cfg),
         "leader_labels": labels,
         "leader_legend": outputs.leader_legend(leaders),
     }

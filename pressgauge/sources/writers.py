@@ -18,7 +18,9 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """A result table with header. With `order` the rows are sorted into one file, so use it for
     top-n reports only."""
     rows = df.orderBy(*order).coalesce(1) if order else df
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    # white space at the ends of a value is part of it
+    whole = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(**whole).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -185,3 +185,26 @@ def test_hash_is_stable(spark):
     assert got == hashlib.sha256(b"42::strong::a").hexdigest()
     (number,) = evaluate(spark, [got], hash_bin(F.col("v")))
     assert number == int(got[:3], 16)
+
+
+WRITTEN = {
+    "Wed Oct 10 20:19:24 +0000 2022": "2022-10-10 20:19:24", "31/12/2022": "2022-12-31 00:00:00", "10 Jan 2022": "2022-01-10 00:00:00",
+    "Jan 10, 2022": "2022-01-10 00:00:00", "01/10/2022 10:00": "2022-01-10 10:00:00", "13/10/2022 10:00:05": "2022-10-13 10:00:05",
+    "2022-01-10T10:00:00+02:00": "2022-01-10 08:00:00", "Mon, 10 Jan 2022 10:00:00 +0100": "2022-01-10 09:00:00", "10.01.2022": "2022-10-01 00:00:00",
+    "20220110": "2022-01-10 00:00:00", "Jan 10 2022 3:04 PM": "2022-01-10 15:04:00", "2022-1-5": "2022-01-05 00:00:00",
+    "10 January 2022 10:00": "2022-01-10 10:00:00", "\t2022-01-10\u00a0\n": "2022-01-10 00:00:00", "2022-01-10 05:06:07 GMT": "2022-01-10 05:06:07",
+    "not a date": None, "10:30": None, "": None, None: None, "32/13/2022": None, "May": None, "Monday": None,
+}
+
+
+def test_written_dates(spark):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.createDataFrame([(w,) for w in WRITTEN], "w string")
+    got = {r.w: r.p for r in rows.select("w", F.date_format(dates.parse_timestamp(F.col("w")), "yyyy-MM-dd HH:mm:ss").alias("p")).collect()}
+    assert got == WRITTEN
+
+
+def test_strip_takes_white_space_of_any_script(spark):
+    rows = spark.createDataFrame([("\tLeeds\n",), ("\u00a0",), ("g1\n",), ("a \u2003 b",), (None,)], "w string")
+    got = [r.s for r in rows.select(text.strip(F.col("w")).alias("s")).collect()]
+    assert got == ["Leeds", "", "g1", "a \u2003 b", None]

@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 FAST = [
     "dup_weight", "score_articles", "risk_index", "hot_pairs", "topic_trend", "overall_region_trend", "story_meta",
     "story_sample", "cleaned_articles", "cleaning_counters", "keyword_flags", "representative_snippets",
-    "story_scores", "boundary_join", "text_length_profile", "rebuilt_lookup",
+    "story_scores", "boundary_join", "text_length_profile", "rebuilt_lookup", "parse_mixed_dates", "stage_losses",
+    "end_to_end_pairs", "top_risk_map_places", "csv_round_trip",
 ]
 
 

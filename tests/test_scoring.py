@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressgauge.config import Settings
+from pressgauge.functions import vectors
 from pressgauge.operators import encoding, scoring
 
 CFG = Settings()
@@ -34,15 +35,14 @@ def test_single_topic_has_no_second(spark):
 ARTICLES = [("a1", "s0", "L", 0.5, "x"), ("a2", "s0", "L", 0.5, "x"), ("a3", "s1", "M", 1.0, "x"), ("a4", "gone", "M", 1.0, "x")]
 
 
-@pytest.mark.parametrize("mode", ["dev", "full"])
-def test_articles_inherit_story_scores(spark, mode):
+def test_articles_inherit_story_scores(spark):
     frame = stories(spark, [((0.9, 0.1, 0.2), False), ((0.1, 0.9, 0.1), False)])
     scores = scoring.score_stories(frame, REFS, CFG)
     articles = spark.createDataFrame(ARTICLES, "unique_article_id string, story_key string, region string, dup_weight double, candidate_source string")
-    got = {r.unique_article_id: r for r in scoring.score_articles(articles, scores, CFG.with_(run_mode=mode)).collect()}
-    assert set(got) == {"a1", "a2", "a3"}
+    got = {r.unique_article_id: r for r in scoring.score_articles(articles, scores, ["candidate_source"]).collect()}
+    assert set(got) == {"a1", "a2", "a3"} and got["a1"].candidate_source == "x"
     assert got["a1"].effective_weight == 0.25 and got["a3"].effective_weight == 0.5
-    assert got["a1"].review_group == "boe_topic" and got["a3"].review_group == "rejected_candidate"
+    assert (got["a1"].assigned_topic, got["a3"].assigned_topic) == ("a", "unassigned")
     buckets = articles.withColumn("week", F.lit("w")).groupBy("story_key", "region", "week").agg(F.sum("dup_weight").alias("dup_weight"))
     weighed = {r.story_key: r.effective_weight for r in scoring.weigh_buckets(buckets, scores).collect()}
     assert weighed == {"s0": 0.5, "s1": 0.5}
@@ -56,25 +56,25 @@ def test_hashing_encoder_gives_unit_count_vectors(spark):
     assert not got["3"].any()
 
 
-def test_model_encoder_batches_and_normalizes(spark):
-    frame = spark.createDataFrame([(str(i), "x" * i) for i in range(5)], "k string, text_for_embedding string")
-    encoder = encoding.model_encoder("lengths", lambda name: _lengths(), batch_size=2)
-    got = {r.k: list(r.embedding) for r in encoding.embed_stories(frame, encoder).collect()}
-    assert got["0"] == [0.0, 0.0] and got["4"] == pytest.approx([0.6, 0.8])
+def test_scored_articles_have_fixed_columns_and_move_no_other_text(spark):
+    scores = scoring.score_stories(stories(spark, [((0.9, 0.1, 0.2), False)]), REFS, CFG)
+    wide = spark.createDataFrame([(f"a{i}", "s0", 1.0, "raw " * 50, "clean", "2022-01-03") for i in range(9)], "unique_article_id string, story_key string, dup_weight double, article_text string, text_clean string, week string")
+    scored = scoring.score_articles(wide.withColumn("resolved_url", F.lit("u")).withColumn("date", F.col("week")).withColumn("region", F.lit("r")), scores)
+    assert scored.columns == scoring.SCORED_COLUMNS and scored.count() == 9
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "article_text" not in plan.split("LogicalRDD")[0]
 
 
-def _lengths():
-    class Model:
-        def encode(self, texts):
-            assert len(texts) <= 2
-            return [[3.0 * len(t), 4.0 * len(t)] for t in texts]
+def test_dot_products_of_odd_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [0.0, 3.0])], "k int, v array<double>")
+    got = {r.k: r.d for r in rows.select("k", vectors.dot_products(F.col("v"), [(1, 1), (0, 2)]).alias("d")).collect()}
+    assert got == {1: [3.0, 4.0], 2: None, 3: None, 4: [3.0, 6.0]}
+    short = spark.createDataFrame([([1.0],), ([1.0, 2.0, 3.0],)], "v array<double>")
+    with pytest.raises(Exception, match="components"):
+        short.select(vectors.dot_products(F.col("v"), [(1, 1)])).collect()
 
-    return Model()
 
-
-_lengths.__module__ = "__main__"  # ship the function itself, workers cannot import the tests
-
-
-def test_unknown_model_size():
-    with pytest.raises(ValueError):
-        CFG.with_(model_size="huge").model_name()
+def test_norms(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0] * 4096)], "k int, v array<double>")
+    got = {r.k: r.u for r in rows.select("k", vectors.l2_normalize(F.col("v")).alias("u")).collect()}
+    assert got[1] == [0.6, 0.8] and got[2] == [0.0, 0.0] and got[3] is None and got[4] == [1 / 64] * 4096

@@ -3,6 +3,8 @@ import json
 import pytest
 
 from pressgauge.config import RAW_COLUMNS, Settings, load_settings
+from pressgauge import session
+from pressgauge.operators import candidates, cleaning, scoring
 from pressgauge.operators.encoding import hashing_encoder
 from pressgauge.plans import pipeline
 from pressgauge.session import shared_dir, stage
@@ -49,7 +51,7 @@ def test_sinks_round_trip(spark, tmp_path):
     lines = [json.loads(line) for p in (tmp_path / "j").glob("part*") for line in p.read_text().splitlines()]
     assert {line["k"]: line["t"] for line in lines}["a"] is None
     writers.write_table(frame, str(tmp_path / "p"))
-    assert readers.preview(spark, str(tmp_path / "p"), ["k"], 1).count() == 1
+    assert readers.preview(spark, str(tmp_path / "p"), ["k"], n=1).collect()[0].k == "a"
 
 
 def test_vector_parity(spark):
@@ -74,7 +76,6 @@ def test_settings_from_a_file(tmp_path):
         "runtime": {"text_min_length": 10, "chunk_size": 5},
         "filters": {"strong_keywords": ["x"]},
         "risk": {"prior_strength": 3.0, "weights": {"surprise_z": 1.0}},
-        "models": {"sentence_transformer_small": "m", "default_sentence_transformer_size": "small"},
         "profiles": {"econ_positive_anchors": ["p"]},
     }
     topics = {"topics": [{"name": "t", "keywords": ["k"]}]}
@@ -82,11 +83,29 @@ def test_settings_from_a_file(tmp_path):
     (tmp_path / "t.json").write_text(json.dumps(topics))
     cfg = load_settings(tmp_path / "s.json", tmp_path / "t.json")
     assert (cfg.text_min_length, cfg.strong_keywords, cfg.prior_strength, cfg.weight_surprise) == (10, ("x",), 3.0, 1.0)
-    assert cfg.model_name() == "m" and cfg.positive_anchors == ("p",) and cfg.panel_topics == ["t", "other_econ"]
+    assert cfg.positive_anchors == ("p",) and cfg.panel_topics == ["t", "other_econ"]
     with pytest.raises(ValueError):
         Settings(run_mode="other")
 
 
+def test_nothing_is_lost_by_default(spark):
+    cfg = tables.DOC_MODEL_SETTINGS
+    assert Settings().run_mode == cfg.run_mode == "full" and Settings().text_for_embedding_chars is None
+    rows = stage(candidates.filter_candidates(cleaning.clean_articles(tables.raw_documents(spark, SF), cfg), cfg), "rows")
+    scores = pipeline.score_candidates(rows, hashing_encoder(64), cfg)
+    losses = pipeline.stage_losses(rows, scores, scoring.score_articles(rows, scores)).collect()
+    assert [r.lost for r in losses] == [0, 0] and all(r.rows_in > 0 for r in losses)
+
+
+def test_staged_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "staged_dir", lambda _: str(tmp_path / "app"))
+    made = session.stage(spark.range(3).toDF("x"), "short_lived")
+    assert made.count() == 3 and (tmp_path / "app").exists()
+    session.remove_staged(spark)
+    assert not (tmp_path / "app").exists()
+    session.remove_staged(spark)
+
+
 def test_pipeline_and_reuse(spark, tmp_path):
     cfg = tables.DOC_MODEL_SETTINGS.with_(run_mode="dev", embedding_story_cap=60)
     out = str(tmp_path / "out")
@@ -99,7 +118,10 @@ def test_pipeline_and_reuse(spark, tmp_path):
     assert index.count() % len(cfg.panel_topics) == 0
     places = spark.createDataFrame([("SRC1",), ("nowhere",)], "name string")
     pipeline.write_results(index, made["scored_articles"], cfg, f"{out}/results", places)
-    assert pipeline.is_complete(spark, f"{out}/results/hot_regions_topics")
+    assert pipeline.is_complete(spark, f"{out}/cleaned_articles") and not pipeline.is_complete(spark, f"{out}/nothing")
+    for name in ("candidate_summary", "candidate_profile", "vector_profile", "story_score_summary", "scoring_profile", "stage_losses"):
+        assert spark.read.json(f"{out}/{name}").count() >= 1
+    assert made["scored_articles"].columns == scoring.SCORED_COLUMNS
     labels = readers.read_result_csv(spark, f"{out}/results/leader_label_places", "region_key string, name string, label string")
     assert {r.name: r.label for r in labels.collect()}["nowhere"] == "No positive topic signal"
     before = made["cleaned_articles"].inputFiles()

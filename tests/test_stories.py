@@ -104,7 +104,7 @@ def test_story_sample_equals_brute_force(spark, cap):
         for i in range(1200)
     ]
     frame = spark.createDataFrame(meta, "story_key string, sampling_tier string, region string, week string").withColumn("week", F.to_date("week"))
-    cfg = CFG.with_(embedding_story_cap=cap)
+    cfg = CFG.with_(run_mode="dev", embedding_story_cap=cap)
     got = {r.story_key for r in sampling.sample_stories(frame, cfg).collect()}
     assert got == python_sample(meta, cap, cfg.embedding_strong_share, cfg.random_state)
     assert len(got) == min(cap, len(meta))
@@ -146,6 +146,17 @@ def test_sample_per_stratum(spark):
         assert picked[group] == set(sorted(ids, key=lambda u: (sha(42, u), u))[:20])
 
 
+def test_sample_keeps_null_ids_and_large_k(spark):
+    rows = spark.createDataFrame([("g", "1"), ("g", "2"), ("g", None)], "g string, uid string")
+    assert {r.uid for r in sampling.sample_per_stratum(rows, "g", "uid", 3, 42).collect()} == {"1", "2", None}
+    many = spark.range(6000).select((F.col("id") % 2).cast("string").alias("g"), F.col("id").cast("string").alias("uid"))
+    got = {r.uid for r in sampling.sample_per_stratum(many, "g", "uid", 2000, 42).collect()}
+    want = set()
+    for g in (0, 1):
+        want |= set(sorted((str(i) for i in range(g, 6000, 2)), key=lambda u: (sha(42, u), u))[:2000])
+    assert got == want
+
+
 CANDIDATES = [
     ("s1", "Leeds", "2022-01-03", "a3", "2022-01-05", "strong_keyword", True, "later"),
     ("s1", "York", "2022-01-03", "a1", "2022-01-04", "weak_keyword", False, "first"),
@@ -178,7 +189,7 @@ def test_primary_bucket_ties_go_by_hash(spark):
 
 def test_stories_built(rows):
     chosen = stories.story_meta(rows, CFG)
-    built = {r.story_key: r for r in stories.build_stories(rows, chosen, CFG).collect()}
+    built = {r.story_key: r for r in stories.build_stories(rows, chosen, CFG.with_(run_mode="dev")).collect()}
     assert built["s1"].text_for_embedding == "first" and built["s1"].run_mode == "dev"
     full = stories.build_stories(rows, chosen, CFG.with_(run_mode="full"))
     assert {r.text_for_embedding for r in full.collect()} == {"first", "two"}
