@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
@@ -26,34 +27,37 @@ def story_key(duplicate_group: Column, article_id: Column, unique_id: Column) ->
     return text.strip(F.coalesce(*parts, F.lit("nan")))
 
 
-def derive(raw: DataFrame, cfg: Settings) -> DataFrame:
-    """Every derived column and the reasons to drop a row; nothing is dropped yet."""
+def with_dates(raw: DataFrame, cfg: Settings) -> DataFrame:
+    """Parsed dates, the one that counts and where it comes from. Reads no text."""
     tweet_text = text.strip(F.coalesce(F.col("tweet_date"), F.lit("")))
     multi = dates.is_multi_value(tweet_text)
-    parsed = with_columns_once(
-        raw,
+    parsed = raw.withColumns(
         {
             "date_raw_article": dates.parse_timestamp(F.col("article_date")),
             "date_raw_tweet": dates.parse_timestamp(
                 F.when(multi, dates.first_of_many(tweet_text)).otherwise(tweet_text)
             ),
             "has_multi_tweet": multi,
-            "region": region_name(F.col("main_LAD"), F.col("LAD")),
-            "text_clean": text.clean_text(F.col("article_text")),
-        },
+        }
     )
     article, tweet = F.col("date_raw_article"), F.col("date_raw_tweet")
     trusted = dates.use_article_date(article, tweet, cfg.date_max_delta_days)
-    dated = parsed.withColumns(
+    return parsed.withColumns(
         {
             "date": F.when(trusted, article).otherwise(tweet),
             "date_source": F.when(trusted, "article_date").otherwise("tweet_date"),
-            "text_len": F.length("text_clean"),
         }
     )
+
+
+def derive(raw: DataFrame, cfg: Settings) -> DataFrame:
+    """Every derived column and the reasons to drop a row; nothing is dropped yet."""
+    dated = with_dates(raw, cfg).withColumn("region", region_name(F.col("main_LAD"), F.col("LAD")))
+    # the cleaned text is read by a filter and by the result, so it is kept from being computed twice
+    cleaned = with_columns_once(dated, {"text_clean": text.clean_text(F.col("article_text"))})
     first = F.lit(cfg.cleaning_date_min).cast("timestamp")
     last = F.lit(cfg.cleaning_date_max).cast("timestamp")
-    return dated.withColumns(
+    return cleaned.withColumn("text_len", F.length("text_clean")).withColumns(
         {
             "_short": F.col("text_len") < cfg.text_min_length,
             "_no_date": F.col("date").isNull(),
@@ -64,6 +68,14 @@ def derive(raw: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
+REPORTED = ["date", "has_multi_tweet", "_short", "_no_date", "_outlier", "_no_region", "_missing"]
+
+
+def derive_flags(raw: DataFrame, cfg: Settings) -> DataFrame:
+    """What the report counts, without texts: a few numbers per raw row."""
+    return derive(raw, cfg).select(*REPORTED)
+
+
 def _missing_bits(raw: DataFrame) -> Column:
     """A bit per raw column that is null, so that counting them later reads no texts."""
     bits = [
@@ -209,15 +221,14 @@ def example_rows(articles: DataFrame, cfg: Settings) -> DataFrame:
 
 
 def cleaning_report(
-    derived: DataFrame, articles: DataFrame, cfg: Settings, limit: int | None = None
+    flags: DataFrame, raw_columns: Sequence[str], articles: DataFrame, cfg: Settings, limit: int | None = None
 ) -> DataFrame:
     """The whole report as one nested row, ready for a JSON sink.
 
-    `derived` holds all rows with their reasons (`derive`); stored once, it serves the report and
-    the cleaned articles, so the raw texts are read and cleaned in one pass.
+    `flags` (`derive_flags`) holds the reasons of all raw rows with `raw_columns`, a few numbers each.
     """
-    columns = _raw_columns(derived)
-    counted = derived.agg(*_counters(), *_missing_counts(columns))
+    columns = [name for name in RAW_COLUMNS if name in raw_columns]
+    counted = flags.agg(*_counters(), *_missing_counts(columns))
     groups = group_sizes(articles).agg(F.count("*").alias("n")).scalar()
     by_rank = F.sort_array(F.collect_list(F.struct(F.negative("rows").alias("rank"), "region", "rows")))
     tops = top_regions(articles, cfg.top_region_rows).agg(

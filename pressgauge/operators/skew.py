@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from pressgauge.session import stage
 
-# A key is hot from this share of the weighed rows on, so there are at most 1 / HOT_SHARE hot keys.
+# A key is hot from this share of the weighed rows on, or from an average shuffle partition's share if
+# that is less, so there are at most 1 / share hot keys and a cold one never outweighs a partition.
 HOT_SHARE = 1e-4
 SALTS = 4096
 
 
+def hot_share(df: DataFrame) -> float:
+    return min(HOT_SHARE, 1.0 / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def hot_split_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -22,11 +27,11 @@ def hot_split_join(
     payload: Sequence[str],
     salt_by: Sequence[str],
     how: str = "left",
-    hot_share: float = HOT_SHARE,
+    share: float | None = None,
 ) -> DataFrame:
     """Equi-join `rows` with `lookup` (one row per key; `weight` = number of `rows` with that key).
 
-    Hot keys are answered by a broadcast of at most 1 / `hot_share` lookup rows. Their rows carry a
+    Hot keys are answered by a broadcast of at most 1 / `share` lookup rows (`hot_share`, if not given). Their rows carry a
     salt derived from their own id, so the shuffle for the remaining keys spreads them over all
     tasks. Every row of both kinds is kept. The lookup is staged, as it is read three times; its
     salt is stored with it, since a literal would be folded out of the join keys.
@@ -35,7 +40,7 @@ def hot_split_join(
     lookup = stage(lookup.select(*stored, F.lit(-1).alias("_salt")), "lookup")
     total = lookup.agg(F.sum(weight)).scalar()
     packed = F.struct(*payload)
-    hot = lookup.where(F.col(weight) >= total * hot_share).select(*keys, packed.alias("_hot"))
+    hot = lookup.where(F.col(weight) >= total * (share or hot_share(rows))).select(*keys, packed.alias("_hot"))
     cold = lookup.select(*keys, "_salt", packed.alias("_cold"))
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")
     joined = (

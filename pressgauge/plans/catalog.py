@@ -467,8 +467,8 @@ def multi_date_min(spark, sf_dir):
 
 @query
 def primary_date(spark, sf_dir):
-    derived = cleaning.derive(tables.raw_documents(spark, sf_dir), DOC_SETTINGS)
-    return derived.select(
+    dated = cleaning.with_dates(tables.raw_documents(spark, sf_dir), DOC_SETTINGS)
+    return dated.select(
         "unique_article_id", F.date_format("date", DAY_TIME).alias("date"), "date_source", "has_multi_tweet"
     )
 
@@ -520,8 +520,9 @@ def example_rows(spark, sf_dir):
 
 @query
 def cleaning_report(spark, sf_dir):
-    derived = stage(cleaning.derive(tables.raw_documents(spark, sf_dir), DOC_SETTINGS), "derived")
-    report = cleaning.cleaning_report(derived, cleaning.keep(derived, DOC_SETTINGS), DOC_SETTINGS)
+    raw = tables.raw_documents(spark, sf_dir)
+    flags = stage(cleaning.derive_flags(raw, DOC_SETTINGS), "flags")
+    report = cleaning.cleaning_report(flags, raw.columns, stage(_documents(spark, sf_dir), "kept"), DOC_SETTINGS)
     return report.select(
         "run_parameters.text_min_length",
         "summary.rows_seen",

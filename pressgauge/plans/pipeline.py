@@ -96,14 +96,15 @@ def build_tables(
     at = lambda name: f"{out_dir}/{name}"
 
     if not (reuse and is_complete(spark, at("cleaned_articles")) and is_complete(spark, at("cleaning_report"))):
-        derived = stage(cleaning.derive(raw, cfg), "derived")
+        # the weights read the articles twice, so they are staged; the report needs flags only
         articles = stored(
             spark,
             at("cleaned_articles"),
-            lambda: cleaning.with_duplicate_weight(cleaning.keep(derived, cfg)),
+            lambda: cleaning.with_duplicate_weight(stage(cleaning.keep_articles(raw, cfg), "kept")),
             reuse,
         )
-        writers.write_json(cleaning.cleaning_report(derived, articles, cfg), at("cleaning_report"))
+        flags = stage(cleaning.derive_flags(raw, cfg), "flags")
+        writers.write_json(cleaning.cleaning_report(flags, raw.columns, articles, cfg), at("cleaning_report"))
         mark_complete(spark, at("cleaning_report"))
     articles = readers.read_table(spark, at("cleaned_articles"))
 

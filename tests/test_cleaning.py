@@ -76,7 +76,7 @@ def test_counters_overlap(raw):
 
 
 def test_report(raw):
-    report = cleaning.cleaning_report(cleaning.derive(raw, CFG), cleaning.clean_articles(raw, CFG), CFG, limit=14).first()
+    report = cleaning.cleaning_report(cleaning.derive_flags(raw, CFG), raw.columns, cleaning.clean_articles(raw, CFG), CFG, limit=14).first()
     assert report.summary.duplicate_story_groups == 7 and report.run_parameters.limit == 14
     assert report.top_regions[0].region == "Leeds" and report.top_regions[0].rows == 8
     assert report.missing_share.twitter == 1.0 and report.missing_share.unique_article_id == 0.0

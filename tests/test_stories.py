@@ -19,10 +19,10 @@ def test_hot_split_join_equals_a_plain_join(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 977).cast("string")).alias("k"),
     )
     lookup = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("uid").alias("m")).where("k != '5'")
-    got = skew.hot_split_join(rows, lookup, ["k"], "n", ["m"], ["uid"], hot_share=0.1)
+    got = skew.hot_split_join(rows, lookup, ["k"], "n", ["m"], ["uid"], share=0.1)
     plain = rows.join(lookup.select("k", "m"), "k", "left").select("uid", "k", "m")
     assert got.count() == 6000 and got.exceptAll(plain).isEmpty()
-    inner = skew.hot_split_join(rows, lookup, ["k"], "n", ["m", "n"], ["uid"], "inner", hot_share=0.1)
+    inner = skew.hot_split_join(rows, lookup, ["k"], "n", ["m", "n"], ["uid"], "inner", share=0.1)
     assert inner.count() == rows.where("k != '5'").count() and inner.columns == ["uid", "k", "m", "n"]
 
 
@@ -38,7 +38,7 @@ def test_hot_rows_are_spread_over_the_shuffle(spark):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        joined = skew.hot_split_join(rows, lookup, ["k"], "n", ["n"], ["uid"], hot_share=0.1)
+        joined = skew.hot_split_join(rows, lookup, ["k"], "n", ["n"], ["uid"], share=0.1)
         assert joined.where("n IS NULL").isEmpty() and joined.count() == 8000
         placed = joined.where("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
     finally:
