@@ -31,14 +31,16 @@ def with_dates(raw: DataFrame, cfg: Settings) -> DataFrame:
     """Parsed dates, the one that counts and where it comes from. Reads no text."""
     tweet_text = text.strip(F.coalesce(F.col("tweet_date"), F.lit("")))
     multi = dates.is_multi_value(tweet_text)
-    parsed = raw.withColumns(
+    # many patterns may be tried for a date, and filters read it, so it is parsed once per row
+    parsed = with_columns_once(
+        raw,
         {
             "date_raw_article": dates.parse_timestamp(F.col("article_date")),
             "date_raw_tweet": dates.parse_timestamp(
                 F.when(multi, dates.first_of_many(tweet_text)).otherwise(tweet_text)
             ),
             "has_multi_tweet": multi,
-        }
+        },
     )
     article, tweet = F.col("date_raw_article"), F.col("date_raw_tweet")
     trusted = dates.use_article_date(article, tweet, cfg.date_max_delta_days)
