@@ -51,6 +51,17 @@ CACHED_LENGTH = 40
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Known(dict):
+    """Ids by piece. A piece that is not known stands for itself and is noted."""
+
+    def __init__(self):
+        self.wanted: dict[str, None] = {}
+
+    def __missing__(self, piece: str) -> str:
+        self.wanted[piece] = None
+        return piece
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -71,8 +82,8 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.n_bytes[number] = len(token)
-        self.pieces, self.other, self.joinable = re.compile(PIECES), re.compile(OTHER), re.compile(r" ?\S+")
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.other = re.compile(PIECES), re.compile(OTHER)
+        self.known = _Known()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -80,9 +91,8 @@ class Encoder:
 
     def _apart(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of different pieces. They are put on lines of one text, which leaves each a piece of its own."""
-        fit = self.joinable.fullmatch
-        lines = [p for p in pieces if fit(p)]
-        alone = [p for p in pieces if not fit(p)]
+        lines = [p for p in pieces if not p.isspace()]
+        alone = [p for p in pieces if p.isspace()]
         found = dict(zip(alone, self._whole(alone))) if alone else {}
         if lines:
             ids = np.array(self.library.encode_batch_fast(["\n".join(lines) + "\n"], add_special_tokens=False)[0].ids)
@@ -100,19 +110,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._whole(texts)
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        odd, special = self.other.search, self.special
-        split = [None if odd(t) or any(s in t for s in special) else self.pieces.findall(t) for t in texts]
-        missing = set().union(*(p for p in split if p)).difference(self.known)
-        fresh = self._apart(list(missing)) if missing else {}
-        long = {p: ids for p, ids in fresh.items() if len(p) > CACHED_LENGTH}
-        self.known.update(fresh)
-        look = self.known.__getitem__
-        result = [self._whole([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, split)]
-        for p in long:
-            del self.known[p]
-        return result
+        odd, special, known, cut = self.other.search, self.special, self.known, self.pieces.findall
+        found: list[list | None] = [
+            None if odd(t) or any(s in t for s in special) else list(map(known.__getitem__, cut(t))) for t in texts
+        ]
+        fresh = self._apart(list(known.wanted)) if known.wanted else {}
+        known.wanted.clear()
+        if len(known) < CACHED_PIECES:  # frequent pieces come early
+            known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHED_LENGTH)
+        return [
+            self._whole([t])[0] if ids is None else b"".join([x if x.__class__ is bytes else fresh[x] for x in ids])
+            for t, ids in zip(texts, found)
+        ]
 
 
 def encoder(path: str) -> Encoder:

@@ -1,6 +1,7 @@
 """Token files: exact round trip, order, odd rows."""
 
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pressgauge.llm import tokenfiles
-from pressgauge.session import shared_dir
+from pressgauge.session import staged_dir
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -45,7 +46,7 @@ def test_round_trip(spark):
 
 
 def test_files(spark):
-    folder = f"{shared_dir(spark)}/files-test"
+    folder = f"{staged_dir(spark)}/files-{uuid.uuid4().hex}"
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
     parts = tokenfiles.write_tokens(docs, folder, PATH, 2, [F.col("doc_id")])
     bases = tokenfiles.part_bases(spark, folder)
