@@ -27,7 +27,8 @@ def ship_code(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent))
-    folder = f"{shared_dir(spark)}/{context.applicationId}"
+    # beside the staged tables, as executors that start later fetch it too
+    folder = f"{shared_dir(spark)}/code-{context.applicationId}"
     files, place = open_folder(folder)
     with files.open_output_stream(f"{place}/{root.name}.zip") as out:
         out.write(packed.getvalue())
