@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -170,17 +170,20 @@ _OPEN, _CLOSE, _PAD = r"[(\[{<]\x20?", r"\x20?[)\]}>]", r"\x20{0,2}"
 _LOOKALIKE = re.compile(r"[^\x00-ɏ]|[\xa0\xad\xb2\xb3\xb9]")
 _BOXED_AT = re.compile(rf"{_PAD}{_OPEN}(?:{AT_WORDS}|@){_CLOSE}{_PAD}", re.I)
 _BOXED_DOT = re.compile(rf"{_PAD}{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}{_PAD}", re.I)
-_BARE_AT = re.compile(
-    rf"(?<=[A-Za-z0-9])\x20{{1,2}}(?:{AT_WORDS})\x20{{1,2}}(?=[A-Za-z0-9-]{{1,63}}\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}[A-Za-z])", re.I
-)
-_BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9])\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}(?=[A-Za-z0-9])", re.I)
+_ANY_DOT = rf"\x20{{1,2}}(?:{DOT_WORDS}|\.)\x20{{1,2}}"
+_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])\x20{{1,2}}(?:{AT_WORDS}|@)\x20{{1,2}}(?=[A-Za-z0-9.-]{{1,63}}{_ANY_DOT}[A-Za-z])", re.I)
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,2}@\x20{1,2}(?=[A-Za-z0-9-]{1,63}\.[A-Za-z])")
+_BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_ANY_DOT}(?=[A-Za-z0-9])", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+){_GAP})?(?:{_WORDS})(?:{_GAP}(?:{_WORDS})(?!\w)){{2,}}(?!\w)", re.I)
 _SPELLED_PAIR = re.compile(rf"\b(?:{_WORDS}){_GAP}(?:{_WORDS})\b", re.I)
 _SPELLED_DOT = re.compile(rf"(?<=[0-9])\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}(?=[0-9])", re.I)
 _DIGIT_WORD = re.compile(rf"(?:{_WORDS})(?!\w)|plus|\+", re.I)
 _NUMBER_DOT = re.compile(rf"(?<!\w)(?:{_WORDS})\x20{{1,2}}(?:{DOT_WORDS})\x20", re.I)
-_ANY_AT = re.compile(rf"\x20(?:{AT_WORDS})\x20{{1,2}}[A-Za-z0-9-]{{1,63}}\x20{{1,2}}(?:{DOT_WORDS})\x20", re.I)
-_HALF_DOT = re.compile(rf"(?<=[A-Za-z0-9])\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}(?=[A-Za-z]{{2,12}}\b)", re.I)
+_ANY_AT = re.compile(rf"\x20(?:{AT_WORDS}|@)\x20{{1,2}}[A-Za-z0-9.-]{{1,63}}{_ANY_DOT}", re.I)
+_HALF_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_ANY_DOT}(?=[A-Za-z]{{2,12}}\b)", re.I)
+#: a run of digits of which some are spelled; single gaps, as plain numbers have them
+_MIXED = re.compile(rf"(?<!\w)(?:(?:plus|\+)\x20?)?(?:(?:{_WORDS}|[0-9]+)[\x20-]){{3,}}(?:{_WORDS}|[0-9]+)(?!\w)", re.I)
+_RUN_WORD = re.compile(rf"(?<!\w)(?:{_WORDS}|plus)(?!\w)", re.I)
 
 
 def _sign(char: str):
@@ -196,11 +199,27 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
     return found
 
 
+def _mixed(m: re.Match) -> list[tuple[str, int, int]]:
+    """Spelled digits as digits, all else as it is; nothing changes in a run of one spelled digit or none."""
+    words = {w.start(): w for w in _RUN_WORD.finditer(m.string, m.start(), m.end())}
+    found, at = [], m.start()
+    while at < m.end():
+        if len(words) > 1 and (w := words.get(at)):
+            word = w.group().lower()
+            found.append((DIGIT_WORDS.get(word, "+"), *w.span()))
+            at = w.end()
+            if word == "plus":
+                at += 1  # its gap
+        else:
+            found.append((m.string[at], at, at + 1))
+            at += 1
+    return found
+
+
 def _email_dots(traced: Traced) -> Traced:
     """`dot` next to an @ or to a converted one, on either side, as long as the chain goes on."""
     pattern = re.compile(
-        rf"(?:[A-Za-z0-9_%+-]+(?:\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}[A-Za-z0-9_%+-]+){{0,3}})@"
-        rf"[A-Za-z0-9.-]+(?:\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}[A-Za-z0-9-]+){{0,4}}", re.I
+        rf"(?:[A-Za-z0-9_%+-]+(?:{_ANY_DOT}[A-Za-z0-9_%+-]+){{0,3}})@[A-Za-z0-9.-]+(?:{_ANY_DOT}[A-Za-z0-9-]+){{0,4}}", re.I
     )
     dots = []
     for at in (i for i, c in enumerate(traced.text) if c == "@"):
@@ -221,28 +240,35 @@ def _suspicious(text: str) -> bool:
     low = text.lower()
     if any(x in text for x in "([{<") and (_BOXED_AT.search(text) or _BOXED_DOT.search(text)):
         return True
-    if _ANY_AT.search(low) or ("@" in text and _HALF_DOT.search(low)):
+    if _ANY_AT.search(low) or ("@" in text and (_HALF_DOT.search(low) or _SPACED_AT.search(low))):
         return True
-    return bool(_SPELLED_PAIR.search(low))
+    return bool(_SPELLED_PAIR.search(low) or _SPELLED_DOT.search(low) or _mixed_run(low))
+
+
+def _mixed_run(low: str) -> bool:
+    return any(len(_RUN_WORD.findall(m.group())) > 1 for m in _MIXED.finditer(low))
 
 
 def deobfuscate(text: str) -> Traced:
     traced = Traced(text)
     traced = traced.rewrite(_LOOKALIKE, lambda m: [(c, *m.span()) for c in plain_character(m.group())])
     traced = traced.rewrite(_BOXED_AT, _sign("@")).rewrite(_BOXED_DOT, _sign("."))
-    traced = traced.rewrite(_BARE_AT, _sign("@"))
+    traced = traced.rewrite(_BARE_AT, _sign("@")).rewrite(_SPACED_AT, _sign("@"))
     if "@" in traced.text:
         traced = _email_dots(traced)
-    spelled = traced.rewrite(_SPELLED, _digits)
+    spelled = traced.rewrite(_MIXED, _mixed).rewrite(_SPELLED, _digits)
     if spelled is not traced or _NUMBER_DOT.search(traced.text):
         single = re.compile(rf"(?<!\w)(?:{_WORDS})(?!\w)(?=\x20{{1,2}}(?:{DOT_WORDS})\x20)|(?<=[0-9]\x20dot\x20)(?:{_WORDS})(?!\w)", re.I)
         spelled = spelled.rewrite(single, _digits).rewrite(single, _digits)
-        spelled = spelled.rewrite(_SPELLED_DOT, _sign("."))
-    return spelled
+    return spelled.rewrite(_SPELLED_DOT, _sign("."))
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """(plain spans, further spans of disguised identifiers); no further span meets a plain one of its kind."""
+    """(plain spans, further spans of disguised identifiers).
+
+    A further span may hold a plain one that is only a part of the identifier, as where a look-alike stands
+    in the local part of an address. It never lies within a plain span of its kind.
+    """
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda s: (s[1], rank[s[0]], s[2])
     base = sorted(identifiers(text), key=order)
@@ -253,8 +279,8 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     taken = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
     for span in identifiers(traced.text):
         kind, a, b = traced.source(span)
-        at = bisect_left(taken[kind], (b, -1))
-        if at == 0 or taken[kind][at - 1][1] <= a:
+        at = bisect_right(taken[kind], (a, len(text)))
+        if at == 0 or taken[kind][at - 1][1] < b:
             more.append((kind, a, b))
     return base, sorted(more, key=order)
 

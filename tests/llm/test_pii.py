@@ -56,6 +56,18 @@ DISGUISED = {
     "host one nine two dot one six eight dot one dot one up": ("ip", "one nine two dot one six eight dot one dot one"),
     "card four one one one 1111 1111 1111": ("card", "four one one one 1111 1111 1111"),
     "41​11 1111 1111 1111": ("card", "41​11 1111 1111 1111"),
+    "ping 192 dot 168 dot 1 dot 20 now": ("ip", "192 dot 168 dot 1 dot 20"),
+    "to ann.lee @ example . org please": ("email", "ann.lee @ example . org"),
+    "to ann.lee @ example.org please": ("email", "ann.lee @ example.org"),
+    "ask ann at mail.example dot org": ("email", "ann at mail.example dot org"),
+    "plus 49 one five 1 two 3 four five six seven": ("phone", "plus 49 one five 1 two 3 four five six seven"),
+    "4 one 1 one 1111 1 one 1 one 1111": ("card", "4 one 1 one 1111 1 one 1 one 1111"),
+}
+
+#: a look-alike inside the identifier, so that the plain pattern sees a part of it only
+HALF_DISGUISED = {
+    "mail jоhn@example.com": ("email", "hn@example.com", "jоhn@example.com"),
+    "host 1９2.168.0.1": ("ip", "2.168.0.1", "1９2.168.0.1"),
 }
 
 
@@ -66,8 +78,15 @@ def test_disguises_map_back_to_the_source():
         assert not base
 
 
+def test_plain_parts_stay_beside_the_whole():
+    for text, (kind, part, whole) in HALF_DISGUISED.items():
+        base, more = pii.find(text)
+        assert [(k, text[a:b]) for k, a, b in base] == [(kind, part)]
+        assert [(k, text[a:b]) for k, a, b in more] == [(kind, whole)]
+
+
 def test_clean_texts_stay_clean():
-    for text in ["meet me at the one two place. look at www.example.com", "dot by dot", "one two three", "пять at home", "a (at) b"]:
+    for text in ["one 2 three 4 five", "see you @ noon. Bring 3 dot 5 pens", "in 1990 one of 2000 two of 3", "meet me at the one two place. look at www.example.com", "dot by dot", "one two three", "пять at home", "a (at) b"]:
         assert pii.find(text) == ([], [])
 
 
