@@ -19,6 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressgauge.llm.common import free_name
 from pressgauge.session import stage
 
 BLOCK = 32
@@ -165,8 +166,9 @@ def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     Written files then hold the rows in mixed order. Rows that share an id stand together.
     """
     doc_id = options.get("doc_id", "doc_id")
-    places = stage(mix(docs, **options).groupBy("doc_id").agg(F.min("position").alias("_position")), "places")
-    places = places.withColumnRenamed("doc_id", "_placed_id")
-    joined = docs.join(places, docs[doc_id].eqNullSafe(places["_placed_id"]), "left")
-    ordered = joined.repartitionByRange("_position").sortWithinPartitions("_position")
+    position, placed_id = free_name(docs, "_position"), free_name(docs, "_placed_id")
+    places = stage(mix(docs, **options).groupBy("doc_id").agg(F.min("position").alias(position)), "places")
+    places = places.withColumnRenamed("doc_id", placed_id)
+    joined = docs.join(places, docs[doc_id].eqNullSafe(places[placed_id]), "left")
+    ordered = joined.repartitionByRange(position).sortWithinPartitions(position)
     return ordered.select(*[docs[c] for c in docs.columns])

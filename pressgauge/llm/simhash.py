@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import over_batches, ship_code, star_components, texts_of
+from pressgauge.llm.common import free_name, over_batches, ship_code, star_components, texts_of
 from pressgauge.session import stage
 
 # --- fixed values: the Golay code and the segments ---------------------------------------------
@@ -371,8 +371,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     grouped = stage(near_duplicates(docs, doc_id, text, shingle), "grouped")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     best = grouped.groupBy("root").agg(F.min(rank).alias("rank"))
-    kept = stage(best.select(F.col("rank.doc_id").alias("_kept_id"), F.col("rank.text_hash").alias("_kept_hash")), "kept")
-    same = docs[doc_id].cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(docs[text]) == F.col("_kept_hash"))
+    kept_id, kept_hash = free_name(docs, "_kept_id"), free_name(docs, "_kept_hash")
+    kept = stage(best.select(F.col("rank.doc_id").alias(kept_id), F.col("rank.text_hash").alias(kept_hash)), "kept")
+    same = docs[doc_id].cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64(docs[text]) == F.col(kept_hash))
     rows = docs.join(kept, same, "left_semi")
     repeated = grouped.groupBy("doc_id", "text_hash").count().where("count > 1")
     return rows if repeated.isEmpty() else rows.dropDuplicates([doc_id, text])
