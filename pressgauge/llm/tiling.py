@@ -29,6 +29,8 @@ from pressgauge.llm.common import ship_code, texts_of
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
 BLOCK_CHARS = 8_000_000
+#: hits are merged into matches in portions, so a text of one repeated word needs no more memory than others
+HITS_AT_ONCE = 1_000_000
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -47,17 +49,18 @@ def rolling_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return value
 
 
-def tile(matches: list[tuple[int, int, int]], min_match: int) -> list[tuple[int, int, int]]:
+def tile(matches: list[tuple[int, int, int]], min_match: int, item_words: int = -1) -> list[tuple[int, int, int]]:
     """Tiles (length, document position, item position) out of maximal matches, longest first.
 
-    Ties go to the first place in the document, then in the item.
+    Ties go to the first place in the document, then in the item. Ends where all of the item's
+    `item_words` words are marked, if that number is given.
     """
     heap = [(-n, d, i) for n, d, i in matches]
     heapq.heapify(heap)
     in_doc: set[int] = set()
     in_item: set[int] = set()
     tiles = []
-    while heap:
+    while heap and len(in_item) != item_words:
         n, d, i = heapq.heappop(heap)
         n = -n
         free = [d + k not in in_doc and i + k not in in_item for k in range(n)]
@@ -77,6 +80,16 @@ def tile(matches: list[tuple[int, int, int]], min_match: int) -> list[tuple[int,
     return tiles
 
 
+def _joined(runs: np.ndarray) -> np.ndarray:
+    """Rows (item, shift, start, length), sorted; those that continue each other become one."""
+    if not len(runs):
+        return runs
+    item, shift, start, length = runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))].T
+    goes_on = (item[1:] == item[:-1]) & (shift[1:] == shift[:-1]) & (start[1:] == start[:-1] + length[:-1])
+    heads = np.nonzero(np.r_[True, ~goes_on])[0]
+    return np.stack([item[heads], shift[heads], start[heads], np.add.reduceat(length, heads)], axis=1)
+
+
 class Items:
     """A block of benchmark items, ready to be compared with documents."""
 
@@ -94,26 +107,33 @@ class Items:
         seeds = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.owner, self.place = seeds[order], owner[order], place[order]
+        self.flat = np.concatenate(self.words or [np.zeros(0, np.uint64)])
+        self.begin = np.cumsum([0, *map(len, self.words)])
 
-    def _hits(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, item position - document position, document position) of all verified seeds."""
+    def _runs(self, ids: np.ndarray) -> np.ndarray:
+        """Rows (item, item position - document position, document position, hits): adjacent verified seeds."""
         size = self.min_match
         known = ids != 0
         run = np.cumsum(np.r_[0, ~known])
         at = np.nonzero(run[size:] == run[: len(run) - size])[0]
-        if not len(at):
-            return []
         value = rolling_hashes(ids, size)[at]
         first = np.searchsorted(self.seeds, value, "left")
-        found = first < len(self.seeds)
-        found[found] = self.seeds[first[found]] == value[found]
-        hits = []
-        for d, a, b in zip(at[found].tolist(), first[found].tolist(), np.searchsorted(self.seeds, value[found], "right").tolist()):
-            for k in range(a, b):
-                item, i = int(self.owner[k]), int(self.place[k])
-                if np.array_equal(ids[d : d + size], self.words[item][i : i + size]):
-                    hits.append((item, i - d, d))
-        return hits
+        count = np.searchsorted(self.seeds, value, "right") - first
+        at, first, count = at[count > 0], first[count > 0], count[count > 0]
+        total, low, parts = np.r_[0, np.cumsum(count)], 0, []
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(total, total[low] + HITS_AT_ONCE, "right")) - 1)
+            n = count[low:high]
+            d = np.repeat(at[low:high], n)
+            k = np.arange(len(d)) + np.repeat(first[low:high] - (total[low:high] - total[low]), n)
+            item, i = self.owner[k], self.place[k]
+            same = np.ones(len(d), bool)
+            for j in range(size):
+                same &= ids[d + j] == self.flat[self.begin[item] + i + j]
+            hits = np.stack([item, i - d, d, np.ones(len(d), np.int64)], axis=1)[same]
+            parts.append(_joined(hits))
+            low = high
+        return _joined(np.concatenate(parts)) if parts else np.zeros((0, 4), np.int64)
 
     def compare(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item number, words, covered words, tiles) for every item that shares a seed with the text."""
@@ -121,20 +141,12 @@ class Items:
         if len(words) < self.min_match or not len(self.seeds):
             return []
         number = self.number.get
-        hits = self._hits(np.array([number(w, 0) for w in words], np.uint64))
         matches: dict[int, list[tuple[int, int, int]]] = {}
-        hits.sort()
-        at = 0
-        while at < len(hits):
-            item, shift, d = hits[at]
-            end = at + 1
-            while end < len(hits) and hits[end] == (item, shift, d + end - at):
-                end += 1
-            matches.setdefault(item, []).append((end - at + self.min_match - 1, d, d + shift))
-            at = end
+        for item, shift, d, n in self._runs(np.array([number(w, 0) for w in words], np.uint64)).tolist():
+            matches.setdefault(item, []).append((n + self.min_match - 1, d, d + shift))
         result = []
         for item, found in matches.items():
-            tiles = tile(found, self.min_match)
+            tiles = tile(found, self.min_match, len(self.words[item]))
             result.append((item, len(self.words[item]), sum(n for n, _, _ in tiles), len(tiles)))
         return result
 

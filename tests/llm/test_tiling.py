@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pressgauge.llm import tiling
 
 
@@ -24,7 +26,9 @@ def slow_tiles(a, b, least):
         in_b.update(range(best[2], best[2] + best[0]))
 
 
-def test_tiles_equal_plain_tiling():
+@pytest.mark.parametrize("portion", [1, 20, 1_000_000])
+def test_tiles_equal_plain_tiling(monkeypatch, portion):
+    monkeypatch.setattr(tiling, "HITS_AT_ONCE", portion)
     rng = random.Random(6)
     for _ in range(150):
         a = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
@@ -34,6 +38,11 @@ def test_tiles_equal_plain_tiling():
         assert [(0, len(b), sum(n for n, _, _ in want), len(want))] == found if want else not found
 
 
+def test_one_word_again_and_again():
+    items = tiling.Items([(1, "word " * 200), (2, "a b " * 100), (3, "a c b d e f")])
+    assert items.compare("word " * 30_000 + "a b " * 5_000) == [(0, 200, 200, 1), (1, 200, 200, 1)]
+
+
 ITEM = "one two three four five six seven eight nine ten eleven twelve"
 
 
