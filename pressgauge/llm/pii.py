@@ -175,15 +175,17 @@ _BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])\x20{{1,2}}(?:{AT_WORDS}|@)\x20{{1,2}}(
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,2}@\x20{1,2}(?=[A-Za-z0-9-]{1,63}\.[A-Za-z])")
 _BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_ANY_DOT}(?=[A-Za-z0-9])", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+){_GAP})?(?:{_WORDS})(?:{_GAP}(?:{_WORDS})(?!\w)){{2,}}(?!\w)", re.I)
-_SPELLED_PAIR = re.compile(rf"\b(?:{_WORDS}){_GAP}(?:{_WORDS})\b", re.I)
 _SPELLED_DOT = re.compile(rf"(?<=[0-9])\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}(?=[0-9])", re.I)
 _DIGIT_WORD = re.compile(rf"(?:{_WORDS})(?!\w)|plus|\+", re.I)
 _NUMBER_DOT = re.compile(rf"(?<!\w)(?:{_WORDS})\x20{{1,2}}(?:{DOT_WORDS})\x20", re.I)
-_ANY_AT = re.compile(rf"\x20(?:{AT_WORDS}|@)\x20{{1,2}}[A-Za-z0-9.-]{{1,63}}{_ANY_DOT}", re.I)
-_HALF_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_ANY_DOT}(?=[A-Za-z]{{2,12}}\b)", re.I)
 #: a run of digits of which some are spelled; single gaps, as plain numbers have them
 _MIXED = re.compile(rf"(?<!\w)(?:(?:plus|\+)\x20?)?(?:(?:{_WORDS}|[0-9]+)[\x20-]){{3,}}(?:{_WORDS}|[0-9]+)(?!\w)", re.I)
 _RUN_WORD = re.compile(rf"(?<!\w)(?:{_WORDS}|plus)(?!\w)", re.I)
+# what tells, in a lower-cased text, that a transducer may have work; each starts with a set of characters
+_ANY_AT = re.compile(rf"\x20(?:{AT_WORDS}|@)\x20{{1,2}}[a-z0-9.-]{{1,63}}{_ANY_DOT}")
+_HALF_DOT = re.compile(rf"[a-z0-9]{_ANY_DOT}[a-z]{{2,12}}\b")
+_PAIR = re.compile(rf"(?:{_WORDS}){_GAP}(?:{_WORDS})(?!\w)")
+_DIGIT_AND_WORD = re.compile(rf"[0-9](?:[\x20-](?:{_WORDS})(?!\w)|\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}[0-9])")
 
 
 def _sign(char: str):
@@ -242,11 +244,7 @@ def _suspicious(text: str) -> bool:
         return True
     if _ANY_AT.search(low) or ("@" in text and (_HALF_DOT.search(low) or _SPACED_AT.search(low))):
         return True
-    return bool(_SPELLED_PAIR.search(low) or _SPELLED_DOT.search(low) or _mixed_run(low))
-
-
-def _mixed_run(low: str) -> bool:
-    return any(len(_RUN_WORD.findall(m.group())) > 1 for m in _MIXED.finditer(low))
+    return bool(_DIGIT_AND_WORD.search(low) or _PAIR.search(low))
 
 
 def deobfuscate(text: str) -> Traced:
