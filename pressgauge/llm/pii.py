@@ -52,13 +52,18 @@ _PHONE = re.compile(PHONE)
 # --- plain identifiers --------------------------------------------------------------------------
 
 
+def _local_start(text: str, end: int, free: int = 0) -> int:
+    """Where the signs of a local part that lead up to `end` begin, from `free` on."""
+    while end > free and (c := text[end - 1]).isascii() and (c.isalnum() or c in "._%+-"):
+        end -= 1
+    return end
+
+
 def emails(text: str) -> list[Span]:
     """From each @ outwards, so that time is linear in the text."""
     found, free, at = [], 0, text.find("@")
     while at >= 0:
-        start = at
-        while start > free and (c := text[start - 1]).isascii() and (c.isalnum() or c in "._%+-"):
-            start -= 1
+        start = _local_start(text, at, free)
         if start < at and (m := _DOMAIN.match(text, at + 1)):
             found.append(("email", start, m.end()))
             free = m.end()
@@ -171,8 +176,8 @@ _LOOKALIKE = re.compile(r"[^\x00-ɏ]|[\xa0\xad\xb2\xb3\xb9]")
 _BOXED_AT = re.compile(rf"{_PAD}{_OPEN}(?:{AT_WORDS}|@){_CLOSE}{_PAD}", re.I)
 _BOXED_DOT = re.compile(rf"{_PAD}{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}{_PAD}", re.I)
 _ANY_DOT = rf"\x20{{1,2}}(?:{DOT_WORDS}|\.)\x20{{1,2}}"
-_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])\x20{{1,2}}(?:{AT_WORDS}|@)\x20{{1,2}}(?=[A-Za-z0-9.-]{{1,63}}{_ANY_DOT}[A-Za-z])", re.I)
-_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,2}@\x20{1,2}(?=[A-Za-z0-9-]{1,63}\.[A-Za-z])")
+_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])\x20{{1,2}}(?:{AT_WORDS}|@)\x20{{1,2}}(?=[A-Za-z0-9.-]++{_ANY_DOT}[A-Za-z])", re.I)
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,2}@\x20{1,2}(?=[A-Za-z0-9-]++\.[A-Za-z])")
 _BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_ANY_DOT}(?=[A-Za-z0-9])", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+){_GAP})?(?:{_WORDS})(?:{_GAP}(?:{_WORDS})(?!\w)){{2,}}(?!\w)", re.I)
 _SPELLED_DOT = re.compile(rf"(?<=[0-9])\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}(?=[0-9])", re.I)
@@ -181,11 +186,18 @@ _NUMBER_DOT = re.compile(rf"(?<!\w)(?:{_WORDS})\x20{{1,2}}(?:{DOT_WORDS})\x20",
 #: a run of digits of which some are spelled; single gaps, as plain numbers have them
 _MIXED = re.compile(rf"(?<!\w)(?:(?:plus|\+)\x20?)?(?:(?:{_WORDS}|[0-9]+)[\x20-]){{3,}}(?:{_WORDS}|[0-9]+)(?!\w)", re.I)
 _RUN_WORD = re.compile(rf"(?<!\w)(?:{_WORDS}|plus)(?!\w)", re.I)
-# what tells, in a lower-cased text, that a transducer may have work; each starts with a set of characters
-_ANY_AT = re.compile(rf"\x20(?:{AT_WORDS}|@)\x20{{1,2}}[a-z0-9.-]{{1,63}}{_ANY_DOT}")
-_HALF_DOT = re.compile(rf"[a-z0-9]{_ANY_DOT}[a-z]{{2,12}}\b")
-_PAIR = re.compile(rf"(?:{_WORDS}){_GAP}(?:{_WORDS})(?!\w)")
-_DIGIT_AND_WORD = re.compile(rf"[0-9](?:[\x20-](?:{_WORDS})(?!\w)|\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}[0-9])")
+_HOST = re.compile(r"[A-Za-z0-9.-]*")
+#: letters that ignoring case takes for i and s, beside the capitals
+_FOLDED = str.maketrans("ıİſ", "iis")
+# what tells, in a folded text, that a transducer may have work, never less than it can rewrite; each starts with a set of characters
+_ANY_AT = re.compile(rf"\x20(?:{AT_WORDS}|@)\x20{{1,2}}[a-z0-9.-]++{_ANY_DOT}")
+_AFTER_WORD = re.compile(rf"(?:{_WORDS}|plus)(?:{_GAP}(?:{_WORDS})(?!\w)|\x20{{1,2}}(?:{DOT_WORDS})\x20)")
+_AFTER_DIGIT = re.compile(rf"[0-9](?:[\x20-](?:{_WORDS})(?!\w)|\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}(?:[0-9]|(?:{_WORDS})(?!\w)))")
+
+
+def _folded(text: str) -> str:
+    """Lower-cased as far as patterns that ignore case see it."""
+    return text.lower() if text.isascii() else text.translate(_FOLDED).lower()
 
 
 def _sign(char: str):
@@ -196,7 +208,7 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
     """The words of a run as digits without gaps."""
     found = []
     for w in _DIGIT_WORD.finditer(m.string, m.start(), m.end()):
-        word = w.group().lower()
+        word = _folded(w.group())
         found.append(("+" if word in ("plus", "+") else DIGIT_WORDS[word], *w.span()))
     return found
 
@@ -207,7 +219,7 @@ def _mixed(m: re.Match) -> list[tuple[str, int, int]]:
     found, at = [], m.start()
     while at < m.end():
         if len(words) > 1 and (w := words.get(at)):
-            word = w.group().lower()
+            word = _folded(w.group())
             found.append((DIGIT_WORDS.get(word, "+"), *w.span()))
             at = w.end()
             if word == "plus":
@@ -220,15 +232,22 @@ def _mixed(m: re.Match) -> list[tuple[str, int, int]]:
 
 def _email_dots(traced: Traced) -> Traced:
     """`dot` next to an @ or to a converted one, on either side, as long as the chain goes on."""
-    pattern = re.compile(
-        rf"(?:[A-Za-z0-9_%+-]+(?:{_ANY_DOT}[A-Za-z0-9_%+-]+){{0,3}})@[A-Za-z0-9.-]+(?:{_ANY_DOT}[A-Za-z0-9-]+){{0,4}}", re.I
-    )
-    dots = []
-    for at in (i for i, c in enumerate(traced.text) if c == "@"):
-        low = max(0, at - 256)
-        for m in pattern.finditer(traced.text, low, min(len(traced.text), at + 256)):
-            dots += [d.span() for d in _BARE_DOT.finditer(traced.text, m.start(), m.end())]
-    wanted = set(dots)
+    text = traced.text
+    dots = [m.span() for m in _BARE_DOT.finditer(text)]
+    if not dots:
+        return traced
+    after, before, wanted = dict(dots), {b: a for a, b in dots}, set()
+    # chains end at the next @, so each is walked twice at most
+    for at in (i for i, c in enumerate(text) if c == "@"):
+        low, high = _local_start(text, at), _HOST.match(text, at + 1).end()
+        if low == at or high == at + 1:
+            continue
+        while low in before:
+            wanted.add((before[low], low))
+            low = _local_start(text, before[low])
+        while high in after:
+            wanted.add((high, after[high]))
+            high = _HOST.match(text, after[high]).end()
     if not wanted:
         return traced
     keep = lambda m: [(".", *m.span())] if m.span() in wanted else [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group())]
@@ -239,12 +258,12 @@ def _suspicious(text: str) -> bool:
     """Whether any transducer could change the text."""
     if not text.isascii() and _LOOKALIKE.search(text):
         return True
-    low = text.lower()
+    low = _folded(text)
     if any(x in text for x in "([{<") and (_BOXED_AT.search(text) or _BOXED_DOT.search(text)):
         return True
-    if _ANY_AT.search(low) or ("@" in text and (_HALF_DOT.search(low) or _SPACED_AT.search(low))):
+    if _ANY_AT.search(low) or ("@" in text and (_BARE_DOT.search(low) or _SPACED_AT.search(low))):
         return True
-    return bool(_DIGIT_AND_WORD.search(low) or _PAIR.search(low))
+    return bool(_AFTER_DIGIT.search(low) or _AFTER_WORD.search(low))
 
 
 def deobfuscate(text: str) -> Traced:

@@ -95,3 +95,26 @@ def test_odd_rows(spark):
     found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect()
     assert sorted(((r.doc_id or 0), len(r.spans)) for r in found) == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1), (4, 0)]
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_chains_and_words_before_digits():
+    for text in [
+        "john dot smith99@example.com", "jane dot d@example.com", "mary dot featherstonehaugh@example.com",
+        "a dot b dot c dot d dot e dot f@x.org", "ann@" + " dot ".join("abcdefgh"), "a" * 300 + " dot b@example.com",
+        "a.b dot c.d@e dot f.g dot com", "ann at " + "sub." * 30 + "example dot org",
+    ]:
+        assert ("email", 0, len(text)) in pii.find(text)[1], text
+    for kind, part in [("phone", "plus one 555 123 4567"), ("ip", "one dot two dot three dot four"), ("phone", "plus one two ſeven three four five sıx seven eight nine")]:
+        text = f"call {part} now"
+        assert (kind, 5, 5 + len(part)) in pii.find(text)[1], text
+
+
+def test_gate_changes_no_result(monkeypatch):
+    rng = random.Random(11)
+    parts = ["one", "two", "ſeven", "SİX", "nine", "plus", "+", "at", "AT", "@", " @ ", "dot", "Punkt", ".", "(at)", "[dot]", "john", "d", "ann99", "x.org", "com", "555", "1", "4567", "192", "-", ",", "é", "＠", "a@b"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", " ", "  ", "-"]) for _ in range(rng.randint(1, 14))) for _ in range(60_000)]
+    gated = [pii.find(t) for t in texts]
+    missed = sum(not pii._suspicious(t) for t in texts)
+    monkeypatch.setattr(pii, "_suspicious", lambda text: True)
+    assert [pii.find(t) for t in texts] == gated
+    assert missed > 1000 and sum(bool(more) for _, more in gated) > 1000
