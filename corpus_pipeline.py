@@ -22,7 +22,10 @@ from pressgauge.session import stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose language cannot be told: null texts and texts without letters."""
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
-    guess = langid.predictor(langid.fit(docs.where(~held_out)))
+    model = langid.fit(docs.where(~held_out))
+    if model is None:  # nothing is labelled
+        return docs.where(langid.has_letters(F.col("text")))
+    guess = langid.predictor(model)
     return docs.where(guess(F.col("text"))["lang_pred"] != langid.UNDETERMINED)
 
 

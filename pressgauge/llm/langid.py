@@ -3,8 +3,8 @@
 First a linear classifier picks the language family, then one-versus-one linear support vector
 machines pick the language within the family. Features are counts of letter sequences of one to
 three bytes of the whole text, hashed to a fixed number of cells, square-rooted and scaled to
-length one. Training runs on a bounded, hash-ordered sample of labelled rows per language; every
-text is scored by a task of its own partition, with the fitted weights as a small closure.
+length one. Training runs on a bounded, hash-ordered sample of different labelled texts of every
+language; every text is scored by a task of its own partition, with the fitted weights as a small closure.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.llm.common import over_batches, ship_code, texts_of
+from pressgauge.session import stage
 
 # --- fixed values: families of language codes ---------------------------------------------------
 FAMILIES = {
@@ -36,11 +37,14 @@ UNDETERMINED = "und"
 
 CELLS = 4096
 SAMPLE_PER_LANGUAGE = 500
-MAX_LANGUAGES = 64
+#: vectors of 16 KB that the driver holds; with more languages than fit, each gives an equal part
+SAMPLE = 32_000
 ROUNDS = 120
 PENALTY = 1e-4
 
 _LETTER = re.compile(r"[^\W\d_]")
+#: what _LETTER finds, as Spark's patterns state it
+_HAS_LETTER = r"[\p{L}\p{Nl}\p{No}]"
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -121,25 +125,36 @@ class Model:
         return best, score
 
 
+def _up_to(rows: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
+    """The rows whose place is not beyond their language's limit."""
+    limits = rows.sparkSession.createDataFrame(limits, "lang string, limit long")
+    return rows.join(F.broadcast(limits), "lang").where("place <= limit")
+
+
 def fit(docs: DataFrame, label: str = "lang", text: str = "text", order: Column | None = None) -> Model | None:
     """Learns from the labelled rows of `docs`; None if there are none.
 
-    Of each language the SAMPLE_PER_LANGUAGE first rows by a hash of `order` (the text, if not
-    given) are used, of at most MAX_LANGUAGES languages, the most frequent ones. Only their feature
-    vectors reach the driver.
+    Copies of a text (of `order`, if given) count once. Every language is learned, from its first texts
+    by a hash: all it has, or SAMPLE_PER_LANGUAGE, or SAMPLE by the number of languages. Texts without
+    letters are no texts here. Only the hashes and feature vectors of the sample reach the driver.
     """
-    ship_code(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_code(spark)
     order = F.xxhash64(F.col(text) if order is None else order)
-    rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text"), order.alias("place")).where(
-        "lang is not null and text is not null"
-    )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text"), F.shiftrightunsigned(order, 11).alias("place"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(_HAS_LETTER))
+    keys = stage(rows.select("lang", "place").distinct(), "sample_keys")
+    counts = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().collect()}
     if not counts:
         return None
-    # a threshold on the hash picks about a quarter more rows than needed, without sorting a language
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (1.25 * SAMPLE_PER_LANGUAGE + 50) / r["count"]))])
-    unit = F.shiftrightunsigned("place", 11) / float(1 << 53)
-    chosen = rows.where(unit <= F.try_element_at(share, F.col("lang")))
+    most = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // len(counts)))
+    # a threshold on the hash picks about a quarter more keys than needed, without sorting a language
+    share = [(lang, int(min(1.0, (1.25 * most + 50) / n) * (1 << 53))) for lang, n in counts.items()]
+    found: dict[str, list[int]] = {}
+    for r in _up_to(keys, share).select("lang", "place").collect():
+        found.setdefault(r["lang"], []).append(r["place"])
+    chosen = _up_to(rows, [(lang, sorted(places)[:most][-1]) for lang, places in found.items()])
+    chosen = chosen.groupBy("lang", "place").agg(F.min("text").alias("text"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [(i, v) for i, t in enumerate(texts_of(batch, 1)) if (v := features(t)) is not None]
@@ -147,15 +162,16 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", order: Column
         packed = pa.array([v.tobytes() for _, v in found], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0).take(at), packed, batch.column(2).take(at)], ["lang", "x", "place"])
 
+    vectors = chosen.select("lang", "text", "place").mapInArrow(over_batches(make), "lang string, x binary, place long")
     sample: dict[str, list] = {}
-    for r in chosen.mapInArrow(over_batches(make), "lang string, x binary, place long").collect():
+    for r in vectors.collect():
         sample.setdefault(r["lang"], []).append((r["place"], bytes(r["x"])))
     if not sample:
         return None
     languages = sorted(sample)
     x, y = [], []
     for i, lang in enumerate(languages):
-        for _, packed in sorted(sample[lang])[:SAMPLE_PER_LANGUAGE]:
+        for _, packed in sorted(sample[lang]):
             x.append(np.frombuffer(packed, np.float32))
             y.append(i)
     x, y = np.array(x), np.array(y)
@@ -172,6 +188,16 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", order: Column
     return Model(languages, names, of_family, pairs)
 
 
+def has_letters(text: Column) -> Column:
+    """Whether there is anything in a text to tell its language by."""
+
+    @F.arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(_LETTER.search(t or "")) for t in texts.to_pylist()], pa.bool_())
+
+    return found(text)
+
+
 def predictor(model: Model | None):
     """A column function: text to struct(lang_pred, score).
 

@@ -45,3 +45,31 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(docs, docs).select("lang_pred", "score").collect() == [("und", 0.0)]
     none = docs.where(F.lit(False))
     assert langid.identify(none, none).count() == 0
+
+
+def test_few_texts_many_times_are_learned(spark):
+    say = {"es": "el perro come la carne y no quiere ", "fr": "le chien mange la viande et ne veut pas "}
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'fr' AS lang", f"concat('{say['fr']}', 'abc ', id % 2) AS text")
+    docs = docs.union(spark.range(50).selectExpr("id AS doc_id", "'es' AS lang", f"concat('{say['es']}', id) AS text"))
+    model = langid.fit(docs)
+    assert model.languages == ["es", "fr"]
+    found = langid.identify(docs, docs).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in found} == {"fr": 20_000, "es": 50}
+
+
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    learned = []
+    machine = langid._machine
+    monkeypatch.setattr(langid, "_machine", lambda x, y: learned.append(len(x)) or machine(x, y))
+    docs = spark.range(30_000).selectExpr("'fr' AS lang", "concat('le mot ', if(id % 3 = 0, 'x', cast(id % 2000 as string))) AS text")
+    langid.fit(docs)
+    assert learned == [langid.SAMPLE_PER_LANGUAGE]
+    learned.clear()
+    langid.fit(docs.where("text = 'le mot x'"))
+    assert learned == [1]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"x{k}", chr(97 + k % 26) * 3 + chr(97 + k // 26) * 2 + f" {i}") for k in range(70) for i in range(2)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == sorted(f"x{k}" for k in range(70))
