@@ -1,23 +1,28 @@
 """Scoring texts by class-based bigrams (Brown clustering by the exchange algorithm).
 
 A word's probability after another is the probability of its class after the other's class, times
-the probability of the word in its class. Every word of the corpus has a class:
+the probability of the word in its class. Every word of the corpus has a class of its own choice:
 
-* the most frequent words (at most CORE, by a threshold on the count) are exchanged one by one;
-* all other words are pooled by their last three bytes into POOLS pools, and pools are exchanged like words.
+* to begin with, the most frequent words (at most CORE, by a threshold on the count) are exchanged one by
+  one, and all other words in POOLS pools by their last three bytes;
+* then every word of the training rows, pools or not, moves to the class that suits the classes before and
+  after it best, all at once (of the most frequent ones a part), in at most ROUNDS rounds and as long as the
+  likelihood rises. Counts by word and class are summed by key, and words choose in tasks; only the grid of
+  classes and the labels of the dictionary meet the driver. The labels of all other words stay in a table.
 
-Word counts, class sizes, transitions and the unigram figures come from all training rows. The words
+Only words that no training row has get their class from their pool. Word counts, class sizes, transitions and the unigram figures come from all training rows. The words
 above a second threshold (at most DICTIONARY) travel to the tasks with their counts, which covers
-most tokens; the counts of the others are joined, one row per document and word.
+most tokens; the counts and classes of the others are joined, one row per place in a document.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,11 @@ POOLS = 128
 CLASSES = 48
 DICTIONARY = 300_000
 SWEEPS = 10
+ROUNDS = 3
 FLUSH = 400_000
+STREAM = 500_000
+SIDE = CLASSES + 1
+CELL = np.dtype([("cell", "u1"), ("n", "<u4")])  # class after the word, or SIDE + class before it
 #: the end of a text; no word holds a white-space byte
 END = b"\n"
 
@@ -111,9 +120,9 @@ def _lookup(name: str, words: Words) -> dict[bytes, int]:
 
 
 def dictionary(counts: DataFrame) -> tuple[Words, int]:
-    """The frequent words, and the count from which a word is one of them."""
+    """The frequent words and END, and the count from which a word is one of them."""
     least = threshold(counts, DICTIONARY)
-    rows = counts.where(F.col("c") >= least).toArrow()
+    rows = counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).toArrow()
     words, c = rows.column("word").to_pylist(), rows.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
     words, c = [bytes(words[i]) for i in order], c[order].astype(np.int64)
@@ -140,30 +149,74 @@ def _units(words: list[bytes], known: dict[bytes, int], table: Words) -> tuple[n
     return number, unit
 
 
-def unit_bigrams(texts: DataFrame, table: Words) -> np.ndarray:
-    """How often unit a precedes unit b; END stands before the first word and after the last.
+def key_of(word: bytes) -> int:
+    """A negative number for a word outside the dictionary."""
+    return -1 - (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
 
-    Tasks send their non-zero cells, of a square of fixed size, which are summed before they are collected.
+
+def streams(texts: DataFrame, table: Words) -> DataFrame:
+    """(numbers, keys): texts one after the other as int32 numbers, each followed by its end, in portions.
+
+    Numbers are those of the dictionary, its size for an end, -1 - pool for all other words; the
+    keys of these stand in `keys`, as int64, in the same order. A portion begins with an end.
     """
-    size, name = table.n_units, uuid.uuid4().hex
+    name = uuid.uuid4().hex
     sent = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        known, total = _lookup(name, table), np.zeros(size * size, np.int64)
+        known, end = _lookup(name, table), len(table.words)
+        get = known.get
+
+        def packed(numbers: list[int], keys: list[int]) -> pa.RecordBatch:
+            data = [np.array(numbers, np.int32).tobytes()], [np.array(keys, np.int64).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array(d, pa.binary()) for d in data], ["numbers", "keys"])
+
+        numbers, keys = [end], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                stream = [size - 1]
-                for text in texts_of(batch.slice(at, 500), 0):
-                    stream += _units(words_of(text), known, table)[1].tolist()
-                    stream.append(size - 1)
-                units = np.array(stream)
-                total += np.bincount(units[:-1] * size + units[1:], minlength=size * size)
+            for text in texts_of(batch, 0):
+                at, words = len(numbers), words_of(text)
+                numbers += [get(w, -1) for w in words]
+                for i, w in enumerate(words, at):
+                    if numbers[i] < 0:
+                        numbers[i] = -1 - pool_of(w)
+                        keys.append(key_of(w))
+                numbers.append(end)
+                if len(numbers) > STREAM:
+                    yield packed(numbers, keys)
+                    numbers, keys = [end], []
+        if len(numbers) > 1:
+            yield packed(numbers, keys)
+
+    return texts.mapInArrow(run, "numbers binary, keys binary")
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for numbers, keys in zip(batch.column(0), batch.column(1)):
+            yield np.frombuffer(numbers.as_py(), np.int32), np.frombuffer(keys.as_py(), np.int64)
+
+
+def unit_bigrams(stream: DataFrame, table: Words) -> np.ndarray:
+    """How often unit a precedes unit b; END stands before the first word and after the last.
+
+    Tasks send their non-zero cells, of a square of fixed size, which are summed before they are collected.
+    """
+    size = table.n_units
+    units = np.r_[table.units, size - 1]
+    core = table.core
+    sent = stream.sparkSession.sparkContext.broadcast(units)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, total = sent.value, np.zeros(size * size, np.int64)
+        for numbers, _ in _portions(batches):
+            at = np.where(numbers >= 0, units[np.maximum(numbers, 0)], core - 1 - numbers)
+            total += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
         cells = np.nonzero(total)[0]
         if len(cells):
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
-    rows = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = stream.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     result = np.zeros(size * size, np.int64)
     result[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     return result.reshape(size, size)
@@ -229,6 +282,210 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return label
 
 
+# --- rounds over all words ----------------------------------------------------------------------
+
+#: decides between classes of equal gain, such as empty ones, alike for words among the same neighbours
+_TIES = 1e-7 * np.random.default_rng(0).random((2 * SIDE, CLASSES))
+
+
+def _rare(stream: DataFrame, end: int, pools: np.ndarray) -> DataFrame:
+    """(key, label, before, after) of the words outside the dictionary: the keys of all their neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for numbers, keys in _portions(batches):
+            all_keys = numbers.astype(np.int64)
+            rare = np.nonzero(numbers < 0)[0]
+            all_keys[rare] = keys
+            columns = [keys, pools[-1 - numbers[rare]].astype(np.int32), all_keys[rare - 1], all_keys[rare + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "label", "before", "after"])
+
+    rows = stream.mapInArrow(run, "key long, label int, before long, after long")
+    return rows.groupBy("key").agg(F.max("label").alias("label"), F.collect_list("before").alias("before"), F.collect_list("after").alias("after"))
+
+
+def _packed(keys: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """One row per key, out of cells sorted by key: the key, and its CELL records as bytes."""
+    heads = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0] if len(keys) else np.zeros(0, np.int64)
+    records = np.empty(len(keys), CELL)
+    records["cell"], records["n"] = cells, counts
+    offsets = (np.r_[heads, len(keys)] * CELL.itemsize).astype(np.int32)
+    data = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(records.tobytes())])
+    return pa.array(keys[heads], pa.int64()), data
+
+
+_CONTEXT = "key long, cells binary, label int, before array<long>, after array<long>"
+_CONTEXT_TYPE = pa.schema([("key", pa.int64()), ("cells", pa.binary()), ("label", pa.int32()), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
+
+
+def _context_rows(keys: pa.Array, cells: pa.Array, more: list[pa.Array] | None = None) -> pa.RecordBatch:
+    more = more or [pa.nulls(len(keys), f.type) for f in list(_CONTEXT_TYPE)[2:]]
+    return pa.RecordBatch.from_arrays([keys, cells, *more], schema=_CONTEXT_TYPE)
+
+
+def contexts(stream: DataFrame, rare: DataFrame, label: np.ndarray) -> DataFrame:
+    """(key, label, before, after, cells): how often each class stands before and after each word.
+
+    `label` has the classes of the dictionary and the end. The rest's classes are in `rare`, whose rows tell
+    their neighbours; so neither needs a join. A task sends one row per word and portion.
+    """
+    sent = stream.sparkSession.sparkContext.broadcast(label)
+    width, end = 2 * SIDE, len(label) - 1
+
+    def cells_of(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(total)
+        rows = _context_rows(*_packed(at // width, at % width, total[at]))
+        for low in range(0, rows.num_rows, 20_000):
+            yield rows.slice(low, 20_000)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = sent.value
+        total = np.zeros(end * width, np.uint32)
+        for numbers, _ in _portions(batches):
+            numbers = numbers.astype(np.int64)
+            x, y = numbers[:-1], numbers[1:]
+            both = (x >= 0) & (y >= 0)
+            x, y = x[both], y[both]
+            first, second = x != end, y != end
+            np.add.at(total, x[first] * width + label[y[first]], 1)
+            np.add.at(total, y[second] * width + SIDE + label[x[second]], 1)
+        yield from cells_of(total)
+
+    def uncommon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = sent.value
+        total = np.zeros(end * width, np.uint32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, mine = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            keys, cells = [], []
+            # what stands before a word has the word's class after it, and the other way round
+            for column, seen, told in ((2, SIDE, 0), (3, 0, SIDE)):
+                near = batch.column(column)
+                owner = np.repeat(np.arange(len(own)), near.value_lengths().to_numpy())
+                near = near.flatten().to_numpy()
+                known, inside = near >= 0, (near >= 0) & (near < end)
+                keys.append(own[owner[known]])
+                cells.append(seen + label[near[known]])
+                np.add.at(total, near[inside] * width + told + mine[owner[inside]], 1)
+                keys.append(near[~known])
+                # a rare neighbour gets this word's class here, and gives its own when its row comes
+                cells.append(told + mine[owner[~known]])
+            keys, cells = np.concatenate(keys), np.concatenate(cells).astype(np.int64)
+            order = np.lexsort((cells, keys))
+            keys, cells = keys[order], cells[order]
+            heads = np.nonzero(np.r_[True, (keys[1:] != keys[:-1]) | (cells[1:] != cells[:-1])])[0] if len(keys) else np.zeros(0, np.int64)
+            yield _context_rows(*_packed(keys[heads], cells[heads], np.diff(np.r_[heads, len(keys)])))
+            none = pa.array([b""] * len(own), pa.binary())
+            yield _context_rows(batch.column(0), none, [batch.column(1), batch.column(2), batch.column(3)])
+        yield from cells_of(total)
+
+    parts = stream.mapInArrow(common, _CONTEXT)
+    parts = parts.unionAll(rare.select("key", "label", "before", "after").mapInArrow(uncommon, _CONTEXT))
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    return parts.groupBy("key").agg(first("label"), first("before"), first("after"), F.collect_list("cells").alias("cells"))
+
+
+def _cells(batch: pa.RecordBatch, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each row's word; row, cell and count of all its cells, sorted and summed."""
+    keys = batch.column(0).to_numpy()
+    own = np.where(keys >= 0, label[np.maximum(keys, 0)], np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64))
+    parts = batch.column(4)
+    owner = np.repeat(np.arange(len(keys)), parts.value_lengths().to_numpy())
+    parts = parts.flatten().to_pylist()
+    records = np.frombuffer(b"".join(parts), CELL)
+    owner = np.repeat(owner, [len(x) // CELL.itemsize for x in parts])
+    at, where = np.unique(owner * (2 * SIDE) + records["cell"], return_inverse=True)
+    n = np.bincount(where, records["n"], len(at))
+    return own, at // (2 * SIDE), at % (2 * SIDE), n
+
+
+def class_grid(context: DataFrame, label: np.ndarray, ends: int) -> np.ndarray:
+    """How often class a precedes class b; `ends` counts texts without a word."""
+    sent = context.sparkSession.sparkContext.broadcast(label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SIDE, SIDE))
+        for batch in batches:
+            if batch.num_rows:
+                own, row, cell, n = _cells(batch, sent.value)
+                after, first = cell < SIDE, cell == SIDE + CLASSES  # from a word on; from the end before a text
+                np.add.at(total, (own[row[after]], cell[after]), n[after])
+                np.add.at(total, (np.full(first.sum(), CLASSES), own[row[first]]), n[first])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIDE * SIDE)), pa.array(total.ravel().astype(np.int64))], ["cell", "n"])
+
+    grid = np.zeros(SIDE * SIDE)
+    rows = context.select("key", "label", "before", "after", "cells").mapInArrow(run, "cell long, n long")
+    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        grid[r["cell"]] = r["n"]
+    grid[-1] += ends
+    return grid.reshape(SIDE, SIDE)
+
+
+def likelihood(grid: np.ndarray) -> float:
+    return float(_f(grid).sum() - _f(grid.sum(0)).sum() - _f(grid.sum(1)).sum())
+
+
+def best_classes(own: np.ndarray, row: np.ndarray, cell: np.ndarray, n: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood most, for each word taken by itself."""
+    gain = np.zeros((len(own), CLASSES))
+    rows, cols = grid.sum(1)[:CLASSES], grid.sum(0)[:CLASSES]
+    sides = np.concatenate([grid[:CLASSES].T, grid[:, :CLASSES]])  # per cell, the counts with each class
+    for low in range(0, len(cell), 50_000):
+        part = slice(low, low + 50_000)
+        base = sides[cell[part]]
+        at = np.arange(len(base)), own[row[part]]
+        base[at] = np.maximum(base[at] - n[part], 0)
+        value = _f(base + n[part, None]) - _f(base) + n[part, None] * _TIES[cell[part]]
+        heads = np.nonzero(np.r_[True, row[part][1:] != row[part][:-1]])[0]
+        gain[row[part][heads]] += np.add.reduceat(value, heads, axis=0)
+    weight = np.bincount(row[cell < SIDE], n[cell < SIDE], len(own))
+    for sums in (rows, cols):
+        base = np.repeat(sums[None], len(own), axis=0)
+        at = np.arange(len(own)), own
+        base[at] = np.maximum(base[at] - weight, 0)
+        gain -= _f(base + weight[:, None]) - _f(base)
+    new, here = gain.argmax(1), np.arange(len(own))
+    return np.where(gain[here, new] > gain[here, own] + 1e-9 * np.abs(gain[here, own]), new, own)
+
+
+def choose(context: DataFrame, grid: np.ndarray, label: np.ndarray, core: int, turn: int) -> DataFrame:
+    """(key, label, before, after) with the classes after a round."""
+    sent = context.sparkSession.sparkContext.broadcast((grid, label))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, label = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                own, row, cell, n = _cells(batch, label)
+                keys = batch.column(0).to_numpy()
+                stays = (keys >= 0) & (keys < core) & (keys % ROUNDS != turn)
+                new = np.where(stays, own, best_classes(own, row, cell, n, grid)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new), batch.column(2), batch.column(3)], ["key", "label", "before", "after"])
+
+    schema = "key long, label int, before array<long>, after array<long>"
+    return context.select("key", "label", "before", "after", "cells").mapInArrow(run, schema)
+
+
+def refine(stream: DataFrame, table: Words, units: np.ndarray, empty: int) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """(classes of the dictionary and the end, table of all other words, grid), from the classes of units on."""
+    label = np.r_[units[table.units], CLASSES]
+    rare = stage(_rare(stream, len(table.words), units[table.core : table.core + POOLS]), "rare")
+    best = None
+    for turn in range(ROUNDS + 1):
+        context = stage(contexts(stream, rare, label), "contexts")
+        grid = class_grid(context, label, empty)
+        if best is not None and likelihood(grid) <= likelihood(best[2]):
+            break
+        best = label, rare, grid
+        if turn < ROUNDS:
+            moved = stage(choose(context, grid, label, table.core, turn), "classes")
+            rows = moved.where("key >= 0").select("key", "label").toArrow()
+            label = label.copy()
+            label[rows.column("key").to_numpy()] = rows.column("label").to_numpy()
+            rare = moved.where("key < 0")
+    return best
+
+
 @dataclass
 class Model:
     words: Words
@@ -238,27 +495,36 @@ class Model:
     tokens: int  # training tokens, with ends
     least: int  # count from which a word is in the dictionary
     base_scale: float  # log10 of the denominator of the unigram figure
+    rare: DataFrame | None = None  # (key, label, c) of the words outside the dictionary; not sent to tasks
 
 
 def learn(texts: DataFrame, counts: DataFrame) -> Model:
     """Fits the model to a one-column table of training texts and its staged word counts."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     table, least = dictionary(counts)
-    pairs = unit_bigrams(texts, table)
-    label = exchange(pairs)
+    stream = stage(streams(texts, table), "streams")
+    pairs = unit_bigrams(stream, table)
+    units = exchange(pairs)
+    label, rare, grid = refine(stream, table, units, int(pairs[-1, -1]))
     classes = CLASSES + 1
-    one = np.eye(classes)[label]
-    grid = one.T @ pairs @ one
     transitions = np.log10((grid + 0.5) / (grid.sum(1, keepdims=True) + 0.5 * classes))
     mass, kinds = np.zeros(classes), np.zeros(classes)
-    np.add.at(mass, label[table.units], table.counts)
-    np.add.at(kinds, label[table.units], 1)
-    pool = F.crc32(F.when(F.length("word") > 3, F.expr("substring(word, -3, 3)")).otherwise(F.col("word"))) % POOLS
-    for r in counts.where(F.col("c") < least).groupBy(pool.alias("pool")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        mass[label[table.core + r["pool"]]] += r["c"]
-        kinds[label[table.core + r["pool"]]] += r["v"]
+    np.add.at(mass, label[:-1], table.counts)
+    np.add.at(kinds, label[:-1], 1)
+    for r in rare.groupBy("label").agg(F.sum(F.size("before")).alias("c"), F.count("*").alias("v")).collect():
+        mass[r["label"]] += r["c"]
+        kinds[r["label"]] += r["v"]
     scale = np.log10(mass + 0.5 * (kinds + 1))
-    return Model(table, label, transitions, scale, tokens, least, float(np.log10(tokens + 0.5 * (distinct + 1))))
+    # from here on every word of the dictionary is a unit
+    number = np.arange(len(table.words))
+    ends = np.array([w == END for w in table.words], bool)
+    table = Words(table.words, table.counts, np.where(ends, len(number) + POOLS, number), len(number))
+    label = np.r_[label[:-1], units[-1 - POOLS : -1], CLASSES]
+    base_scale = float(np.log10(tokens + 0.5 * (distinct + 1)))
+    return Model(table, label, transitions, scale, tokens, least, base_scale, rare.select("key", "label", F.size("before").alias("c")))
+
+
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
 
 # --- scores -------------------------------------------------------------------------------------
@@ -276,8 +542,8 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     texts = docs.where(train).select(F.col(text))
     counts = stage(word_counts(texts), "word_counts")
     model = learn(texts, counts)
-    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    schema = "row long, doc_id long, word binary, n long, n_tokens long, n_known long, base_score double, score double"
+    sent, name = docs.sparkSession.sparkContext.broadcast(replace(model, rare=None)), uuid.uuid4().hex
+    schema = "row long, doc_id long, pos int, key long, label int, before int, after int, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -288,7 +554,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         end_log = log_count[end] if end is not None else np.log10(0.5)
         last = model.label[-1]
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(11)]
 
             def add(*values):
                 for column, value in zip(out, values):
@@ -297,27 +563,50 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch, 1)):
                 words = words_of(text)
                 number, unit = _units(words, known, model.words)
-                found = number >= 0
+                found = np.r_[True, number >= 0, True]
                 label = np.r_[last, model.label[unit], last]
-                logs = float(log_count[number[found]].sum()) + end_log
-                fit = float(model.transitions[label[:-1], label[1:]].sum() - model.scale[label[1:]].sum()) + logs
+                logs = float(log_count[number[number >= 0]].sum()) + end_log
+                both = found[:-1] & found[1:]
+                steps = float(model.transitions[label[:-1][both], label[1:][both]].sum())
+                fit = steps - float(model.scale[label[1:][found[1:]]].sum()) + logs
                 tokens = len(words) + 1
-                add(row, doc, None, None, tokens, int(found.sum()) + (end is not None), logs - tokens * model.base_scale, fit)
-                for word, n in Counter(words[i] for i in np.nonzero(~found)[0].tolist()).items():
-                    add(row, None, word, n, None, None, None, None)
+                base = logs - tokens * model.base_scale
+                add(row, doc, None, None, None, None, None, tokens, int((number >= 0).sum()) + (end is not None), base, fit)
+                near = np.where(found, label, -1).tolist()
+                for i in np.nonzero(~found)[0].tolist():
+                    add(row, None, i, key_of(words[i - 1]), int(label[i]), near[i - 1], near[i + 1], None, None, None, None)
                 row += 1
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [f.split()[0] for f in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[f.split()[1]]) for c, f in zip(out, schema.split(", "))], [f.split()[0] for f in schema.split(", ")])
 
     rows = stage(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, schema), "scored")
-    rest = rows.where("word is not null").join(counts.where(F.col("c") < model.least), "word", "left")
-    logs = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    found = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
-    part = rest.groupBy("row").agg(F.sum(found).alias("n_known"), F.sum(logs).alias("logs"))
-    whole = rows.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score", F.lit(0.0).alias("logs"))
+    learned = model.rare.withColumnRenamed("label", "own")
+    rest = rows.where("key is not null").join(learned, "key", "left").select(
+        "row", F.struct("pos", F.coalesce("own", "label").alias("label"), F.coalesce("c", F.lit(0)).alias("c"), "before", "after").alias("place")
+    )
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            places = batch.column(1)
+            owner = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            flat = places.flatten()
+            pos, label, c, before, after = (flat.field(i).to_numpy() for i in range(5))
+            order = np.lexsort((pos, owner))
+            owner, label, c, before, after = (x[order] for x in (owner, label, c, before, after))
+            # a word outside the dictionary after another one is the next place of the same row
+            after = np.where(after < 0, np.r_[label[1:], 0], after)
+            logs = np.log10(c + 0.5)
+            fit = model.transitions[label, after] - model.scale[label] + logs
+            fit += np.where(before < 0, 0, model.transitions[before, label])
+            total = lambda x: pa.array(np.bincount(owner, x, batch.num_rows))
+            known = pa.array(np.bincount(owner, c > 0, batch.num_rows).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), known, total(logs), total(fit)], ["row", "n_known", "logs", "fit"])
+
+    part = rest.groupBy("row").agg(F.collect_list("place").alias("places")).mapInArrow(sums, "row long, n_known long, logs double, fit double")
+    whole = rows.where("key is null").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score", F.lit(0.0).alias("logs"), F.lit(0.0).alias("fit"))
     none = lambda kind: F.lit(None).cast(kind)
-    part = part.select("row", none("long"), none("long"), "n_known", none("double"), none("double"), "logs")
+    part = part.select("row", none("long"), none("long"), "n_known", none("double"), none("double"), "logs", "fit")
     return whole.union(part).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        (F.max("base_score") + F.sum("logs")).alias("base_score"), (F.max("score") + F.sum("logs")).alias("score"),
+        (F.max("base_score") + F.sum("logs")).alias("base_score"), (F.max("score") + F.sum("fit")).alias("score"),
     ).select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

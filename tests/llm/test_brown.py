@@ -107,3 +107,51 @@ def test_odd_rows(spark):
     untrained = brown.score(docs, F.lit(False)).collect()
     assert len(untrained) == len(rows) and all(r.n_known == 0 and r.train_tokens == 0 for r in untrained)
     assert brown.score(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_every_training_word_chooses_its_class(spark, monkeypatch):
+    """Words of one ending and pool, some before x and some before y, part by their neighbours; the dictionary's size changes nothing."""
+    texts = [f"a{i % 40}ing x p q" if i % 2 else f"b{i % 40}ing y r s" for i in range(400)] + ["once1ing x p q", "once2ing y r s", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(brown, "CORE", 8)
+    scores = []
+    for size in (300_000, 8):
+        monkeypatch.setattr(brown, "DICTIONARY", size)
+        counts = brown.word_counts(docs.select("text")).cache()
+        model = brown.learn(docs.select("text"), counts)
+        classes = {w: model.label[model.words.units[i]] for i, w in enumerate(model.words.words)}
+        rare = {r.key: r.label for r in model.rare.collect()}
+        of = lambda word: classes[word] if word in classes else rare[brown.key_of(word)]
+        assert len(classes) + len(rare) == counts.count() and (size > 8 or len(rare) > 30)
+        before_x, before_y = {of(b"a%ding" % i) for i in range(1, 40, 2)}, {of(b"b%ding" % i) for i in range(0, 40, 2)}
+        assert not before_x & before_y and of(b"once1ing") in before_x and of(b"once2ing") in before_y
+        scores.append([r.score for r in brown.score(docs, F.lit(True)).orderBy("doc_id").collect()])
+    assert scores[0] == pytest.approx(scores[1], rel=1e-9)
+
+
+def test_grid_and_scores_by_hand_with_words_outside_the_dictionary(spark, monkeypatch):
+    texts = ["a b c d a b", "e f a", "a b", "", "f e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(brown, "DICTIONARY", 3)
+    monkeypatch.setattr(brown, "CORE", 2)
+    counts = brown.word_counts(docs.select("text")).cache()
+    model = brown.learn(docs.select("text"), counts)
+    classes = {w: int(model.label[model.words.units[i]]) for i, w in enumerate(model.words.words)}
+    rare = {r.key: r.label for r in model.rare.collect()}
+    assert rare
+    of = lambda w: classes[w] if w in classes else rare[brown.key_of(w)]
+    streams = [[b"\n", *text.encode().split(), b"\n"] for text in texts]
+    pairs = Counter((of(x), of(y)) for s in streams for x, y in zip(s, s[1:]))
+    n = Counter(w for s in streams for w in s[1:])
+    first, mass, kinds = Counter(), Counter(), Counter()
+    for (x, _), k in pairs.items():
+        first[x] += k
+    for w, k in n.items():
+        mass[of(w)] += k
+        kinds[of(w)] += 1
+    for r in brown.score(docs, F.lit(True)).collect():
+        total = 0.0
+        for x, y in zip(streams[r.doc_id], streams[r.doc_id][1:]):
+            total += math.log10((pairs[of(x), of(y)] + 0.5) / (first[of(x)] + 0.5 * (brown.CLASSES + 1)))
+            total += math.log10((n[y] + 0.5) / (mass[of(y)] + 0.5 * (kinds[of(y)] + 1)))
+        assert r.score == pytest.approx(total, rel=1e-9)
