@@ -8,8 +8,8 @@ is left. The share of an item's words that lie in tiles is its coverage, so a pa
 up and put together in another order still counts.
 
 Items are taken in blocks of bounded size, each sent to the tasks once, and every block meets every
-whole document, so neither side has to be small. Items of fewer words than MIN_MATCH have no seed and
-are never found.
+whole document, so neither side has to be small. An item of fewer words than MIN_MATCH is a seed as a
+whole. In scripts without spaces (Han, Kana, Thai, Lao, Burmese, Khmer) every letter is a word.
 """
 
 from __future__ import annotations
@@ -33,11 +33,18 @@ BLOCK_CHARS = 8_000_000
 HITS_AT_ONCE = 1_000_000
 
 _WORD = re.compile(r"\w+")
+_NO_SPACES = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+_LETTER = re.compile(f"[{_NO_SPACES}]")
+_WORD_OR_LETTER = re.compile(rf"(?=\w)[{_NO_SPACES}]|[^\W{_NO_SPACES}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    return (_WORD if low.isascii() or not _LETTER.search(low) else _WORD_OR_LETTER).findall(low)
 
 
 def rolling_hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -91,9 +98,12 @@ def _joined(runs: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items, ready to be compared with documents."""
+    """A block of benchmark items, ready to be compared with documents.
 
-    def __init__(self, rows: list[tuple[int, str]], min_match: int = MIN_MATCH):
+    Items of fewer words than `min_match` are seeds as a whole if `short` is set, else they are never found.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], min_match: int = MIN_MATCH, short: bool = False):
         self.min_match = min_match
         self.ids = [item for item, _ in rows]
         self.number: dict[str, int] = {}
@@ -109,6 +119,11 @@ class Items:
         self.seeds, self.owner, self.place = seeds[order], owner[order], place[order]
         self.flat = np.concatenate(self.words or [np.zeros(0, np.uint64)])
         self.begin = np.cumsum([0, *map(len, self.words)])
+        #: items of n < min_match words by n, with their numbers here
+        self.short: list[tuple[list[int], Items]] = []
+        for n in sorted({len(w) for w in self.words if short and 0 < len(w) < min_match}):
+            at = [i for i, w in enumerate(self.words) if len(w) == n]
+            self.short.append((at, Items([rows[i] for i in at], n)))
 
     def _runs(self, ids: np.ndarray) -> np.ndarray:
         """Rows (item, item position - document position, document position, hits): adjacent verified seeds."""
@@ -138,6 +153,11 @@ class Items:
     def compare(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item number, words, covered words, tiles) for every item that shares a seed with the text."""
         words = words_of(text)
+        short = [(at[i], *rest) for at, items in self.short for i, *rest in items.compare_words(words)]
+        return self.compare_words(words) + short
+
+    def compare_words(self, words: list[str]) -> list[tuple[int, int, int, int]]:
+        """The same for a text's words, by seeds of `min_match` words only."""
         if len(words) < self.min_match or not len(self.seeds):
             return []
         number = self.number.get
@@ -159,7 +179,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, min_match: int) -
     blocks = -(-size // BLOCK_CHARS)
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        yield Items([(r["item_id"], r["text"]) for r in sorted(part, key=lambda r: (str(r["item_id"]), r["text"]))], min_match)
+        yield Items([(r["item_id"], r["text"]) for r in sorted(part, key=lambda r: (str(r["item_id"]), r["text"]))], min_match, short=True)
 
 
 def leaks(

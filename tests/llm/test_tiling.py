@@ -74,3 +74,21 @@ def test_empty_tables(spark):
     assert tiling.leaks(docs.limit(0), bench).count() == 0
     assert tiling.leaks(docs, bench.limit(0)).count() == 0
     assert docs.where(~tiling.is_leak(docs, bench.limit(0))).count() == 1
+
+
+def test_short_items_and_scripts_without_spaces():
+    items = tiling.Items([(1, "To be, or"), (2, "yes"), (3, "月が綺麗ですね"), (4, "one two three four five six"), (5, "")], short=True)
+    shown = lambda text: [(items.ids[i], n, covered, tiles) for i, n, covered, tiles in items.compare(text)]
+    assert shown("He said to be or not") == [(1, 3, 3, 1)]
+    assert shown("to or be") == [] and shown("") == [] and shown("or to be") == []
+    assert shown("yes: to be or. yes") == [(2, 1, 1, 1), (1, 3, 3, 1)]
+    assert shown("昨日は月が綺麗ですねと言った") == [(3, 7, 7, 1)]
+    assert shown("one two three four five") == [(4, 6, 5, 1)]
+    assert tiling.words_of("GPT4は東京 été ไทย") == ["gpt4", "は", "東", "京", "été", "ไ", "ท", "ย"]
+
+
+def test_documents_that_hold_a_short_item(spark):
+    docs = spark.createDataFrame([(1, "He said to be or not"), (2, "or to be"), (3, "昨日は月が綺麗ですねと言った")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "To be, or"), (8, "月が綺麗ですね")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in tiling.leaks(docs, bench).collect()) == [(1, 7, 1.0), (3, 8, 1.0)]
+    assert [r.doc_id for r in docs.where(~tiling.is_leak(docs, bench)).collect()] == [2]
