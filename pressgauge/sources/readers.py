@@ -97,9 +97,12 @@ GEOJSON_SCHEMA = (
 )
 
 
-def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """Features (name, geometry_type, coordinates as JSON text) of a local GeoJSON file."""
-    features = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path)
+def read_boundaries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Features (name, geometry_type, coordinates as JSON text) of a GeoJSON file, or of a folder of such files.
+
+    A file is one collection, read by one task; with `lines` each of its lines is one, and many tasks read it.
+    """
+    features = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", not lines).json(path)
     return features.select(F.explode("features").alias("f")).select(
         F.coalesce(
             F.when(F.col("f.properties.LAD23NM") != "", F.col("f.properties.LAD23NM")),

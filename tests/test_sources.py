@@ -129,3 +129,17 @@ def test_pipeline_and_reuse(spark, tmp_path):
     assert again["cleaned_articles"].inputFiles() == before
     with pytest.raises(ValueError):
         readers.require_rows(index.limit(0), "empty")
+
+
+def test_all_boundaries_are_written_by_many_tasks(spark, tmp_path):
+    from pressgauge.plans.catalog import write_boundaries
+
+    places = spark.createDataFrame(
+        [(f"r{i}", "Point" if i % 4 == 2 else None if i % 4 == 3 else "Polygon", "[0,0]" if i % 4 == 2 else None if i % 4 == 3 else "[[[0,0],[1,0],[0,0]]]") for i in range(40)],
+        "name string, geometry_type string, coordinates string",
+    ).repartition(4)
+    write_boundaries(places, str(tmp_path / "g"))
+    assert len(list((tmp_path / "g").glob("part*"))) == 4
+    back = readers.read_boundaries(spark, str(tmp_path / "g"), lines=True)
+    assert sorted(back.collect(), key=str) == sorted(places.collect(), key=str)
+    assert readers.outer_rings(back).count() == 20
