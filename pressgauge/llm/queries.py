@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import brown, langid, mtree, pfair, pii, preference, simhash, tiling, tokenfiles, winnow
+from pressgauge.llm import brown, langid, mtree, periodic, pfair, pii, preference, simhash, tiling, tokenfiles, winnow
 from pressgauge.llm.common import crc_remainder, table
 from pressgauge.llm.oracles import ORACLES
 
@@ -87,6 +87,51 @@ def op10_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """`docs`, where a tenth of the texts, chosen by their id, repeat a stretch of words from some word on.
+
+    With h = crc32 of the id, g = h div 10 and n words, a text with h % 10 = 0 has from word a = g % n on the
+    words a + (i - a) % p, p = 1 + (n - a) div (3 + g % 8).
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # the lambda's argument is computed once, however often the body names it
+    changed = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, planted(w)).otherwise(F.lit(""))), F.lit(0))
+    return docs.withColumn("text", F.when(h % 10 == 0, changed).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+
+    def order(a, b):
+        """Greatest length / period first, then the smallest start and period."""
+        left, right = a["length"] * b["period"], b["length"] * a["period"]
+        earlier = (a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["period"] < b["period"]))
+        return F.when(left > right, -1).when(left < right, 1).when(earlier, -1).otherwise(1)
+
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_mtree": op1_mtree,
     "op2_pii": op2_pii,
@@ -98,6 +143,7 @@ QUERIES = {
     "op8_string_tiling": op8_string_tiling,
     "op9_pfair_mix": op9_pfair_mix,
     "op10_line_winnow": op10_line_winnow,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 
