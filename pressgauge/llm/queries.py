@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import brown, langid, mtree, periodic, pfair, pii, preference, simhash, tiling, tokenfiles, winnow
+from pressgauge.llm import brown, langid, mtree, periodic, pfair, pii, preference, simhash, tiling, tokenfiles, variants, winnow
 from pressgauge.llm.common import crc_remainder, table
 from pressgauge.llm.oracles import ORACLES
 
@@ -132,6 +134,25 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With h = crc32 of `<doc_id>:<run>`, a run whose h is a multiple of 199 loses its code point h % length."""
+
+    def alter(doc_id: int | None):
+        start = zlib.crc32(b"%d:" % doc_id) if doc_id is not None else None
+
+        def shortened(run: bytes) -> bytes:
+            h = zlib.crc32(run, start) if start is not None else 1
+            if h % 199:
+                return run
+            letters = run.decode()
+            k = h % len(letters)
+            return (letters[:k] + letters[k + 1 :]).encode()
+
+        return shortened
+
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), alter=alter)
+
+
 QUERIES = {
     "op1_mtree": op1_mtree,
     "op2_pii": op2_pii,
@@ -144,6 +165,7 @@ QUERIES = {
     "op9_pfair_mix": op9_pfair_mix,
     "op10_line_winnow": op10_line_winnow,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 
