@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import brown, langid, mtree, periodic, pfair, pii, preference, simhash, tiling, tokenfiles, variants, winnow
+from pressgauge.llm import brown, langid, lshforest, mtree, periodic, pfair, pii, preference, simhash, tiling, tokenfiles, variants, winnow
 from pressgauge.llm.common import crc_remainder, table
 from pressgauge.llm.oracles import ORACLES
 
@@ -134,6 +134,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With h = crc32 of `<doc_id>:<run>`, a run whose h is a multiple of 199 loses its code point h % length."""
 
@@ -165,6 +169,7 @@ QUERIES = {
     "op9_pfair_mix": op9_pfair_mix,
     "op10_line_winnow": op10_line_winnow,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_minhash_forest": op12_minhash_forest,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
