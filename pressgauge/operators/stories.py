@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgauge.config import Settings
 from pressgauge.functions.hashing import stable_hash
-from pressgauge.session import stage
+from pressgauge.session import LOCATOR, stage, with_locators
 
 # "First" row of a story: by date, then id.
 ARRIVAL = ["date", "unique_article_id"]
@@ -68,20 +65,29 @@ def story_flags(candidates: DataFrame) -> DataFrame:
     )
 
 
+def _first_places(located: DataFrame) -> DataFrame:
+    """Where the first row of every story stands. Reads no text."""
+    first = F.min(F.struct(*ARRIVAL, *LOCATOR)).alias("_first")
+    return located.groupBy("story_key").agg(first).select("story_key", *[F.col(f"_first.{c}").alias(c) for c in LOCATOR])
+
+
+def _fetched(places: DataFrame, located: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """`columns` of the rows at `places`.
+
+    The places are the hashed side of the join, so wide rows are exchanged once and never sorted.
+    """
+    rows = located.select(*LOCATOR, *columns)
+    return places.hint("shuffle_hash").join(rows, LOCATOR, how).drop(*LOCATOR)
+
+
 def first_rows(candidates: DataFrame, columns: list[str]) -> DataFrame:
     """`columns` of the first row of every story.
 
-    The first row is found on narrow columns (ties by a hash of the columns asked for), and its wide
-    columns are fetched by id, so texts are neither sorted nor held in aggregation buffers.
+    The first row is found on narrow columns, with its place in the files as the last tie-breaker,
+    and its wide columns are fetched from there.
     """
-    marked = candidates.withColumn("_mark", F.xxhash64(*columns))
-    first = marked.groupBy("story_key").agg(F.min(F.struct(*ARRIVAL, "_mark")).alias("_first")).select(
-        F.col("story_key").alias("_story"), *[F.col(f"_first.{c}").alias(f"_{c}") for c in ARRIVAL], F.col("_first._mark").alias("_first_mark")
-    )
-    same = [F.col("story_key").eqNullSafe(F.col("_story")), F.col("_mark") == F.col("_first_mark")]
-    same += [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ARRIVAL]
-    found = marked.join(first, reduce(and_, same), "left_semi")
-    return found.select("story_key", *columns).dropDuplicates(["story_key"])
+    located = with_locators(candidates, "story_key", *ARRIVAL, *columns)
+    return _fetched(_first_places(located), located, [c for c in columns if c != "story_key"], "inner")
 
 
 def story_meta(candidates: DataFrame, cfg: Settings) -> DataFrame:
@@ -122,19 +128,15 @@ def story_meta(candidates: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def story_texts(candidates: DataFrame, selected: DataFrame, cfg: Settings) -> DataFrame:
-    """Text of the first row of every selected story; without sampling that is every story."""
-    rows = candidates
-    if cfg.run_mode == "dev":
-        rows = rows.join(selected.select("story_key"), "story_key", "left_semi")
-    return first_rows(rows, ["text_for_embedding"])
-
-
 def build_stories(candidates: DataFrame, selected: DataFrame, cfg: Settings) -> DataFrame:
-    """Selected stories with their text and run mode: the table that is encoded."""
-    texts = story_texts(candidates, selected, cfg)
+    """Selected stories with the text of their first row and run mode: the table that is encoded.
+
+    Texts come last: what is exchanged before is where each story's text stands.
+    """
+    located = with_locators(candidates, "story_key", *ARRIVAL, "text_for_embedding")
+    places = selected.join(_first_places(located), "story_key", "left")
     return (
-        selected.join(texts, "story_key", "left")
+        _fetched(places, located, ["text_for_embedding"], "left")
         .withColumn("text_for_embedding", F.coalesce("text_for_embedding", F.lit("")))
         .withColumn("region_spread", F.coalesce("region_spread", F.lit(1)))
         .withColumn("run_mode", F.lit(cfg.run_mode))

@@ -7,6 +7,7 @@ import uuid
 
 from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -74,3 +75,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Where a row of a written table stands: its file, by the hash of the path, and its number there.
+LOCATOR = ["_file", "_row"]
+
+
+def with_locators(df: DataFrame, *columns: str) -> DataFrame:
+    """`columns` of `df` and where each row stands in its files.
+
+    Wide columns can so be left out until the rows that need them are known. A frame that does not
+    read its files directly is written first, with the columns asked for only.
+    """
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    if df._jdf.queryExecution().analyzed().metadataOutput().toString().count("_metadata") != 1:
+        df = stage(df.select(*dict.fromkeys(columns)), "located")
+    return df.select(*dict.fromkeys(columns), *place)

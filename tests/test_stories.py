@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.config import Settings
 from pressgauge.operators import sampling, skew, stories
+from pressgauge.session import stage
 
 CFG = Settings()
 
@@ -204,3 +205,51 @@ def test_story_numbers(spark):
 def test_rebuilt_lookup(rows):
     old = rows.sparkSession.createDataFrame([("s1", 0, "t", "Hull", "w", "dev"), ("gone", 1, "t", "Hull", "w", "dev")], "story_key string, embedding_row int, text_for_embedding string, region string, week string, run_mode string")
     assert {r.story_key: r.region_spread for r in stories.rebuild_lookup(old, rows).collect()} == {"s1": 3, "gone": 1}
+
+
+def nodes(df):
+    """(name, columns) of every node of the plan before adaptive execution."""
+    plan = df._jdf.queryExecution().executedPlan()
+    waiting, found = [plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan], []
+    while waiting:
+        node = waiting.pop()
+        found.append((node.nodeName(), node.output().toString()))
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_texts_are_exchanged_once_and_never_sorted(spark, rows, no_broadcast, tmp_path, written):
+    if written:
+        rows.write.parquet(f"{tmp_path}/rows")
+        rows = spark.read.parquet(f"{tmp_path}/rows")
+    chosen = stage(stories.story_meta(rows, CFG), "chosen")
+    for built in (stories.first_rows(rows, ["text_for_embedding", "region"]), stories.build_stories(rows, chosen, CFG)):
+        with_text = [name for name, columns in nodes(built) if "text_for_embedding" in columns]
+        assert with_text.count("Exchange") == 1 and "Sort" not in with_text and "SortMergeJoin" not in with_text
+        assert not [n for n in with_text if "Aggregate" in n]
+        scans = [columns for name, columns in nodes(built) if name.startswith("Scan")]
+        assert any("text_for_embedding" not in c for c in scans)
+        assert {r.text_for_embedding for r in built.collect()} == {"first", "two"}
+
+
+def test_first_row_of_repeated_rows(spark, rows):
+    """A row that stands twice is fetched once; a story without a key is one story."""
+    twice = rows.unionByName(rows).unionByName(rows.where("story_key = 's1'").withColumn("story_key", F.lit(None).cast("string")))
+    found = stories.first_rows(twice, ["text_for_embedding"]).collect()
+    assert sorted((r.story_key or "", r.text_for_embedding) for r in found) == [("", "first"), ("s1", "first"), ("s2", "two")]
+    assert stories.first_rows(rows.limit(0), ["text_for_embedding"]).count() == 0
+
+
+def test_story_without_a_row_keeps_an_empty_text(spark, rows):
+    chosen = stories.story_meta(rows, CFG)
+    built = stories.build_stories(rows.where("story_key = 's2'"), chosen, CFG).collect()
+    assert {r.story_key: r.text_for_embedding for r in built} == {"s1": "", "s2": "two"}
