@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.config import CANDIDATE_SOURCES, Settings
 from pressgauge.functions import text
 from pressgauge.functions.once import with_columns_once
 from pressgauge.operators.sampling import sample_per_stratum
+from pressgauge.session import observed
 
+# Columns of the review sample.
 REVIEW_COLUMNS = [
     "candidate_source",
     "unique_article_id",
@@ -44,15 +48,33 @@ def filter_candidates(articles: DataFrame, cfg: Settings) -> DataFrame:
     return flag_candidates(articles, cfg).where(F.col("is_candidate"))
 
 
+def _summary_counts() -> dict[str, Column]:
+    source = F.col("candidate_source")
+    return {"total_cleaned_rows": F.count("*"), "candidate_rows": F.count_if("is_candidate")} | {
+        f"candidate_source__{name}": F.count_if(source == name) for name in CANDIDATE_SOURCES
+    }
+
+
+def _with_story_count(counted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The summary, from its counts and the candidates' story keys."""
+    sources = [c for c in counted.columns if c.startswith("candidate_source__")]
+    told = candidates.agg(F.count_distinct("story_key")).scalar().alias("unique_candidate_story_keys")
+    return counted.select("total_cleaned_rows", "candidate_rows", told, *sources)
+
+
 def candidate_summary(flagged: DataFrame) -> DataFrame:
     """One row: all rows, candidate rows, distinct candidate stories, rows per source."""
-    source = F.col("candidate_source")
-    return flagged.agg(
-        F.count("*").alias("total_cleaned_rows"),
-        F.count_if("is_candidate").alias("candidate_rows"),
-        F.count_distinct(F.when(F.col("is_candidate"), F.col("story_key"))).alias("unique_candidate_story_keys"),
-        *[F.count_if(source == name).alias(f"candidate_source__{name}") for name in CANDIDATE_SOURCES],
-    )
+    counts = {name: column.alias(name) for name, column in _summary_counts().items()}
+    told = F.count_distinct(F.when(F.col("is_candidate"), F.col("story_key"))).alias("unique_candidate_story_keys")
+    sources = [column for name, column in counts.items() if name.startswith("candidate_source__")]
+    return flagged.agg(counts["total_cleaned_rows"], counts["candidate_rows"], told, *sources)
+
+
+def filter_and_count(articles: DataFrame, cfg: Settings, write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The candidates as `write` stores them, and the summary. One pass over the texts flags, filters and counts."""
+    flagged, counted = observed(flag_candidates(articles, cfg), _summary_counts())
+    rows = write(flagged.where(F.col("is_candidate")))
+    return rows, _with_story_count(counted(), rows)
 
 
 def candidate_review_sample(candidates: DataFrame, cfg: Settings) -> DataFrame:

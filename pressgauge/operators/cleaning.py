@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from pressgauge.config import RAW_COLUMNS, Settings
 from pressgauge.functions import dates, text
 from pressgauge.functions.once import with_columns_once
 from pressgauge.operators.skew import hot_split_join
+from pressgauge.session import observed, reads_one_table, stage
 
 GROUP = ["story_key", "region", "week"]
 
@@ -78,6 +79,18 @@ def derive_flags(raw: DataFrame, cfg: Settings) -> DataFrame:
     return derive(raw, cfg).select(*REPORTED)
 
 
+def clean_and_count(raw: DataFrame, cfg: Settings, name: str = "kept") -> tuple[DataFrame, DataFrame]:
+    """Cleaned articles without duplicate weights, staged, and the report's counters of all raw rows.
+
+    One pass over the raw texts: the counters are gathered while the articles are written.
+    """
+    counters = _counters() | _missing_counts(_raw_columns(raw))
+    micros = {c: F.unix_micros(counters[c]) for c in ("clean_date_min", "clean_date_max")}
+    derived, counted = observed(derive(raw, cfg), counters | micros)
+    kept = stage(keep(derived, cfg), name)
+    return kept, counted().withColumns({c: F.timestamp_micros(c) for c in micros})
+
+
 def _missing_bits(raw: DataFrame) -> Column:
     """A bit per raw column that is null, so that counting them later reads no texts."""
     bits = [
@@ -158,27 +171,31 @@ def clean_articles(raw: DataFrame, cfg: Settings) -> DataFrame:
 
 def cleaning_counters(raw: DataFrame, cfg: Settings) -> DataFrame:
     """One row of counters; each reason is counted on its own, so reasons may overlap."""
-    return derive(raw, cfg).agg(*_counters())
+    return derive(raw, cfg).agg(*_named(_counters()))
+
 
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
 
-def _counters() -> list[Column]:
+
+def _counters() -> dict[str, Column]:
     kept = is_kept()
-    return [
-        F.count("*").alias("rows_seen"),
-        F.count_if(kept).alias("rows_kept"),
-        F.count_if("_short").alias("rows_dropped_short_text"),
-        F.count_if("_outlier").alias("rows_dropped_date_outlier"),
-        F.count_if("_no_date").alias("rows_dropped_missing_date"),
-        F.count_if("_no_region").alias("rows_dropped_missing_region"),
-        F.count_if("has_multi_tweet").alias("multi_tweet_rows"),
-        F.min(F.when(kept, F.col("date"))).alias("clean_date_min"),
-        F.max(F.when(kept, F.col("date"))).alias("clean_date_max"),
-    ]
+    return {
+        "rows_seen": F.count("*"),
+        "rows_kept": F.count_if(kept),
+        "rows_dropped_short_text": F.count_if("_short"),
+        "rows_dropped_date_outlier": F.count_if("_outlier"),
+        "rows_dropped_missing_date": F.count_if("_no_date"),
+        "rows_dropped_missing_region": F.count_if("_no_region"),
+        "multi_tweet_rows": F.count_if("has_multi_tweet"),
+        "clean_date_min": F.min(F.when(kept, F.col("date"))),
+        "clean_date_max": F.max(F.when(kept, F.col("date"))),
+    }
 
 
-def _missing_counts(columns: list[str]) -> list[Column]:
+def _missing_counts(columns: list[str]) -> dict[str, Column]:
     bit = lambda i: F.col("_missing").bitwiseAND(F.lit(1 << i).cast("long")) != 0
-    return [F.count_if(bit(i)).alias(f"_{name}") for i, name in enumerate(columns)]
+    return {f"_{name}": F.count_if(bit(i)) for i, name in enumerate(columns)}
 
 
 def _share(name: str) -> Column:
@@ -189,7 +206,7 @@ def missing_share(raw: DataFrame) -> DataFrame:
     """Rows (column_name, missing_rows, missing_share), null share without rows."""
     columns = _raw_columns(raw)
     counted = raw.select(_missing_bits(raw).alias("_missing")).agg(
-        F.count("*").alias("rows_seen"), *_missing_counts(columns)
+        F.count("*").alias("rows_seen"), *_named(_missing_counts(columns))
     )
     rows = [
         F.struct(F.lit(c).alias("column_name"), F.col(f"_{c}").alias("missing_rows"), _share(c).alias("missing_share"))
@@ -207,9 +224,20 @@ def top_regions(articles: DataFrame, n: int) -> DataFrame:
 
 
 def example_rows(articles: DataFrame, cfg: Settings) -> DataFrame:
-    """First rows by date and id, with previews of the text before and after cleaning."""
+    """First rows by date and id, with previews of the text before and after cleaning.
+
+    Of a stored table only the files that hold these rows are read for texts.
+    """
+    order = ["date", "unique_article_id"]
+    if reads_one_table(articles):
+        file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        top = articles.select(*order, file.alias("_file"), row.alias("_row")).orderBy(*order, "_file", "_row").limit(cfg.example_rows)
+        places = [(r["_file"], r["_row"]) for r in top.collect()]  # as many as the settings ask for
+        here = [(file == F.lit(f)) & (row == r) for f, r in places]
+        # a filter on files alone leaves the others unread
+        articles = articles.where(file.isin([f for f, _ in places])).where(reduce(or_, here, F.lit(False)))
     return (
-        articles.orderBy("date", "unique_article_id")
+        articles.orderBy(*order)
         .limit(cfg.example_rows)
         .select(
             "unique_article_id",
@@ -227,10 +255,11 @@ def cleaning_report(
 ) -> DataFrame:
     """The whole report as one nested row, ready for a JSON sink.
 
-    `flags` (`derive_flags`) holds the reasons of all raw rows with `raw_columns`, a few numbers each.
+    `flags` holds the counters of all raw rows (`clean_and_count`), or their reasons, a few numbers
+    each (`derive_flags`).
     """
     columns = [name for name in RAW_COLUMNS if name in raw_columns]
-    counted = flags.agg(*_counters(), *_missing_counts(columns))
+    counted = flags if "rows_seen" in flags.columns else flags.agg(*_named(_counters() | _missing_counts(columns)))
     groups = group_sizes(articles).agg(F.count("*").alias("n")).scalar()
     by_rank = F.sort_array(F.collect_list(F.struct(F.negative("rows").alias("rank"), "region", "rows")))
     tops = top_regions(articles, cfg.top_region_rows).agg(

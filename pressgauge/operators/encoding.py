@@ -1,4 +1,7 @@
-"""Text to vectors. An encoder is a function (df, text column, vector column) -> df."""
+"""Text to vectors. An encoder is a function (df, text column, vector column) -> df.
+
+Its attribute `fingerprint` names what it computes; stored vectors are reused for an equal one only.
+"""
 
 from __future__ import annotations
 
@@ -45,6 +48,7 @@ def hashing_encoder(dimension: int = 512) -> Encoder:
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
         return df.withColumn(vector, unit_counts(words))
 
+    encode.fingerprint = f"hashed words, {dimension}"
     return encode
 
 

@@ -521,8 +521,8 @@ def example_rows(spark, sf_dir):
 @query
 def cleaning_report(spark, sf_dir):
     raw = tables.raw_documents(spark, sf_dir)
-    flags = stage(cleaning.derive_flags(raw, DOC_SETTINGS), "flags")
-    report = cleaning.cleaning_report(flags, raw.columns, stage(_documents(spark, sf_dir), "kept"), DOC_SETTINGS)
+    kept, counted = cleaning.clean_and_count(raw, DOC_SETTINGS)
+    report = cleaning.cleaning_report(counted, raw.columns, kept, DOC_SETTINGS)
     return report.select(
         "run_parameters.text_min_length",
         "summary.rows_seen",

@@ -1,12 +1,17 @@
 """The whole pipeline as stages between stored tables.
 
 Every stage reads the table before it, so a stage whose table is complete can be skipped, and a
-failed run goes on from the last complete table.
+failed run goes on from the last complete table. Beside a complete table stands the fingerprint of
+what it was made from: settings, input files and, for vectors, the encoder. A stage is skipped only
+if all of these are as they were.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,29 +29,52 @@ from pressgauge.operators import (
     scoring,
     stories,
 )
-from pressgauge.session import stage, use_utc
+from pressgauge.session import input_fingerprint, stage, use_utc
 from pressgauge.sources import readers, writers
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to the end: its mark is a table of its own, written afterwards."""
+def is_complete(spark: SparkSession, path: str, key: str | None = None) -> bool:
+    """Whether a table was written to the end, and from what `key` names if one is given.
+
+    The mark is a table of its own, written after the table.
+    """
     try:
-        return spark.read.schema("done boolean").parquet(f"{path}.done").count() > 0
+        marks = spark.read.schema("fingerprint string").parquet(f"{path}.done").collect()
     except AnalysisException:
         return False
+    return bool(marks) and (key is None or marks[0]["fingerprint"] == key)
+
+
+def mark_complete(spark: SparkSession, path: str, key: str | None = None) -> None:
+    row = spark.createDataFrame([(key,)], "fingerprint string")
+    writers.write_table(row.coalesce(1), f"{path}.done")
 
 
-def mark_complete(spark: SparkSession, path: str) -> None:
-    writers.write_table(spark.range(1).select(F.lit(True).alias("done")), f"{path}.done")
+def is_current(spark: SparkSession, key: str | None, *paths: str) -> bool:
+    """Whether all of the tables were made from what `key` names; never so for an unknown origin."""
+    return key is not None and all(is_complete(spark, path, key) for path in paths)
 
 
-def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], reuse: bool) -> DataFrame:
-    if not (reuse and is_complete(spark, path)):
+def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], reuse: bool, key: str | None) -> DataFrame:
+    if not (reuse and is_current(spark, key, path)):
+        writers.remove(spark, f"{path}.done")  # the old mark must not stand beside a half-written table
         writers.write_table(make(), path)
-        mark_complete(spark, path)
+        mark_complete(spark, path, key)
     return readers.read_table(spark, path)
 
 
+def origin(raw: DataFrame, cfg: Settings) -> str | None:
+    """Names the settings and the input files; None if the input comes from no files."""
+    files = input_fingerprint(raw)
+    written = json.dumps(asdict(cfg), sort_keys=True, default=str)
+    return None if files is None else hashlib.sha256(f"{files} {written}".encode()).hexdigest()
+
+
+def encoded_origin(key: str | None, encoder: encoding.Encoder) -> str | None:
+    named = getattr(encoder, "fingerprint", None)
+    return None if key is None or named is None else hashlib.sha256(f"{key} {named}".encode()).hexdigest()
+
+
 def select_stories(candidates: DataFrame, cfg: Settings) -> DataFrame:
     """Sampled (or all) stories with text, ready to be encoded."""
     chosen = stage(sampling.sample_stories(stories.story_meta(candidates, cfg), cfg), "selected")
@@ -91,41 +119,49 @@ def build_tables(
     out_dir: str,
     reuse: bool = False,
 ) -> dict[str, DataFrame]:
-    """Raw articles to the risk index; each table is stored under `out_dir`."""
+    """Raw articles to the risk index; each table is stored under `out_dir`.
+
+    Raw texts are scanned once, and cleaned texts once to find the candidates; counters are gathered
+    on the way. `reuse` skips what the same settings, input files and encoder have made before.
+    """
     use_utc(spark)
     at = lambda name: f"{out_dir}/{name}"
 
-    if not (reuse and is_complete(spark, at("cleaned_articles")) and is_complete(spark, at("cleaning_report"))):
-        # the weights read the articles twice, so they are staged; the report needs flags only
-        articles = stored(
-            spark,
-            at("cleaned_articles"),
-            lambda: cleaning.with_duplicate_weight(stage(cleaning.keep_articles(raw, cfg), "kept")),
-            reuse,
-        )
-        flags = stage(cleaning.derive_flags(raw, cfg), "flags")
-        writers.write_json(cleaning.cleaning_report(flags, raw.columns, articles, cfg), at("cleaning_report"))
-        mark_complete(spark, at("cleaning_report"))
+    key = origin(raw, cfg)
+    encoded_key = encoded_origin(key, encoder)
+
+    if not (reuse and is_current(spark, key, at("cleaned_articles"), at("cleaning_report"))):
+        # one pass over the raw texts writes the articles and counts; the weights read them staged
+        kept, counted = cleaning.clean_and_count(raw, cfg)
+        articles = stored(spark, at("cleaned_articles"), lambda: cleaning.with_duplicate_weight(kept), False, key)
+        writers.write_json(cleaning.cleaning_report(counted, raw.columns, articles, cfg), at("cleaning_report"))
+        mark_complete(spark, at("cleaning_report"), key)
     articles = readers.read_table(spark, at("cleaned_articles"))
 
-    rows = stored(
-        spark, at("candidate_articles"), lambda: candidate_ops.filter_candidates(articles, cfg), reuse
-    )
+    if not (reuse and is_current(spark, key, at("candidate_articles"), at("candidate_summary"))):
+        rows, summary = candidate_ops.filter_and_count(
+            articles, cfg, lambda found: stored(spark, at("candidate_articles"), lambda: found, False, key)
+        )
+        writers.write_json(summary, at("candidate_summary"))
+        mark_complete(spark, at("candidate_summary"), key)
+    rows = readers.read_table(spark, at("candidate_articles"))
     readers.require_rows(rows, "no candidate articles")
     writers.write_csv(candidate_ops.candidate_review_sample(rows, cfg), at("candidate_review_sample"))
 
-    lookup = stored(spark, at("story_lookup"), lambda: stories.number_stories(select_stories(rows, cfg)), reuse)
+    lookup = stored(spark, at("story_lookup"), lambda: stories.number_stories(select_stories(rows, cfg)), reuse, key)
     vectors = stored(
         spark,
         at("story_embeddings"),
         lambda: encoding.embed_stories(lookup, encoder).select("story_key", "embedding"),
         reuse,
+        encoded_key,
     )
     scores = stored(
         spark,
         at("story_scores"),
         lambda: score_embedded(readers.attach_vectors(lookup, vectors), encoder, cfg),
-        False,
+        reuse,
+        encoded_key,
     )
     readers.require_rows(scores.where("is_econ"), "no economic stories")
 
@@ -135,9 +171,8 @@ def build_tables(
     with_source = readers.read_table(spark, at("scored_articles"))
     writers.write_csv(scoring.econ_review_sample(with_source, cfg), at("econ_review_sample"))
     scored = with_source.select(*scoring.SCORED_COLUMNS)
-    index = stored(spark, at("regional_topic_index"), lambda: index_of(rows, scores, cfg), False)
+    index = stored(spark, at("regional_topic_index"), lambda: index_of(rows, scores, cfg), reuse, encoded_key)
     counters = {
-        "candidate_summary": candidate_ops.candidate_summary(candidate_ops.flag_candidates(articles, cfg)),
         "candidate_profile": profiles.candidate_profile(rows),
         "vector_profile": profiles.vector_profile(readers.attach_vectors(lookup, vectors)),
         "story_score_summary": profiles.story_score_summary(scores),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyarrow.fs import FileSystem, FileType, LocalFileSystem
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -81,6 +84,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 LOCATOR = ["_file", "_row"]
 
 
+def reads_one_table(df: DataFrame) -> bool:
+    """Whether `df` is a table as its files have it, so that files and places of its rows are known."""
+    return df._jdf.queryExecution().analyzed().metadataOutput().toString().count("_metadata") == 1
+
+
 def with_locators(df: DataFrame, *columns: str) -> DataFrame:
     """`columns` of `df` and where each row stands in its files.
 
@@ -88,6 +96,38 @@ def with_locators(df: DataFrame, *columns: str) -> DataFrame:
     read its files directly is written first, with the columns asked for only.
     """
     place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    if df._jdf.queryExecution().analyzed().metadataOutput().toString().count("_metadata") != 1:
+    if not reads_one_table(df):
         df = stage(df.select(*dict.fromkeys(columns)), "located")
     return df.select(*dict.fromkeys(columns), *place)
+
+
+def observed(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """`df`, and the metrics of its rows as a table of one row, to be asked for once `df` has been written.
+
+    The pass that writes `df` gathers them. Write it without a shuffle behind `df`: tasks that write
+    count once, however often they are tried. Metrics are numbers, truth values or strings.
+    """
+    seen = Observation()
+    spark = df.sparkSession
+    schema = df.agg(*[value.alias(name) for name, value in metrics.items()]).schema
+
+    def row() -> DataFrame:
+        found = seen.get
+        return spark.createDataFrame([tuple(found[name] for name in metrics)], schema)
+
+    return df.observe(seen, *[value.alias(name) for name, value in metrics.items()]), row
+
+
+def input_fingerprint(df: DataFrame) -> str | None:
+    """A digest of what `df` reads: its files with their lengths and times. None if it reads no files.
+
+    Files are listed by Spark, not read; only one row reaches the driver.
+    """
+    files = df.inputFiles()
+    if not files:
+        return None
+    listed = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+    mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    total = listed.agg(F.count("*").alias("n"), F.sum(mark).alias("mark")).first()
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    return hashlib.sha256(f"{total['n']} {total['mark']} {re.sub('#[0-9]+', '', plan)}".encode()).hexdigest()

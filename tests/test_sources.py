@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pressgauge.config import RAW_COLUMNS, Settings, load_settings
 from pressgauge import session
@@ -143,3 +144,83 @@ def test_all_boundaries_are_written_by_many_tasks(spark, tmp_path):
     back = readers.read_boundaries(spark, str(tmp_path / "g"), lines=True)
     assert sorted(back.collect(), key=str) == sorted(places.collect(), key=str)
     assert readers.outer_rings(back).count() == 20
+
+
+class Counted:
+    """A frame whose column `name` counts how often it is computed."""
+
+    def __init__(self, df, name):
+        self.times = df.sparkSession.sparkContext.accumulator(0)
+        times = self.times
+
+        @F.udf("string")
+        def seen(value):
+            times.add(1)
+            return value
+
+        self.df = df.withColumn(name, seen.asNondeterministic()(name))
+
+
+def test_raw_texts_are_read_once(spark, tmp_path):
+    cfg = tables.DOC_MODEL_SETTINGS
+    raw = stage(tables.raw_documents(spark, SF), "raw")
+    counted = Counted(raw, "article_text")
+    made = pipeline.build_tables(spark, counted.df, hashing_encoder(64), cfg, str(tmp_path / "out"))
+    assert counted.times.value == raw.count()
+    report = spark.read.json(str(tmp_path / "out/cleaning_report")).first()
+    flags = cleaning.derive_flags(raw, cfg)
+    plain = cleaning.cleaning_report(flags, raw.columns, made["cleaned_articles"], cfg)
+    plain.write.json(str(tmp_path / "plain"))
+    assert report == spark.read.schema(spark.read.json(str(tmp_path / "out/cleaning_report")).schema).json(str(tmp_path / "plain")).first()
+    summary = spark.read.json(str(tmp_path / "out/candidate_summary")).first().asDict()
+    assert summary == candidates.candidate_summary(candidates.flag_candidates(made["cleaned_articles"], cfg)).first().asDict()
+
+
+def files_read(df):
+    """Files that the scans of a collected frame have read."""
+    plan = df._jdf.queryExecution().executedPlan()
+    waiting, total = [plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan], 0
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply("numFiles").value()
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_examples_of_a_stored_table_read_few_files(spark, tmp_path):
+    cfg = tables.DOC_SETTINGS.with_(example_rows=2)
+    articles = cleaning.clean_articles(tables.raw_documents(spark, SF), cfg)
+    articles.repartition(12).write.parquet(str(tmp_path / "a"))
+    written = spark.read.parquet(str(tmp_path / "a"))
+    found = cleaning.example_rows(written, cfg)
+    assert found.collect() == cleaning.example_rows(articles, cfg).collect()
+    assert len(list((tmp_path / "a").glob("part*"))) == 12 and files_read(found) <= cfg.example_rows
+
+
+def test_reuse_notices_settings_files_and_encoder(spark, tmp_path):
+    cfg, out = tables.DOC_MODEL_SETTINGS, str(tmp_path / "out")
+    tables.raw_documents(spark, SF).repartition(3).write.parquet(str(tmp_path / "raw"))
+    names = ("cleaned_articles", "story_lookup", "story_embeddings", "story_scores", "regional_topic_index")
+
+    def build(cfg, encoder):
+        made = pipeline.build_tables(spark, spark.read.parquet(str(tmp_path / "raw")), encoder, cfg, out, reuse=True)
+        return {name: sorted(made[name].inputFiles()) for name in names}
+
+    first = build(cfg, hashing_encoder(64))
+    assert build(cfg, hashing_encoder(64)) == first
+    other = build(cfg, hashing_encoder(32))
+    assert [n for n in names if other[n] == first[n]] == ["cleaned_articles", "story_lookup"]
+    changed = build(cfg.with_(text_min_length=cfg.text_min_length + 400), hashing_encoder(32))
+    assert not [n for n in names if changed[n] == other[n]]
+    file = next((tmp_path / "raw").glob("part-00001*"))
+    spark.read.parquet(str(file)).limit(20).coalesce(1).write.parquet(str(tmp_path / "less"))
+    file.write_bytes(next((tmp_path / "less").glob("part*")).read_bytes())
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    spark.catalog.clearCache()
+    again = build(cfg.with_(text_min_length=cfg.text_min_length + 400), hashing_encoder(32))
+    assert not [n for n in names if again[n] == changed[n]]
+    # an encoder without a name is never trusted
+    plain = hashing_encoder(32)
+    nameless = build(cfg.with_(text_min_length=cfg.text_min_length + 400), lambda *a: plain(*a))
+    assert [n for n in names if nameless[n] == again[n]] == ["cleaned_articles", "story_lookup"]
