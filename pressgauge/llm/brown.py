@@ -3,12 +3,11 @@
 A word's probability after another is the probability of its class after the other's class, times
 the probability of the word in its class. Every word of the corpus has a class of its own choice:
 
-* to begin with, the most frequent words (at most CORE, by a threshold on the count) are exchanged one by
-  one, and all other words in POOLS pools by their last three bytes;
-* then every word of the training rows, pools or not, moves to the class that suits the classes before and
-  after it best, all at once (of the most frequent ones a part), in at most ROUNDS rounds and as long as the
-  likelihood rises. Counts by word and class are summed by key, and words choose in tasks; only the grid of
-  classes and the labels of the dictionary meet the driver. The labels of all other words stay in a table.
+* the CORE most frequent words, by rank, are exchanged one by one, and all other words in POOLS pools by
+  their last three bytes;
+* then every other word of the training rows moves to the class that suits the classes before and after it
+  best. Counts by word and class are summed by key, and words choose in tasks; only the grid of classes and
+  the labels of the dictionary meet the driver. The labels of all other words stay in a table.
 
 Only words that no training row has get their class from their pool. Word counts, class sizes, transitions and the unigram figures come from all training rows. The words
 above a second threshold (at most DICTIONARY) travel to the tasks with their counts, which covers
@@ -38,9 +37,8 @@ POOLS = 128
 CLASSES = 48
 DICTIONARY = 300_000
 SWEEPS = 10
-ROUNDS = 3
 FLUSH = 400_000
-STREAM = 500_000
+STREAM = 2_000_000
 SIDE = CLASSES + 1
 CELL = np.dtype([("cell", "u1"), ("n", "<u4")])  # class after the word, or SIDE + class before it
 #: the end of a text; no word holds a white-space byte
@@ -120,19 +118,19 @@ def _lookup(name: str, words: Words) -> dict[bytes, int]:
 
 
 def dictionary(counts: DataFrame) -> tuple[Words, int]:
-    """The frequent words and END, and the count from which a word is one of them."""
+    """The frequent words, those of the core by rank among them, and END; the count from which a word is frequent."""
     least = threshold(counts, DICTIONARY)
-    rows = counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).toArrow()
+    top = counts.orderBy(F.desc("c"), "word").limit(CORE + 1)  # END may be one of them
+    rows = counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).unionByName(top).distinct().toArrow()
     words, c = rows.column("word").to_pylist(), rows.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
     words, c = [bytes(words[i]) for i in order], c[order].astype(np.int64)
-    core_from = threshold(counts, CORE)
-    core = sum(1 for w, n in zip(words, c) if n >= core_from and w != END)
+    core = min(CORE, sum(w != END for w in words))
     units, at = np.zeros(len(words), np.int64), 0
-    for i, (w, n) in enumerate(zip(words, c)):
+    for i, w in enumerate(words):
         if w == END:
             units[i] = core + POOLS
-        elif n >= core_from:
+        elif at < core:
             units[i], at = at, at + 1
         else:
             units[i] = core + pool_of(w)
@@ -282,161 +280,86 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return label
 
 
-# --- rounds over all words ----------------------------------------------------------------------
+# --- every other word chooses its class ---------------------------------------------------------
 
 #: decides between classes of equal gain, such as empty ones, alike for words among the same neighbours
 _TIES = 1e-7 * np.random.default_rng(0).random((2 * SIDE, CLASSES))
+#: counts whose gains are read from a table
+TABLED = 32
 
 
-def _rare(stream: DataFrame, end: int, pools: np.ndarray) -> DataFrame:
-    """(key, label, before, after) of the words outside the dictionary: the keys of all their neighbours."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for numbers, keys in _portions(batches):
-            all_keys = numbers.astype(np.int64)
-            rare = np.nonzero(numbers < 0)[0]
-            all_keys[rare] = keys
-            columns = [keys, pools[-1 - numbers[rare]].astype(np.int32), all_keys[rare - 1], all_keys[rare + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "label", "before", "after"])
-
-    rows = stream.mapInArrow(run, "key long, label int, before long, after long")
-    return rows.groupBy("key").agg(F.max("label").alias("label"), F.collect_list("before").alias("before"), F.collect_list("after").alias("after"))
-
-
-def _packed(keys: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """One row per key, out of cells sorted by key: the key, and its CELL records as bytes."""
-    heads = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0] if len(keys) else np.zeros(0, np.int64)
-    records = np.empty(len(keys), CELL)
-    records["cell"], records["n"] = cells, counts
-    offsets = (np.r_[heads, len(keys)] * CELL.itemsize).astype(np.int32)
-    data = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(records.tobytes())])
-    return pa.array(keys[heads], pa.int64()), data
-
-
-_CONTEXT = "key long, cells binary, label int, before array<long>, after array<long>"
-_CONTEXT_TYPE = pa.schema([("key", pa.int64()), ("cells", pa.binary()), ("label", pa.int32()), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
-
-
-def _context_rows(keys: pa.Array, cells: pa.Array, more: list[pa.Array] | None = None) -> pa.RecordBatch:
-    more = more or [pa.nulls(len(keys), f.type) for f in list(_CONTEXT_TYPE)[2:]]
-    return pa.RecordBatch.from_arrays([keys, cells, *more], schema=_CONTEXT_TYPE)
+def _unit_labels(numbers: np.ndarray, label: np.ndarray, pools: np.ndarray) -> np.ndarray:
+    """The class of each token of a portion by its unit; `label` has those of the dictionary and the end."""
+    found = label[np.maximum(numbers, 0)]
+    rare = numbers < 0
+    found[rare] = pools[-1 - numbers[rare]]
+    return found
 
 
-def contexts(stream: DataFrame, rare: DataFrame, label: np.ndarray) -> DataFrame:
-    """(key, label, before, after, cells): how often each class stands before and after each word.
+def contexts(stream: DataFrame, table: Words, label: np.ndarray, pools: np.ndarray) -> DataFrame:
+    """(key, own, cells): how often each class stands after and before a word outside the core.
 
-    `label` has the classes of the dictionary and the end. The rest's classes are in `rare`, whose rows tell
-    their neighbours; so neither needs a join. A task sends one row per word and portion.
+    Cells are sorted and summed within a portion, so a task holds a portion and sends one row per word
+    and portion. `own` is the class of the word's unit.
     """
-    sent = stream.sparkSession.sparkContext.broadcast(label)
-    width, end = 2 * SIDE, len(label) - 1
-
-    def cells_of(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(total)
-        rows = _context_rows(*_packed(at // width, at % width, total[at]))
-        for low in range(0, rows.num_rows, 20_000):
-            yield rows.slice(low, 20_000)
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = sent.value
-        total = np.zeros(end * width, np.uint32)
-        for numbers, _ in _portions(batches):
-            numbers = numbers.astype(np.int64)
-            x, y = numbers[:-1], numbers[1:]
-            both = (x >= 0) & (y >= 0)
-            x, y = x[both], y[both]
-            first, second = x != end, y != end
-            np.add.at(total, x[first] * width + label[y[first]], 1)
-            np.add.at(total, y[second] * width + SIDE + label[x[second]], 1)
-        yield from cells_of(total)
-
-    def uncommon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = sent.value
-        total = np.zeros(end * width, np.uint32)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, mine = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-            keys, cells = [], []
-            # what stands before a word has the word's class after it, and the other way round
-            for column, seen, told in ((2, SIDE, 0), (3, 0, SIDE)):
-                near = batch.column(column)
-                owner = np.repeat(np.arange(len(own)), near.value_lengths().to_numpy())
-                near = near.flatten().to_numpy()
-                known, inside = near >= 0, (near >= 0) & (near < end)
-                keys.append(own[owner[known]])
-                cells.append(seen + label[near[known]])
-                np.add.at(total, near[inside] * width + told + mine[owner[inside]], 1)
-                keys.append(near[~known])
-                # a rare neighbour gets this word's class here, and gives its own when its row comes
-                cells.append(told + mine[owner[~known]])
-            keys, cells = np.concatenate(keys), np.concatenate(cells).astype(np.int64)
-            order = np.lexsort((cells, keys))
-            keys, cells = keys[order], cells[order]
-            heads = np.nonzero(np.r_[True, (keys[1:] != keys[:-1]) | (cells[1:] != cells[:-1])])[0] if len(keys) else np.zeros(0, np.int64)
-            yield _context_rows(*_packed(keys[heads], cells[heads], np.diff(np.r_[heads, len(keys)])))
-            none = pa.array([b""] * len(own), pa.binary())
-            yield _context_rows(batch.column(0), none, [batch.column(1), batch.column(2), batch.column(3)])
-        yield from cells_of(total)
-
-    parts = stream.mapInArrow(common, _CONTEXT)
-    parts = parts.unionAll(rare.select("key", "label", "before", "after").mapInArrow(uncommon, _CONTEXT))
-    first = lambda c: F.first(c, ignorenulls=True).alias(c)
-    return parts.groupBy("key").agg(first("label"), first("before"), first("after"), F.collect_list("cells").alias("cells"))
-
-
-def _cells(batch: pa.RecordBatch, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The class of each row's word; row, cell and count of all its cells, sorted and summed."""
-    keys = batch.column(0).to_numpy()
-    own = np.where(keys >= 0, label[np.maximum(keys, 0)], np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64))
-    parts = batch.column(4)
-    owner = np.repeat(np.arange(len(keys)), parts.value_lengths().to_numpy())
-    parts = parts.flatten().to_pylist()
-    records = np.frombuffer(b"".join(parts), CELL)
-    owner = np.repeat(owner, [len(x) // CELL.itemsize for x in parts])
-    at, where = np.unique(owner * (2 * SIDE) + records["cell"], return_inverse=True)
-    n = np.bincount(where, records["n"], len(at))
-    return own, at // (2 * SIDE), at % (2 * SIDE), n
-
-
-def class_grid(context: DataFrame, label: np.ndarray, ends: int) -> np.ndarray:
-    """How often class a precedes class b; `ends` counts texts without a word."""
-    sent = context.sparkSession.sparkContext.broadcast(label)
+    chooses = np.r_[table.units >= table.core, False]
+    sent = stream.sparkSession.sparkContext.broadcast((label, pools, chooses))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SIDE, SIDE))
-        for batch in batches:
-            if batch.num_rows:
-                own, row, cell, n = _cells(batch, sent.value)
-                after, first = cell < SIDE, cell == SIDE + CLASSES  # from a word on; from the end before a text
-                np.add.at(total, (own[row[after]], cell[after]), n[after])
-                np.add.at(total, (np.full(first.sum(), CLASSES), own[row[first]]), n[first])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIDE * SIDE)), pa.array(total.ravel().astype(np.int64))], ["cell", "n"])
-
-    grid = np.zeros(SIDE * SIDE)
-    rows = context.select("key", "label", "before", "after", "cells").mapInArrow(run, "cell long, n long")
-    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        grid[r["cell"]] = r["n"]
-    grid[-1] += ends
-    return grid.reshape(SIDE, SIDE)
-
-
-def likelihood(grid: np.ndarray) -> float:
-    return float(_f(grid).sum() - _f(grid.sum(0)).sum() - _f(grid.sum(1)).sum())
+        label, pools, chooses = sent.value
+        known, width = len(label), 2 * SIDE
+        for numbers, keys in _portions(batches):
+            classes = _unit_labels(numbers, label, pools)
+            names, places = np.unique(keys, return_inverse=True)
+            word = numbers.astype(np.int64)
+            word[numbers < 0] = known + places
+            at = np.flatnonzero((numbers < 0) | chooses[np.maximum(numbers, 0)])
+            cells = np.concatenate([word[at] * width + classes[at + 1], word[at] * width + SIDE + classes[at - 1]])
+            cells.sort()
+            heads = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+            word, cell = cells[heads] // width, cells[heads] % width
+            own = np.r_[label, np.zeros(len(names), label.dtype)]
+            own[word[word >= known]] = 0
+            own[known + places] = classes[numbers < 0]
+            key = np.where(word < known, word, names[np.maximum(word - known, 0)] if len(names) else word)
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+            packed = _packed(first, cell, np.diff(np.r_[heads, len(cells)]))
+            for low in range(0, len(first), 50_000):
+                part = slice(low, low + 50_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[first][part]), pa.array(own[word[first]][part], pa.int32()), packed.slice(low, 50_000)], ["key", "own", "cells"]
+                )
+
+    return stream.mapInArrow(run, "key long, own int, cells binary")
+
+
+def _packed(first: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """CELL records as bytes, one value from each of the places `first` on."""
+    records = np.empty(len(cells), CELL)
+    records["cell"], records["n"] = cells, counts
+    offsets = (np.r_[first, len(cells)] * CELL.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(records.tobytes())])
 
 
 def best_classes(own: np.ndarray, row: np.ndarray, cell: np.ndarray, n: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """The class that raises the likelihood most, for each word taken by itself."""
+    """The class that raises the likelihood most, for each word taken by itself; cells stand by row, then cell."""
     gain = np.zeros((len(own), CLASSES))
     rows, cols = grid.sum(1)[:CLASSES], grid.sum(0)[:CLASSES]
     sides = np.concatenate([grid[:CLASSES].T, grid[:, :CLASSES]])  # per cell, the counts with each class
+    small = np.arange(1, TABLED + 1.0)[:, None, None]
+    tabled = _f(sides + small) - _f(sides) + small * _TIES
     for low in range(0, len(cell), 50_000):
         part = slice(low, low + 50_000)
-        base = sides[cell[part]]
-        at = np.arange(len(base)), own[row[part]]
-        base[at] = np.maximum(base[at] - n[part], 0)
-        value = _f(base + n[part, None]) - _f(base) + n[part, None] * _TIES[cell[part]]
-        heads = np.nonzero(np.r_[True, row[part][1:] != row[part][:-1]])[0]
+        here, size = cell[part], n[part]
+        value = tabled[np.minimum(size, TABLED).astype(np.int64) - 1, here]
+        large = np.flatnonzero(size > TABLED)
+        base, many = sides[here[large]], size[large, None]
+        value[large] = _f(base + many) - _f(base) + many * _TIES[here[large]]
+        # the word's own class is counted without the word
+        mine, at = own[row[part]], np.arange(len(here))
+        base = np.maximum(sides[here, mine] - size, 0)
+        value[at, mine] = _f(base + size) - _f(base) + size * _TIES[here, mine]
+        heads = np.flatnonzero(np.r_[True, row[part][1:] != row[part][:-1]])
         gain[row[part][heads]] += np.add.reduceat(value, heads, axis=0)
     weight = np.bincount(row[cell < SIDE], n[cell < SIDE], len(own))
     for sums in (rows, cols):
@@ -448,42 +371,87 @@ def best_classes(own: np.ndarray, row: np.ndarray, cell: np.ndarray, n: np.ndarr
     return np.where(gain[here, new] > gain[here, own] + 1e-9 * np.abs(gain[here, own]), new, own)
 
 
-def choose(context: DataFrame, grid: np.ndarray, label: np.ndarray, core: int, turn: int) -> DataFrame:
-    """(key, label, before, after) with the classes after a round."""
-    sent = context.sparkSession.sparkContext.broadcast((grid, label))
+def choose(context: DataFrame, grid: np.ndarray) -> DataFrame:
+    """(key, label, c): the class that each word chooses by the classes around it, and its count.
+
+    Rows of `contexts` are dealt by word and read in order; a word's rows are summed as they come.
+    """
+    sent = context.sparkSession.sparkContext.broadcast(grid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid, label = sent.value
+        grid, width = sent.value, 2 * SIDE
+        held = None  # the last word's key, class and counts so far
+
+        def chosen(key: np.ndarray, own: np.ndarray, row: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            label = best_classes(own, row, cell, n, grid).astype(np.int32)
+            count = np.bincount(row[cell < SIDE], n[cell < SIDE], len(own)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(label), pa.array(count)], ["key", "label", "c"])
+
         for batch in batches:
-            if batch.num_rows:
-                own, row, cell, n = _cells(batch, label)
-                keys = batch.column(0).to_numpy()
-                stays = (keys >= 0) & (keys < core) & (keys % ROUNDS != turn)
-                new = np.where(stays, own, best_classes(own, row, cell, n, grid)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new), batch.column(2), batch.column(3)], ["key", "label", "before", "after"])
-
-    schema = "key long, label int, before array<long>, after array<long>"
-    return context.select("key", "label", "before", "after", "cells").mapInArrow(run, schema)
-
-
-def refine(stream: DataFrame, table: Words, units: np.ndarray, empty: int) -> tuple[np.ndarray, DataFrame, np.ndarray]:
-    """(classes of the dictionary and the end, table of all other words, grid), from the classes of units on."""
-    label = np.r_[units[table.units], CLASSES]
-    rare = stage(_rare(stream, len(table.words), units[table.core : table.core + POOLS]), "rare")
-    best = None
-    for turn in range(ROUNDS + 1):
-        context = stage(contexts(stream, rare, label), "contexts")
-        grid = class_grid(context, label, empty)
-        if best is not None and likelihood(grid) <= likelihood(best[2]):
-            break
-        best = label, rare, grid
-        if turn < ROUNDS:
-            moved = stage(choose(context, grid, label, table.core, turn), "classes")
-            rows = moved.where("key >= 0").select("key", "label").toArrow()
-            label = label.copy()
-            label[rows.column("key").to_numpy()] = rows.column("label").to_numpy()
-            rare = moved.where("key < 0")
-    return best
+            if not batch.num_rows:
+                continue
+            keys, owns = (batch.column(i).to_numpy() for i in (0, 1))
+            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            records = [x.as_py() for x in batch.column(2)]
+            row = np.repeat(np.cumsum(np.r_[True, keys[1:] != keys[:-1]]) - 1, [len(x) // CELL.itemsize for x in records])
+            records = np.frombuffer(b"".join(records), CELL)
+            at, where = np.unique(row * width + records["cell"], return_inverse=True)
+            n = np.bincount(where, records["n"], len(at))
+            key, own, row, cell = keys[heads], owns[heads].astype(np.int64), at // width, at % width
+            if held is not None:
+                if held[0][0] == key[0]:
+                    total = held[4] + np.bincount(cell[row == 0], n[row == 0], width)
+                    rest = row > 0
+                    full = np.flatnonzero(total)
+                    row, cell = np.r_[np.zeros(len(full), np.int64), row[rest]], np.r_[full, cell[rest]]
+                    n = np.r_[total[full], n[rest]]
+                else:
+                    full = np.flatnonzero(held[4])
+                    yield chosen(held[0], held[1], np.zeros(len(full), np.int64), full, held[4][full])
+            last = len(key) - 1
+            done = row < last
+            if last:
+                yield chosen(key[:last], own[:last], row[done], cell[done], n[done])
+            held = key[last:], own[last:], None, None, np.bincount(cell[~done], n[~done], width)
+        if held is not None:
+            full = np.flatnonzero(held[4])
+            yield chosen(held[0], held[1], np.zeros(len(full), np.int64), full, held[4][full])
+
+    dealt = context.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key long, label int, c long")
+
+
+def class_grid(stream: DataFrame, label: np.ndarray, rare: DataFrame) -> np.ndarray:
+    """How often class a precedes class b, by the final classes of all words.
+
+    `label` has the classes of the dictionary and the end; those of all other words are joined to the
+    pairs that such a word stands in.
+    """
+    sent = stream.sparkSession.sparkContext.broadcast(label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = sent.value
+        for numbers, keys in _portions(batches):
+            token = label[np.maximum(numbers, 0)]
+            token[numbers < 0] = keys
+            x, y = token[:-1], token[1:]
+            both = (x >= 0) & (y >= 0)
+            cells = np.bincount(x[both] * SIDE + y[both], minlength=SIDE * SIDE)
+            full = np.flatnonzero(cells)
+            columns = np.r_[full // SIDE, x[~both]], np.r_[full % SIDE, y[~both]], np.r_[cells[full], np.ones((~both).sum(), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "y", "n"])
+
+    pairs = stage(stream.mapInArrow(run, "x long, y long, n long"), "pairs")
+    total = F.sum("n").alias("n")
+    of = lambda side: rare.select(F.col("key").alias(side), F.col("label").cast("long").alias("label"))
+    right = pairs.where("y < 0").join(of("y"), "y").groupBy("x", F.col("label").alias("y")).agg(total)
+    known = pairs.where("y >= 0").groupBy("x", "y").agg(total).unionByName(right)
+    known = stage(known, "pairs")
+    left = known.where("x < 0").join(of("x"), "x").groupBy(F.col("label").alias("x"), "y").agg(total)
+    grid = np.zeros((SIDE, SIDE))
+    for r in known.where("x >= 0").unionByName(left).groupBy("x", "y").agg(total).collect():
+        grid[r["x"], r["y"]] = r["n"]
+    return grid
 
 
 @dataclass
@@ -505,13 +473,19 @@ def learn(texts: DataFrame, counts: DataFrame) -> Model:
     stream = stage(streams(texts, table), "streams")
     pairs = unit_bigrams(stream, table)
     units = exchange(pairs)
-    label, rare, grid = refine(stream, table, units, int(pairs[-1, -1]))
+    one = np.eye(CLASSES + 1)[units]
+    label, pools = np.r_[units[table.units], CLASSES], units[table.core : table.core + POOLS]
+    chosen = stage(choose(contexts(stream, table, label, pools), one.T @ pairs @ one), "classes")
+    rows = chosen.where("key >= 0").select("key", "label").toArrow()
+    label[rows.column("key").to_numpy()] = rows.column("label").to_numpy()
+    rare = chosen.where("key < 0")
+    grid = class_grid(stream, label, rare)
     classes = CLASSES + 1
     transitions = np.log10((grid + 0.5) / (grid.sum(1, keepdims=True) + 0.5 * classes))
     mass, kinds = np.zeros(classes), np.zeros(classes)
     np.add.at(mass, label[:-1], table.counts)
     np.add.at(kinds, label[:-1], 1)
-    for r in rare.groupBy("label").agg(F.sum(F.size("before")).alias("c"), F.count("*").alias("v")).collect():
+    for r in rare.groupBy("label").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         mass[r["label"]] += r["c"]
         kinds[r["label"]] += r["v"]
     scale = np.log10(mass + 0.5 * (kinds + 1))
@@ -521,7 +495,7 @@ def learn(texts: DataFrame, counts: DataFrame) -> Model:
     table = Words(table.words, table.counts, np.where(ends, len(number) + POOLS, number), len(number))
     label = np.r_[label[:-1], units[-1 - POOLS : -1], CLASSES]
     base_scale = float(np.log10(tokens + 0.5 * (distinct + 1)))
-    return Model(table, label, transitions, scale, tokens, least, base_scale, rare.select("key", "label", F.size("before").alias("c")))
+    return Model(table, label, transitions, scale, tokens, least, base_scale, rare)
 
 
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
