@@ -12,16 +12,24 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 OP3 = """
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH l AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY 1),
+e AS (
+  SELECT c.conv_id, max(coalesce(c.text, '')) AS text FROM conversations c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn
+  WHERE role = 'assistant' GROUP BY 1),
+s AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT c.conv_id, 1, c.turn, coalesce(role, 'unknown'),
+         CASE WHEN role = 'assistant' AND c.turn = l.turn THEN coalesce(e.text, '') ELSE coalesce(c.text, '') END
+  FROM conversations c LEFT JOIN l ON c.conv_id = l.conv_id LEFT JOIN e ON c.conv_id + 1 = e.conv_id WHERE c.conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS p FROM s),
 j AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.p, b.p) AS p,
          coalesce(a.role = b.role AND a.text = b.text, false) AS same
   FROM (SELECT * FROM t WHERE side = 0) a FULL JOIN (SELECT * FROM t WHERE side <> 0) b ON a.pair_id = b.pair_id AND a.p = b.p),
 n AS (SELECT pair_id, coalesce(min(p) FILTER (NOT same) - 1, max(p)) AS n_common FROM j GROUP BY 1),
-x AS (SELECT t.*, n_common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM t JOIN n USING (pair_id)),
+x AS (SELECT t.* EXCLUDE (turn), n_common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM t JOIN n USING (pair_id)),
 y AS (SELECT *, sum(length(s)) OVER (PARTITION BY pair_id, side, p > n_common ORDER BY p)::BIGINT AS e FROM x),
 z AS (SELECT *, (e - length(text) - 8) || '-' || e AS m FROM y)
 SELECT pair_id, any_value(n_common) AS n_common,
@@ -77,7 +85,7 @@ u AS (
 c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM u),
 j AS (
   SELECT a.doc_id, a.k AS i, b.k AS o FROM c a JOIN c b
-  ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 39 AND b.upto - a.upto + a.words >= 40),
+  ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 3 AND b.upto - a.upto + a.words >= 4),
 v AS (SELECT doc_id, i, min(o) AS o FROM j GROUP BY 1, 2 UNION SELECT doc_id, max(i), o FROM j GROUP BY doc_id, o),
 g AS (
   SELECT v.doc_id, min(c.line) AS a, max(c.line) AS b, string_agg(c.n, chr(10) ORDER BY c.k) AS content

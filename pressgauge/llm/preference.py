@@ -58,6 +58,30 @@ def _mask(turns: Column, trained: Sequence[str]) -> Column:
     return F.aggregate(turns, start, step)["ranges"]
 
 
+def with_other_answer(
+    rows: DataFrame, key: str = "pair_id", turn: str = "turn", role: str = "role", text: str = "text", answers: str = "assistant"
+) -> DataFrame:
+    """The turns (key, turn, role, text) with the last answer of each conversation replaced by that of the next id.
+
+    Rejected sides for conversations that have none. The last answer is the answer with the greatest
+    turn number (of several texts with that number, all are replaced, and the greatest goes to the
+    conversation before). Where the next id has no answer, the answer is empty. Conversations
+    without an answer stay as they are, rows without id go, and an empty table gives an empty table.
+    """
+    plain = rows.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias(key), F.col(turn).alias(turn), F.col(role).alias(role), F.col(text).alias(text)
+    )
+    answer = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    last = plain.where((F.col(role) == answers) & F.col(turn).isNotNull()).groupBy(key).agg(F.max(answer).alias("_last"))
+    own = last.select(F.col(key), F.col("_last.turn").alias("_turn"))
+    other = last.select((F.col(key) - 1).alias(key), F.col("_last.text").alias("_text"))
+    replaced = (F.col(role) == answers) & (F.col(turn) == F.col("_turn"))
+    joined = plain.join(own, key, "left").join(other, key, "left")
+    return joined.select(
+        key, turn, role, F.when(replaced, F.coalesce("_text", F.lit(""))).otherwise(F.col(text)).alias(text)
+    )
+
+
 def format_pairs(
     chosen: DataFrame, rejected: DataFrame, key: str = "pair_id", turn: str = "turn", role: str = "role", text: str = "text",
     trained: Sequence[str] = TRAINED_ROLES,

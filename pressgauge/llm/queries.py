@@ -35,10 +35,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation 2i is the chosen, 2i + 1 the rejected one of pair i."""
-    rows = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2))
-    chosen, rejected = rows.where("conv_id % 2 = 0"), rows.where("conv_id % 2 <> 0")
-    pairs = preference.format_pairs(chosen, rejected)
+    """A conversation is the chosen side; the rejected one ends with the next conversation's last answer instead of its own."""
+    chosen = table(spark, sf_dir, "conversations").withColumn("pair_id", F.col("conv_id").cast("long"))
+    pairs = preference.format_pairs(chosen, preference.with_other_answer(chosen))
     shown = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws("-", r["start"], r["end"])), ",")
     return pairs.select(
         "pair_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", "rejected",

@@ -1,9 +1,10 @@
 """Repeated runs of lines, found by winnowing, in DataFrame functions only.
 
 A line is hashed after trimming and lower-casing; blank lines do not count. A window is a shortest
-sequence of lines, from a given line on or up to a given line, that holds at least MIN_WORDS words.
-Each window selects the smallest of its line hashes as its fingerprint. Two equal windows select the
-same fingerprint, so a repeated run of MIN_WORDS words or more is sure to share one; everything whose
+sequence of lines, from a given line on or up to a given line, that holds at least MIN_WORDS words:
+mostly one line, with a neighbour or more where lines are shorter than that. Each window selects the smallest of its line hashes as its fingerprint. Two equal windows select the
+same fingerprint, so a repeated line of MIN_WORDS words or more, or a repeated run of shorter ones that
+holds as many, is sure to share one. A shorter line that is repeated by itself stays; everything whose
 fingerprint occurs at a single place is out after one aggregation.
 
 The positions of repeated fingerprints are joined with the windows that selected them, forwards and
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from pressgauge.session import stage
 
-MIN_WORDS = 40
+#: Lines of fewer words than this ("Yes.") count with their neighbours only.
+MIN_WORDS = 4
 
 
 def _lines(text: Column) -> Column:

@@ -1,5 +1,8 @@
 """Language ID: held-out accuracy, families, odd rows."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from pressgauge.llm import langid
@@ -73,3 +76,38 @@ def test_every_language_is_learned(spark):
     rows = [(f"x{k}", chr(97 + k % 26) * 3 + chr(97 + k // 26) * 2 + f" {i}") for k in range(70) for i in range(2)]
     model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
     assert model.languages == sorted(f"x{k}" for k in range(70))
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(1, "½ ² Ⅷ ① 12 _"), (2, "½ a"), (3, "ª"), (4, "ʰ"), (5, "٣ ৪"), (6, "中")]
+    learn = spark.createDataFrame([("the words of it", "en"), ("les mots de la", "fr"), ("½ ② Ⅻ", "xx")], "text string, lang string")
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), learn)
+    assert {r.doc_id: r.lang_pred == "und" for r in found.collect()} == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
+    assert "xx" not in langid.fit(learn).languages
+
+
+def test_votes_equal_a_plain_loop(spark):
+    """Family, then votes of the machines of its pairs, then belief, by a loop over the fitted weights."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    rows = {r.doc_id: r for r in langid.identify(docs, docs).collect()}
+    sharp = lambda m: 1 / (1 + math.exp(-4 * max(-50.0, min(50.0, m))))
+    for doc in docs.collect():
+        vector = langid.features(doc.text or "")
+        if vector is None:
+            assert (rows[doc.doc_id].lang_pred, rows[doc.doc_id].score) == ("und", 0.0)
+            continue
+        x = np.append(vector, 1).astype(np.float32)
+        chances = [sharp(float(w @ x)) for w in model.of_family] if len(model.families) > 1 else [1.0]
+        family = max(range(len(chances)), key=lambda i: (chances[i], -i))
+        members = [i for i, lang in enumerate(model.languages) if langid.family_of(lang) == model.families[family]]
+        votes, belief = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
+        for a, b, w in model.pairs[model.families[family]]:
+            p = sharp(float(x @ w))
+            votes[a if p >= 0.5 else b] += 1
+            belief[a] += p
+            belief[b] += 1 - p
+        best = max(members, key=lambda i: (votes[i], belief[i], -i))
+        score = chances[family] / sum(chances) * (belief[best] / (len(members) - 1) if len(members) > 1 else 1)
+        assert rows[doc.doc_id].lang_pred == model.languages[best]
+        assert abs(rows[doc.doc_id].score - score) < 1e-4

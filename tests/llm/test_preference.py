@@ -1,6 +1,6 @@
 """Preference pairs: prefix, masks, odd rows."""
 
-from pressgauge.llm import preference
+from pressgauge.llm import preference, queries
 
 SCHEMA = "pair_id long, turn long, role string, text string, prompt int"
 
@@ -37,5 +37,30 @@ def test_odd_rows(spark):
     assert len(rows[5].chosen) > 100_000
 
 
+def test_rejected_side_has_the_next_answer(spark):
+    rows = [
+        (1, 0, "user", "q"), (1, 1, "assistant", "one"), (1, 2, "user", "again"), (1, 3, "assistant", "two"), (2, 0, "user", "q"),
+        (2, 1, "assistant", "other"), (3, 0, "user", "alone"), (5, 0, "assistant", None), (5, 0, "assistant", "x"), (None, 0, "assistant", "y"),
+        (6, None, "assistant", "z"),
+    ]
+    chosen, _ = frames(spark, rows, [])
+    other = preference.with_other_answer(chosen)
+    assert sorted(map(tuple, other.collect()), key=str) == sorted(
+        [(1, 0, "user", "q"), (1, 1, "assistant", "one"), (1, 2, "user", "again"), (1, 3, "assistant", "other"), (2, 0, "user", "q"),
+         (2, 1, "assistant", ""), (3, 0, "user", "alone"), (5, 0, "assistant", ""), (5, 0, "assistant", ""), (6, None, "assistant", "z")],
+        key=str,
+    )
+    found = {r.pair_id: r for r in preference.format_pairs(chosen, other).collect()}
+    assert [found[i].n_common for i in (1, 2, 3, 5, 6)] == [3, 1, 1, 0, 1]
+
+
+def test_prefixes_of_many_lengths_on_the_given_table(spark):
+    rows = queries.op3_preference_pairs(spark, "/root/testdata/sf0.01").collect()
+    assert len({r.n_common for r in rows}) >= 4
+    assert sum(r.prompt != "" for r in rows) > 0.9 * len(rows)
+    assert all(r.chosen != r.rejected for r in rows if r.chosen_mask)
+
+
 def test_empty_tables(spark):
     assert preference.format_pairs(*frames(spark, [], [])).count() == 0
+    assert preference.with_other_answer(frames(spark, [], [])[0]).count() == 0

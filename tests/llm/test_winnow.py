@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from pressgauge.llm import winnow
 
 
@@ -55,6 +57,28 @@ def test_long_passages_go_and_short_lines_stay(spark):
     assert found == {1: rows[1][1], 2: "own two\ncommon line", 3: rows[2][1]}
 
 
+def test_repeated_lines_go_wherever_they_stand(spark):
+    """A line of four words or more goes everywhere but at its first place; a lone shorter one stays."""
+    lines = ["All rights reserved by us.", "Share this page now", "Yes."]
+    rows = [(i, f"own {i} a b c\n{lines[i % 3]}\nmore {i} d e f\n{lines[(i + 1) % 3]}") for i in range(300)]
+    found = {r.doc_id: r.text.split("\n") for r in result(spark, rows, winnow.MIN_WORDS)}
+    for line, times in zip(lines, (1, 1, 200)):
+        assert sum(line in text for text in found.values()) == times
+    assert all(f"own {i} a b c" in found[i] and f"more {i} d e f" in found[i] for i in range(300))
+
+
+def test_few_repeated_lines_stay_on_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    line = F.lower(F.btrim(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")), F.lit(" \t\r\f\x0b")))
+    repeated = lambda df: (
+        df.select("doc_id", line.alias("line")).where(F.size(F.split("line", " ")) >= winnow.MIN_WORDS)
+        .groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("docs > 1")
+        .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    )
+    assert repeated(docs) > 500
+    assert repeated(winnow.dedup_lines(docs)) == 0
+
+
 def test_odd_rows(spark):
     long = "\n".join(f"line {i} of many words" for i in range(20_000))
     rows = [(1, None), (2, ""), (None, long), (4, long), (5, "\n\n \n"), (6, "a b c d e\na b c d e"), (7, "x"), (7, "x")]
