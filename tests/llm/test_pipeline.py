@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables and on odd rows."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pressgauge.llm import langid, simhash, tiling
 from pressgauge.session import stage
@@ -49,6 +51,20 @@ def test_odd_rows(spark, tmp_path):
     assert sorted((r.doc_id or 0) for r in final) == [0, 1, 5]
 
 
+def test_labels_are_told_from_the_texts(spark):
+    """A wrong or missing label gives way to the language of the text; columns keep their places."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 300")
+    wrong = F.when(F.col("doc_id") % 10 == 1, F.when(F.col("lang") == "fr", "de").otherwise("fr")).when(F.col("doc_id") % 10 != 2, F.col("lang"))
+    truth = {r.doc_id: (r.lang, r.doc_id % 10) for r in docs.collect()}
+    told = corpus_pipeline.language(spark, docs.withColumn("lang", wrong), SF)
+    assert told.columns == docs.columns
+    rows = told.collect()
+    assert len(rows) == len(truth)
+    for kind in (1, 2):
+        right = [r.lang == truth[r.doc_id][0] for r in rows if truth[r.doc_id][1] == kind]
+        assert len(right) > 30 and sum(right) >= 0.9 * len(right)
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -51,7 +51,7 @@ def test_rejected_side_has_the_next_answer(spark):
         key=str,
     )
     found = {r.pair_id: r for r in preference.format_pairs(chosen, other).collect()}
-    assert [found[i].n_common for i in (1, 2, 3, 5, 6)] == [3, 1, 1, 0, 1]
+    assert [found[i].n_common for i in (1, 2, 3, 5, 6)] == [3, 1, 1, 1, 1]
 
 
 def test_prefixes_of_many_lengths_on_the_given_table(spark):

@@ -69,9 +69,10 @@ def test_repeated_lines_go_wherever_they_stand(spark):
 
 def test_few_repeated_lines_stay_on_the_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    line = F.lower(F.btrim(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")), F.lit(" \t\r\f\x0b")))
+    line = F.lower(F.btrim("line", F.lit(" \t\r\f\x0b"))).alias("line")
+    lines = F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")
     repeated = lambda df: (
-        df.select("doc_id", line.alias("line")).where(F.size(F.split("line", " ")) >= winnow.MIN_WORDS)
+        df.select("doc_id", lines).select("doc_id", line).where(F.size(F.split("line", " ")) >= winnow.MIN_WORDS)
         .groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("docs > 1")
         .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
     )
