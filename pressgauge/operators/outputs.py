@@ -17,6 +17,7 @@ from pressgauge.functions import text
 from pressgauge.functions.math import positive
 from pressgauge.functions.once import with_columns_once
 from pressgauge.operators.skew import first_k_per_group
+from pressgauge.session import stage
 
 # Order of rows with equal risk.
 TIES = ["region", "topic", "week"]
@@ -63,14 +64,25 @@ def report_scope(index: DataFrame, cfg: Settings) -> DataFrame:
     `weeks` are the latest active weeks up to the reference week, newest first, as many as the longest
     window asks for.
     """
-    week = reference_week(index, cfg).scalar()
-    at_reference = active(index).where(F.col("week") == week)
-    most = max(cfg.recent_weeks, cfg.trend_weeks)
-    weeks = active(index).where(F.col("week") <= week).select("week").distinct().orderBy(F.desc("week")).limit(most)
-    return weeks.agg(
-        F.max("week").alias("reference_week"),
-        F.sort_array(F.collect_list("week"), asc=False).alias("weeks"),
-    ).withColumn("showcase_topic", _ranked(at_reference).limit(1).select("topic").scalar())
+    cell = F.struct("week", "topic", *[F.negative(name).alias(name) for name in RANKED])
+    # one scan: weeks x topics cells, gathered in the row that is asked for
+    gathered = _ranking(active(index), "week", "topic").agg(F.collect_list(cell).alias("cells"))
+    weeks = gathered.select("cells", F.sort_array(F.array_distinct(F.col("cells.week")), asc=False).alias("weeks"))
+    latest_of = lambda year: F.array_max(F.filter("weeks", lambda w: F.year(w) == year))
+    in_year = [latest_of(year) for year in cfg.preferred_years]
+    dated = weeks.withColumn("reference_week", F.coalesce(*in_year, F.array_max("weeks")))
+    strongest = F.array_min(
+        F.transform(
+            F.filter("cells", lambda c: c["week"] == F.col("reference_week")),
+            lambda c: F.struct(*[c[name].alias(name) for name in (*RANKED, "topic")]),
+        )
+    )
+    up_to = F.filter("weeks", lambda w: w <= F.col("reference_week"))
+    return dated.select(
+        "reference_week",
+        F.slice(up_to, 1, max(cfg.recent_weeks, cfg.trend_weeks)).alias("weeks"),
+        strongest["topic"].alias("showcase_topic"),
+    )
 
 
 def _scope(index: DataFrame, cfg: Settings, scope: DataFrame | None) -> DataFrame:
@@ -139,18 +151,23 @@ def topic_ranking(index: DataFrame, cfg: Settings, scope: DataFrame | None = Non
     return _ranked(reference_pairs(index, cfg, scope))
 
 
-def _ranked(pairs: DataFrame) -> DataFrame:
-    return (
-        pairs.groupBy("topic")
-        .agg(
-            F.sum(positive(F.col("risk_score"))).alias("total_risk"),
-            F.count_distinct("region").alias("active_regions"),
-            F.max("risk_score").alias("max_risk"),
-        )
-        .orderBy(F.desc("total_risk"), F.desc("active_regions"), F.desc("max_risk"), "topic")
+#: what topics are ranked by, largest first
+RANKED = ("total_risk", "active_regions", "max_risk")
+
+
+def _ranking(pairs: DataFrame, *keys: str) -> DataFrame:
+    return pairs.groupBy(*keys).agg(
+        F.sum(positive(F.col("risk_score"))).alias("total_risk"),
+        # the set holds region names of one week and topic: bounded by the number of regions
+        F.size(F.collect_set("region")).cast("long").alias("active_regions"),
+        F.max("risk_score").alias("max_risk"),
     )
 
 
+def _ranked(pairs: DataFrame) -> DataFrame:
+    return _ranking(pairs, "topic").orderBy(*[F.desc(name) for name in RANKED], "topic")
+
+
 def showcase_topic(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     return topic_ranking(index, cfg, scope).limit(1)
 
@@ -168,10 +185,13 @@ def showcase_window(index: DataFrame, cfg: Settings, scope: DataFrame | None = N
 def trend_regions(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """Regions with most active weeks in the showcase window, further keys breaking ties."""
     scope = _scope(index, cfg, scope)
-    at_reference = F.col("week") == _reference(scope)
+    return _trend_regions(showcase_window(index, cfg, scope), _reference(scope), cfg)
+
+
+def _trend_regions(window: DataFrame, reference: Column, cfg: Settings) -> DataFrame:
+    at_reference = F.col("week") == reference
     return (
-        showcase_window(index, cfg, scope)
-        .groupBy("region")
+        window.groupBy("region")
         .agg(
             F.count_if(F.col("n_articles") > 0).alias("active_weeks"),
             F.sum(positive(F.col("risk_score"))).alias("positive_risk"),
@@ -192,11 +212,13 @@ def trend_regions(index: DataFrame, cfg: Settings, scope: DataFrame | None = Non
 def topic_trend(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
     """Weekly share and risk of the selected regions, with the mean over all regions beside them.
 
-    Rows of the mean have the series name 'mean'.
+    Rows of the mean have the series name 'mean'. The window (a topic, the trend weeks) is staged, so
+    the index is read once.
     """
     scope = _scope(index, cfg, scope)
-    window = showcase_window(index, cfg, scope)
-    chosen = window.join(F.broadcast(trend_regions(index, cfg, scope).select("region")), "region", "left_semi")
+    window = stage(showcase_window(index, cfg, scope), "trend_window")
+    regions = _trend_regions(window, _reference(scope), cfg).select("region")
+    chosen = window.join(F.broadcast(regions), "region", "left_semi")
     lines = chosen.select("week", F.col("region").alias("series"), "topic_share", "risk_score")
     return lines.unionByName(topic_benchmark(window).withColumn("series", F.lit("mean")))
 
@@ -221,9 +243,12 @@ def overall_region_risk(index: DataFrame, cfg: Settings, scope: DataFrame | None
 
 
 def top_regions_overall(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
+    return _top_regions(overall_region_risk(index, cfg, scope), cfg)
+
+
+def _top_regions(overall: DataFrame, cfg: Settings) -> DataFrame:
     return (
-        overall_region_risk(index, cfg, scope)
-        .groupBy("region")
+        overall.groupBy("region")
         .agg(
             F.sum("overall_risk").alias("total_risk"),
             F.count_if(F.col("overall_risk") > 0).alias("active_weeks"),
@@ -235,23 +260,24 @@ def top_regions_overall(index: DataFrame, cfg: Settings, scope: DataFrame | None
 
 
 def weekly_benchmark(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
-    return (
-        overall_region_risk(index, cfg, scope)
-        .groupBy("week")
-        .agg(F.avg("overall_risk").alias("overall_risk"), F.avg("active_topics").alias("active_topics"))
-    )
+    return _benchmark(overall_region_risk(index, cfg, scope))
+
+
+def _benchmark(overall: DataFrame) -> DataFrame:
+    return overall.groupBy("week").agg(F.avg("overall_risk").alias("overall_risk"), F.avg("active_topics").alias("active_topics"))
 
 
 def overall_region_trend(index: DataFrame, cfg: Settings, scope: DataFrame | None = None) -> DataFrame:
-    """Weekly overall risk of the top regions, with the mean over all regions as series 'mean'."""
-    scope = _scope(index, cfg, scope)
-    chosen = overall_region_risk(index, cfg, scope).join(
-        F.broadcast(top_regions_overall(index, cfg, scope).select("region")), "region", "left_semi"
-    )
+    """Weekly overall risk of the top regions, with the mean over all regions as series 'mean'.
+
+    The sums per week and region of the trend weeks are staged, so the index is read once.
+    """
+    overall = stage(overall_region_risk(index, cfg, scope), "trend_overall")
+    chosen = overall.join(F.broadcast(_top_regions(overall, cfg).select("region")), "region", "left_semi")
     lines = chosen.select(
         "week", F.col("region").alias("series"), "overall_risk", F.col("active_topics").cast("double").alias("active_topics")
     )
-    return lines.unionByName(weekly_benchmark(index, cfg, scope).withColumn("series", F.lit("mean")))
+    return lines.unionByName(_benchmark(overall).withColumn("series", F.lit("mean")))
 
 
 def positive_or_all(df: DataFrame, score: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pressgauge.config import OTHER_TOPIC, Settings
 from pressgauge.functions import math
 from pressgauge.session import stage
 
+# Columns of the index.
 INDEX_COLUMNS = [
     "week",
     "region",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.config import Settings
 from pressgauge.operators import outputs
+from pressgauge.session import stage
 
 CFG = Settings(hot_pairs_top_n=3, trend_regions=2, map_regions=2)
 SCHEMA = (
@@ -118,3 +119,17 @@ def test_snippets(spark, index):
     got = outputs.representative_snippets(scored, outputs.latest_pairs(index, CFG), CFG).orderBy("snippet_rank").collect()
     assert [(r.snippet_rank, r.unique_article_id) for r in got] == [(1, "a3"), (2, "a4"), (3, "a5")]
     assert got[0].representative_snippet == "This is a first sentence of the article, long enough."
+
+
+def test_trends_read_few_tables(spark, index):
+    """The final plans read the staged window, and the scope, four times at most."""
+    scope = stage(outputs.report_scope(index, CFG), "scope")
+    for made in (outputs.topic_trend(index, CFG, scope), outputs.overall_region_trend(index, CFG, scope)):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[0].count("Scan parquet") <= 4 and "InMemoryTableScan" not in plan
+
+
+def test_scope_of_an_index_without_active_rows(index):
+    row = outputs.report_scope(index.where("n_articles = 0"), CFG).first()
+    assert (row.reference_week, row.weeks, row.showcase_topic) == (None, [], None)
