@@ -14,3 +14,12 @@ def stable_hash(seed: int, *parts: Column) -> Column:
 def hash_bin(hashed: Column, hex_digits: int = 3) -> Column:
     """Leading digits of a hash: an order-preserving bin number in [0, 16^digits)."""
     return F.conv(F.substring(hashed, 1, hex_digits), 16, 10).cast("int")
+
+
+#: places of a hash that its share of all hashes is read from
+_SHARE_DIGITS = 12
+
+
+def hash_share(hashed: Column) -> Column:
+    """Where a `stable_hash` lies among all hashes, from 0 to 1, in their order."""
+    return F.conv(F.substring(hashed, 1, _SHARE_DIGITS), 16, 10).cast("double") / float(16**_SHARE_DIGITS)

@@ -6,30 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.config import Settings
-from pressgauge.functions.hashing import hash_bin, stable_hash
-from pressgauge.operators.skew import first_k_per_group, first_n_per_group
+from pressgauge.functions.hashing import stable_hash
+from pressgauge.operators.skew import first_n_by_hash, first_n_per_group
 from pressgauge.session import stage
 
 TIERS = ("strong", "weak_url")
 
 
 def sample_per_stratum(df: DataFrame, stratum: str, row_id: str, k: int, seed: int) -> DataFrame:
-    """k rows per stratum, each row equally likely.
+    """k rows per stratum, each row equally likely: those with the smallest hashes of their ids.
 
-    The first k by hash are found on ids only, by histograms of the hash, so neither a large stratum
-    nor a large k binds one task; the chosen ids are then looked up in the wide table, and long texts
-    are neither sorted nor shuffled but for the result. `df` is read several times, so pass a stored or staged
-    table. A missing id counts as a value. Rows sharing an id are cut to k at the end.
+    One pass counts, one keeps the rows below a hash that the counts give; only these move, texts and
+    all. `df` is read twice, so pass a stored or staged table. A missing id counts as a value; rows
+    without a stratum are in no sample. Among rows sharing an id the first by their other columns count.
     """
     hashed = stable_hash(seed, F.col(row_id))
-    ids = df.select(stratum, row_id).withColumns({"_bin": hash_bin(hashed), "_order": F.struct(hashed.alias("h"), F.col(row_id).alias("id"))})
-    limits = df.groupBy(stratum).agg(F.lit(k).alias("n"))
-    chosen = first_n_per_group(ids, [stratum], [("_bin", True), ("_order", True)], limits, [row_id])
-    chosen = chosen.select(F.col(stratum).alias("_stratum"), F.col(row_id).alias("_id")).distinct()
-    same = F.col(stratum).eqNullSafe(F.col("_stratum")) & F.col(row_id).eqNullSafe(F.col("_id"))
-    found = df.join(chosen, same, "left_semi")
+    sizes = df.groupBy(stratum).agg(F.lit(k).cast("long").alias("n"), F.count("*").alias("size"))
     rest = [F.col(name) for name in df.columns if name not in (stratum, row_id)]
-    return first_k_per_group(found, [stratum], [hashed, F.col(row_id), *rest], k)
+    return first_n_by_hash(df, [stratum], hashed, [F.col(row_id), *rest], sizes, [row_id])
 
 
 def tier_targets(stories: DataFrame, cap: int, strong_share: float) -> DataFrame:
@@ -100,16 +94,11 @@ def quota_allocation(stories: DataFrame, targets: DataFrame) -> DataFrame:
 
 def take_by_quota(stories: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
     """Per (tier, region, week), the stories with the smallest hashes, as many as the quota says."""
-    hashed = stories.withColumn(
-        "_hash", stable_hash(seed, F.col("sampling_tier"), F.col("story_key"))
-    ).withColumns({"_bin": hash_bin(F.col("_hash")), "_order": F.struct("_hash", "story_key")})
-    return first_n_per_group(
-        hashed.drop("_hash"),
-        ["sampling_tier", "region", "week"],
-        [("_bin", True), ("_order", True)],
-        quotas.withColumnRenamed("quota", "n"),
-        ["story_key"],
-    ).select(*stories.columns)
+    hashed = stable_hash(seed, F.col("sampling_tier"), F.col("story_key"))
+    limits = quotas.select("sampling_tier", "region", "week", F.col("quota").alias("n"), F.col("story_count").alias("size"))
+    return first_n_by_hash(
+        stories, ["sampling_tier", "region", "week"], hashed, [F.col("story_key")], limits, ["story_key"]
+    )
 
 
 def sample_stories(stories: DataFrame, cfg: Settings) -> DataFrame:

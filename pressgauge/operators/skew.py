@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressgauge.functions.hashing import hash_share
 from pressgauge.session import stage
 
 # A key is hot from this share of the weighed rows on, or from an average shuffle partition's share if
 # that is less, so there are at most 1 / share hot keys and a cold one never outweighs a partition.
 HOT_SHARE = 1e-4
 SALTS = 4096
+#: as many lookup rows are broadcast where they are counted first
+FEW_GROUPS = 10_000
 
 
 def hot_share(df: DataFrame) -> float:
@@ -109,6 +112,36 @@ def first_n_per_group(
     )
 
 
+def first_n_by_hash(
+    df: DataFrame, group: Sequence[str], hashed: Column, ties: Sequence[Column], limits: DataFrame, salt_by: Sequence[str]
+) -> DataFrame:
+    """The n rows of each group with the smallest hashes; `limits` has (group…, n, size), size the group's rows.
+
+    Two passes whatever n: the sizes tell below which hash n rows and a margin of six standard
+    deviations are to be expected, one pass keeps these rows, and they are ranked. A group that still
+    falls short, as where many rows share a hash, is ranked as a whole. Ranked rows of a group meet
+    in one task, so n is a number that a task can sort. `df` is read again for groups that fall
+    short, so pass a stored or staged table.
+    """
+    group = list(group)
+    limits = stage(limits.where((F.col("n") > 0) & (F.col("size") > 0)).select(*group, "n", "size"), "limits")
+    margin = 6 * F.sqrt(F.col("n").cast("double")) + 20
+    below = hash_share(hashed) < (F.col("n") + margin) / F.col("size")
+    if limits.count() <= FEW_GROUPS:
+        looked_up = df.join(F.broadcast(limits), group)
+    else:
+        looked_up = hot_split_join(df, limits, group, "size", ["n", "size"], salt_by, "inner")
+    near = stage(looked_up.where(below), "smallest_hashes")
+    found = near.groupBy(*group).agg(F.count("*").alias("_found"))
+    short = limits.join(found, group, "left").where(F.coalesce("_found", F.lit(0)) < F.least("n", "size"))
+    short = stage(short.select(*group, "n", "size"), "short_groups")
+    if not short.isEmpty():
+        again = df.join(short, group)
+        near = near.join(short.select(*group), group, "left_anti").select(*again.columns).unionByName(again)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(hashed, *ties))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= F.col("n")).select(*df.columns)
+
+
 def _cut_points(
     rows: DataFrame, keys: list[str], name: str, ascending: bool, pending: DataFrame
 ) -> DataFrame:

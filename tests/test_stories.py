@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressgauge.config import Settings
+from pressgauge.functions.hashing import stable_hash
 from pressgauge.operators import sampling, skew, stories
 from pressgauge.session import stage
 
@@ -253,3 +254,20 @@ def test_story_without_a_row_keeps_an_empty_text(spark, rows):
     chosen = stories.story_meta(rows, CFG)
     built = stories.build_stories(rows.where("story_key = 's2'"), chosen, CFG).collect()
     assert {r.story_key: r.text_for_embedding for r in built} == {"s1": "", "s2": "two"}
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_smallest_hashes_equal_a_sort(spark, monkeypatch, few):
+    """Groups of all sizes, one where all rows share an id and so a hash, with n below, at and beyond the size."""
+    monkeypatch.setattr(skew, "FEW_GROUPS", few)
+    rows = [(f"g{i % 3}", f"u{i}", i) for i in range(3000)] + [("one", "same", i) for i in range(500)] + [("two", f"v{i}", i) for i in range(2)]
+    frame = stage(spark.createDataFrame(rows, "g string, uid string, x int"), "rows")
+    wanted = {"g0": 3, "g1": 400, "g2": 5000, "one": 7, "two": 2}
+    sizes = frame.groupBy("g").agg(F.count("*").alias("size"))
+    limits = sizes.join(spark.createDataFrame(list(wanted.items()), "g string, n long"), "g")
+    got = skew.first_n_by_hash(frame, ["g"], stable_hash(42, F.col("uid")), [F.col("x")], limits, ["uid"])
+    expected = set()
+    for group, n in wanted.items():
+        expected |= set(sorted((r for r in rows if r[0] == group), key=lambda r: (sha(42, r[1]), r[2]))[:n])
+    assert {tuple(r) for r in got.collect()} == expected and got.columns == frame.columns
+    assert skew.first_n_by_hash(frame, ["g"], stable_hash(42, F.col("uid")), [F.col("x")], limits.limit(0), ["uid"]).count() == 0
