@@ -188,6 +188,24 @@ def test_hash_is_stable(spark):
 
 
 WRITTEN = {
+    "5-Jan-2022": "2022-01-05 00:00:00",
+    "2022 Jan 5": "2022-01-05 00:00:00",
+    "Jan 2022": "2022-01-01 00:00:00",
+    "1/5/22": "2022-01-05 00:00:00",
+    "31/5/69": "1969-05-31 00:00:00",
+    "2022.01.05": "2022-01-05 00:00:00",
+    "20220105T101010": "2022-01-05 10:10:10",
+    "20220105101010": "2022-01-05 10:10:10",
+    "202201051010": "2022-01-05 10:10:00",
+    "2022/01/05 10:00:00.5": "2022-01-05 10:00:00",
+    "January 5th, 2022": "2022-01-05 00:00:00",
+    "2022-01-05 10:00:00 EST": "2022-01-05 15:00:00",
+    "Sat, 1 Jan 2022 10:00:00 gmt": "2022-01-01 10:00:00",
+    "5 Jan 2022 12:30 a.m.": "2022-01-05 00:30:00",
+    "5 Jan 2022 13:30 PM": None,
+    "30 Feb 2022": None,
+    "13/13/2022": None,
+    "5 Jan 2022 or so": None,
     "Wed Oct 10 20:19:24 +0000 2022": "2022-10-10 20:19:24", "31/12/2022": "2022-12-31 00:00:00", "10 Jan 2022": "2022-01-10 00:00:00",
     "Jan 10, 2022": "2022-01-10 00:00:00", "01/10/2022 10:00": "2022-01-10 10:00:00", "13/10/2022 10:00:05": "2022-10-13 10:00:05",
     "2022-01-10T10:00:00+02:00": "2022-01-10 08:00:00", "Mon, 10 Jan 2022 10:00:00 +0100": "2022-01-10 09:00:00", "10.01.2022": "2022-10-01 00:00:00",
