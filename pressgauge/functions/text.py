@@ -44,6 +44,12 @@ def keyword_pattern(terms: Sequence[str]) -> str:
     look-behind or case folding; the class lists every case variant of the first letters. Terms
     with the same first letter share a branch.
     """
+    first, literal = _alternation(terms)
+    return f"(?=[{first}])(?iu)(?<!{WORD_CHAR})(?:{literal})(?!{WORD_CHAR})"
+
+
+def _alternation(terms: Sequence[str]) -> tuple[str, str]:
+    """The letters that a term may start with, and the terms as alternatives."""
     if not terms:
         raise ValueError("a keyword list may not be empty")
     for term in terms:
@@ -56,8 +62,7 @@ def keyword_pattern(terms: Sequence[str]) -> str:
         f"{head}(?:" + "|".join(rf"\Q{tail}\E" if tail else "" for tail in tails) + ")"
         for head, tails in heads.items()
     )
-    first = "".join(sorted({variant for head in heads for variant in case_variants(head)}))
-    return f"(?=[{first}])(?iu)(?<!{WORD_CHAR})(?:{literal})(?!{WORD_CHAR})"
+    return "".join(sorted({variant for head in heads for variant in case_variants(head)})), literal
 
 
 @lru_cache
@@ -71,6 +76,37 @@ def has_keyword(text: Column, terms: Sequence[str]) -> Column:
     return F.coalesce(text, F.lit("")).rlike(keyword_pattern(terms))
 
 
+def keywords_found(text: Column, *lists: Sequence[str]) -> Column:
+    """The terms of all lists that a text holds as whole words, as many times as they stand there.
+
+    One scan for all lists. Nothing is consumed, so terms may overlap; of terms that start at one
+    place the longest is given (`any_found` knows what it implies).
+    """
+    terms = sorted({term for terms in lists for term in terms}, key=lambda term: (-len(term), term))
+    first, literal = _alternation(terms)
+    pattern = f"(?=[{first}])(?iu)(?<!{WORD_CHAR})(?=({literal})(?!{WORD_CHAR}))"
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), _folded)
+
+
+#: letters whose lower case is not that of the letter they equal when case is ignored, and that letter
+SAME_LETTERS = ("\u017f\u212a\u0130\u0131\u03c2\u00b5", "skii\u03c3\u03bc")
+
+
+def _folded(term: Column) -> Column:
+    """Letters that are equal when case is ignored become one."""
+    return F.lower(F.translate(term, *SAME_LETTERS))
+
+
+def any_found(found: Column, terms: Sequence[str], *lists: Sequence[str]) -> Column:
+    """Whether `found`, the result of `keywords_found` for `lists`, tells of one of `terms`.
+
+    A found term holds each shorter one that it starts with, up to the end of a word.
+    """
+    words = [re.compile(re.escape(term) + r"(?!\w)", re.IGNORECASE) for term in terms]
+    telling = sorted({t for each in lists for t in each if any(word.match(t) for word in words)} | set(terms))
+    return F.arrays_overlap(found, F.array(*[_folded(F.lit(term)) for term in telling]))
+
+
 def candidate_source(strong: Column, weak: Column, url: Column) -> Column:
     return (
         F.when(strong, "strong_keyword")

@@ -29,14 +29,18 @@ REVIEW_COLUMNS = [
 
 
 def flag_candidates(articles: DataFrame, cfg: Settings) -> DataFrame:
-    flagged = with_columns_once(
+    lists = cfg.strong_keywords, cfg.weak_keywords
+    found = with_columns_once(
         articles,
         {
-            "strong_keyword_hit": text.has_keyword(F.col("text_clean"), cfg.strong_keywords),
-            "weak_keyword_hit": text.has_keyword(F.col("text_clean"), cfg.weak_keywords),
+            "_found": text.keywords_found(F.col("text_clean"), *lists),
             "url_section_hit": text.has_keyword(F.col("resolved_url"), cfg.url_terms),
         },
     )
+    hits = {name: text.any_found(F.col("_found"), terms, *lists) for name, terms in zip(("strong_keyword_hit", "weak_keyword_hit"), lists)}
+    flagged = found.select(
+        *articles.columns, *[hit.alias(name) for name, hit in hits.items()], "url_section_hit"
+    )
     strong, weak, url = (F.col(f"{n}_hit") for n in ("strong_keyword", "weak_keyword", "url_section"))
     return flagged.withColumns(
         {"is_candidate": strong | weak | url, "candidate_source": text.candidate_source(strong, weak, url)}

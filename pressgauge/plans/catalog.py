@@ -837,6 +837,66 @@ def csv_round_trip(spark, sf_dir):
     return back.select("unique_article_id", "article_author", "duplicate_group", "LAD", F.length("article_text").alias("chars"))
 
 
+@query
+def limited_rows(spark, sf_dir):
+    """The first raw rows of a delimited file, in the order of their numbers."""
+    path = _folder(spark, "raw_csv")
+    writers.write_csv(tables.raw_documents(spark, sf_dir).select(*RAW_COLUMNS), path)
+    first = readers.read_raw_csv(spark, path, limit=40, order=["unique_article_id"])
+    return first.select("unique_article_id", "LAD", F.length("article_text").alias("chars"))
+
+
+RESULT_SCHEMA = "o_orderkey long, day date, price double, urgent boolean, note string, nothing string"
+
+
+@query
+def result_read_back(spark, sf_dir):
+    """A result table through a delimited file and back with its types."""
+    orders = tables.load(spark, sf_dir, "orders")
+    made = orders.select(
+        "o_orderkey", F.to_date("o_orderdate").alias("day"), F.round("o_totalprice", 2).alias("price"),
+        F.startswith("o_orderpriority", F.lit("1")).alias("urgent"),
+        F.concat(F.lit(' "'), F.col("o_orderpriority"), F.lit('",\n'), F.col("o_orderstatus"), F.lit("\\ ")).alias("note"),
+        F.lit(None).cast("string").alias("nothing"),
+    )
+    path = _folder(spark, "result_csv")
+    writers.write_csv(made, path)
+    return readers.read_result_csv(spark, path, RESULT_SCHEMA)
+
+
+@query
+def vector_round_trip(spark, sf_dir):
+    """Vectors stored by key, read back and attached to their rows; both sides must hold the same keys."""
+    vecs = tables.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("story_key"), "embedding", "label")
+    path = _folder(spark, "vectors")
+    writers.write_table(vecs.select("story_key", "embedding"), path)
+    back = readers.attach_vectors(vecs.drop("embedding"), readers.read_table(spark, path))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select(
+        "story_key", "label", F.size("embedding").alias("components"), total.alias("total"),
+        F.get("embedding", 0).cast("double").alias("first"),
+    )
+
+
+@query
+def stage_guards(spark, sf_dir):
+    """Which stages the guard stops: those without rows."""
+    orders = tables.load(spark, sf_dir, "orders")
+    stages = {
+        "orders": orders, "orders without a price": orders.where("o_totalprice < 0"), "urgent orders": orders.where("o_orderpriority = '1-URGENT'"),
+        "orders of no customer": orders.join(tables.load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti"),
+    }
+
+    def stopped(rows) -> bool:
+        try:
+            readers.require_rows(rows, "no rows")
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, stopped(rows)) for name, rows in stages.items()], "stage string, stopped boolean")
+
+
 @query
 def parquet_round_trip(spark, sf_dir):
     path = _folder(spark, "table")

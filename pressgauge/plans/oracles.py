@@ -1038,6 +1038,19 @@ ORACLES |= {
         """SELECT unique_article_id, 'says "x, y"' || chr(10) || 'and more' AS article_author, duplicate_group, "LAD",
         CAST(length(article_text) AS INTEGER) AS chars FROM raw""",
     ),
+    "limited_rows": build(
+        RAW, """SELECT unique_article_id, "LAD", CAST(length(article_text) AS INTEGER) AS chars FROM raw ORDER BY unique_article_id LIMIT 40"""
+    ),
+    "result_read_back": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 2) + 0.0 AS price,
+        starts_with(o_orderpriority, '1') AS urgent, ' "' || o_orderpriority || '",' || chr(10) || o_orderstatus || chr(92) || ' ' AS note,
+        CAST(NULL AS VARCHAR) AS nothing FROM orders""",
+    "vector_round_trip": """SELECT vec_id AS story_key, label, CAST(len(embedding) AS INTEGER) AS components,
+        round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) + 0.0 AS total,
+        round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS first FROM embeddings""",
+    "stage_guards": """SELECT 'orders' AS stage, (SELECT count(*) FROM orders) = 0 AS stopped
+        UNION ALL SELECT 'orders without a price', (SELECT count(*) FROM orders WHERE o_totalprice < 0) = 0
+        UNION ALL SELECT 'urgent orders', (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') = 0
+        UNION ALL SELECT 'orders of no customer', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) = 0""",
     "parquet_round_trip": "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 6) + 0.0 AS o_totalprice FROM orders",
     "json_round_trip": "SELECT p_partkey, p_brand, CASE WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) END AS size FROM part",
     "geojson_round_trip": """SELECT 'supplier''s ' || s_suppkey AS region_key, CAST(i AS INTEGER) AS ring_index,

@@ -29,8 +29,8 @@ def nullify(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def read_raw_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Raw articles from CSV with quoted multi-line text.
+def read_raw_csv(spark: SparkSession, path: str, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Raw articles from CSV with quoted multi-line text; with `limit` the first rows in `order`, or any.
 
     Multi-line CSV cannot be split, one file is one task: land a large corpus as Parquet first
     (many files, `read_raw_csv` then `write_table`) and start from there.
@@ -48,7 +48,9 @@ def read_raw_csv(spark: SparkSession, path: str, limit: int | None = None) -> Da
     rows = rows.withColumns(
         {name: F.col(name).try_cast("double").cast("long") for name in COUNT_COLUMNS}
     )
-    return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return rows
+    return (rows.orderBy(*order) if order else rows).limit(limit)
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

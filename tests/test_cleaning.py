@@ -102,3 +102,10 @@ def test_candidates(spark):
     assert got == {"a": "strong_keyword", "b": "weak_keyword+url_section", "c": "weak_keyword", "d": "url_section", "e": ""}
     summary = candidates.candidate_summary(flagged).first()
     assert summary.total_cleaned_rows == 5 and summary.candidate_rows == 4 and summary.unique_candidate_story_keys == 1
+
+
+def test_one_pattern_per_column(spark):
+    """Both keyword lists are sought in one scan of the text."""
+    rows = spark.createDataFrame([("t", "u", "s")], "text_clean string, resolved_url string, story_key string")
+    plan = candidates.filter_candidates(rows, CFG)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.upper().count("RLIKE") == 1

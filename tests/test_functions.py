@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -44,6 +45,24 @@ def test_url_terms(spark):
     assert evaluate(spark, urls, text.has_keyword(F.col("v"), CFG.url_terms)) == [True, False, False, True]
 
 
+def test_one_scan_tells_all_lists(spark):
+    """Overlapping, nested and folded terms of several lists, against a search per list."""
+    rng = random.Random(4)
+    strong, weak = ("cost of living", "rates", "interest rates rise"), ("cost", "living wage", "rise", "of", "interest")
+    words = ["cost", "of", "living", "wage", "rates", "ſ", "INTERE\u017fT", "rise", "risen", "xof", "co\u017ft", "r\u0130se", "a-", "_cost"]
+    values = ["", None, *[" ".join(rng.choice(words) for _ in range(rng.randint(0, 7))) for _ in range(600)]]
+    lists = strong, weak
+    for terms in lists:
+        one = evaluate(spark, values, text.has_keyword(F.col("v"), terms))
+        assert evaluate(spark, values, text.any_found(text.keywords_found(F.col("v"), *lists), terms, *lists)) == one
+        assert 50 < sum(one) < 590
+    given = WORDS + [f"{a} {b}" for a in WORDS if a for b in CFG.weak_keywords[:6]]
+    lists = CFG.strong_keywords, CFG.weak_keywords
+    for terms in lists:
+        got = evaluate(spark, given, text.any_found(text.keywords_found(F.col("v"), *lists), terms, *lists))
+        assert got == evaluate(spark, given, text.has_keyword(F.col("v"), terms))
+
+
 def test_keywords_need_word_ends():
     with pytest.raises(ValueError):
         text.keyword_pattern(["c++"])
