@@ -38,6 +38,18 @@ DIGIT_WORDS = {
     "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "zéro": "0",
     "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
+#: words that stand for two digits, and words that repeat the digit after them
+TENS = {"ten": "10", "zehn": "10", "dix": "10", "diez": "10"}
+REPEATS = {"double": 2, "triple": 3}
+AT_CODES = "&#0{0,3}64;|&#x0{0,3}40;|&commat;|%40"
+DOT_CODES = "&#0{0,3}46;|&#x0{0,3}2e;|&period;"
+#: how a host may end where neither `at` nor `dot` is marked as a sign by anything but its words
+TOP_DOMAINS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|tv|co|eu|uk|ie|de|ch|fr|nl|lu|es|pt|se|dk|fi|pl|cz|sk|hu|"
+    "ro|bg|gr|ru|ua|tr|ca|mx|br|ar|cl|au|nz|cn|jp|kr|sg|hk|za|example|test|invalid|local"
+)
+#: those that are words as well; not after `point`, which is a word itself
+TOP_WORDS = "in|at|is|me|no|be|it|us"
 # -----------------------------------------------------------------------------------------------
 
 Span = tuple[str, int, int]
@@ -176,22 +188,43 @@ _LOOKALIKE = re.compile(r"[^\x00-ɏ]|[\xa0\xad\xb2\xb3\xb9]")
 _BOXED_AT = re.compile(rf"{_PAD}{_OPEN}(?:{AT_WORDS}|@){_CLOSE}{_PAD}", re.I)
 _BOXED_DOT = re.compile(rf"{_PAD}{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}{_PAD}", re.I)
 _ANY_DOT = rf"\x20{{1,2}}(?:{DOT_WORDS}|\.)\x20{{1,2}}"
-_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])\x20{{1,2}}(?:{AT_WORDS}|@)\x20{{1,2}}(?=[A-Za-z0-9.-]++{_ANY_DOT}[A-Za-z])", re.I)
+_BARE_AT = re.compile(
+    rf"(?<=[A-Za-z0-9])\x20{{1,2}}(?:{AT_WORDS}|@)\x20{{1,2}}"
+    rf"(?=(?:[A-Za-z0-9.-]++{_ANY_DOT}){{1,8}}(?<!point\x20)(?<!point\x20\x20)(?:{TOP_DOMAINS}|{TOP_WORDS})(?![\w-])"
+    rf"|(?:[A-Za-z0-9.-]++{_ANY_DOT}){{1,8}}(?:{TOP_DOMAINS})(?![\w-]))",
+    re.I,
+)
+_CODED_AT = re.compile(rf"\x20?(?:{AT_CODES})\x20?(?=[A-Za-z0-9-]++(?:\.|{DOT_CODES}|{_ANY_DOT}|[(\[{{<])[A-Za-z]?)", re.I)
+_CODED_DOT = re.compile(DOT_CODES, re.I)
+#: signs as words between underscores or hyphens: name_at_host_dot_com
+_JOINED = re.compile(
+    rf"(?<=[A-Za-z0-9])(?:_(?:{AT_WORDS})_(?:[A-Za-z0-9-]{{1,63}}_(?:{DOT_WORDS})_){{1,4}}"
+    rf"|-(?:{AT_WORDS})-(?:[A-Za-z0-9]{{1,63}}-(?:{DOT_WORDS})-){{1,4}})(?=[A-Za-z]{{2}})",
+    re.I,
+)
+_JOINED_SIGN = re.compile(rf"([_-])(?:({AT_WORDS})|{DOT_WORDS})\1", re.I)
+_BOXED_DIGIT = re.compile(rf"(?<=[0-9\x20])[(\[](?:{_WORDS})[)\]](?=\x20?[0-9])", re.I)
+_COUNT = rf"(?:(?:{'|'.join(REPEATS)})\x20)?(?:{_WORDS})"
+_PART = rf"(?:[0-9]{{1,3}}|{'|'.join(TENS)}|{_COUNT}(?:[\x20-]{_COUNT}){{0,2}})"
+#: four numbers with dots between, of which any may be spelled
+_CHAIN = re.compile(rf"(?<![\w.]){_PART}(?:\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}{_PART}){{3}}(?!\w)", re.I)
+_CHAIN_SIGN = re.compile(rf"\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}|[0-9]|(?:{'|'.join(TENS)})(?!\w)|{_COUNT}(?!\w)", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\x20{1,2}@\x20{1,2}(?=[A-Za-z0-9-]++\.[A-Za-z])")
 _BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_ANY_DOT}(?=[A-Za-z0-9])", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+){_GAP})?(?:{_WORDS})(?:{_GAP}(?:{_WORDS})(?!\w)){{2,}}(?!\w)", re.I)
 _SPELLED_DOT = re.compile(rf"(?<=[0-9])\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}(?=[0-9])", re.I)
 _DIGIT_WORD = re.compile(rf"(?:{_WORDS})(?!\w)|plus|\+", re.I)
-_NUMBER_DOT = re.compile(rf"(?<!\w)(?:{_WORDS})\x20{{1,2}}(?:{DOT_WORDS})\x20", re.I)
 #: a run of digits of which some are spelled; single gaps, as plain numbers have them
-_MIXED = re.compile(rf"(?<!\w)(?:(?:plus|\+)\x20?)?(?:(?:{_WORDS}|[0-9]+)[\x20-]){{3,}}(?:{_WORDS}|[0-9]+)(?!\w)", re.I)
-_RUN_WORD = re.compile(rf"(?<!\w)(?:{_WORDS}|plus)(?!\w)", re.I)
+_MIXED = re.compile(rf"(?<!\w)(?:(?:plus|\+)\x20?)?(?:(?:{_COUNT}|[0-9]+)[\x20-]){{2,}}(?:{_COUNT}|[0-9]+)(?!\w)", re.I)
+_RUN_WORD = re.compile(rf"(?<!\w)(?:{_COUNT}|plus)(?!\w)", re.I)
 _HOST = re.compile(r"[A-Za-z0-9.-]*")
 #: letters that ignoring case takes for i and s, beside the capitals
 _FOLDED = str.maketrans("ıİſ", "iis")
 # what tells, in a folded text, that a transducer may have work, never less than it can rewrite; each starts with a set of characters
 _ANY_AT = re.compile(rf"\x20(?:{AT_WORDS}|@)\x20{{1,2}}[a-z0-9.-]++{_ANY_DOT}")
-_AFTER_WORD = re.compile(rf"(?:{_WORDS}|plus)(?:{_GAP}(?:{_WORDS})(?!\w)|\x20{{1,2}}(?:{DOT_WORDS})\x20)")
+_AFTER_WORD = re.compile(rf"(?:{_WORDS}|plus|{'|'.join(TENS)})(?:{_GAP}(?:{_WORDS})(?!\w)|\x20{{1,2}}(?:{DOT_WORDS})\x20)")
+_REPEATED = re.compile(rf"(?:{'|'.join(REPEATS)})\x20(?:{_WORDS})")
+_AT_JOINED = re.compile(rf"[_-](?:{AT_WORDS})[_-]")
 _AFTER_DIGIT = re.compile(rf"[0-9](?:[\x20-](?:{_WORDS})(?!\w)|\x20{{1,2}}(?:{DOT_WORDS})\x20{{1,2}}(?:[0-9]|(?:{_WORDS})(?!\w)))")
 
 
@@ -213,16 +246,46 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
     return found
 
 
+def _counted(w: re.Match) -> list[tuple[str, int, int]]:
+    """A spelled number as digits: a digit word, one that is repeated, or a word for two digits."""
+    head, _, word = _folded(w.group()).rpartition(" ")
+    if word in TENS:
+        return [(c, *w.span()) for c in TENS[word]]
+    return [(DIGIT_WORDS.get(word, "+"), *w.span())] * REPEATS.get(head, 1)
+
+
+def _chain(m: re.Match) -> list[tuple[str, int, int]]:
+    """The numbers of an address as digits, with dots between."""
+    found = []
+    for w in _CHAIN_SIGN.finditer(m.string, m.start(), m.end()):
+        sign = w.group()
+        if sign.isdigit():
+            found.append((sign, *w.span()))
+        else:
+            found += [(".", *w.span())] if sign[0] == " " else _counted(w)
+    return found
+
+
+def _joined(m: re.Match) -> list[tuple[str, int, int]]:
+    found, at = [], m.start()
+    for w in _JOINED_SIGN.finditer(m.string, m.start(), m.end()):
+        found += [(m.string[i], i, i + 1) for i in range(at, w.start())]
+        # the first sign is the @, a later `at` is a part of the host
+        found.append(("@" if w.start() == m.start() else ".", *w.span()))
+        at = w.end()
+    return found + [(m.string[i], i, i + 1) for i in range(at, m.end())]
+
+
 def _mixed(m: re.Match) -> list[tuple[str, int, int]]:
     """Spelled digits as digits, all else as it is; nothing changes in a run of one spelled digit or none."""
     words = {w.start(): w for w in _RUN_WORD.finditer(m.string, m.start(), m.end())}
+    spelled = sum(len(_counted(w)) for w in words.values())
     found, at = [], m.start()
     while at < m.end():
-        if len(words) > 1 and (w := words.get(at)):
-            word = _folded(w.group())
-            found.append((DIGIT_WORDS.get(word, "+"), *w.span()))
+        if spelled > 1 and (w := words.get(at)):
+            found += _counted(w)
             at = w.end()
-            if word == "plus":
+            if _folded(w.group()) == "plus":
                 at += 1  # its gap
         else:
             found.append((m.string[at], at, at + 1))
@@ -263,21 +326,24 @@ def _suspicious(text: str) -> bool:
         return True
     if _ANY_AT.search(low) or ("@" in text and (_BARE_DOT.search(low) or _SPACED_AT.search(low))):
         return True
-    return bool(_AFTER_DIGIT.search(low) or _AFTER_WORD.search(low))
+    if ("&" in text or "%" in text) and (_CODED_AT.search(text) or _CODED_DOT.search(text)):
+        return True
+    if _AT_JOINED.search(low) or ("(" in text or "[" in text) and _BOXED_DIGIT.search(text):
+        return True
+    return bool(_AFTER_DIGIT.search(low) or _AFTER_WORD.search(low) or _REPEATED.search(low))
 
 
 def deobfuscate(text: str) -> Traced:
     traced = Traced(text)
     traced = traced.rewrite(_LOOKALIKE, lambda m: [(c, *m.span()) for c in plain_character(m.group())])
+    traced = traced.rewrite(_CODED_AT, _sign("@")).rewrite(_CODED_DOT, _sign(".")).rewrite(_JOINED, _joined)
     traced = traced.rewrite(_BOXED_AT, _sign("@")).rewrite(_BOXED_DOT, _sign("."))
     traced = traced.rewrite(_BARE_AT, _sign("@")).rewrite(_SPACED_AT, _sign("@"))
     if "@" in traced.text:
         traced = _email_dots(traced)
-    spelled = traced.rewrite(_MIXED, _mixed).rewrite(_SPELLED, _digits)
-    if spelled is not traced or _NUMBER_DOT.search(traced.text):
-        single = re.compile(rf"(?<!\w)(?:{_WORDS})(?!\w)(?=\x20{{1,2}}(?:{DOT_WORDS})\x20)|(?<=[0-9]\x20dot\x20)(?:{_WORDS})(?!\w)", re.I)
-        spelled = spelled.rewrite(single, _digits).rewrite(single, _digits)
-    return spelled.rewrite(_SPELLED_DOT, _sign("."))
+    traced = traced.rewrite(_BOXED_DIGIT, lambda m: [(DIGIT_WORDS[_folded(m.group()[1:-1])], *m.span())])
+    traced = traced.rewrite(_CHAIN, _chain)
+    return traced.rewrite(_MIXED, _mixed).rewrite(_SPELLED, _digits).rewrite(_SPELLED_DOT, _sign("."))
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
