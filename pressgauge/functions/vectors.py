@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -52,6 +53,49 @@ def dot_products(vector: Column, references: Sequence[Sequence[float]]) -> Colum
     return products(vector)
 
 
+#: a vector by its components that are not zero
+SPARSE = "struct<size:int,positions:array<int>,values:array<double>>"
+
+
+def dense(vector) -> list[float]:
+    """A collected vector of either kind as a list."""
+    if isinstance(vector, Row):
+        whole = np.zeros(vector["size"])
+        whole[vector["positions"]] = vector["values"]
+        return whole.tolist()
+    return list(vector)
+
+
+def is_sparse(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType)
+
+
+def sparse_dot_products(vector: Column, references: Sequence[Sequence[float]]) -> Column:
+    """`dot_products` of sparse vectors: only components that are not zero are multiplied.
+
+    A null vector gives null; one of another length than the references is an error.
+    """
+    if not references:
+        raise ValueError("at least one reference vector is needed")
+    matrix = np.asarray(references, dtype="float64").T
+
+    @F.arrow_udf("array<double>")
+    def products(batch: pa.Array) -> pa.Array:
+        known = np.asarray(batch.is_valid())
+        size, place, value = (batch.filter(batch.is_valid()).field(i) for i in range(3))
+        if (size.to_numpy(zero_copy_only=False) != len(matrix)).any():
+            raise ValueError(f"a vector does not have {len(matrix)} components")
+        scores = np.zeros((len(size), matrix.shape[1]))
+        row = np.repeat(np.arange(len(size)), place.value_lengths().to_numpy(zero_copy_only=False))
+        place, value = place.flatten().to_numpy(), value.flatten().to_numpy()
+        for i in range(matrix.shape[1]):
+            scores[:, i] = np.bincount(row, value * matrix[place, i], len(size))
+        offsets = np.concatenate([[0], np.cumsum(known * matrix.shape[1])]).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.ravel()), mask=pa.array(~known))
+
+    return products(vector)
+
+
 def best_index(scores: Column) -> Column:
     """1-based position of the largest score, the first one on ties."""
     return F.array_position(scores, F.array_max(scores)).cast("int")

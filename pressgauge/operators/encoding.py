@@ -10,48 +10,103 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.config import Settings
+from pressgauge.functions import vectors
 from pressgauge.functions.text import topic_text, topic_texts
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
 ROWS_AT_ONCE = 1000
+#: words whose position a worker keeps
+KEPT_WORDS = 500_000
+
+
+class _Positions:
+    """Where words count: the first eight hex digits of their MD5 modulo the dimension."""
+
+    def __init__(self, dimension: int):
+        self.dimension, self.known = dimension, {"": -1}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > KEPT_WORDS:
+            known = self.known = {"": -1}
+        for w in words:
+            if w not in known:
+                known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dimension
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def _word_list(text: str) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+
+
+def _unit_cells(words: pa.Array, positions: _Positions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, value) of the components that are not zero, by row and position."""
+    coded = words.flatten().dictionary_encode()
+    place = positions.of(coded.dictionary.to_pylist())
+    row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+    if not len(place):
+        return row, row, np.zeros(0)
+    place = place[coded.indices.to_numpy()]
+    cells, counts = np.unique((row * positions.dimension + place)[place >= 0], return_counts=True)
+    row = cells // positions.dimension
+    length = np.sqrt(np.bincount(row, counts * counts, len(words)))
+    return row, cells % positions.dimension, counts / length[row]
 
 
 def hashing_encoder(dimension: int = 512) -> Encoder:
     """Unit vectors of hashed word counts of whole texts. Needs no model and no fit.
 
-    A word counts at the position given by the first eight hex digits of its MD5 modulo `dimension`.
     Words are split in the JVM; counting runs on Arrow batches. A text without words is the zero vector.
     """
+    positions = _Positions(dimension)
 
     @F.arrow_udf("array<double>")
     def unit_counts(words: pa.Array) -> pa.Array:
         parts = []
         for at in range(0, len(words), ROWS_AT_ONCE):
             part = words.slice(at, ROWS_AT_ONCE)
-            coded = part.flatten().dictionary_encode()
-            digests = (hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist())
-            position = np.array([int(d[:8], 16) % dimension for d in digests], np.int64)
-            row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
-            cell = row * dimension + position[coded.indices.to_numpy()] if len(position) else row
-            counts = np.bincount(cell, minlength=len(part) * dimension).reshape(len(part), dimension)
-            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-            parts.append((counts / np.where(length > 0, length, 1)).ravel())
+            row, place, value = _unit_cells(part, positions)
+            dense = np.zeros((len(part), dimension))
+            dense[row, place] = value
+            parts.append(dense.ravel())
         flat = np.concatenate(parts) if parts else np.zeros(0)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, dimension, dtype="int32")), pa.array(flat))
 
     def encode(df: DataFrame, text: str, vector: str) -> DataFrame:
-        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        return df.withColumn(vector, unit_counts(words))
+        return df.withColumn(vector, unit_counts(_word_list(text)))
 
     encode.fingerprint = f"hashed words, {dimension}"
     return encode
 
 
+def sparse_hashing_encoder(dimension: int = 512) -> Encoder:
+    """The vectors of `hashing_encoder` as struct(size, positions, values) of the components that are not zero.
+
+    Texts have far fewer different words than components, so vectors are stored, moved and multiplied
+    by what they hold.
+    """
+    positions = _Positions(dimension)
+
+    @F.arrow_udf(vectors.SPARSE)
+    def unit_counts(words: pa.Array) -> pa.Array:
+        row, place, value = _unit_cells(words, positions)
+        ends = pa.array(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place.astype(np.int32), value)]
+        size = pa.array(np.full(len(words), dimension, np.int32))
+        return pa.StructArray.from_arrays([size, *lists], ["size", "positions", "values"])
+
+    def encode(df: DataFrame, text: str, vector: str) -> DataFrame:
+        return df.withColumn(vector, unit_counts(_word_list(text)))
+
+    encode.fingerprint = f"hashed words, {dimension}, sparse"
+    return encode
+
+
 def embed_stories(stories: DataFrame, encoder: Encoder) -> DataFrame:
     """One vector per story, from `text_for_embedding`."""
     return encoder(stories, "text_for_embedding", "embedding")
@@ -70,4 +125,4 @@ def encode_texts(spark: SparkSession, texts: Sequence[str], encoder: Encoder) ->
     """Vectors of a few configured texts, in order."""
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "position int, text string")
     encoded = encoder(rows, "text", "vector").select("position", "vector").collect()
-    return [list(row.vector) for row in sorted(encoded, key=lambda row: row.position)]
+    return [vectors.dense(row.vector) for row in sorted(encoded, key=lambda row: row.position)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.config import OTHER_TOPIC
+from pressgauge.functions.vectors import is_sparse
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -67,10 +68,11 @@ def scoring_profile(scored: DataFrame, index: DataFrame, topics: Sequence[str])
 
 
 def vector_profile(stories: DataFrame) -> DataFrame:
+    size = F.col("embedding.size") if is_sparse(stories.schema["embedding"].dataType) else F.size("embedding")
     return stories.agg(
         F.count("*").alias("story_lookup_rows"),
         F.count("embedding").alias("embedding_rows"),
-        F.max(F.size("embedding")).alias("embedding_dim"),
+        F.max(size).alias("embedding_dim"),
         F.array_join(F.sort_array(F.collect_set("run_mode")), ", ").alias("run_modes"),
     )
 

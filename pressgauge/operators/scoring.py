@@ -94,7 +94,8 @@ def encode_references(spark: SparkSession, encoder: Encoder, cfg: Settings) -> R
 def similarities(stories: DataFrame, refs: References) -> DataFrame:
     """Adds pos_max, neg_max and topic_scores, from one matrix product per batch."""
     p, n = len(refs.positive), len(refs.negative)
-    scored = stories.withColumn("_dots", vectors.dot_products(F.col("embedding"), refs.all_vectors))
+    product = vectors.sparse_dot_products if vectors.is_sparse(stories.schema["embedding"].dataType) else vectors.dot_products
+    scored = stories.withColumn("_dots", product(F.col("embedding"), refs.all_vectors))
     return scored.withColumns(
         {
             "pos_max": F.array_max(F.slice("_dots", 1, p)),

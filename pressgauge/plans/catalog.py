@@ -788,15 +788,15 @@ def topic_profile_text(spark, sf_dir):
 @query
 def embed_text(spark, sf_dir):
     docs = tables.load(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encoding.hashing_encoder(512)(docs, "text", "embedding")
-    cells = encoded.select("doc_id", F.posexplode("embedding").alias("position", "value"))
-    return cells.where(F.col("value") != 0)
+    encoded = encoding.sparse_hashing_encoder(512)(docs, "text", "embedding")
+    cells = F.arrays_zip(F.col("embedding.positions").alias("position"), F.col("embedding.values").alias("value"))
+    return encoded.select("doc_id", F.inline(cells)).toDF("doc_id", "position", "value")
 
 
 def _model_scored(spark, sf_dir):
     """Candidate documents and the scores of their stories, vectors included."""
     rows = stage(candidates.filter_candidates(_cleaned(spark, sf_dir), DOC_MODEL_SETTINGS), "candidates")
-    return rows, pipeline.score_candidates(rows, encoding.hashing_encoder(512), DOC_MODEL_SETTINGS)
+    return rows, pipeline.score_candidates(rows, encoding.sparse_hashing_encoder(512), DOC_MODEL_SETTINGS)
 
 
 @query

@@ -56,6 +56,23 @@ def test_hashing_encoder_gives_unit_count_vectors(spark):
     assert not got["3"].any()
 
 
+def test_sparse_vectors_equal_dense_ones(spark):
+    texts = [("1", "the cat the dog"), ("2", None), ("3", "...!"), ("4", "bird " * 40 + "Ünï ß"), ("5", "a b c d e f g")]
+    frame = spark.createDataFrame(texts, "k string, t string").repartition(3)
+    dense = {r.k: list(r.v) for r in encoding.hashing_encoder(64)(frame, "t", "v").collect()}
+    coded = encoding.sparse_hashing_encoder(64)(frame, "t", "v")
+    assert {r.k: vectors.dense(r.v) for r in coded.collect()} == dense
+    refs = np.random.default_rng(2).random((3, 64)).tolist()
+    got = coded.select("k", vectors.sparse_dot_products(F.col("v"), refs).alias("d")).collect()
+    for r in got:
+        assert np.allclose(r.d, np.array(refs) @ np.array(dense[r.k]))
+    none = coded.select("k", F.when(F.col("k") != "1", F.col("v")).alias("v")).select("k", vectors.sparse_dot_products(F.col("v"), refs).alias("d"))
+    assert {r.k: r.d is None for r in none.collect()} == {k: k == "1" for k, _ in texts}
+    with pytest.raises(Exception, match="components"):
+        coded.select(vectors.sparse_dot_products(F.col("v"), [[1.0]])).collect()
+    assert encoding.encode_texts(spark, ["the cat the dog"], encoding.sparse_hashing_encoder(64)) == [dense["1"]]
+
+
 def test_scored_articles_have_fixed_columns_and_move_no_other_text(spark):
     scores = scoring.score_stories(stories(spark, [((0.9, 0.1, 0.2), False)]), REFS, CFG)
     wide = spark.createDataFrame([(f"a{i}", "s0", 1.0, "raw " * 50, "clean", "2022-01-03") for i in range(9)], "unique_article_id string, story_key string, dup_weight double, article_text string, text_clean string, week string")
