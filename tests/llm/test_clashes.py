@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pressgauge.llm import brown, langid, mtree, pfair, pii, preference, simhash, tiling, tokenfiles, winnow
+from pressgauge.llm import brown, langid, lshforest, mtree, periodic, pfair, pii, preference, simhash, tiling, tokenfiles, variants, winnow
 from pressgauge.session import stage
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -14,7 +14,8 @@ INSIDE = [
     "n", "base", "spans", "place", "row", "word", "c", "cell", "held_out", "lang_pred", "score", "_guess", "item_id", "coverage",
     "start", "part", "n_tokens", "_o0", "_o1", "lines", "gone", "deleted", "_text", "_hash", "_lines", "_cut_id", "_cut_hash",
     "_kept_id", "_kept_hash", "_position", "_placed_id", "item", "a", "b", "side", "pair", "turns", "x", "q", "bound", "leaf",
-    "distance", "rank", "query_id", "count", "label", "weight", "units", "seen", "chars", "first", "last", "at", "_doc_id", "v",
+    "distance", "rank", "query_id", "number", "values", "order", "kept", "members", "_id", "word", "nodes", "part", "prefix", "suffix", "kind", "collapsed",
+    "runs", "n_words", "n_shingles", "_turn", "_last", "form", "x", "y", "count", "label", "weight", "units", "seen", "chars", "first", "last", "at", "_doc_id", "v",
 ]
 BODY = "the words of a text that is long enough to be told from another one of its kind\n" * 4
 ROWS = [
@@ -52,6 +53,9 @@ OPERATORS = {
     "tiling": lambda d, i: tiling.leaks(d, i),
     "mixing": lambda d, i: pfair.mix(d).drop("position"),
     "winnowing": lambda d, i: winnow.dedup_lines(d),
+    "periodic runs": lambda d, i: periodic.periodic_runs(d),
+    "MinHash forest": lambda d, i: lshforest.near_duplicates(d),
+    "spelling variants": lambda d, i: variants.spelling_variants(d, min_count=1),
 }
 
 
