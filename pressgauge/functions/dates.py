@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,13 +52,21 @@ def _rewritten(written: Column, forms: tuple[tuple[str, str], ...]) -> Column:
     return written
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _tidy(written: Column) -> Column:
     """Single spaces, no commas, weekdays or ordinals, zones as offsets that follow the time."""
-    plain = _rewritten(written, ((r",|\s+", " "), (r" +", " "), (WEEKDAY, ""), (ORDINAL, "$1")))
-    zone = F.upper(F.regexp_extract(plain, r"(?i)\d ?([a-z]{1,4})$", 1))
-    offset = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])[zone]
-    named = F.when(offset.isNull(), plain).otherwise(F.concat(F.regexp_replace(plain, r" ?[A-Za-z]{1,4}$", ""), offset))
-    return F.regexp_replace(named, r"(\d) ([+-]\d\d:?\d\d)$", "$1$2")
+    offsets = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+
+    def with_offset(plain: Column) -> Column:
+        zone = offsets[F.upper(F.regexp_extract(plain, r"(?i)\d ?([a-z]{1,4})$", 1))]
+        moved = lambda offset: F.when(offset.isNull(), plain).otherwise(F.concat(F.regexp_replace(plain, r" ?[A-Za-z]{1,4}$", ""), offset))
+        return F.regexp_replace(_bound(zone, moved), r"(\d) ([+-]\d\d:?\d\d)$", "$1$2")
+
+    return _bound(_rewritten(written, ((r",|\s+", " "), (r" +", " "), (WEEKDAY, ""), (ORDINAL, "$1"))), with_offset)
 
 
 def _by_clock(written: Column) -> Column:
@@ -82,18 +92,20 @@ def parse_timestamp(text: Column) -> Column:
     patterns for their kind, so that no reading fails on the way and nothing is tried twice.
     """
     plain = strip(text)
-    starts_with_year = plain.rlike(r"^\d{4}")
-    direct = F.when(starts_with_year, plain).try_cast("timestamp")
-    tidy = _by_clock(_tidy(plain))
-    month = F.lower(F.regexp_extract(tidy, MONTH, 1))
-    number = ((F.instr(F.lit(MONTHS), month) + 2) / 3).cast("int").cast("string")
-    named = F.regexp_replace(tidy, F.lit(MONTH), F.concat(F.lit("#"), number, F.lit("#")))
-    other = (
-        F.when(plain.rlike(MONTH), F.when(plain.rlike(r"\d{4}"), _rewritten(named, NAMED_FORMS).try_cast("timestamp")))
-        .when(starts_with_year, _rewritten(tidy, YEAR_FORMS).try_cast("timestamp"))
-        .when(plain.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{2}"), _number_pairs(tidy))
-    )
-    return F.coalesce(direct, other)
+    direct = F.when(plain.rlike(r"^\d{4}"), plain).try_cast("timestamp")
+
+    def other(tidy: Column) -> Column:
+        month = F.lower(F.regexp_extract(tidy, MONTH, 1))
+        number = ((F.instr(F.lit(MONTHS), month) + 2) / 3).cast("int").cast("string")
+        named = F.regexp_replace(tidy, F.lit(MONTH), F.concat(F.lit("#"), number, F.lit("#")))
+        return (
+            F.when(tidy.rlike(MONTH), F.when(tidy.rlike(r"\d{4}"), _rewritten(named, NAMED_FORMS).try_cast("timestamp")))
+            .when(tidy.rlike(r"^\d{4}"), _rewritten(tidy, YEAR_FORMS).try_cast("timestamp"))
+            .when(tidy.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{2}"), _number_pairs(tidy))
+        )
+
+    tidied = _bound(_tidy(plain), lambda tidy: _bound(_by_clock(tidy), other))
+    return F.coalesce(direct, F.when(plain.rlike(r"\d"), tidied))
 
 
 def is_multi_value(text: Column) -> Column:

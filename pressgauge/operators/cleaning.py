@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pressgauge.config import RAW_COLUMNS, Settings
 from pressgauge.functions import dates, text
 from pressgauge.functions.once import with_columns_once
-from pressgauge.operators.skew import hot_split_join
+from pressgauge.operators.skew import hot_split_join, key_bitmaps, split_by_bitmaps
 from pressgauge.session import observed, reads_one_table, stage
 
 GROUP = ["story_key", "region", "week"]
@@ -153,19 +153,25 @@ def bucket_weights(flagged: DataFrame) -> DataFrame:
 def with_duplicate_weight(articles: DataFrame) -> DataFrame:
     """1 / size of the (story, region, week) group on every row.
 
-    Only groups of two and more are looked up; everything else weighs one.
+    Groups of two and more are looked up; everything else weighs one. A bitmap of the repeated groups
+    tells most other rows without moving them, so wide rows are exchanged only where their group is
+    repeated. Articles that are no stored table are staged, as they are read three times.
     """
-    repeated = group_sizes(articles).where(F.col("group_rows") > 1)
+    if not reads_one_table(articles):
+        articles = stage(articles, "articles")
+    repeated = stage(group_sizes(articles).where(F.col("group_rows") > 1), "repeated_groups")
+    shared, alone = split_by_bitmaps(articles, stage(key_bitmaps(repeated, GROUP), "group_bitmaps"), GROUP)
     joined = hot_split_join(
-        articles, repeated, GROUP, "group_rows", ["group_rows"], ["unique_article_id"]
+        shared, repeated, GROUP, "group_rows", ["group_rows"], ["unique_article_id"]
     )
-    return joined.withColumn(
+    weighed = joined.withColumn(
         "dup_weight", F.lit(1.0) / F.coalesce("group_rows", F.lit(1))
     ).drop("group_rows")
+    return weighed.unionByName(alone.withColumn("dup_weight", F.lit(1.0)))
 
 
 def clean_articles(raw: DataFrame, cfg: Settings) -> DataFrame:
-    """Cleaned articles with duplicate weights. On a large corpus, stage `keep_articles` first."""
+    """Cleaned articles with duplicate weights."""
     return with_duplicate_weight(keep_articles(raw, cfg))
 
 

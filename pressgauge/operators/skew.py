@@ -14,6 +14,8 @@ from pressgauge.session import stage
 # that is less, so there are at most 1 / share hot keys and a cold one never outweighs a partition.
 HOT_SHARE = 1e-4
 SALTS = 4096
+#: bits of a key bitmap: 16 MB, broadcast
+BITS = 1 << 27
 #: as many lookup rows are broadcast where they are counted first
 FEW_GROUPS = 10_000
 
@@ -59,6 +61,33 @@ def hot_split_join(
     return joined.select(*rows.columns, *[F.col(f"_found.{name}").alias(name) for name in payload])
 
 
+def key_bitmaps(keyed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(_bucket, _bits): a bit for the hash of every key of `keyed`; at most BITS / 32,768 rows of 4 KB."""
+    bit = _bit(keys)
+    return keyed.select(F.bitmap_bucket_number(bit).alias("_bucket"), F.bitmap_bit_position(bit).alias("_at")).groupBy("_bucket").agg(
+        F.bitmap_construct_agg("_at").alias("_bits")
+    )
+
+
+def _bit(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BITS)) + 1
+
+
+def split_by_bitmaps(rows: DataFrame, bitmaps: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key of the bitmaps, rows that have none of them).
+
+    Every row with such a key is in the first part, and as many others as share a bit with one. The
+    bitmaps are broadcast, as their size is bounded. `rows` is read once for each part.
+    """
+    bit = _bit(keys)
+    at = F.bitmap_bit_position(bit)
+    octet = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = octet.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))) != 0
+    told = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmaps), "_bucket", "left")
+    told = told.withColumn("_set", F.coalesce(is_set, F.lit(False)))
+    return told.where("_set").select(*rows.columns), told.where("NOT _set").select(*rows.columns)
+
+
 def first_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """At most k rows per group. Each task keeps k rows per group before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))

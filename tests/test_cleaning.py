@@ -1,10 +1,11 @@
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from pressgauge.config import RAW_COLUMNS, Settings
-from pressgauge.operators import candidates, cleaning
+from pressgauge.operators import candidates, cleaning, skew
 from pressgauge.sources.readers import RAW_SCHEMA
 
 CFG = Settings()
@@ -109,3 +110,47 @@ def test_one_pattern_per_column(spark):
     rows = spark.createDataFrame([("t", "u", "s")], "text_clean string, resolved_url string, story_key string")
     plan = candidates.filter_candidates(rows, CFG)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1 and plan.upper().count("RLIKE") == 1
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 16, 8])
+def test_duplicate_weights_equal_counts(spark, monkeypatch, bits):
+    """A third of all rows in one group, null keys, pairs and lone rows; few bits only send more rows to the join."""
+    monkeypatch.setattr(skew, "BITS", bits)
+    rows = [(f"u{i}", "hot" if i % 3 == 0 else f"s{i // 2}" if i % 3 == 1 else f"x{i}", None if i % 50 == 7 else "r", "w") for i in range(3000)]
+    articles = spark.createDataFrame(rows, "unique_article_id string, story_key string, region string, week string")
+    counts = Counter(r[1:] for r in rows if r[2] is not None)
+    got = {r.unique_article_id: r.dup_weight for r in cleaning.with_duplicate_weight(articles).collect()}
+    assert got == {r[0]: 1.0 / counts.get(r[1:], 1) for r in rows}
+    assert cleaning.with_duplicate_weight(articles.limit(0)).count() == 0
+
+
+def test_rows_of_groups_of_one_are_not_exchanged(spark, tmp_path):
+    rows = [(f"u{i}", f"s{min(i, 900)}", "r", "w", "text " * 50) for i in range(1000)]
+    schema = "unique_article_id string, story_key string, region string, week string, text_clean string"
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(str(tmp_path / "a"))
+    articles = spark.read.parquet(str(tmp_path / "a"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weighed = cleaning.with_duplicate_weight(articles)
+        assert sum(r.dup_weight for r in weighed.collect()) == pytest.approx(901)
+        moved = exchanged_rows(weighed, "text_clean")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved == [100]
+
+
+def exchanged_rows(df, column):
+    """Rows that pass each shuffle of a collected frame whose output has a column."""
+    waiting, found = [df._jdf.queryExecution().executedPlan()], []
+    while waiting:
+        node = waiting.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            waiting.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            waiting.append(node.plan())
+        else:
+            if name == "Exchange" and f"{column}#" in node.output().toString():
+                found.append(node.metrics().apply("shuffleRecordsWritten").value())
+            waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return found
