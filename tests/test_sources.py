@@ -220,7 +220,8 @@ def test_reuse_notices_settings_files_and_encoder(spark, tmp_path):
     spark.catalog.clearCache()
     again = build(cfg.with_(text_min_length=cfg.text_min_length + 400), hashing_encoder(32))
     assert not [n for n in names if again[n] == changed[n]]
-    # an encoder without a name is never trusted
+    # an encoder without a name, and input from no files, are never trusted
     plain = hashing_encoder(32)
-    nameless = build(cfg.with_(text_min_length=cfg.text_min_length + 400), lambda *a: plain(*a))
-    assert [n for n in names if nameless[n] == again[n]] == ["cleaned_articles", "story_lookup"]
+    assert pipeline.encoded_origin("key", plain) and pipeline.encoded_origin("key", lambda *a: plain(*a)) is None
+    assert pipeline.origin(spark.createDataFrame([(1,)], "x int"), cfg) is None
+    assert not pipeline.is_current(spark, None, f"{out}/cleaned_articles")
