@@ -16,8 +16,11 @@ all other members of the group, not with their candidates only: so a group finds
 where deep regions missed some. Members of what is the largest component so far need no look-up of
 their own. Groups come out as a spanning forest of links, never as all pairs.
 
-Groups of more than LIMIT shingles do not fit a task. They are cut into pieces of neighbours in six
-of the orders, and links are those found in any of the pieces.
+Groups of more than LIMIT shingles do not fit a task. They are first cut into pieces of neighbours in
+six of the orders, which find most links. What pieces leave apart is then compared in full: members
+are dealt into blocks of half a LIMIT, and every two blocks that may hold a link between different
+parts meet in a task. Members of the largest part are not compared with each other, and blocks whose
+set sizes rule out a link do not meet.
 """
 
 from __future__ import annotations
@@ -257,8 +260,11 @@ def candidates(classes: DataFrame) -> DataFrame:
 # --- links on full sets -------------------------------------------------------------------------
 
 
-def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: 100 * intersection >= percent * union."""
+def linked(sets: list[np.ndarray], percent: int = PERCENT, parts: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets: 100 * intersection >= percent * union.
+
+    Sets of equal `parts` are known to be connected; only links between different ones are told.
+    """
     count = len(sets)
     if count < 2:
         return []
@@ -270,7 +276,10 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, in
     starts = np.r_[0, np.cumsum(np.bincount(places, minlength=len(tokens)))]
     # sets of frequent shingles first: a text that many copies were made from gathers them at once
     central = np.add.reduceat(np.diff(starts)[places], ends[:-1]) / sizes
-    label, waiting, found = np.arange(count), set(range(count)), []
+    # shingles that no other set holds are in no intersection
+    sharable = np.add.reduceat((np.diff(starts)[places] > 1).astype(np.int64), ends[:-1])
+    label = np.arange(count) if parts is None else np.unique(parts, return_inverse=True)[1]
+    waiting, found = set(range(count)), []
 
     def largest() -> int:
         return int(np.bincount(label, minlength=count).argmax())
@@ -284,6 +293,9 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, in
             if label[x] == top:
                 continue
             waiting.discard(x)
+            able = (100 + percent) * np.minimum(sharable[x], sharable) >= percent * (sizes[x] + sizes)
+            if not (able & (label != label[x])).any():
+                continue
             mine = places[ends[x] : ends[x + 1]]
             shared = np.bincount(np.concatenate([owners[starts[t] : starts[t + 1]] for t in mine]), minlength=count)
             hit = np.nonzero((100 * shared >= percent * (sizes[x] + sizes - shared)) & (label != label[x]))[0]
@@ -295,58 +307,107 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, in
     return found
 
 
-def confirmed(members: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, limit: int) -> DataFrame:
-    """(a, b): a spanning forest of the links within each group of `members(number, root, values, kept_id, kept_hash, n_shingles)`."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
-    large = stage(sizes.where((F.col("total") > limit) & (F.col("n") > 32)).select("root"), "large_groups")
-    fetched = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_hash"))
-    keys = members.select("number", "root", "kept_id", "kept_hash")
-    rows = fetched.join(keys, F.col("_id").eqNullSafe(F.col("kept_id")) & F.col("_hash").eqNullSafe(F.col("kept_hash")))
+def _links_of(rows: DataFrame, percent: int, limit: int | None = None) -> DataFrame:
+    """(a, b): `linked` within each group of `rows(root, order, number, part, members, label)`.
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = ShingleHasher(shingle)
-        for batch in batches:
-            texts = batch.column(2).cast(pa.binary())
-            for at in range(0, batch.num_rows, 256):
-                part = [hashed(texts[i].as_py()).tobytes() for i in range(at, min(at + 256, batch.num_rows))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 256), batch.column(1).slice(at, 256), pa.array(part, pa.large_binary()).cast(pa.binary())],
-                    ["number", "root", "members"],
-                )
+    With a limit, groups are cut into pieces of about so many shingles, in the order of their labels.
+    """
 
-    def to_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, numbers, sets, held = None, [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, numbers, parts, sets, held = None, [], [], [], 0
 
         def links() -> Iterator[pa.RecordBatch]:
-            pairs = linked(sets, percent)
+            pairs = linked(sets, percent, parts)
             if pairs:
                 ends = np.array(numbers)[np.array(pairs)]
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
         for batch in batches:
-            roots, orders, found = (batch.column(i).to_pylist() for i in range(3))
+            roots, orders, found, known = (batch.column(i).to_pylist() for i in range(4))
             for i, key in enumerate(zip(roots, orders)):
-                piece_full = held > limit and len(sets) > 32 and orders[i] >= 0
+                piece_full = limit is not None and held > limit and len(sets) > 32
                 if key != group or piece_full:
                     yield from links()
-                    group, numbers, sets, held = key, [], [], 0
+                    group, numbers, parts, sets, held = key, [], [], [], 0
                 if numbers and numbers[-1] == found[i]:
                     continue  # a repeated row
                 numbers.append(found[i])
-                sets.append(np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64).copy())
+                parts.append(known[i])
+                sets.append(np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64).copy())
                 held += len(sets[-1])
         if sets:
             yield from links()
 
-    whole = rows.select("number", "root", "_text").mapInArrow(to_sets, "number long, root long, members binary")
-    whole = whole.select("root", F.lit(-1).cast("byte").alias("order"), "number", "members", F.lit(b"").alias("label"))
-    if not large.isEmpty():
-        whole = stage(whole, "sets")
-        pieces = forest(members.join(large, "root"), PIECE_ORDERS)
-        cut = whole.drop("order", "label").join(large, "root").join(pieces, "number").select(whole.columns)
-        whole = whole.join(large, "root", "left_anti").select(whole.columns).unionByName(cut)
-    dealt = whole.repartition("root", "order").sortWithinPartitions("root", "order", "label", "number")
-    return dealt.select("root", "order", "number", "members").mapInArrow(to_links, "a long, b long")
+    dealt = rows.repartition("root", "order").sortWithinPartitions("root", "order", "label", "number")
+    return dealt.select("root", "order", "number", "part", "members").mapInArrow(run, "a long, b long")
+
+
+def _meetings(members: DataFrame, found: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(number, root, part, order): where members of large groups meet, to find what `found` left apart.
+
+    A part is what the links found connect. Every two members of different parts of a group that may
+    be linked meet under one order, which holds about `limit` shingles.
+    """
+    links = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    parts = star_components(links).toDF("number", "part")
+    owned = members.select("number", "root", "n_shingles").join(parts, "number", "left")
+    owned = stage(owned.withColumn("part", F.coalesce("part", "number")), "parts")
+    total = F.sum("n_shingles").alias("total")
+    largest = owned.groupBy("root", "part").agg(total).groupBy("root").agg(F.max_by("part", F.struct("total", "part")).alias("top"))
+    # sets that can be linked are of one tier or of neighbouring ones; a little wider than need be, for the logarithm's last digit
+    tier = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / max(percent - 0.5, 0.5))))
+    owned = owned.join(largest, "root").select(
+        "number", "root", "part", "n_shingles", tier.alias("tier"), (F.col("part") != F.col("top")).alias("apart")
+    )
+    blocks = F.ceil(2 * F.sum("n_shingles") / F.lit(limit)).alias("blocks")
+    cells = owned.groupBy("root", "tier", "apart").agg(blocks)
+    placed = owned.join(cells, ["root", "tier", "apart"]).select(
+        "number", "root", "part", F.struct("tier", "apart", F.expr("pmod(xxhash64(number), blocks)").alias("block")).alias("cell")
+    )
+    cells = stage(cells.select("root", "tier", "apart", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block")), "cells")
+    cells = cells.select("root", F.struct("tier", "apart", "block").alias("cell"))
+    one, other = cells.withColumnRenamed("cell", "one"), cells.withColumnRenamed("cell", "other")
+    near = (F.abs(F.col("one.tier") - F.col("other.tier")) <= 1) & (F.col("one.apart") | F.col("other.apart"))
+    pairs = one.join(other, "root").where((F.col("one") <= F.col("other")) & near)
+    pairs = stage(pairs.withColumn("order", F.monotonically_increasing_id()), "block_pairs")
+    sides = F.explode(F.array_distinct(F.array("one", "other"))).alias("cell")
+    return placed.join(pairs.select("root", "order", sides), ["root", "cell"]).select("number", "root", "part", "order")
+
+
+def confirmed(members: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, limit: int) -> DataFrame:
+    """(a, b): links within each group of `members(number, root, values, kept_id, kept_hash, n_shingles)` that connect all that are linked."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+    large = stage(sizes.where((F.col("total") > limit) & (F.col("n") > 32)).select("root"), "large_groups")
+    fetched = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_hash"))
+    keys = members.select("number", "root", "kept_id", "kept_hash")
+    rows = fetched.join(keys, F.col("_id").eqNullSafe(F.col("kept_id")) & F.col("_hash").eqNullSafe(F.col("kept_hash")))
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = ShingleHasher(shingle)
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            for at in range(0, batch.num_rows, 256):
+                part = [hashed(texts[i].as_py()).tobytes() for i in range(at, min(at + 256, batch.num_rows))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, 256), batch.column(1).slice(at, 256), pa.array(part, pa.large_binary()).cast(pa.binary())],
+                    ["number", "root", "members"],
+                )
+
+    sets = rows.select("number", "root", "_text").mapInArrow(to_sets, "number long, root long, members binary")
+    own, unlabelled = F.col("number").alias("part"), F.lit(b"").alias("label")
+    whole = lambda df: _links_of(df.select("root", F.lit(-1).alias("order"), "number", own, "members", unlabelled), percent)
+    if large.isEmpty():
+        return whole(sets)
+    sets = stage(sets, "sets")
+    held = sets.join(large, "root").select("number", "members")
+    cut = members.join(large, "root")
+    pieces = held.join(forest(cut, PIECE_ORDERS).join(cut.select("number", "root"), "number"), "number").withColumn("part", own)
+    found = stage(_links_of(pieces, percent, limit), "piece_links")
+    meetings = stage(_meetings(cut, found, percent, limit), "meetings")
+    links = whole(sets.join(large, "root", "left_anti")).unionByName(found)
+    if meetings.isEmpty():
+        return links
+    return links.unionByName(_links_of(held.join(meetings, "number").withColumn("label", F.lit(b"")), percent))
 
 
 def near_duplicates(

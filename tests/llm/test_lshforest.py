@@ -113,6 +113,26 @@ def test_groups_beyond_the_limit_are_cut(spark):
     assert sum(r[3] for r in cut) <= 1.05 * sum(r[3] for r in expected)
 
 
+def test_groups_beyond_the_limit_lose_no_link(spark):
+    """Links that no piece holds: to the one text that many copies come from, and between texts of unequal length."""
+    rng = random.Random(4)
+    base = [f"v{i}" for i in range(200)]
+    texts = [base, *(edited(base, rng, rng.randint(2, 9)) for _ in range(500))]
+    texts += [base[: rng.randint(165, 199)] for _ in range(100)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = slow(rows)
+    assert 3 < len({r[2] for r in expected}) < 500
+    assert found(lshforest.near_duplicates(docs, limit=3000)) == expected
+
+
+def test_known_parts_are_not_linked_again():
+    sets = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 1, 2, 50, 51)]
+    assert {tuple(sorted(x)) for x in lshforest.linked(sets, parts=[7, 7, 7, 3, 4])} == {(3, 4)}
+    assert lshforest.linked(sets, parts=[7, 7, 7, 3, 3]) == []
+
+
 def test_deep_regions():
     """A region of many alike rows is cut into parts that cover it, none too large."""
     rng = np.random.default_rng(5)
