@@ -53,6 +53,9 @@ def dot_products(vector: Column, references: Sequence[Sequence[float]]) -> Colum
     return products(vector)
 
 
+#: sparse vectors that a worker multiplies at once, however many an Arrow batch holds
+ROWS_AT_ONCE = 1000
+
 #: a vector by its components that are not zero
 SPARSE = "struct<size:int,positions:array<int>,values:array<double>>"
 
@@ -86,10 +89,12 @@ def sparse_dot_products(vector: Column, references: Sequence[Sequence[float]]) -
         if (size.to_numpy(zero_copy_only=False) != len(matrix)).any():
             raise ValueError(f"a vector does not have {len(matrix)} components")
         scores = np.zeros((len(size), matrix.shape[1]))
-        row = np.repeat(np.arange(len(size)), place.value_lengths().to_numpy(zero_copy_only=False))
-        place, value = place.flatten().to_numpy(), value.flatten().to_numpy()
-        for i in range(matrix.shape[1]):
-            scores[:, i] = np.bincount(row, value * matrix[place, i], len(size))
+        for at in range(0, len(size), ROWS_AT_ONCE):
+            here, part = place.slice(at, ROWS_AT_ONCE), scores[at : at + ROWS_AT_ONCE]
+            row = np.repeat(np.arange(len(here)), here.value_lengths().to_numpy(zero_copy_only=False))
+            cells, weights = here.flatten().to_numpy(), value.slice(at, ROWS_AT_ONCE).flatten().to_numpy()
+            for i in range(matrix.shape[1]):
+                part[:, i] = np.bincount(row, weights * matrix[cells, i], len(here))
         offsets = np.concatenate([[0], np.cumsum(known * matrix.shape[1])]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.ravel()), mask=pa.array(~known))
 

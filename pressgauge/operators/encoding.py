@@ -6,7 +6,7 @@ Its attribute `fingerprint` names what it computes; stored vectors are reused fo
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,10 @@ from pressgauge.functions.text import topic_text, topic_texts
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
-ROWS_AT_ONCE = 1000
+#: rows and words that a worker counts at once, however many an Arrow batch holds
+ROWS_AT_ONCE, WORDS_AT_ONCE = 1000, 1 << 17
 #: words whose position a worker keeps
-KEPT_WORDS = 500_000
+KEPT_WORDS = 50_000
 
 
 class _Positions:
@@ -58,6 +59,17 @@ def _unit_cells(words: pa.Array, positions: _Positions) -> tuple[np.ndarray, np.
     return row, cells % positions.dimension, counts / length[row]
 
 
+def _parts(words: pa.Array) -> Iterator[pa.Array]:
+    """Rows of a batch, as many at once as the limits allow; a longer text comes alone."""
+    ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(words):
+        most = (ends[at - 1] if at else 0) + WORDS_AT_ONCE
+        end = min(max(int(np.searchsorted(ends, most, "right")), at + 1), at + ROWS_AT_ONCE)
+        yield words.slice(at, end - at)
+        at = end
+
+
 def hashing_encoder(dimension: int = 512) -> Encoder:
     """Unit vectors of hashed word counts of whole texts. Needs no model and no fit.
 
@@ -68,8 +80,7 @@ def hashing_encoder(dimension: int = 512) -> Encoder:
     @F.arrow_udf("array<double>")
     def unit_counts(words: pa.Array) -> pa.Array:
         parts = []
-        for at in range(0, len(words), ROWS_AT_ONCE):
-            part = words.slice(at, ROWS_AT_ONCE)
+        for part in _parts(words):
             row, place, value = _unit_cells(part, positions)
             dense = np.zeros((len(part), dimension))
             dense[row, place] = value
@@ -94,9 +105,14 @@ def sparse_hashing_encoder(dimension: int = 512) -> Encoder:
 
     @F.arrow_udf(vectors.SPARSE)
     def unit_counts(words: pa.Array) -> pa.Array:
-        row, place, value = _unit_cells(words, positions)
-        ends = pa.array(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place.astype(np.int32), value)]
+        sizes, places, values = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for part in _parts(words):
+            row, place, value = _unit_cells(part, positions)
+            sizes.append(np.bincount(row, minlength=len(part)))
+            places.append(place.astype(np.int32))
+            values.append(value)
+        ends = pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (places, values)]
         size = pa.array(np.full(len(words), dimension, np.int32))
         return pa.StructArray.from_arrays([size, *lists], ["size", "positions", "values"])
 

@@ -1,4 +1,8 @@
+import inspect
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +77,44 @@ def test_sparse_vectors_equal_dense_ones(spark):
     assert encoding.encode_texts(spark, ["the cat the dog"], encoding.sparse_hashing_encoder(64)) == [dense["1"]]
 
 
+@pytest.mark.parametrize("make", [encoding.hashing_encoder, encoding.sparse_hashing_encoder])
+def test_encoders_hold_little_beside_a_large_batch(make):
+    """Working memory is bounded by what is counted at once, not by the batch; results are those of rows alone."""
+    rng = np.random.default_rng(3)
+    texts = [[f"w{x}" for x in rng.integers(0, 3000, n)] for n in [*rng.integers(0, 1500, 3000), 0, 200_000, 1]]
+    words = pa.array(texts, pa.list_(pa.string()))
+    count = inspect.getclosurevars(make(32)).nonlocals["unit_counts"].func
+    count(words[:5])
+    tracemalloc.start()
+    whole = count(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    assert [whole[i].as_py() for i in (0, 7, 2999, 3000, 3001, 3002)] == [count(words.slice(i, 1))[0].as_py() for i in (0, 7, 2999, 3000, 3001, 3002)]
+    assert len(whole) == len(words) and len(count(words[:0])) == 0
+
+
+def test_sparse_products_hold_little_beside_a_large_batch():
+    sizes = np.full(9000, 300, np.int32)
+    ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    place = np.tile(np.arange(300, dtype=np.int32), 9000)
+    vector = pa.StructArray.from_arrays(
+        [pa.array(np.full(9000, 512, np.int32)), pa.ListArray.from_arrays(ends, pa.array(place)), pa.ListArray.from_arrays(ends, pa.array(place / 7.0))],
+        ["size", "positions", "values"],
+    )
+    refs = np.random.default_rng(1).random((3, 512))
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(vectors.F, "arrow_udf", lambda kind: lambda f: lambda column: seen.append(f))
+        vectors.sparse_dot_products(None, refs.tolist())
+    tracemalloc.start()
+    got = seen[0](vector)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 << 20
+    assert np.allclose(got[8999].as_py(), refs[:, :300] @ (np.arange(300) / 7.0))
+
+
 def test_scored_articles_have_fixed_columns_and_move_no_other_text(spark):
     scores = scoring.score_stories(stories(spark, [((0.9, 0.1, 0.2), False)]), REFS, CFG)
     wide = spark.createDataFrame([(f"a{i}", "s0", 1.0, "raw " * 50, "clean", "2022-01-03") for i in range(9)], "unique_article_id string, story_key string, dup_weight double, article_text string, text_clean string, week string")
