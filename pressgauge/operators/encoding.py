@@ -6,7 +6,7 @@ Its attribute `fingerprint` names what it computes; stored vectors are reused fo
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -128,10 +128,16 @@ def embed_stories(stories: DataFrame, encoder: Encoder) -> DataFrame:
     return encoder(stories, "text_for_embedding", "embedding")
 
 
+def _few_rows(spark: SparkSession, columns: list[tuple[str, pa.DataType]], rows: Iterable[tuple]) -> DataFrame:
+    """Configured rows as a table. As Arrow data they need no Python workers, which would stay beside those that encode."""
+    names = [name for name, _ in columns]
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, row)) for row in rows], pa.schema(columns)))
+
+
 def topic_table(spark: SparkSession, cfg: Settings) -> DataFrame:
     """The topic dimension with its profile text, one row per configured topic."""
-    schema = "topic string, description string, keywords array<string>, seed_examples array<string>"
-    rows = spark.createDataFrame(topic_texts(cfg.topics), schema)
+    columns = [("topic", pa.string()), ("description", pa.string()), ("keywords", pa.list_(pa.string())), ("seed_examples", pa.list_(pa.string()))]
+    rows = _few_rows(spark, columns, topic_texts(cfg.topics))
     return rows.withColumn(
         "profile_text", topic_text(F.col("topic"), F.col("description"), F.col("keywords"), F.col("seed_examples"))
     )
@@ -139,6 +145,6 @@ def topic_table(spark: SparkSession, cfg: Settings) -> DataFrame:
 
 def encode_texts(spark: SparkSession, texts: Sequence[str], encoder: Encoder) -> list[list[float]]:
     """Vectors of a few configured texts, in order."""
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "position int, text string")
+    rows = _few_rows(spark, [("position", pa.int32()), ("text", pa.string())], enumerate(texts))
     encoded = encoder(rows, "text", "vector").select("position", "vector").collect()
     return [vectors.dense(row.vector) for row in sorted(encoded, key=lambda row: row.position)]

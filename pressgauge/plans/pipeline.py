@@ -29,7 +29,7 @@ from pressgauge.operators import (
     scoring,
     stories,
 )
-from pressgauge.session import input_fingerprint, stage, use_utc
+from pressgauge.session import input_fingerprint, small_batches, stage, use_utc
 from pressgauge.sources import readers, writers
 
 
@@ -89,7 +89,8 @@ def score_embedded(embedded: DataFrame, encoder: encoding.Encoder, cfg: Settings
 def score_candidates(candidates: DataFrame, encoder: encoding.Encoder, cfg: Settings) -> DataFrame:
     """Stories of the candidates, encoded and scored, staged as articles and index both read them."""
     embedded = encoding.embed_stories(select_stories(candidates, cfg), encoder)
-    return stage(score_embedded(embedded, encoder, cfg), "scores")
+    with small_batches(candidates.sparkSession):
+        return stage(score_embedded(embedded, encoder, cfg), "scores")
 
 
 def candidate_buckets(candidates: DataFrame) -> DataFrame:
@@ -149,20 +150,21 @@ def build_tables(
     writers.write_csv(candidate_ops.candidate_review_sample(rows, cfg), at("candidate_review_sample"))
 
     lookup = stored(spark, at("story_lookup"), lambda: stories.number_stories(select_stories(rows, cfg)), reuse, key)
-    vectors = stored(
-        spark,
-        at("story_embeddings"),
-        lambda: encoding.embed_stories(lookup, encoder).select("story_key", "embedding"),
-        reuse,
-        encoded_key,
-    )
-    scores = stored(
-        spark,
-        at("story_scores"),
-        lambda: score_embedded(readers.attach_vectors(lookup, vectors), encoder, cfg),
-        reuse,
-        encoded_key,
-    )
+    with small_batches(spark):
+        vectors = stored(
+            spark,
+            at("story_embeddings"),
+            lambda: encoding.embed_stories(lookup, encoder).select("story_key", "embedding"),
+            reuse,
+            encoded_key,
+        )
+        scores = stored(
+            spark,
+            at("story_scores"),
+            lambda: score_embedded(readers.attach_vectors(lookup, vectors), encoder, cfg),
+            reuse,
+            encoded_key,
+        )
     readers.require_rows(scores.where("is_econ"), "no economic stories")
 
     # by week, as result tables ask for articles of single weeks; adaptive execution splits large weeks

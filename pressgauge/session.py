@@ -6,7 +6,8 @@ import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -39,6 +40,27 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+#: rows and bytes of an Arrow batch inside `small_batches`; a longer row comes alone
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands Python workers small Arrow batches.
+
+    A worker holds a few batches at once, so its memory follows neither the rows of a task nor the
+    lengths of texts. Limits that the session has set itself stay.
+    """
+    limits = {key: value for key, value in BATCH_LIMITS.items() if spark.conf.get(key, None) is None}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 

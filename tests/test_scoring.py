@@ -6,9 +6,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pressgauge import session
 from pressgauge.config import Settings
 from pressgauge.functions import vectors
+from pressgauge.functions.text import topic_texts
 from pressgauge.operators import encoding, scoring
+from pressgauge.plans import pipeline
 
 CFG = Settings()
 REFS = scoring.References([(1, 0, 0)], [(0, 1, 0)], [(1, 0, 0), (0, 0, 1), (1, 0, 0)], ["a", "b", "c"])
@@ -115,6 +118,61 @@ def test_sparse_products_hold_little_beside_a_large_batch():
     assert np.allclose(got[8999].as_py(), refs[:, :300] @ (np.arange(300) / 7.0))
 
 
+def test_workers_get_small_batches_where_stories_are_scored(spark, monkeypatch):
+    """However many stories a task has and however long they are, a worker never holds many at once."""
+    monkeypatch.setitem(session.BATCH_LIMITS, "spark.sql.execution.arrow.maxBytesPerBatch", "64k")
+
+    @F.arrow_udf("array<double>")
+    def checked(text: pa.Array) -> pa.Array:
+        if len(text) > 1000 or len(text) > 1 and text.nbytes > 128 << 10:
+            raise ValueError(f"{len(text)} rows of {text.nbytes} bytes at once")
+        return pa.array([[1.0, 0.0]] * len(text), pa.list_(pa.float64()))
+
+    encoder = lambda df, text, vector: df.withColumn(vector, checked(F.col(text)))
+    number = F.col("id").cast("string")
+    rows = spark.range(12_000).select(
+        F.concat(F.lit("s"), number).alias("story_key"), number.alias("unique_article_id"), F.lit("r").alias("region"),
+        F.lit("2022-01-03").alias("date"), F.lit("2022-01-03").alias("week"), F.lit("strong_keyword").alias("candidate_source"),
+        F.lit(True).alias("strong_keyword_hit"),
+        F.when(F.col("id") % 500 == 0, F.repeat(number, 9000)).otherwise(number).alias("text_for_embedding"),
+    )
+    scores = pipeline.score_candidates(rows.coalesce(1), encoder, CFG)
+    assert scores.count() == 12_000 and scores.where("top1_similarity != 1").isEmpty()
+    assert [spark.conf.get(key, None) for key in session.BATCH_LIMITS] == [None, None]
+
+
+def test_small_batches_leave_limits_of_the_session(spark):
+    rows, size = session.BATCH_LIMITS
+    spark.conf.set(rows, 70)
+    try:
+        with session.small_batches(spark):
+            assert (spark.conf.get(rows), spark.conf.get(size)) == ("70", "16m")
+            with session.small_batches(spark):
+                pass
+            assert spark.conf.get(size) == "16m"
+        with pytest.raises(KeyError), session.small_batches(spark):
+            raise KeyError
+        assert (spark.conf.get(rows), spark.conf.get(size, None)) == ("70", None)
+    finally:
+        spark.conf.unset(rows)
+
+
+def test_configured_texts_need_no_python_workers(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    seen = []
+
+    def encoder(df, text, vector):
+        seen.append(df)
+        return df.withColumn(vector, F.array(F.length(text).cast("double")))
+
+    texts = ["ab", "", "a \u0416", "ab"] * 3
+    assert encoding.encode_texts(spark, texts, encoder) == [[float(len(t))] for t in texts]
+    assert encoding.encode_texts(spark, [], encoder) == []
+    topics = encoding.topic_table(spark, CFG)
+    assert [(r.topic, r.description, r.keywords, r.seed_examples) for r in topics.collect()] == topic_texts(CFG.topics)
+    assert all("ExistingRDD" not in plan(df) for df in [*seen, topics])
+
+
 def test_scored_articles_have_fixed_columns_and_move_no_other_text(spark):
     scores = scoring.score_stories(stories(spark, [((0.9, 0.1, 0.2), False)]), REFS, CFG)
     wide = spark.createDataFrame([(f"a{i}", "s0", 1.0, "raw " * 50, "clean", "2022-01-03") for i in range(9)], "unique_article_id string, story_key string, dup_weight double, article_text string, text_clean string, week string")
