@@ -8,31 +8,39 @@ The tree has three levels. Its routing objects come from a bounded sample of the
 entry keeps its covering radius and its distance to the parent entry. Every row goes to the leaf of
 its nearest routing object. A leaf is a chain of pages, cut from one range sort by (leaf, distance to
 the routing object, id): a page has at most PAGE rows, keeps each row's parent distance, and its
-first and last one bound it. A leaf may have any number of pages, spread over many tasks.
+first and last one bound it. A leaf may have any number of pages, spread over many tasks. Pages that
+follow each other make up a tile, which fits the memory of a task.
 
 Search is best first, for blocks of queries. A query's bound starts as its k-th best product within
 the sample. First it visits the leaf nearest to it, which tightens the bound, then every leaf that
 the bound cannot exclude. An entry is excluded without computing its distance where the stored parent
 distances already tell by the triangle inequality, and so is a page, and so are the rows of a page.
+Pages move once in a round. The queries of a block move once for each tile in which they visit a leaf,
+with a bit for each of the tile's leaves, and meet its pages one block at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressgauge.llm.common import ship_code
-from pressgauge.session import stage
+from pressgauge.session import small_batches, stage
 
 K = 5
 PAGE = 512
 LEAVES = 1024
 QUERY_BLOCK = 256
+TILE_BYTES = 1 << 25  # the rows of a tile; twice that at most
+SENT_BYTES = 1 << 24  # the queries a task hands on at once, about
+TASKS_PER_CORE = 4
 
 
 @dataclass
@@ -46,6 +54,23 @@ class Tree:
     parent_distance: np.ndarray
     radius: np.ndarray  # covering radius of each leaf, once all rows are placed
     inner_radius: np.ndarray
+    largest: float = 0.0  # size of the largest component
+    rows: int = 0
+    tiles: dict[int, np.ndarray] = field(default_factory=dict)  # the leaves of each tile
+
+    @property
+    def whole(self) -> type:
+        """How components are kept."""
+        return np.int16 if self.largest < 2**15 else np.int32
+
+    @property
+    def number(self) -> type:
+        """In what products are summed up, exactly: no sum on the way is beyond the product of two lengths."""
+        return np.float32 if self.length2 <= 2**24 else np.float64
+
+    @property
+    def tile_rows(self) -> int:
+        return max(PAGE, TILE_BYTES // (np.dtype(self.number).itemsize * self.size + 16))  # 16 for id and distance
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0, self.length2 - (x * x).sum(1)))
@@ -61,6 +86,18 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, square))
 
 
+def _nearest(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leaf of the routing object nearest to each lifted vector, and its distance."""
+    leaf, distance = np.zeros(len(x), np.int64), np.zeros(len(x))
+    length2 = (tree.routers * tree.routers).sum(1)
+    for at in range(0, len(x), 500):
+        part = x[at : at + 500]
+        square = (part * part).sum(1)[:, None] + length2[None, :] - 2 * (part @ tree.routers.T)
+        leaf[at : at + 500] = near = square.argmin(1)
+        distance[at : at + 500] = np.sqrt(np.maximum(0, square[np.arange(len(part)), near]))
+    return leaf, distance
+
+
 def _unpack(column: pa.Array, size: int) -> np.ndarray:
     """A list column of long as a matrix, short rows padded with zeros."""
     if isinstance(column, pa.ChunkedArray):
@@ -68,7 +105,7 @@ def _unpack(column: pa.Array, size: int) -> np.ndarray:
     lengths = np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if (lengths == size).all():
-        return flat.reshape(-1, size)
+        return flat.reshape(len(lengths), size)
     out = np.zeros((len(lengths), size))
     out[np.arange(size)[None, :] < lengths[:, None]] = flat
     return out
@@ -119,7 +156,7 @@ def plant(vectors: DataFrame) -> Tree | None:
     if size * float(largest) ** 2 >= 2.0**53:
         raise ValueError("components too large for exact products")
     x, ids = _sample(vectors, rows, size)
-    tree = Tree(size, length2, x, ids, *[np.zeros(0)] * 5)
+    tree = Tree(size, length2, x, ids, *[np.zeros(0)] * 5, largest=float(largest), rows=rows)
     tree.routers = tree.lift(x)
     inner = max(1, int(np.sqrt(len(x))))
     tree.parents = np.arange(inner)
@@ -129,8 +166,13 @@ def plant(vectors: DataFrame) -> Tree | None:
     return tree
 
 
+def _tasks(spark: SparkSession, pieces: int) -> int:
+    """Enough tasks for all cores, if there are as many pieces of work."""
+    return max(1, min(pieces, TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+
+
 def pages(vectors: DataFrame, tree: Tree) -> tuple[DataFrame, Tree]:
-    """(leaf, low, high, ids, distances, data) per page, written; and the tree with its radii."""
+    """(tile, leaf, low, high, ids, distances, data) per page, written; and the tree with its radii and tiles."""
     spark = vectors.sparkSession
     sent = spark.sparkContext.broadcast(tree)
 
@@ -140,32 +182,36 @@ def pages(vectors: DataFrame, tree: Tree) -> tuple[DataFrame, Tree]:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 x = _unpack(part.column(1), tree.size)
-                d = _distances(tree.lift(x), tree.routers)
-                leaf = d.argmin(1)
-                data = [row.tobytes() for row in x]
+                leaf, distance = _nearest(tree, tree.lift(x))
+                data = [row.tobytes() for row in x.astype(tree.whole)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf, pa.int32()), pa.array(d[np.arange(len(x)), leaf]), part.column(0), pa.array(data, pa.binary())],
+                    [pa.array(leaf, pa.int32()), pa.array(distance), part.column(0), pa.array(data, pa.binary())],
                     ["leaf", "distance", "vec_id", "x"],
                 )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list = []
         leaf, last = None, None
+        # a task's rows are one tile, or several if they are many
+        tile, rows, most = TaskContext.get().partitionId(), 0, 2 * sent.value.tile_rows
 
         def page() -> pa.RecordBatch:
             distances = np.array([r[1] for r in kept])
             columns = [
-                pa.array([leaf], pa.int32()), pa.array([distances[0]]), pa.array([distances[-1]]),
+                pa.array([tile], pa.int64()), pa.array([leaf], pa.int32()), pa.array([distances[0]]), pa.array([distances[-1]]),
                 pa.array([np.array([r[2] for r in kept], np.int64).tobytes()]), pa.array([distances.tobytes()]),
                 pa.array([b"".join(r[3] for r in kept)]),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["leaf", "low", "high", "ids", "distances", "data"])
+            return pa.RecordBatch.from_arrays(columns, ["tile", "leaf", "low", "high", "ids", "distances", "data"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if kept and (row[0] != leaf or len(kept) == PAGE):
                     yield page()
+                    rows += len(kept)
                     kept = []
+                    if rows + PAGE > most:
+                        tile, rows = tile + (1 << 32), 0
                 leaf = row[0]
                 if row != last:  # a repeated row stands next to its like
                     kept.append(row)
@@ -174,14 +220,17 @@ def pages(vectors: DataFrame, tree: Tree) -> tuple[DataFrame, Tree]:
             yield page()
 
     placed = vectors.mapInArrow(place, "leaf int, distance double, vec_id long, x binary")
-    order = ["leaf", "distance", "vec_id", "x"]
-    chain = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        cut, "leaf int, low double, high double, ids binary, distances binary, data binary"
+    parts = max(-(-tree.rows // tree.tile_rows), _tasks(spark, -(-tree.rows // PAGE)))
+    chain = placed.repartitionByRange(parts, "leaf", "distance", "vec_id").sortWithinPartitions("leaf", "distance", "vec_id", "x")
+    chain = stage(
+        chain.mapInArrow(cut, "tile long, leaf int, low double, high double, ids binary, distances binary, data binary"), "pages"
     )
-    chain = stage(chain, "pages")
     tree.radius = np.zeros(len(tree.routers))
-    for r in chain.groupBy("leaf").agg(F.max("high").alias("radius")).collect():
-        tree.radius[r["leaf"]] = r["radius"] * (1 + 1e-9) + 1e-9
+    held: dict[int, list[int]] = {}
+    for r in chain.groupBy("tile", "leaf").agg(F.max("high").alias("radius")).collect():
+        tree.radius[r["leaf"]] = max(tree.radius[r["leaf"]], r["radius"] * (1 + 1e-9) + 1e-9)
+        held.setdefault(r["tile"], []).append(r["leaf"])
+    tree.tiles = {tile: np.array(sorted(leaves)) for tile, leaves in sorted(held.items())}
     tree.inner_radius = np.zeros(len(tree.parents))
     np.maximum.at(tree.inner_radius, tree.parent, tree.parent_distance + tree.radius)
     return chain, tree
@@ -199,40 +248,116 @@ def leaves_in_reach(tree: Tree, q: np.ndarray, reach: float) -> list[int]:
     return left[near][np.argsort(d[near], kind="stable")].tolist()
 
 
-def _visit(chain: DataFrame, asked: DataFrame, n_queries: int, tree_sent, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of up to k rows per page and query of `asked(leaf, query_id, q, bound)`."""
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    packed = asked.groupBy("leaf", block.alias("block")).agg(F.collect_list(F.struct("query_id", "q", "bound")).alias("asked"))
+class _Best:
+    """The k best rows so far of each query of a block."""
+
+    def __init__(self, query: np.ndarray, bound: np.ndarray, k: int):
+        self.query, self.k = query, k
+        self.bound = bound.copy()  # rows below cannot be among the k best,
+        self.last = np.full(len(query), np.iinfo(np.int64).max)  # nor can rows at the bound with this id or a larger one
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, of: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Rows with score[i, j] for query number of[i]."""
+        i, j = np.divmod(np.flatnonzero(score >= self.bound[of].astype(score.dtype)[:, None]), max(1, len(ids)))
+        score, ids, of = score[i, j].astype(np.float64), ids[j], of[i]
+        open_ = (ids != self.query[of]) & ((score > self.bound[of]) | (ids <= self.last[of]))
+        self.found.append((of[open_], ids[open_], score[open_]))
+        self.waiting += len(self.found[-1][0])
+        if self.waiting > 8 * self.k * len(self.query):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """(number of the query, id, score) of the k best rows; only what can still be one of them is taken from here on."""
+        of, ids, score = (np.concatenate(c) for c in zip(*self.found)) if self.found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((ids, -score, of))
+        of, ids, score = of[order], ids[order], score[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of, "left")
+        kth = rank == self.k - 1
+        self.bound[of[kth]], self.last[of[kth]] = score[kth], ids[kth]
+        best = rank < self.k
+        self.found, self.waiting = [(of[best], ids[best], score[best])], 0
+        return self.found[0]
+
+
+def _meet(tree: Tree, shelf: list[tuple], live: dict[int, np.ndarray], query: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> _Best:
+    """What the queries find on the pages of a tile: (leaf, low, high, ids, distances, x) each. `live`: who visits which leaf."""
+    best, visited = _Best(query, bound, k), None
+    lifted, mine = np.hstack([q, np.zeros((len(q), 1))]), q.astype(tree.number)
+    for leaf, low, high, ids, distances, x in shelf:
+        if leaf != visited:
+            visited = leaf
+            d, reach = _distances(lifted, tree.routers[leaf : leaf + 1])[:, 0], tree.reach(q, best.bound)
+        of = np.flatnonzero(live[leaf] & (np.maximum(d - high, low - d) <= reach + 1e-6))
+        if not len(of):
+            continue
+        a = int(np.searchsorted(distances, (d - reach)[of].min() - 1e-6, "left"))
+        b = int(np.searchsorted(distances, (d + reach)[of].max() + 1e-6, "right"))
+        best.add(of, ids[a:b], mine[of] @ x[a:b].T)
+    return best
+
+
+def _visit(chain: DataFrame, asked: DataFrame, n_queries: int, tree_sent, route, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of up to k rows per tile and query of `asked(query_id, q, bound, leaf)`.
+
+    `route` gives the leaves that the queries of a block visit, as a matrix of truth values.
+    """
+    spark = asked.sparkSession
+    schema = "tile long, kind int, leaf int, low double, high double, ids binary, distances binary, data binary, asked binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, out, size = tree_sent.value, [], 0
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), *[pa.binary()] * 4]
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        while block := list(islice(rows, QUERY_BLOCK)):
+            query, packed, bound, leaf = (list(c) for c in zip(*block))
+            query, bound, leaf = np.array(query, np.int64), np.array(bound, np.float64), np.array(leaf, np.int64)
+            q = np.frombuffer(b"".join(packed), tree.whole).reshape(len(block), tree.size)
+            live = route(tree, q.astype(np.float64), bound, leaf)
+            for tile, leaves in tree.tiles.items():
+                visits = live[:, leaves]
+                some = visits.any(1)
+                if some.any():
+                    columns = [query[some], bound[some], q[some], np.packbits(visits[some])]
+                    out.append((tile, 1, -1, None, None, *(c.tobytes() for c in columns)))
+                    size += sum(c.nbytes for c in columns)
+                if size > SENT_BYTES:
+                    yield pack(out)
+                    out, size = [], 0
+        if out:
+            yield pack(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = tree_sent.value
+        tile, shelf = None, []
         for batch in batches:
             found: list[tuple] = []
-            for leaf, low, high, ids, distances, data, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, kind, leaf, low, high, ids, distances, data, asked in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != tile:
+                    tile, shelf = at, []
                 ids, distances = np.frombuffer(ids, np.int64), np.frombuffer(distances)
-                query = np.array([a["query_id"] for a in asked])
-                q = np.frombuffer(b"".join(a["q"] for a in asked)).reshape(len(asked), tree.size)
-                bound = np.array([a["bound"] for a in asked])
-                reach = tree.reach(q, bound)
-                d = _distances(np.hstack([q, np.zeros((len(q), 1))]), tree.routers[leaf : leaf + 1])[:, 0]
-                live = np.maximum(d - high, low - d) <= reach + 1e-6
-                if not live.any():
+                x = np.frombuffer(data, tree.whole).reshape(len(ids), tree.size)
+                if kind == 0:
+                    shelf.append((leaf, low, high, ids, distances, x.astype(tree.number)))
                     continue
-                query, q, bound, reach, d = query[live], q[live], bound[live], reach[live], d[live]
-                a = int(np.searchsorted(distances, (d - reach).min() - 1e-6, "left"))
-                b = int(np.searchsorted(distances, (d + reach).max() + 1e-6, "right"))
-                x = np.frombuffer(data).reshape(-1, tree.size)[a:b]
-                score = q @ x.T
-                good = (score >= bound[:, None]) & (ids[None, a:b] != query[:, None])
-                for i in np.nonzero(good.any(1))[0].tolist():
-                    at = np.nonzero(good[i])[0]
-                    best = at[np.lexsort((ids[a + at], -score[i, at]))[:k]]
-                    found.append((np.full(len(best), query[i]), ids[a + best], score[i, best].astype(np.int64)))
+                leaves = tree.tiles[tile]
+                visits = np.unpackbits(np.frombuffer(asked, np.uint8), count=len(ids) * len(leaves)).astype(bool)
+                live = dict(zip(leaves.tolist(), visits.reshape(len(ids), len(leaves)).T))
+                of, best, score = _meet(tree, shelf, live, ids, x.astype(np.float64), distances, k).settle()
+                found.append((ids[of], best.astype(np.int64), score.astype(np.int64)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score"])
 
-    return chain.join(packed.select("leaf", "asked"), "leaf").mapInArrow(run, "query_id long, vec_id long, score long")
+    blocks = asked.select("query_id", "q", "bound", "leaf").repartitionByRange(_tasks(spark, -(-n_queries // QUERY_BLOCK)), "leaf", "query_id")
+    blocks = blocks.sortWithinPartitions("leaf", "query_id").mapInArrow(send, schema)
+    here = chain.withColumns({"kind": F.lit(0), "asked": F.lit(None).cast("binary")}).select(*names).unionByName(blocks)
+    # one task for a tile; the pages come first, those of a leaf together
+    task = (F.col("tile").bitwiseAND(F.lit((1 << 32) - 1)) + F.shiftright("tile", 32)).cast("int")
+    here = here.repartitionById(len(tree_sent.value.tiles), task).sortWithinPartitions("tile", "kind", "leaf", "low")
+    return here.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
@@ -253,7 +378,13 @@ def search(
     """
     spark = df.sparkSession
     ship_code(spark)
-    vectors = stage(whole_vectors(df, vec_id, embedding, scale), "vectors")
+    with small_batches(spark):
+        return _search(whole_vectors(df, vec_id, embedding, scale), is_query, k)
+
+
+def _search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
+    spark = vectors.sparkSession
+    vectors = stage(vectors, "vectors")
     tree = plant(vectors)
     if tree is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -264,39 +395,34 @@ def search(
         tree = sent.value
         sample = tree.routers[:, :-1]
         for batch in batches:
-            q = _unpack(batch.column(1), tree.size)
-            score = q @ sample.T
-            score[batch.column(0).to_numpy()[:, None] == tree.ids[None, :]] = -np.inf
-            bound = np.sort(score, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
-            leaf = _distances(np.hstack([q, np.zeros((len(q), 1))]), tree.routers).argmin(1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(bound), pa.array(leaf, pa.int32())],
-                ["query_id", "q", "bound", "leaf"],
-            )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                q = _unpack(part.column(1), tree.size)
+                score = q @ sample.T
+                score[part.column(0).to_numpy()[:, None] == tree.ids[None, :]] = -np.inf
+                bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
+                leaf, _ = _nearest(tree, np.hstack([q, np.zeros((len(q), 1))]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([r.tobytes() for r in q.astype(tree.whole)], pa.binary()), pa.array(bound), pa.array(leaf, pa.int32())],
+                    ["query_id", "q", "bound", "leaf"],
+                )
+
+    def first(tree: Tree, q: np.ndarray, bound: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        return leaf[:, None] == np.arange(len(tree.routers))[None, :]
+
+    def descend(tree: Tree, q: np.ndarray, bound: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        live = np.zeros((len(q), len(tree.routers)), bool)
+        for i, reach in enumerate(np.where(bound > -np.inf, tree.reach(q, bound), np.inf)):
+            live[i, leaves_in_reach(tree, np.r_[q[i], 0.0], reach)] = True
+        return live & ~first(tree, q, bound, leaf)
 
     asked = vectors.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("x").alias("x"))
     asked = stage(asked.mapInArrow(begin, "query_id long, q binary, bound double, leaf int"), "queries")
     n_queries = asked.count()
-    nearest = stage(_top(_visit(chain, asked, n_queries, sent, k), k).select("query_id", "vec_id", "score", "rank"), "nearest")
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value
-        for batch in batches:
-            out: list[tuple] = []
-            for query, packed, bound, done in zip(*(c.to_pylist() for c in batch.columns)):
-                q = np.frombuffer(packed)
-                reach = float(tree.reach(q[None, :], np.array([bound]))[0]) if bound > -np.inf else np.inf
-                out += [(leaf, query, packed, bound) for leaf in leaves_in_reach(tree, np.r_[q, 0.0], reach) if leaf != done]
-            if out:
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["leaf", "query_id", "q", "bound"])
-
+    nearest = stage(_top(_visit(chain, asked, n_queries, sent, first, k), k).select("query_id", "vec_id", "score", "rank"), "nearest")
     kth = nearest.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
-    tightened = asked.join(kth, "query_id", "left").select(
-        "query_id", "q", F.greatest("bound", F.coalesce("kth", "bound")).alias("bound"), "leaf"
-    )
-    further = tightened.mapInArrow(descend, "leaf int, query_id long, q binary, bound double")
-    rest = _visit(chain, further, n_queries, sent, k)
+    tightened = asked.join(kth, "query_id", "left").withColumn("bound", F.greatest("bound", F.coalesce("kth", "bound")))
+    rest = stage(_visit(chain, tightened, n_queries, sent, descend, k), "further")
     return _top(nearest.select("query_id", "vec_id", "score").unionByName(rest), k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
     )

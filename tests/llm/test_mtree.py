@@ -46,6 +46,39 @@ def test_equals_brute_force(spark, monkeypatch, page):
     assert found(spark, rows) == slow(rows)
 
 
+@pytest.mark.parametrize("scale", [1.0, 200.0])  # products in single and in double precision
+def test_tiles_of_a_few_pages(spark, monkeypatch, scale):
+    for name, value in {"PAGE": 8, "TILE_BYTES": 0, "SENT_BYTES": 0, "QUERY_BLOCK": 5, "TASKS_PER_CORE": 1}.items():
+        monkeypatch.setattr(mtree, name, value)
+    rng = random.Random(3)
+    whole = lambda: [scale * rng.randint(-300, 300) / 256 for _ in range(5)]
+    rows = [(i, whole()) for i in range(300)]
+    rows += [(300 + i, rows[7][1]) for i in range(200)]  # more equal products than k
+    rows += [(i, rows[7][1]) for i in range(250, 350)] + [(i, whole()) for i in range(0, 40, 4)]  # ids that repeat
+    rows += rows[:100]
+    assert found(spark, rows) == slow(rows)
+
+
+def test_queries_that_visit_every_leaf(spark, monkeypatch):
+    """Queries of more than 2**31 bytes in a task if each leaf had its own copy of them."""
+    import numpy as np
+
+    monkeypatch.setattr(mtree, "PAGE", 1)
+    n, size = 1000, 1500
+    number = lambda j: (F.pmod(F.xxhash64("vec_id", j), F.lit(41)) - 20) / 256
+    df = spark.range(n).select(F.col("id").alias("vec_id")).withColumn("embedding", F.transform(F.sequence(F.lit(1), F.lit(size)), number))
+    table = df.toArrow().sort_by("vec_id")
+    x = np.rint(256 * table["embedding"].combine_chunks().flatten().to_numpy().reshape(n, size))
+    product = x @ x.T
+    # all rows are asked for, so no bound excludes a leaf
+    result = mtree.search(df, F.col("vec_id") >= 0, k=n).toArrow().sort_by([("query_id", "ascending"), ("rank", "ascending")])
+    best = np.array([[j for j in np.lexsort((np.arange(n), -product[i])) if j != i] for i in range(n)])
+    assert (result["query_id"].to_numpy() == np.repeat(np.arange(n), n - 1)).all()
+    assert (result["rank"].to_numpy() == np.tile(np.arange(1, n), n)).all()
+    assert (result["vec_id"].to_numpy() == best.ravel()).all()
+    assert (result["score"].to_numpy() == np.take_along_axis(product, best, 1).ravel()).all()
+
+
 def test_odd_rows(spark):
     rows = [
         (0, [0.5, -0.25]), (0, [0.5, -0.25]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 0.0]),
@@ -65,6 +98,11 @@ def test_large_components_are_refused(spark):
         found(spark, [(0, [1e30]), (1, [1e30])])
 
 
+def test_no_vectors_but_empty_ones(spark):
+    rows = [(10, []), (20, []), (5, [])]
+    assert found(spark, rows) == slow(rows)
+
+
 def test_leaves_out_of_reach_are_skipped():
     import numpy as np
 
