@@ -260,7 +260,10 @@ class _Best:
 
     def add(self, of: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         """Rows with score[i, j] for query number of[i]."""
-        i, j = np.divmod(np.flatnonzero(score >= self.bound[of].astype(score.dtype)[:, None]), max(1, len(ids)))
+        if not len(ids):
+            return
+        least = self.bound[of] + (ids.min() > self.last[of])  # scores are whole numbers
+        i, j = np.divmod(np.flatnonzero(score >= least.astype(score.dtype)[:, None]), len(ids))
         score, ids, of = score[i, j].astype(np.float64), ids[j], of[i]
         open_ = (ids != self.query[of]) & ((score > self.bound[of]) | (ids <= self.last[of]))
         self.found.append((of[open_], ids[open_], score[open_]))
